@@ -1,53 +1,98 @@
 """Pieces of text that a byte-level BPE tokenizer encodes independently of each other.
 
-The tokenizer's pattern matches left to right and never looks back, and a run of
-non-space characters never runs on into a space. So a text may be cut wherever a
-space, tab or line break follows another character: the encoding of the whole is
-the encodings of the pieces, one after the other. Texts with other white space,
-whose class differs between pattern libraries, are left whole.
+The tokenizer's pattern matches left to right and never looks back; a match that
+begins with a space goes on with letters, digits or signs, and of a run of white
+space the last character is left to what follows. So a text may be cut before any
+space but one with white space (or nothing) on its right and white space on its
+left. Texts with white space whose class differs between pattern libraries are
+left whole. A piece of Latin letters and ASCII signs falls further into words and
+what is between them, and a word is one match of the pattern, which the library's
+model encodes directly.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable
 
-PIECE = r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+"
-ODD = "[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff]"
-KEEP = 400_000  # pieces remembered in a task
-LONG = 2_000  # characters of a piece that isn't remembered
+ODD = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"
+LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
+KEEP = 400_000  # pieces, and words, remembered in a process
+LONG = 2_000  # characters of a text part that isn't remembered
+
+
+class _Known(dict):
+    """A bounded memory of what `make` gives."""
+
+    def __init__(self, make: Callable):
+        self.make = make
+
+    def __missing__(self, key: str):
+        value = self.make(key)
+        if len(key) <= LONG:
+            if len(self) >= KEEP:
+                self.clear()
+            self[key] = value
+        return value
 
 
 class PieceEncoder:
-    """Encodes texts by their distinct pieces, in batches; made(encoding's ids) is what is remembered of a piece."""
+    """The ids of texts, piece by piece; made(ids) stands for a piece and joined(parts) for a whole."""
 
-    def __init__(self, path: str, made: Callable):
+    def __init__(self, path: str, made: Callable, joined: Callable):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.made, self.known = made, {}
-        self.find, self.odd = re.compile(PIECE).findall, re.compile(ODD).search
-
-    def batch(self, texts: list[str]) -> list[list]:
-        """For each text what `made` gave for its pieces, in order."""
-        cut = [[t] if self.odd(t) else self.find(t) for t in texts]
-        known = self.known
-        if len(known) > KEEP:
-            known.clear()
-        new = list(set().union(*cut).difference(known))
-        extra = {}
-        size, part = 0, []
-        for p in [*new, None]:
-            if p is not None:
-                part.append(p)
-                size += len(p)
-            if part and (p is None or size > 500_000):  # bounds the library's own working memory
-                for q, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    (known if len(q) <= LONG else extra)[q] = self.made(e.ids)
-                size, part = 0, []
-        if extra:
-            return [[known[p] if p in known else extra[p] for p in ps] for ps in cut]
-        get = known.__getitem__
-        return [list(map(get, ps)) for ps in cut]
+        self.made, self.joined = made, joined
+        self.odd, self.unsafe = re.compile(ODD).search, re.compile(r"\s (?:\s|\Z)").search
+        self.plain = re.compile(rf"[\n -&(-~{LETTERS}]*").fullmatch  # no apostrophe, which may belong to the letters after it
+        self.parts = re.compile(rf" ?[{LETTERS}]+|(?:(?! ?[{LETTERS}])[\s\S])+").findall
+        self.word = re.compile(rf" ?[{LETTERS}]+").fullmatch
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves, in byte-level BPE
+        self.byte = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in shown)}
+        self.words, self.later, self.first = _Known(self._word), _Known(lambda p: self._piece(" " + p)), _Known(self._piece)
+
+    @classmethod
+    def of_process(cls, path: str, made: Callable, joined: Callable) -> PieceEncoder:
+        """One encoder for all tasks that a Python worker runs."""
+        kept = sys.__dict__.setdefault("_siglot_encoders", {})
+        name = (path, made.__name__)
+        if name not in kept:
+            kept[name] = cls(path, made, joined)
+        return kept[name]
+
+    def _whole(self, text: str):
+        return self.made(self.tok.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, w: str):
+        if self.word(w):
+            return self.made([t.id for t in self.tok.model.tokenize("".join(map(self.byte.__getitem__, w.encode("utf-8"))))])
+        return self._whole(w)
+
+    def _piece(self, p: str):
+        if "<|" in p or "\n\n" in p or " \n" in p or not self.plain(p):  # special strings, runs of white space, and scripts whose classes the library knows best
+            return self._whole(p)
+        return self.joined([self.words[w] for w in self.parts(p)])
+
+    def text(self, t: str) -> list:
+        """What stands for the pieces of t, in order."""
+        if self.odd(t) or (("  " in t or "\n " in t or "\t " in t or "\r " in t or t[-1:] == " ") and self.unsafe(t)):
+            return [self._whole(t)]
+        head, *rest = t.split(" ")
+        out = list(map(self.later.__getitem__, rest))
+        if head:
+            out.insert(0, self.first[head])
+        return out
+
+
+def count_ids(ids: list[int]) -> int:
+    return len(ids)
+
+
+def two_bytes(ids: list[int]) -> bytes:
+    import struct
+
+    return struct.pack(f"<{len(ids)}H", *ids)

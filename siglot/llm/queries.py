@@ -25,6 +25,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siglot.llm.ngram_join import ngram_join
+
+    return ngram_join(_table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
+
+
 def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siglot.llm.trie_bpe import bpe_round_trip
 
@@ -38,6 +44,20 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siglot.llm.toxicity import held_out, learn, toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity(docs, learn(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siglot.llm.decontam import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siglot.llm.records import read_records, record_digest, write_records
 
@@ -46,7 +66,7 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_digest(read_records(spark, path), index)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op5_trie_bpe, op6_exact_dedup, op9_token_records)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op4_ngram_join, op5_trie_bpe, op6_exact_dedup, op7_toxicity, op8_decontaminate, op9_token_records)}
 
 SQL = {
     "op2_url_filter": r"""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siglot.llm.common import by_bytes
-from siglot.llm.pieces import PieceEncoder
+from siglot.llm.pieces import PieceEncoder, two_bytes
 
 # A shard holds records one after the other. A record is
 #   length u64 | masked crc of the length u32 | payload | masked crc of the payload u32   (little-endian)
@@ -72,14 +72,14 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int, shard
         fs, root = pafs.FileSystem.from_uri(data)
         fs.create_dir(root, recursive=True)
         end = struct.pack("<H", end_id)
-        encoder = PieceEncoder(tokenizer, lambda ids: np.asarray(ids, "<u2").tobytes())
+        encoder = PieceEncoder.of_process(tokenizer, two_bytes, b"".join)
         temp, at, pos = f"{root}/_temp-{shard}-{attempt}", 0, 0
         with fs.open_output_stream(temp) as f:
             for b in by_bytes(batches, "_text"):
                 ids = b.column("_id").to_pylist()
                 rows = []
-                for i, parts in zip(ids, encoder.batch(pc.fill_null(b.column("_text"), "").to_pylist()), strict=True):
-                    tokens = b"".join(parts) + end
+                for i, t in zip(ids, pc.fill_null(b.column("_text"), "").to_pylist(), strict=True):
+                    tokens = b"".join(encoder.text(t)) + end
                     r = frame(struct.pack("<Bq", i is not None, i or 0) + tokens)
                     rows.append((shard, pos, i, at, len(r), len(tokens) // 2))
                     f.write(r)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siglot.llm.common import by_bytes
-from siglot.llm.pieces import PieceEncoder
+from siglot.llm.pieces import PieceEncoder, count_ids
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
@@ -20,7 +20,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     tokenizer is the path of a byte-level BPE file of the tokenizers library, no
     special tokens are added. Nothing shuffles: each task reads Arrow batches, cuts
     them into slices of equal bytes, splits texts at boundaries where the encoding
-    can't change, encodes the distinct pieces of a slice in batches and gives back
+    can't change, encodes what a process hasn't met yet and gives back
     lengths only. A null text counts as empty (0 bytes, 0 tokens), a null id stays
     null, repeated rows each give a row, other columns aren't read, and an empty
     table gives no rows.
@@ -30,9 +30,9 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = None
         for b in by_bytes(batches, "_text"):
-            encoder = encoder or PieceEncoder(tokenizer, len)
+            encoder = encoder or PieceEncoder.of_process(tokenizer, count_ids, sum)
             texts = pc.fill_null(b.column("_text"), "")
-            n = [sum(x) for x in encoder.batch(texts.to_pylist())]
+            n = [sum(encoder.text(t)) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("_id"), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(n, pa.int64())], ["_id", "n_bytes", "n_tokens"]
             )
