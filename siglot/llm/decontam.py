@@ -19,7 +19,8 @@ def words_of(text: Column) -> Column:
 def _seeds(df: DataFrame, words: str, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
     """keep, mask, pos and hash h of every seed of the array column words."""
     span = len(masks[0])
-    rows = df.select(*keep, F.transform(words, lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") >= span)
+    # explode() of one array keeps the optimizer from putting its formula in place of w, once for every position
+    rows = df.select(*keep, F.explode(F.array(F.transform(words, lambda w: F.xxhash64(w)))).alias("w")).where(F.size("w") >= span)
     places = F.sequence(F.lit(0), F.size("w") - span)
 
     def seed(k: int, mask: str):
@@ -66,14 +67,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     among = bloom_filter(hits.select(F.xxhash64("_tid").alias("h")), "h", hit_words)
     texts = rows.where(bloom_holds(among, F.xxhash64("_tid"), hit_words)).groupBy("_tid").agg(F.min("_text").alias("_text"))
     placed = written(hits.join(items.select("_item", F.size("item_words").alias("m")), "_item").groupBy("_tid").agg(F.collect_list(F.struct("_item", "off", "m")).alias("at")), "placed")
-    lined = placed.join(texts, "_tid").select("_tid", "at", words_of(F.col("_text")).alias("words"))
+    lined = placed.join(texts, "_tid").select("_tid", "at", F.explode(F.array(words_of(F.col("_text")))).alias("words"))
     cut = lambda a: F.struct(  # noqa: E731  the document's words under the item, and the item's first word that has one
         a["_item"].alias("_item"), F.greatest(a["off"], F.lit(0)).alias("start"), F.greatest(-a["off"], F.lit(0)).alias("skip"),
         F.slice("words", F.greatest(a["off"], F.lit(0)) + 1, a["m"] - F.greatest(-a["off"], F.lit(0))).alias("part"),
     )
     parts = lined.select("_tid", F.explode(F.transform("at", cut)).alias("p")).select("_tid", "p.*")
     pairs = parts.join(items, "_item").select("_tid", "_item", "start", "part", F.slice("item_words", F.col("skip") + 1, F.size("part")).alias("same"), F.size("item_words").alias("m"))
-    pairs = pairs.withColumn("equal", F.zip_with("part", "same", lambda x, y: F.when(x == y, 1).otherwise(0)))
+    pairs = pairs.select("*", F.explode(F.array(F.zip_with("part", "same", lambda x, y: F.when(x == y, 1).otherwise(0)))).alias("equal"))
     pairs = pairs.withColumn("w", F.least(F.lit(window), F.col("m"))).where(F.size("equal") >= F.col("w"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     pairs = pairs.withColumn("best", F.array_max(F.transform(F.sequence(F.lit(1), F.size("equal") - F.col("w") + 1), lambda i: total(F.slice("equal", i, F.col("w"))))))
