@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 import struct
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from siglot.llm.common import by_bytes
 
-KEEP = 400_000  # words, and pieces, remembered in a task
+KEEP = 500_000  # words, and pieces, remembered in a process
 
 
 class TrieBpe:
@@ -26,8 +27,9 @@ class TrieBpe:
     encoding, so the last token of every prefix says all: it is the one vocabulary
     entry t ending there for which the encoding of what comes before t ends in a
     token that stays unmerged next to t. Words are walked in sorted order, which is
-    the depth-first order of their trie; the states of the prefix that a word shares
-    with the one before it stay on the stack and are computed once.
+    the depth-first order of their trie; a prefix's state is computed when a word
+    below it first asks for it, and the states of the prefix that a word shares with
+    the one before it stay on the stack.
     """
 
     def __init__(self, path: str):
@@ -45,6 +47,7 @@ class TrieBpe:
             self.rank[a, b] = r
             self.parts.setdefault(a + b, (r, a, b))
         self.longest = max(map(len, self.vocab))
+        self.tokens = {t for t in self.vocab if t in self.parts or len(t.removesuffix(self.end) or t) == 1}
         self.stays: dict[tuple[str, str], bool] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves, in byte-level BPE
         self.byte = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in shown)}
@@ -82,30 +85,43 @@ class TrieBpe:
     def encode(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of distinct words of byte-level symbols (the last one of a word also carries the end mark)."""
         out: dict[str, list[int]] = {}
-        vocab, end, longest = self.vocab, self.end, self.longest
-        before, last, n = "", [""], 0  # last[i]: last token of the first i symbols of the word before
+        vocab, end = self.vocab, self.end
+        before: str = ""
+        last: list[str | None] = [""]  # last[i]: last token of the first i symbols of the word before, once it was asked for
         for w in sorted(words):
             n, most = 0, min(len(w), len(before))
             while n < most and w[n] == before[n]:
                 n += 1
             del last[n + 1 :]
-            for i in range(n + 1, len(w) + 1):
-                last.append(self._last(w, i, "", last, vocab, longest))
+            last += [None] * (len(w) - n)
             before = w
-            t, i, back = self._last(w, len(w), end, last, vocab, longest + len(end)) if end else last[-1], len(w), []
-            cut = len(end)
-            while i > 0:
+            if len(w) > 200:  # from the front, as asking from the back would nest as deep
+                for i in range(n, len(w) + 1):
+                    if last[i] is None:
+                        last[i] = self._last(w, i, "", last)
+            t, i, back, cut = self._last(w, len(w), end, last), len(w), [], len(end)
+            while True:
                 back.append(vocab[t])
                 i -= len(t) - cut
+                if i <= 0:
+                    break
                 t, cut = last[i], 0
             out[w] = back[::-1]
         return out
 
-    def _last(self, w: str, i: int, end: str, last: list[str], vocab: dict[str, int], longest: int) -> str:
-        for j in range(max(0, i - longest), i):
+    def _last(self, w: str, i: int, end: str, last: list[str | None]) -> str:
+        tokens, stays = self.tokens, self.stays
+        for j in range(i - self.longest if i > self.longest else 0, i):
             t = w[j:i] + end
-            if t in vocab and (len(t) - len(end) == 1 or t in self.parts) and (j == 0 or self.unmerged(last[j], t)):
-                return t
+            if t in tokens:
+                if not j:
+                    return t
+                x = last[j]
+                if x is None:
+                    x = last[j] = self._last(w, j, "", last)
+                fits = stays.get((x, t))
+                if fits or (fits is None and self.unmerged(x, t)):
+                    return t
         raise ValueError(f"no encoding for {w[:i]!r}")
 
 
@@ -125,12 +141,22 @@ class TextEncoder:
         self.words: dict[str, list[int]] = {}
         self.pieces: dict[str, tuple[bytes, int, str]] = {}
 
+    @classmethod
+    def of_process(cls, path: str) -> TextEncoder:
+        """One encoder for all tasks that a Python worker runs."""
+        kept = sys.__dict__.setdefault("_siglot_encoders", {})
+        if (path, "trie") not in kept:
+            kept[path, "trie"] = cls(path)
+        return kept[path, "trie"]
+
     def _words(self, piece: str) -> list[str | int]:
         """What a piece without white space is made of: words as byte-level symbols, and ids of special strings."""
         out: list[str | int] = []
         for k, part in enumerate(self.special.split(piece) if "<|" in piece else [piece]):
             if k % 2:
                 out.append(self.bpe.special[part])
+            elif part.isascii():  # printable ASCII stands for itself among the byte-level symbols
+                out += self.find(part.lower()) if part.isprintable() else map(self.bpe.symbols, self.find(part.lower()))
             elif self.plain(part):
                 out += map(self.bpe.symbols, self.find(unicodedata.normalize("NFC", part).lower()))
             elif part:  # rarer scripts: the library's own tables decide on composition, case and classes
@@ -170,7 +196,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = None
         for b in by_bytes(batches, "_text"):
-            enc = enc or TextEncoder(tokenizer)
+            enc = enc or TextEncoder.of_process(tokenizer)
             n, sha, dec, ids, text = [], [], [], [], []
             for parts in enc.batch(pc.fill_null(b.column("_text"), "").to_pylist()):
                 raw = b"".join([p[0] for p in parts])
