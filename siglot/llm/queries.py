@@ -66,7 +66,13 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_digest(read_records(spark, path), index)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op4_ngram_join, op5_trie_bpe, op6_exact_dedup, op7_toxicity, op8_decontaminate, op9_token_records)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siglot.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op4_ngram_join, op5_trie_bpe, op6_exact_dedup, op7_toxicity, op8_decontaminate, op9_token_records, op10_suffix_dedup)}
 
 SQL = {
     "op2_url_filter": r"""
