@@ -53,7 +53,7 @@ class PieceEncoder:
         self.word = re.compile(rf" ?[{LETTERS}]+").fullmatch
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves, in byte-level BPE
         self.byte = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in shown)}
-        self.words, self.later, self.first = _Known(self._word), _Known(lambda p: self._piece(" " + p)), _Known(self._piece)
+        self.words, self.later, self.first = _Known(self._word), _Known(self._later), _Known(self._piece)
 
     @classmethod
     def of_process(cls, path: str, made: Callable, joined: Callable) -> PieceEncoder:
@@ -72,10 +72,15 @@ class PieceEncoder:
             return self.made([t.id for t in self.tok.model.tokenize("".join(map(self.byte.__getitem__, w.encode("utf-8"))))])
         return self._whole(w)
 
+    def _later(self, p: str):
+        if p.isascii() and p.isalpha():
+            return self.made([t.id for t in self.tok.model.tokenize(self.byte[32] + p)])
+        return self._piece(" " + p)
+
     def _piece(self, p: str):
         if "<|" in p or "\n\n" in p or " \n" in p or not self.plain(p):  # special strings, runs of white space, and scripts whose classes the library knows best
             return self._whole(p)
-        return self.joined([self.words[w] for w in self.parts(p)])
+        return self.joined([self.later[w[1:]] if w[0] == " " and w[1:].isalpha() else self.words[w] for w in self.parts(p)])
 
     def text(self, t: str) -> list:
         """What stands for the pieces of t, in order."""
