@@ -80,7 +80,7 @@ class PieceEncoder:
     def _piece(self, p: str):
         if "<|" in p or "\n\n" in p or " \n" in p or not self.plain(p):  # special strings, runs of white space, and scripts whose classes the library knows best
             return self._whole(p)
-        return self.joined([self.later[w[1:]] if w[0] == " " and w[1:].isalpha() else self.words[w] for w in self.parts(p)])
+        return self.joined([self.later[w[1:]] if w[0] == " " and w.isascii() and w[1:].isalpha() else self.words[w] for w in self.parts(p)])
 
     def text(self, t: str) -> list:
         """What stands for the pieces of t, in order."""
