@@ -232,7 +232,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, n
 def ngram_join(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, classes, links) of the join of docs with itself at Jaccard similarity num/den.
 
-    documents: id_col, n_shingles, node, component_id, a row for each row of docs;
+    documents: id_col, tid (hash of the text), n_shingles, node, component_id, a row for each row of docs;
     node names its class, the documents of equal sets. classes: node, root,
     min_id. links: a, b, verified pairs of different classes. Every link between
     different sets is found or lies inside a component that other links join: a
@@ -271,7 +271,15 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_c
     rooted = classes.join(found, "node", "left").select("node", "min_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("min_id").alias("component_id"))
     named = written(rooted.join(least, "root").select("node", "root", "min_id", "component_id"), "named")
-    some = people.where("n > 0").join(named.select("node", "component_id"), "node").select("_id", "n", "node", "component_id")
-    none = people.where("n = 0").select("_id", "n", F.lit(None).cast("bigint").alias("node"), F.col("_id").alias("component_id"))
-    out = some.union(none).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "node", "component_id")
+    some = people.where("n > 0").join(named.select("node", "component_id"), "node").select("_id", "_tid", "n", "node", "component_id")
+    none = people.where("n = 0").select("_id", "_tid", "n", F.lit(None).cast("bigint").alias("node"), F.col("_id").alias("component_id"))
+    out = some.union(none).select(F.col("_id").alias(id_col), F.col("_tid").alias("tid"), F.col("n").alias("n_shingles"), "node", "component_id")
     return out, named.select("node", "root", "min_id"), links
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that are their component's least id. Rows without words stay, as do rows of components in which all ids are null; rows that repeat the least id and its set of shingles stay together."""
+    found = ngram_join(docs, id_col=id_col, text_col=text_col, **how)[0]
+    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone"), F.xxhash64(id_col, "tid").alias("_at")).distinct()
+    key = F.xxhash64(F.col(id_col).cast("bigint"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.withColumn("_at", key).join(written(gone, "gone").select("_at"), "_at", "left_anti").drop("_at")

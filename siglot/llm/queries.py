@@ -25,6 +25,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siglot.llm.pii import replace_pii
+
+    return replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"), key=b"registered query")
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siglot.llm.ngram_join import ngram_join
 
@@ -72,7 +78,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op4_ngram_join, op5_trie_bpe, op6_exact_dedup, op7_toxicity, op8_decontaminate, op9_token_records, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_pii_surrogates, op4_ngram_join, op5_trie_bpe, op6_exact_dedup, op7_toxicity, op8_decontaminate, op9_token_records, op10_suffix_dedup)}
 
 SQL = {
     "op2_url_filter": r"""
