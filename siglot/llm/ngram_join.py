@@ -115,8 +115,22 @@ def sketch_keys(u: np.ndarray, heat: np.ndarray, num: int, den: int) -> np.ndarr
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-def _arrow(**cols: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols.values()], list(cols))
+def bit_sketch(u: np.ndarray) -> np.ndarray:
+    """One parity bit for each of m places, m a power of two and at least twice the set's size, as 64-bit words. Half as long, it is the XOR of its halves."""
+    m = max(64, 1 << (2 * len(u) - 1).bit_length())
+    bits = np.bincount((u >> np.uint64(8) & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that may reach the similarity by their sizes and by the Hamming distance of their bit sketches, which never exceeds the symmetric difference."""
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    half = lambda s: F.zip_with(F.slice(s, 1, F.expr(f"size({s}) div 2")), F.slice(s, F.expr(f"size({s}) div 2 + 1"), F.expr(f"size({s}) div 2")), lambda x, y: x.bitwiseXOR(y))
+    fit = lambda s, t: F.when(F.size(s) > F.size(t), half(s)).otherwise(F.col(s))
+    both = both.where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}").withColumns({"sa": fit("sa", "sb"), "sb": fit("sb", "sa")})
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return written(both.where(apart <= F.expr(f"na + nb - 2 * ceil((na + nb) * {num} / {num + den})")).select("a", "b"), "near")
 
 
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
@@ -124,21 +138,23 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh, seen = Shingler(words), np.zeros(SLOTS, np.int64)
+        names = ["kind", "_id", "_tid", "n", "node", "sketch"]
         for b in by_bytes(batches, "_text", 4_000_000):
             sets = sh.batch(b.column("_text").to_pylist())
             if sum(map(len, sets)):
                 seen += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
             node = np.array([set_hash(u) if len(u) else 0 for u in sets], np.uint64).view(np.int64)
             n = np.array([len(u) for u in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("_id"), b.column("_tid"), pa.array(n), pa.array(node)], ["kind", "_id", "_tid", "n", "node"])
+            sketch = pa.array([bit_sketch(u) if len(u) else None for u in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("_id"), b.column("_tid"), pa.array(n), pa.array(node), sketch], names)
         usual = seen.mean()
         top = np.argpartition(seen, -HOT)[-HOT:]
         top = top[seen[top] > usual + 8 * np.sqrt(usual) + 8]
         if len(top):
             z = pa.nulls(len(top), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(top), np.int32)), z, pa.array(top), pa.array(seen[top]), z], ["kind", "_id", "_tid", "n", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(top), np.int32)), z, pa.array(top), pa.array(seen[top]), z, pa.nulls(len(top), pa.list_(pa.int64()))], names)
 
-    return docs.mapInArrow(run, "kind int, _id bigint, _tid bigint, n bigint, node bigint")
+    return docs.mapInArrow(run, "kind int, _id bigint, _tid bigint, n bigint, node bigint, sketch array<bigint>")
 
 
 def _heat(profiles: DataFrame) -> np.ndarray:
@@ -169,6 +185,8 @@ def _keys(docs: DataFrame, heat, words: int, num: int, den: int) -> DataFrame:
         k, n = k[order], n[order]
         first = np.concatenate([[True], k[1:] != k[:-1]])
         lead = n[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
+        back = np.argsort(order)  # in the order of the documents again: rows of one node compress well
+        k, n, first, lead = k[back], n[back], first[back], lead[back]
         for i in range(0, len(k), 100_000):
             s = slice(i, i + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(k[s].view(np.int64)), pa.array(n[s].view(np.int64)), pa.array(lead[s].view(np.int64), mask=first[s])], ["key", "node", "lead"])
@@ -200,8 +218,7 @@ def _repeated(keys: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (k, n, lead)], ["key", "node", "lead"])
 
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keys.withColumn("_to", F.when(F.col("lead").isNull(), F.col("key")).otherwise(F.col("node")))
-    return dealt.repartition(n, "_to").select("key", "node", "lead").mapInArrow(run, "key bigint, node bigint, lead bigint")
+    return keys.repartition(n, F.when(F.col("lead").isNull(), F.col("key")).otherwise(F.col("node"))).mapInArrow(run, "key bigint, node bigint, lead bigint")
 
 
 def _sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
@@ -221,6 +238,7 @@ def _sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
+    pairs = _near(pairs, classes, num, den)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     need = written(nodes.join(classes, "node").select("node", "tid"), "need")
     sets = written(_sets(docs, need, words), "sets")
@@ -250,7 +268,7 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_c
     profiles = written(_profiles(docs, words), "profiles")
     heat = spark.sparkContext.broadcast(_heat(profiles))
     people = profiles.where("kind = 0").drop("kind")
-    classes = written(people.where("n > 0").groupBy("node").agg(F.min("_tid").alias("tid"), F.min("_id").alias("min_id")), "classes")
+    classes = written(people.where("n > 0").groupBy("node").agg(F.min("_tid").alias("tid"), F.min("_id").alias("min_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
     repeated = written(_repeated(_keys(docs, heat, words, num, den)), "keys")
     order = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
