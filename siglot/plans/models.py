@@ -1 +1,88 @@
-"""Queries."""
+"""Queries of model inputs and model quality, and of clustered outcomes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siglot.operators import measures as M
+from siglot.plans import views as V
+from siglot.plans.registry import query
+from siglot.plans.views import ctes, table
+
+
+@query("l1_item_selection", ctes("reports", "event_long") + " select event, round(avg(cast(present as int)), 6) as prevalence from event_long group by 1 having avg(cast(present as int)) >= 0.25")
+def _l1(spark, sf):
+    d = V.event_long(spark, sf).groupBy("event").agg(F.avg(F.col("present").cast("int")).alias("p"))
+    return d.where("p >= 0.25").select("event", F.round("p", 6).alias("prevalence"))
+
+
+@query("l2_response_patterns", ctes("reports") + " select ev_returned, ev_urgent, ev_bulk, ev_open, ev_big, count(*) as weight from reports group by all")
+def _l2(spark, sf):
+    return V.reports(spark, sf).groupBy(*V.EVENTS).agg(F.count(F.lit(1)).alias("weight"))
+
+
+@query("m1_design", ctes("reports") + f" select record_id, round(ln(1 + len(vaccines)), 6) as log_products, cast(list_contains(vaccines, '{V.TARGET}') as int) as product_target, cast(ev_returned as int) + cast(ev_urgent as int) + cast(ev_bulk as int) as n_events, hospitalized from reports")
+def _m1(spark, sf):
+    n = F.col("ev_returned").cast("int") + F.col("ev_urgent").cast("int") + F.col("ev_bulk").cast("int")
+    return V.reports(spark, sf).select("record_id", F.round(F.log1p(F.size("vaccines")), 6).alias("log_products"), F.array_contains("vaccines", V.TARGET).cast("int").alias("product_target"), n.alias("n_events"), "hospitalized")
+
+
+@query("m6_temporal_split", ctes("reports") + " select case when analytic_year <= 1998 then 'train' else 'test' end as part, count(*) as n, count(*) filter (hospitalized) as events from reports group by 1")
+def _m6(spark, sf):
+    return V.reports(spark, sf).groupBy(F.when(F.col("analytic_year") <= 1998, "train").otherwise("test").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.count_if("hospitalized").alias("events"))
+
+
+_SCORES = "with s as (select quality as y, n_chars as score from labels join documents using (doc_id)), p as (select score, sum(y) as p, count(*) - sum(y) as q from s group by 1), c as (select *, coalesce(sum(q) over (order by score rows between unbounded preceding and 1 preceding), 0) as before from p)"
+
+
+def _scores(spark, sf):
+    return table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select(F.col("quality").alias("y"), F.col("n_chars").alias("score"))
+
+
+@query("m8_auroc", _SCORES + " select cast(sum(p + q) as bigint) as n, cast(sum(p) as bigint) as positives, round(sum(p * (before + q / 2)) / (sum(p) * cast(sum(q) as double)), 6) as auroc from c")
+def _m8(spark, sf):
+    return M.auroc(_scores(spark, sf), "y", "score").withColumn("auroc", F.round("auroc", 6))
+
+
+@query("m8_brier", "select round(avg(pow(quality - least(1, n_chars / 10000.0), 2)), 6) as brier, round(avg(quality), 6) as prevalence from labels join documents using (doc_id)")
+def _m8b(spark, sf):
+    return _scores(spark, sf).agg(F.round(F.avg(F.pow(F.col("y") - F.least(F.lit(1.0), F.col("score") / 10000.0), F.lit(2))), 6).alias("brier"), F.round(F.avg("y"), 6).alias("prevalence"))
+
+
+@query("m10_calibration_deciles", "with s as (select quality as y, n_chars as score from labels join documents using (doc_id)), e as (select list_sort(list_distinct(list_transform(range(1, 10), lambda i: 0))) as z, quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as edges from s), b as (select y, score, len(list_filter(list_distinct(edges), lambda x: score > x)) as bin from s, e) select cast(bin as integer) as bin, count(*) as n, round(avg(y), 6) as observed, round(avg(score), 4) as predicted from b group by 1")
+def _m10(spark, sf):
+    s = _scores(spark, sf)
+    edges = s.select(F.array_distinct(F.percentile("score", F.array(*[F.lit(i / 10) for i in range(1, 10)])))).scalar()
+    b = s.withColumn("edges", edges).select("y", "score", F.size(F.filter("edges", lambda x: F.col("score") > x)).alias("bin"))
+    return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 6).alias("observed"), F.round(F.avg("score"), 4).alias("predicted"))
+
+
+@query("g1_exposure_z", "with lots as (select s_suppkey, s_acctbal from supplier where s_suppkey in (select l_suppkey from lineitem where l_tax > 0.07)), m as (select avg(s_acctbal) as m, stddev_samp(s_acctbal) as s from lots) select s_suppkey, round((s_acctbal - m) / s, 6) as z from lots, m")
+def _g1(spark, sf):
+    used = table(spark, sf, "supplier").join(table(spark, sf, "lineitem").where("l_tax > 0.07"), F.col("s_suppkey") == F.col("l_suppkey"), "left_semi").select("s_suppkey", "s_acctbal")
+    m = used.agg(F.avg("s_acctbal").alias("m"), F.stddev_samp("s_acctbal").alias("s"))
+    return used.join(F.broadcast(m)).select("s_suppkey", F.round((F.col("s_acctbal") - F.col("m")) / F.col("s"), 6).alias("z"))
+
+
+@query("g7_lot_table", "select l_suppkey, count(*) as n, count(*) filter (l_returnflag = 'R') as k, round(count(*) filter (l_returnflag = 'R') / count(*), 6) as share from lineitem group by 1 having count(*) >= 5")
+def _g7(spark, sf):
+    d = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("k")).where("n >= 5")
+    return d.withColumn("share", F.round(F.col("k") / F.col("n"), 6))
+
+
+_ICC = "with c as (select l_suppkey, count(*) as m, sum(case when l_returnflag = 'R' then 1.0 else 0 end)::double as s from lineitem group by 1), t as (select cast(sum(m) as double) as n, cast(count(*) as double) as k, cast(sum(m * m) as double) as m2, sum(s) as s, sum(s * s / m) as b from c), u as (select n, k, (n - m2 / n) / (k - 1) as n0, (b - s * s / n) / (k - 1) as msb, (s - b) / (n - k) as msw from t)"
+
+
+@query("g8_icc", _ICC + " select cast(n as bigint) as n, cast(k as bigint) as k, round(n0, 4) as n0, round(greatest(0, (msb - msw) / (msb + (n0 - 1) * msw)), 6) as icc from u")
+def _g8(spark, sf):
+    d = M.icc(table(spark, sf, "lineitem"), "l_suppkey", F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0))
+    return d.select("n", "k", F.round("n0", 4).alias("n0"), F.round("icc", 6).alias("icc"))
+
+
+@query("g9_minimum_detectable", "with c as (select l_suppkey, count(*) as m, count(*) filter (l_returnflag = 'R') as s from lineitem group by 1) select round(sum(m * m) / sum(m), 4) as mean_cluster, round(exp((1.959963984540054 + 0.8416212335729143) / sqrt(sum(m) / (1 + (sum(m * m) / sum(m) - 1) * 0.01) * (sum(s) / sum(m)) * (1 - sum(s) / sum(m)) * 0.8)), 4) as min_or from c")
+def _g9(spark, sf):
+    c = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("l_returnflag") == "R").alias("s"))
+    t = c.agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("m2"), F.sum("s").alias("s"))
+    size, p = F.col("m2") / F.col("n"), F.col("s") / F.col("n")
+    eff = F.col("n") / (1 + (size - 1) * 0.01)
+    return t.select(F.round(size, 4).alias("mean_cluster"), F.round(F.exp((1.959963984540054 + 0.8416212335729143) / F.sqrt(eff * p * (1 - p) * 0.8)), 4).alias("min_or"))
