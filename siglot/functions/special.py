@@ -9,7 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-lgamma = np.vectorize(math.lgamma, otypes=[float])
+def lgamma(x) -> np.ndarray:
+    x = np.asarray(x, float)
+    return np.array([math.lgamma(v) for v in x.ravel()]).reshape(x.shape)
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
