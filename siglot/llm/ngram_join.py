@@ -7,17 +7,19 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siglot.llm.common import bloom_filter, bloom_holds, bloom_size, by_bytes, written
 from siglot.llm.components import components
 
-SLOTS = 1 << 20  # counters of shingle hashes in a task
-HOT = 2_048  # slots that a task reports as frequent
-HOT_ALL = 65_536  # slots that all tasks together remember as frequent
+SLOTS = 1 << 21  # counters of shingle hashes, one set for the whole corpus
+BLOCKS = 64  # pieces in which a task's counters are added to the others'
 SMALL = 64  # below this size every shingle is a part of its own
 
 
@@ -109,9 +111,8 @@ def sketch_keys(u: np.ndarray, heat: np.ndarray, num: int, den: int) -> np.ndarr
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         word = np.bitwise_xor.reduceat(w, starts)
         key = mix(word ^ mix(part[starts] + np.uint64(band << 56)))
-        rare = np.minimum.reduceat(heat[(u[order] >> np.uint64(44)).astype(np.int64)], starts)
-        size = np.diff(np.append(starts, n))
-        out.append(key[np.lexsort((key, -size, rare))[: d + 1]])
+        rare = np.minimum.reduceat(heat[_slot(u[order])], starts)
+        out.append(key[np.lexsort((key, rare))[: d + 1]])
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
@@ -133,36 +134,51 @@ def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
     return written(both.where(apart <= F.expr(f"na + nb - 2 * ceil((na + nb) * {num} / {num + den})")).select("a", "b"), "near")
 
 
+def _slot(u: np.ndarray) -> np.ndarray:
+    return (u >> np.uint64(43)).astype(np.int64)
+
+
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
-    """kind 0: doc_id, tid (hash of the text), n, node (hash of the set). kind 1: frequent slots of a task (tid: slot, n: count)."""
+    """kind 0: _id, _tid (hash of the text), n, node (hash of the set), sketch. kind 1: a task's counters of shingles (_id: task, n: block, counts: one byte each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh, seen = Shingler(words), np.zeros(SLOTS, np.int64)
-        names = ["kind", "_id", "_tid", "n", "node", "sketch"]
+        sh, seen = Shingler(words), np.zeros(SLOTS, np.int32)
+        names = ["kind", "_id", "_tid", "n", "node", "sketch", "counts"]
         for b in by_bytes(batches, "_text", 4_000_000):
             sets = sh.batch(b.column("_text").to_pylist())
             if sum(map(len, sets)):
-                seen += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
+                seen += np.bincount(_slot(np.concatenate(sets)), minlength=SLOTS).astype(np.int32)
             node = np.array([set_hash(u) if len(u) else 0 for u in sets], np.uint64).view(np.int64)
             n = np.array([len(u) for u in sets], np.int64)
             sketch = pa.array([bit_sketch(u) if len(u) else None for u in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("_id"), b.column("_tid"), pa.array(n), pa.array(node), sketch], names)
-        usual = seen.mean()
-        top = np.argpartition(seen, -HOT)[-HOT:]
-        top = top[seen[top] > usual + 8 * np.sqrt(usual) + 8]
-        if len(top):
-            z = pa.nulls(len(top), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(top), np.int32)), z, pa.array(top), pa.array(seen[top]), z, pa.nulls(len(top), pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("_id"), b.column("_tid"), pa.array(n), pa.array(node), sketch, pa.nulls(len(n), pa.binary())], names)
+        if seen.any():
+            parts = [x.tobytes() for x in np.split(np.minimum(seen, 255).astype(np.uint8), BLOCKS)]
+            task, z = TaskContext.get().partitionId(), pa.nulls(BLOCKS, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([1] * BLOCKS, pa.int32()), pa.array([task] * BLOCKS, pa.int64()), z, pa.array(range(BLOCKS), pa.int64()), z, pa.nulls(BLOCKS, pa.list_(pa.int64())), pa.array(parts, pa.binary())], names)
 
-    return docs.mapInArrow(run, "kind int, _id bigint, _tid bigint, n bigint, node bigint, sketch array<bigint>")
+    return docs.mapInArrow(run, "kind int, _id bigint, _tid bigint, n bigint, node bigint, sketch array<bigint>, counts binary")
 
 
 def _heat(profiles: DataFrame) -> np.ndarray:
-    """How frequent each slot's shingles are, in powers of two; 0 for all but the HOT_ALL most frequent. It only orders keys, so that common passages come last."""
-    top = profiles.where("kind = 1").groupBy("_tid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "_tid").limit(HOT_ALL).collect()
-    heat = np.zeros(SLOTS, np.int8)
-    for slot, n in top:
-        heat[slot] = n.bit_length()
+    """How frequent each slot's shingles are in the whole corpus, in eighths of powers of two: SLOTS bytes, whatever the input. It only orders keys, so that common passages come last. Tasks' counters are added in two rounds, 64 tasks at a time and then all."""
+
+    def add(kind):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(SLOTS // BLOCKS, np.int64)
+            for x in pdf["counts"]:
+                total += np.frombuffer(x, kind)
+            return pd.DataFrame({"_id": [0], "n": pdf["n"].iloc[:1].to_numpy(), "counts": [total.tobytes()]})
+
+        return run
+
+    parts = profiles.where("kind = 1").select((F.col("_id") / 64).cast("bigint").alias("_id"), "n", "counts")
+    some = parts.groupBy("_id", "n").applyInPandas(add(np.uint8), "_id bigint, n bigint, counts binary")
+    every = some.groupBy("n").applyInPandas(add(np.int64), "_id bigint, n bigint, counts binary").collect()
+    heat = np.zeros(SLOTS, np.uint8)
+    for r in every:
+        at = r.n * (SLOTS // BLOCKS)
+        heat[at : at + SLOTS // BLOCKS] = np.minimum(255, np.round(8 * np.log2(1 + np.frombuffer(r.counts, np.int64))))
     return heat
 
 
@@ -278,9 +294,11 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_c
 
     spots = repeated.select("key", "node").union(repeated.select("key", "lead")).distinct()
     spots = written(spots.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "spots")
+    size = classes.select("node", "n")
     mixed = written(spots.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    rest = written(spots.join(mixed, "key", "left_semi"), "rest")
-    across = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key and x.root < y.root")).select(*order("x.node", "y.node")).distinct()
+    rest = written(spots.join(mixed, "key", "left_semi").join(size, "node"), "rest")
+    alike = f"x.key = y.key and x.root < y.root and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"
+    across = rest.alias("x").join(rest.alias("y"), F.expr(alike)).select(*order("x.node", "y.node")).distinct()
     across = written(across.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if across.limit(1).count():
         links = written(links.union(_linked(across, docs, classes, words, num, den)), "links")
