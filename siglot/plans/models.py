@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siglot.operators import measures as M
+from siglot.operators import models as R
 from siglot.plans import views as V
 from siglot.plans.registry import query
 from siglot.plans.views import ctes, table
@@ -86,3 +87,59 @@ def _g9(spark, sf):
     size, p = F.col("m2") / F.col("n"), F.col("s") / F.col("n")
     eff = F.col("n") / (1 + (size - 1) * 0.01)
     return t.select(F.round(size, 4).alias("mean_cluster"), F.round(F.exp((1.959963984540054 + 0.8416212335729143) / F.sqrt(eff * p * (1 - p) * 0.8)), 4).alias("min_or"))
+
+
+def _model_rows(spark, sf):
+    ints = [F.col(e).cast("int").alias(e) for e in ("ev_returned", "ev_urgent", "ev_bulk")]
+    return V.reports(spark, sf).select("record_id", "analytic_year", F.col("hospitalized").cast("int").alias("y"), *ints, F.size("vaccines").alias("n_products"))
+
+
+_X = ["ev_returned", "ev_urgent", "ev_bulk", "n_products"]
+
+
+def _terms(spark, d, family, penalty="", robust=False):
+    b, inverse, _ = R.glm(d, len(_X) + 1, family, penalty)
+    cov = R.cluster_robust(d, b, inverse, family) if robust else inverse
+    return spark.createDataFrame(R.terms(_X, b, cov), R.TERMS)
+
+
+@query("m3_m4_firth_logistic")
+def _m4(spark, sf):
+    return _terms(spark, R.design(_model_rows(spark, sf), _X, "y").cache(), "binomial", "firth")
+
+
+@query("m7_boosted_trees")
+def _m7(spark, sf):
+    d = _model_rows(spark, sf)
+    scored = R.boosted(d.where("analytic_year <= 1998"), d.where("analytic_year > 1998"), _X, "y")
+    return M.auroc(scored, "y", "score")
+
+
+@query("g4_cluster_robust")
+def _g4(spark, sf):
+    return _terms(spark, R.design(_model_rows(spark, sf), _X, "y", cluster="analytic_year").cache(), "binomial", robust=True)
+
+
+@query("g7_lot_level_model")
+def _g7b(spark, sf):
+    lots = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("l_returnflag") == "R").cast("double")).alias("share")).where("n >= 5")
+    d = R.design(lots.join(table(spark, sf, "supplier").withColumn("z", F.col("s_acctbal") / 1000), F.col("l_suppkey") == F.col("s_suppkey")), ["z"], "share", weight="n").cache()
+    b, inverse, phi = R.glm(d, 2)
+    return spark.createDataFrame(R.terms(["z"], b, inverse * max(phi, 1e-12)), R.TERMS)
+
+
+@query("l2_l3_latent_classes")
+def _l3(spark, sf):
+    p = V.reports(spark, sf).groupBy(*V.EVENTS).agg(F.count(F.lit(1)).alias("weight")).cache()
+    return R.latent_classes(p, V.EVENTS, 2, steps=40)
+
+
+@query("q6_bootstrap_ppk")
+def _q6(spark, sf):
+    return R.bootstrap_capability(V.qc(spark, sf).select("series", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), "series", "l_extendedprice", 1000, 90000, draws=50)
+
+
+@query("q19_hodges_lehmann", "with d as (select p_brand, p_type, avg(p_retailprice) as v from part group by 1, 2), p as (select a.p_brand, a.v - b.v as d from d a join d b on a.p_brand = b.p_brand and a.p_type < 'M' and b.p_type >= 'M') select p_brand, round(quantile_cont(d, 0.5), 4) as shift from p group by 1")
+def _q19(spark, sf):
+    d = table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.avg("p_retailprice").alias("v"))
+    return R.hodges_lehmann(d, ["p_brand"], "v", F.col("p_type") < "M").select("p_brand", F.round("shift", 4).alias("shift"))

@@ -290,3 +290,70 @@ def _s3(spark, sf):
 def _s9(spark, sf):
     df = table(spark, sf, "orders").groupBy(F.year("o_orderdate").cast("string").alias("year")).agg(F.count(F.lit(1)).alias("cases"), F.round(F.sum("o_totalprice"), 2).alias("amount"))
     return files.annual_series(df, "year")
+
+
+_HEAD = "with h as (select lang as file, source as header, row_number() over (partition by lang, source order by doc_id) as occurrence from documents)"
+
+
+def _headers(spark, sf):
+    h = table(spark, sf, "documents").select(F.col("lang").alias("file"), F.col("doc_id").alias("position"), F.col("source").alias("header"))
+    aliases = spark.createDataFrame([("first", "src1", 1, None), ("second", "src1", 2, None), ("pattern", None, None, "src[23]")], "field string, alias string, occurrence int, pattern string")
+    return files.match_headers(h, aliases)
+
+
+_MATCH = _HEAD + " , m as (select *, case when header = 'src1' and occurrence = 1 then 'first' when header = 'src1' and occurrence = 2 then 'second' when header in ('src2', 'src3') then 'pattern' end as field, case when header = 'src1' and occurrence <= 2 then 'exact' when header in ('src2', 'src3') then 'pattern' else 'unmatched' end as how from h)"
+
+
+@query("s4_match_headers", _MATCH + " select file, header, field, how, count(*) as n from m group by all")
+def _s4(spark, sf):
+    return _headers(spark, sf).groupBy("file", "header", "field", "how").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s7_schema_drift", _MATCH + " select field, count(distinct file) as n_files, bool_or(how <> 'exact') as inexact, count(distinct file) = (select count(distinct file) from m) as in_all from m where field is not null group by 1")
+def _s7(spark, sf):
+    return files.schema_drift(_headers(spark, sf))
+
+
+@query("s8_split_spec_row", "select l_suppkey, count(*) filter (l_tax = 0 and l_discount = 0) as spec_rows, count(*) filter (not (l_tax = 0 and l_discount = 0)) as data_rows from lineitem group by 1")
+def _s8(spark, sf):
+    from siglot.operators.parsing import spec
+
+    cells = [F.when(F.col(c) == 0, "≥ 80 %").otherwise(F.col(c).cast("string")) for c in ("l_tax", "l_discount")]
+    limits = sum(((spec(c)["op"] != "qualitative").cast("int") for c in cells[1:]), (spec(cells[0])["op"] != "qualitative").cast("int"))
+    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count_if(limits >= 2).alias("spec_rows"), F.count_if(limits < 2).alias("data_rows"))
+
+
+@query("s10_lots_table", "select p_partkey, p_size as value, regexp_matches(p_brand, '[0-9]') as has_id, lower(p_type) like 'standard%' or lower(p_type) like 'promo%' as passed, contains(p_name, 'bolt') as national from part")
+def _s10(spark, sf):
+    kind = F.lower("p_type")
+    return table(spark, sf, "part").select("p_partkey", F.col("p_size").alias("value"), F.col("p_brand").rlike(r"\d").alias("has_id"), (F.startswith(kind, F.lit("standard")) | F.startswith(kind, F.lit("promo"))).alias("passed"), F.array_contains(F.split("p_name", " "), "bolt").alias("national"))
+
+
+@query("s15_release_table", "select l_returnflag, cast(count(*) as integer) as n, round(avg(l_tax), 6) as mean from lineitem group by 1")
+def _s15(spark, sf):
+    path = files.scratch(spark)
+    d = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg("l_tax").alias("mean"))
+    files.write_table(d, path)
+    return spark.read.schema("l_returnflag string, n int, mean double").csv(path, header=True)
+
+
+@query("s19_step_log", "select 'read' as step, count(*) as n_rows from lineitem union all select 'in_window', count(*) from lineitem where l_shipdate >= timestamp '1997-01-01'")
+def _s19(spark, sf):
+    from pyspark.sql import Observation
+
+    a, b = Observation("read"), Observation("in_window")
+    d = table(spark, sf, "lineitem").select("l_shipdate").observe(a, F.count(F.lit(1)).alias("n")).where("l_shipdate >= timestamp '1997-01-01'").observe(b, F.count(F.lit(1)).alias("n"))
+    d.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([("read", a.get["n"]), ("in_window", b.get["n"])], "step string, n_rows bigint")
+
+
+@query("c22_multi_codes", ctes("reports") + " select record_id, list_transform(vaccines, lambda x: case when x like 'Brand#1%' then 'ONE' when x like 'Brand#2%' then 'TWO' else 'OTHER' end) as codes from reports")
+def _c22(spark, sf):
+    code = lambda x: F.when(x.startswith("Brand#1"), "ONE").when(x.startswith("Brand#2"), "TWO").otherwise("OTHER")
+    return V.reports(spark, sf).select("record_id", F.transform("vaccines", code).alias("codes"))
+
+
+@query("x14_public_drift", "select case when source in ('src1', 'src2') then 'identifiers' else source end as name, count(*) as n from documents group by 1")
+def _x14(spark, sf):
+    name = F.when(F.col("source").isin("src1", "src2"), "identifiers").otherwise(F.col("source"))
+    return table(spark, sf, "documents").groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
