@@ -238,3 +238,34 @@ def map_tokens(tokens: DataFrame, rules: DataFrame, col: str = "token", default:
     hit = distinct.join(F.broadcast(rules), F.expr("_t rlike concat('^(?:', pattern, ')$')")).groupBy("_t").agg(F.min_by(F.struct("code", "pattern"), "position").alias("r"))
     code = F.coalesce(F.col("r.code"), F.lit(default) if default else F.concat(F.lit("X:"), F.replace(F.col(col), F.lit(" "), F.lit(""))))
     return tokens.join(hit, F.col(col) == F.col("_t"), "left").select(*tokens.columns, code.alias("code"), F.when(F.col("r").isNotNull(), "regex").otherwise("default" if default else "unmapped").alias("rule"))
+
+
+# Words for doses, the endings of ordinals, and the fractions that spreadsheets make of two doses.
+DOSE_WORDS = {
+    "PRIMERA": "1", "SEGUNDA": "2", "TERCERA": "3", "CUARTA": "4", "QUINTA": "5", "REFUERZO": "R", "REF": "R", "REACTIVACION": "R", "R1": "R", "R2": "R",
+    "UNICA": "U", "UNICO": "U", "DOSISUNICA": "U",
+}
+ORDINAL = "^([1-5])(RA|DA|TA|RO|DO|TO|MA|NA|A|O|ª|º)?$"
+FRACTIONS = [(1, 2), (1, 3), (2, 3), (1, 4), (3, 4), (1, 5), (2, 5), (3, 5), (4, 5)]
+
+
+def doses(c: Column) -> Column:
+    """A cell() as array of doses (1 to 5, R, U) with status: lists and words; '2.1' and '0.5' are two doses that became a number, and a date two that became a day and a month."""
+    t = F.translate(F.upper(c), "ÁÉÍÓÚ", "AEIOU")
+    words = F.create_map(*[F.lit(x) for kv in DOSE_WORDS.items() for x in kv])
+    token = lambda x: F.when(x.isin("R", "U"), x).when(F.try_element_at(words, x).isNotNull(), F.try_element_at(words, x)).when(x.rlike(ORDINAL), F.substring(x, 1, 1))
+    one = token(F.replace(t, F.lit(" "), F.lit("")))
+    part = lambda p, k: F.regexp_extract(t, p, k)
+    number, pair, day = r"^\d+[.,]\d+$", r"^([1-5])[.,]([1-5])$", r"^\d{4}-0([1-5])-0([1-5])$"
+    x = F.replace(t, F.lit(","), F.lit(".")).try_cast("double")
+    fraction = F.coalesce(*[F.when(F.abs(x - n / d) < 1e-9, F.array(F.lit(str(n)), F.lit(str(d)))) for n, d in FRACTIONS])
+    whole = F.when((x == F.floor(x)) & x.between(1, 5), F.array(x.cast("int").cast("string")))
+    listed = F.transform(F.filter(F.split(t, r"\s*(?:,|;|/|\+|-|&|\s+Y\s+|\s+)\s*"), lambda v: v != ""), token)
+    list_ok = (F.size(listed) > 0) & ~F.exists(listed, lambda v: v.isNull())
+    value = (
+        F.when(one.isNotNull(), F.array(one)).when(t.rlike(pair), F.array(part(pair, 1), part(pair, 2))).when(t.rlike(number), F.coalesce(whole, fraction))
+        .when(t.rlike(day), F.array(part(day, 2), part(day, 1))).when(list_ok, listed)
+    )
+    repaired = one.isNull() & (t.rlike(day) | (t.rlike(number) & ~F.contains(t, F.lit(","))))
+    status = F.when(t.isNull() | t.isin(MISSING), "missing").when(value.isNull(), "invalid").when(repaired & ~(t.rlike(number) & whole.isNotNull()), "recovered").otherwise("ok")
+    return result(value, status)

@@ -241,3 +241,14 @@ select file, 'quantity' as field, status, count(*) as n from t group by 1, 3
 def _a12(spark, sf):
     raw = F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.when(F.col("l_discount") == 0, "").otherwise(".5"))
     return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("file"), F.lit("quantity").alias("field"), P.integer(raw)["status"].alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("c15_doses", """
+with t as (select l_orderkey, l_linenumber, l_partkey, l_linenumber % 6 as k from lineitem)
+select l_orderkey, l_linenumber, l_partkey, case k when 0 then '1|2' when 1 then '2|1' when 2 then '1|2' when 3 then 'R' when 4 then '3' end as doses, case k when 1 then 'recovered' when 2 then 'recovered' when 5 then 'invalid' else 'ok' end as status from t
+""")
+def _c15(spark, sf):
+    k = F.col("l_linenumber") % 6
+    raw = F.when(k == 0, "1ra y 2da").when(k == 1, "2.1").when(k == 2, "0.5").when(k == 3, "Refuerzo").when(k == 4, "3ª").otherwise("6 y 9")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", P.cell(raw).alias("t"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", P.doses(F.col("t")).alias("r")).select("l_orderkey", "l_linenumber", "l_partkey", F.array_join("r.value", "|").alias("doses"), "r.status")

@@ -128,3 +128,15 @@ select round(n * m / (n + m) * (2 * ab / (n * m) - 2 * coalesce(aa, 0) / (n * n)
 def _q20(spark, sf):
     d = table(spark, sf, "embeddings").where("label in (1, 2)").select(F.transform("embedding", lambda x: x.cast("double")).alias("v"), (F.col("label") == 1).alias("g"))
     return M.energy_statistic(d, "v", "g").select(F.round("energy", 5).alias("energy"))
+
+
+@query("q7_capability_periods", ctes("qc") + ", p as (select *, case when year(l_shipdate) < 1998 then 'before' else 'during' end as period from qc) select period, series, count(*) as n, round(least((avg(l_extendedprice) - 1000) / (3 * stddev_samp(l_extendedprice)), (90000 - avg(l_extendedprice)) / (3 * stddev_samp(l_extendedprice))), 4) as ppk from p group by 1, 2")
+def _q7(spark, sf):
+    d = V.qc(spark, sf).withColumn("period", F.when(F.year("l_shipdate") < 1998, "before").otherwise("during")).withColumn("at", F.concat_ws("|", "period", "series"))
+    c = M.capability(d, "at", "l_extendedprice", F.lit(1000), F.lit(90000))
+    return c.select(F.split("at", r"\|")[0].alias("period"), F.split("at", r"\|")[1].alias("series"), "n", F.round("ppk", 4).alias("ppk"))
+
+
+@query("q21_destination_split", "select l_linestatus = 'O' as national, count(*) as n, round(avg(l_quantity), 6) as mean, round(quantile_cont((l_quantity - 1) / 49, 0.5), 6) as median_window from lineitem group by 1")
+def _q21(spark, sf):
+    return table(spark, sf, "lineitem").groupBy((F.col("l_linestatus") == "O").alias("national")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.percentile((F.col("l_quantity") - 1) / 49, F.lit(0.5)), 6).alias("median_window"))
