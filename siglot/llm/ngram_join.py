@@ -20,6 +20,7 @@ from siglot.llm.components import components
 
 SLOTS = 1 << 21  # counters of shingle hashes, one set for the whole corpus
 BLOCKS = 64  # pieces in which a task's counters are added to the others'
+FINE = 8  # words of a sketch per shingle of the largest set of its band
 SMALL = 64  # below this size every shingle is a part of its own
 
 
@@ -39,7 +40,7 @@ class Shingler:
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         import xxhash
 
-        if len(self.ids) > 1_000_000:
+        if len(self.ids) > 300_000:
             self.ids, self.hashes = defaultdict(count().__next__), np.zeros(0, np.uint64)
         cut = [t.encode("utf-8").lower().split() if t else [] for t in texts]  # bytes: only A-Z, and only ASCII white space
         known = len(self.hashes)
@@ -89,7 +90,7 @@ def band_range(band: int) -> tuple[int, int]:
 def sketch_keys(u: np.ndarray, heat: np.ndarray, num: int, den: int) -> np.ndarray:
     """The keys by which the set u meets every different set of similarity num/den or more.
 
-    In each size band the sketch has as many 64-bit words as the band's largest set
+    In each size band the sketch has FINE times as many 64-bit words as the largest set
     has shingles; every shingle is XORed into one word. Two sets' sketches differ in
     no more words than their symmetric difference has shingles. If at most d of a
     set's non-empty words may differ, any d + 1 of them hold one that a partner
@@ -104,7 +105,7 @@ def sketch_keys(u: np.ndarray, heat: np.ndarray, num: int, den: int) -> np.ndarr
         d = most_apart(n, low if band == own else low, n * den // num if band == own else high, num, den)
         if d < 1:  # only equal sets reach the threshold, and these are one class already
             continue
-        parts = np.uint64(4 ** (band + 1) - 1 if band else 0xFFFFFFFFFFFFFFFF)
+        parts = np.uint64(FINE * 4 ** (band + 1) - 1 if band else 0xFFFFFFFFFFFFFFFF)
         part = u & parts
         order = np.argsort(part, kind="stable")
         part, w = part[order], mix(u[order] + np.uint64(band + 1))
@@ -183,30 +184,36 @@ def _heat(profiles: DataFrame) -> np.ndarray:
 
 
 def _keys(docs: DataFrame, heat, words: int, num: int, den: int) -> DataFrame:
-    """key, node, lead: per task each key's least node (lead null) and, with that node as lead, the key's other nodes in the task."""
+    """key, node, lead: per part of a task each key's least node (lead null) and, with that node as lead, the key's other nodes in the part."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh, done, ks, ns = Shingler(words), set(), [], []
-        for b in by_bytes(batches, "_text", 4_000_000):
-            for u in sh.batch(b.column("_text").to_pylist()):
-                if len(u) and (node := set_hash(u)) not in done:
-                    done.add(node)
-                    k = sketch_keys(u, heat.value, num, den)
-                    ks.append(k)
-                    ns.append(np.full(len(k), node, np.uint64))
-        if not ks:
-            return
+    def gathered(ks: list[np.ndarray], ns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         k, n = np.concatenate(ks), np.concatenate(ns)
         order = np.lexsort((n, k))
         k, n = k[order], n[order]
-        first = np.concatenate([[True], k[1:] != k[:-1]])
-        lead = n[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
+        first = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
+        lead = n[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))] if len(k) else n
         back = np.argsort(order)  # in the order of the documents again: rows of one node compress well
         k, n, first, lead = k[back], n[back], first[back], lead[back]
         for i in range(0, len(k), 100_000):
             s = slice(i, i + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(k[s].view(np.int64)), pa.array(n[s].view(np.int64)), pa.array(lead[s].view(np.int64), mask=first[s])], ["key", "node", "lead"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sh, done, ks, ns, size = Shingler(words), set(), [], [], 0
+        for b in by_bytes(batches, "_text", 4_000_000):
+            for u in sh.batch(b.column("_text").to_pylist()):
+                if len(u) and (node := set_hash(u)) not in done:
+                    done.add(node)
+                    k = sketch_keys(u, heat.value, num, den)
+                    ks.append(k)
+                    ns.append(np.full(len(k), node, np.uint64))
+                    size += len(k)
+            if size > 1_500_000:  # a bounded part of the task's keys at a time
+                yield from gathered(ks, ns)
+                ks, ns, size = [], [], 0
+        if ks:
+            yield from gathered(ks, ns)
+
     return docs.mapInArrow(run, "key bigint, node bigint, lead bigint")
 
 

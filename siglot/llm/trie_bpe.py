@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from siglot.llm.common import by_bytes
 
-KEEP = 500_000  # words, and pieces, remembered in a process
+KEEP = 250_000  # words, and pieces, remembered in a process
 
 
 class TrieBpe:
@@ -74,7 +74,7 @@ class TrieBpe:
                 least, x = px[0], px[2]
             else:
                 least, y = py[0] + 1, py[1]
-        if len(self.stays) > 2 * KEEP:
+        if len(self.stays) > KEEP:
             self.stays.clear()
         self.stays[a, b] = out
         return out
