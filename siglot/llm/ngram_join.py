@@ -183,12 +183,17 @@ def _heat(profiles: DataFrame) -> np.ndarray:
     return heat
 
 
+def _turn(key: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The place of a node among those of a key: one of sixteen orders, so that the keys that a large group shares have different leads, and a node unlike one lead meets others."""
+    return mix(node ^ mix((key & np.uint64(15)) + np.uint64(1)))
+
+
 def _keys(docs: DataFrame, heat, words: int, num: int, den: int) -> DataFrame:
-    """key, node, lead: per part of a task each key's least node (lead null) and, with that node as lead, the key's other nodes in the part."""
+    """key, node, lead: per part of a task each key's first node (lead null) and, with that node as lead, the key's other nodes in the part."""
 
     def gathered(ks: list[np.ndarray], ns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         k, n = np.concatenate(ks), np.concatenate(ns)
-        order = np.lexsort((n, k))
+        order = np.lexsort((_turn(k, n), k))
         k, n = k[order], n[order]
         first = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
         lead = n[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))] if len(k) else n
@@ -232,7 +237,7 @@ def _repeated(keys: DataFrame) -> DataFrame:
         if not ks:
             return
         k, n = np.concatenate(ks), np.concatenate(ns)
-        order = np.lexsort((n, k))
+        order = np.lexsort((_turn(k.view(np.uint64), n.view(np.uint64)), k))
         k, n = k[order], n[order]
         first = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
         lead = n[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))] if len(k) else n
