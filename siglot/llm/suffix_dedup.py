@@ -87,9 +87,10 @@ def sorted_starts(text: bytes, pieces: list[tuple[int, int, int]], width: int) -
     larger = np.zeros(n + 1, bool)
     larger[:n] = ~direct & included[:n]
     seeds = np.flatnonzero(direct & included[:n])
-    stops = end_of[seeds]
-    keys = [text[p : min(p + width, e)] for p, e in zip(seeds.tolist(), stops.tolist(), strict=True)]
-    seeds = seeds[sorted(range(len(keys)), key=keys.__getitem__)]
+    pair = value[seeds].astype(np.int64) << 16 | value[seeds + 1]  # a seed has its two bytes in its piece; the keys of one pair at a time are held
+    seeds = seeds[np.argsort(pair, kind="stable")]
+    groups = np.split(seeds, np.flatnonzero(np.diff(np.sort(pair))) + 1)
+    seeds = np.concatenate([np.array(sorted(g.tolist(), key=lambda p: text[p : min(p + width, end_of[p])]), np.int64) for g in groups])
     fixed = np.split(seeds, np.searchsorted(value[seeds], np.arange(1, 257)))  # value[seeds] ascends
     front: list[list[np.ndarray]] = [[] for _ in range(257)]
 
@@ -267,7 +268,7 @@ def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
     kinds = near.groupBy("anchor", "part").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "a", "b")).alias("one"), F.first("mixed").alias("mixed"))
     kinds = written(kinds, "kinds")
     whole = written(kinds.where("n > 1").select("anchor", "part"), "whole")
-    copied = near.join(whole, ["anchor", "part"], "left_semi").select("tid", "a", "b")
+    copied = near.join(whole, ["anchor", "part"], "left_semi").select("tid", "a", "b").dropDuplicates()  # equal texts have one tid: once per text, not per row
     mixed = kinds.where("mixed")
     crowd = written(mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).select("anchor", (F.col("k") > MANY).alias("many")), "crowds")
     wanted = written(mixed.join(crowd, "anchor").select("anchor", "part", "n", "one.*", "many"), "wanted")

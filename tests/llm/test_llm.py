@@ -20,7 +20,7 @@ from siglot.llm.exact_dedup import exact_dedup
 from siglot.llm.ngram_join import ngram_join, one_of_each
 from siglot.llm.pii import Finder, draw_again, replace_pii, surrogate
 from siglot.llm.records import frame, read_records, read_some, record_digest, unframe, write_records
-from siglot.llm.suffix_dedup import repeated_starts, sorted_starts, suffix_dedup
+from siglot.llm.suffix_dedup import repeated_spans, repeated_starts, sorted_starts, suffix_dedup
 from siglot.llm.token_counts import token_counts
 from siglot.llm.toxicity import ToxicModel, folder, toxicity
 from siglot.llm.trie_bpe import TextEncoder, bpe_round_trip
@@ -341,6 +341,15 @@ def test_suffix_dedup(spark, docs, many, monkeypatch):
     assert suffix_dedup(empty(docs)).count() == 0
 
 
+def test_spans_of_equal_texts_are_gathered_once(spark):
+    r = random.Random(8)
+    one, other = ("".join(r.choices("abcdefg ", k=900)) for _ in range(2))
+    docs = spark.createDataFrame([(1, one)] * 40 + [(2, other)], "_tid bigint, _text string")
+    got = {x._tid: [(s.a, s.b) for s in x.spans] for x in repeated_spans(docs, 100).collect()}
+    assert list(got) == [1] and len(got[1]) == len(set(got[1]))
+    assert sorted(p for a, b in got[1] for p in range(a, b + 1)) == list(range(900 - 100 + 1))
+
+
 def test_suffix_dedup_query(spark, sf, texts):
     raw = [t.encode() for t in texts.values()]
     got = {r.doc_id: r.n_removed for r in queries.op10_suffix_dedup(spark, sf).collect()}
