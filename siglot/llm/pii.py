@@ -230,7 +230,8 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     names = docs.columns
     extra = "_again"
     if few is None:
-        held = found.join(again, ["kind", "value"]).groupBy("_tid").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(extra))
+        once = found.dropDuplicates(["_tid", "kind", "value"])  # equal texts have one _tid: once per text, not per row
+        held = once.join(again, ["kind", "value"]).groupBy("_tid").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(extra))
         docs = docs.withColumn("_tid", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(written(held, "held"), "_tid", "left").drop("_tid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -197,6 +197,26 @@ def test_many_second_draws_go_by_join(spark):
     assert a == b and len(set(a.values())) == len(a)
 
 
+def test_second_draws_of_equal_texts_are_gathered_once(spark, monkeypatch):
+    from siglot.llm import pii
+
+    seen, written = {}, pii.written
+
+    def kept(df, tag):
+        seen[tag] = written(df, tag)
+        return seen[tag]
+
+    monkeypatch.setattr(pii, "written", kept)
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000)]
+    texts = [" and ".join(f"Mr Name{w}" for w in words[i : i + 100]) + " say" for i in range(0, 3000, 100)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:2] * 40)], "doc_id bigint, text string")
+    a = {r.doc_id: (r.text, r.n_entities) for r in replace_pii(d, b"k").collect()}
+    b = {r.doc_id: (r.text, r.n_entities) for r in replace_pii(d, b"k", most_sent=0).collect()}
+    assert a == b and len(b) == 110 and {n for _, n in b.values()} == {100}
+    held = [[(x.kind, x.value) for x in r._again] for r in seen["held"].collect()]
+    assert held and all(len(h) == len(set(h)) <= 100 for h in held)
+
+
 # 4: similarity join
 
 
