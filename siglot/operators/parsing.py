@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,27 @@ def cell(c: Column) -> Column:
     return F.when(F.upper(t).isin("", "NAN", "NAT", "NONE"), None).otherwise(t)
 
 
+# Cyrillic and Greek letters that look like Latin ones.
+LOOK_ALIKES = str.maketrans("АВЕКМНОРСТХУаеорсухіІјЈΑΒΕΖΗΙΚΜΝΟΡΤΥΧοικνρτυχ", "ABEKMHOPCTXYaeopcyxiIjJABEZHIKMNOPTYXoikvptux")
+
+
+def _plain(texts: pd.Series) -> pd.Series:
+    def one(t: str | None) -> str | None:
+        if t is None or t.isascii():
+            return t
+        return "".join(x for x in unicodedata.normalize("NFKD", t.translate(LOOK_ALIKES)) if not unicodedata.combining(x))
+
+    return pd.Series([one(t) for t in texts], dtype=object)
+
+
+_plain.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+
+
+def strip_accents(c: Column) -> Column:
+    """Look-alikes as Latin letters, then compatibility decomposition (NFKD) without combining marks; null stays null."""
+    return F.pandas_udf(_plain, "string")(c)
+
+
 def normalize(c: Column) -> Column:
     """Upper case, letters and digits only, single blanks."""
     return F.trim(F.regexp_replace(F.upper(c), "[^0-9A-Z]+", " "))

@@ -47,6 +47,20 @@ def test_ages_and_keys(spark):
     assert [r.k for r in d] == ["812:M", "812:M"]
 
 
+def test_accents_of_whole_texts(spark, sf):
+    import unicodedata
+
+    from siglot.plans.registry import QUERIES
+
+    d = spark.createDataFrame([(0, "ñandú\nÅsa ﬁ ½"), (1, "МОСКВА ΑΒΓ x\u0301"), (2, None), (3, "a\u0323\u0301 😀 漢")], "i int, c string")
+    got = [r.p for r in d.select("i", parsing.strip_accents(F.col("c")).alias("p")).orderBy("i").collect()]
+    assert got == ["nandu\nAsa fi 1⁄2", "MOCKBA ABΓ x", None, "a 😀 漢"]
+    cyrillic, greek = ("АВЕКМНОРСТХУаеорсухіІјЈ", "ABEKMHOPCTXYaeopcyxiIjJ"), ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοικνρτυχ", "ABEZHIKMNOPTYXoikvptux")
+    alike = {a: b for x, y in (cyrillic, greek) for a, b in zip(x, y, strict=True)}
+    want = {r.doc_id: "".join(y for x in r.text for y in unicodedata.normalize("NFKD", alike.get(x, x)) if not unicodedata.combining(y)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r.doc_id: r.plain for r in QUERIES["c2_strip_accents_whole"](spark, sf).collect()} == want
+
+
 def test_hmac_matches_the_library(spark):
     got = spark.createDataFrame([("ANA PÉREZ",)], "m string").select(parsing.hmac_token(F.col("m"), b"key").alias("t")).first().t
     assert got == hmac.new(b"key", "ANA PÉREZ".encode(), hashlib.sha256).hexdigest()[:20]
