@@ -33,6 +33,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet, whatever its columns are called."""
+    taken, k = {c.lower() for c in df.columns}, 0
+    while f"_{name}_{k}" in taken:
+        k += 1
+    return f"_{name}_{k}"
+
+
 def bloom_size(rows: int, bits_per_row: int = 16, least: int = 1 << 12, most: int = 1 << 20) -> int:
     """64-bit words for a filter of rows keys: a power of two, never over most (8 MB), whatever the input."""
     words = least

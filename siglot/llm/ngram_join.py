@@ -15,13 +15,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siglot.llm.common import bloom_filter, bloom_holds, bloom_size, by_bytes, written
+from siglot.llm.common import bloom_filter, bloom_holds, bloom_size, by_bytes, fresh, written
 from siglot.llm.components import components
 
 SLOTS = 1 << 21  # counters of shingle hashes, one set for the whole corpus
 BLOCKS = 64  # pieces in which a task's counters are added to the others'
 FINE = 8  # words of a sketch per shingle of the largest set of its band
 SMALL = 64  # below this size every shingle is a part of its own
+PAIRWISE = 16  # sets of a group that are compared pair by pair
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,10 +63,13 @@ class Shingler:
         return out
 
 
-def set_hash(u: np.ndarray) -> int:
+def set_hash(u: np.ndarray, clashes: dict[tuple[int, int], int] | None = None) -> tuple[int, int]:
+    """The two halves of a set's 128-bit hash. The first names the set, but for the few sets in clashes, which share it with another one and get a name of their own."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(u.tobytes())
+    h = xxhash.xxh3_128_intdigest(u.tobytes())
+    low, high = h & 0xFFFFFFFFFFFFFFFF, h >> 64
+    return (clashes.get((low, high), low) if clashes else low), high
 
 
 def most_apart(n: int, low: int, high: int, num: int, den: int) -> int:
@@ -124,41 +128,41 @@ def bit_sketch(u: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that may reach the similarity by their sizes and by the Hamming distance of their bit sketches, which never exceeds the symmetric difference."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    half = lambda s: F.zip_with(F.slice(s, 1, F.expr(f"size({s}) div 2")), F.slice(s, F.expr(f"size({s}) div 2 + 1"), F.expr(f"size({s}) div 2")), lambda x, y: x.bitwiseXOR(y))
-    fit = lambda s, t: F.when(F.size(s) > F.size(t), half(s)).otherwise(F.col(s))
-    both = both.where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}").withColumns({"sa": fit("sa", "sb"), "sb": fit("sb", "sa")})
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return written(both.where(apart <= F.expr(f"na + nb - 2 * ceil((na + nb) * {num} / {num + den})")).select("a", "b"), "near")
-
-
 def _slot(u: np.ndarray) -> np.ndarray:
     return (u >> np.uint64(43)).astype(np.int64)
 
 
+def _signed(x) -> np.ndarray:
+    return np.array(x, np.uint64).view(np.int64)
+
+
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
-    """kind 0: _id, _tid (hash of the text), n, node (hash of the set), sketch. kind 1: a task's counters of shingles (_id: task, n: block, counts: one byte each)."""
+    """kind 0: _id, _tid (hash of the text), n, node and other (the halves of the set's hash), sketch. kind 1: a task's counters of shingles (_id: task, n: block, counts: one byte each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh, seen = Shingler(words), np.zeros(SLOTS, np.int32)
-        names = ["kind", "_id", "_tid", "n", "node", "sketch", "counts"]
+        names = ["kind", "_id", "_tid", "n", "node", "other", "sketch", "counts"]
         for b in by_bytes(batches, "_text", 4_000_000):
             sets = sh.batch(b.column("_text").to_pylist())
             if sum(map(len, sets)):
                 seen += np.bincount(_slot(np.concatenate(sets)), minlength=SLOTS).astype(np.int32)
-            node = np.array([set_hash(u) if len(u) else 0 for u in sets], np.uint64).view(np.int64)
+            node, other = _signed([set_hash(u) if len(u) else (0, 0) for u in sets]).reshape(-1, 2).T
             n = np.array([len(u) for u in sets], np.int64)
             sketch = pa.array([bit_sketch(u) if len(u) else None for u in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("_id"), b.column("_tid"), pa.array(n), pa.array(node), sketch, pa.nulls(len(n), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column("_id"), b.column("_tid"), pa.array(n), pa.array(node), pa.array(other), sketch, pa.nulls(len(n), pa.binary())], names)
         if seen.any():
             parts = [x.tobytes() for x in np.split(np.minimum(seen, 255).astype(np.uint8), BLOCKS)]
             task, z = TaskContext.get().partitionId(), pa.nulls(BLOCKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([1] * BLOCKS, pa.int32()), pa.array([task] * BLOCKS, pa.int64()), z, pa.array(range(BLOCKS), pa.int64()), z, pa.nulls(BLOCKS, pa.list_(pa.int64())), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * BLOCKS, pa.int32()), pa.array([task] * BLOCKS, pa.int64()), z, pa.array(range(BLOCKS), pa.int64()), z, z, pa.nulls(BLOCKS, pa.list_(pa.int64())), pa.array(parts, pa.binary())], names)
+
+    return docs.mapInArrow(run, "kind int, _id bigint, _tid bigint, n bigint, node bigint, other bigint, sketch array<bigint>, counts binary")
 
-    return docs.mapInArrow(run, "kind int, _id bigint, _tid bigint, n bigint, node bigint, sketch array<bigint>, counts binary")
+
+def _clashes(sets: DataFrame) -> dict[tuple[int, int], int]:
+    """Names for the sets in sets(node, other) that share the first half of their hash with another set: about the square of the number of sets by 2^65, none or a handful at any size."""
+    twice = sets.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.collect_set("other").alias("others")).where("k > 1").collect()
+    word = lambda x: x & 0xFFFFFFFFFFFFFFFF
+    return {(word(r.node), word(o)): word(r.node + k) for r in twice for k, o in enumerate(sorted(r.others))}
 
 
 def _heat(profiles: DataFrame) -> np.ndarray:
@@ -188,7 +192,7 @@ def _turn(key: np.ndarray, node: np.ndarray) -> np.ndarray:
     return mix(node ^ mix((key & np.uint64(15)) + np.uint64(1)))
 
 
-def _keys(docs: DataFrame, heat, words: int, num: int, den: int) -> DataFrame:
+def _keys(docs: DataFrame, heat, clashes: dict, words: int, num: int, den: int) -> DataFrame:
     """key, node, lead: per part of a task each key's first node (lead null) and, with that node as lead, the key's other nodes in the part."""
 
     def gathered(ks: list[np.ndarray], ns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -207,15 +211,17 @@ def _keys(docs: DataFrame, heat, words: int, num: int, den: int) -> DataFrame:
         sh, done, ks, ns, size = Shingler(words), set(), [], [], 0
         for b in by_bytes(batches, "_text", 4_000_000):
             for u in sh.batch(b.column("_text").to_pylist()):
-                if len(u) and (node := set_hash(u)) not in done:
+                if len(u) and (node := set_hash(u, clashes)[0]) not in done:
                     done.add(node)
                     k = sketch_keys(u, heat.value, num, den)
                     ks.append(k)
                     ns.append(np.full(len(k), node, np.uint64))
                     size += len(k)
-            if size > 1_500_000:  # a bounded part of the task's keys at a time
+            if size > 600_000:  # a bounded part of the task's keys at a time
                 yield from gathered(ks, ns)
                 ks, ns, size = [], [], 0
+            if len(done) > 100_000:  # a node that comes again then gives the same keys again
+                done.clear()
         if ks:
             yield from gathered(ks, ns)
 
@@ -223,34 +229,50 @@ def _keys(docs: DataFrame, heat, words: int, num: int, den: int) -> DataFrame:
 
 
 def _repeated(keys: DataFrame) -> DataFrame:
-    """The rows of keys with two nodes or more, each with a lead. Tasks have gathered a key's nodes before, so a key brings at most one row of each task to its group."""
+    """The rows of keys with two nodes or more, each with a lead.
+
+    Spark sorts each partition by key, and a key's rows are taken off the stream one
+    run after the other, so a task holds one batch and what is left of one key: tasks
+    have gathered a key's nodes before, so that it brings at most one row of each
+    part of a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ks, ns = [], []
+        k, n = np.zeros(0, np.int64), np.zeros(0, np.int64)  # rows whose key may go on
+
+        def done(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            first = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
+            many = ~first | ~np.concatenate([first[1:], [True]])[: len(k)]
+            k, n = k[many], n[many]
+            if len(k):
+                order = np.lexsort((_turn(k.view(np.uint64), n.view(np.uint64)), k))
+                k, n = k[order], n[order]
+                first = np.concatenate([[True], k[1:] != k[:-1]])
+                lead = n[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.array(lead)], ["key", "node", "lead"])
+
         for b in batches:
-            member = b.filter(pc.is_valid(b.column("lead")))
+            known = pc.is_valid(b.column("lead"))
+            member = b.filter(known)
             if member.num_rows:
                 yield member
-            alone = b.filter(pc.is_null(b.column("lead")))
-            ks.append(alone.column("key").to_numpy(zero_copy_only=False))
-            ns.append(alone.column("node").to_numpy(zero_copy_only=False))
-        if not ks:
-            return
-        k, n = np.concatenate(ks), np.concatenate(ns)
-        order = np.lexsort((_turn(k.view(np.uint64), n.view(np.uint64)), k))
-        k, n = k[order], n[order]
-        first = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
-        lead = n[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))] if len(k) else n
-        many = ~first | ~np.concatenate([first[1:], [True]])[: len(k)]
-        if many.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (k, n, lead)], ["key", "node", "lead"])
+            alone = b.filter(pc.invert(known))
+            if not alone.num_rows:
+                continue
+            k = np.concatenate([k, alone.column("key").to_numpy(zero_copy_only=False)])
+            n = np.concatenate([n, alone.column("node").to_numpy(zero_copy_only=False)])
+            cut = int(np.searchsorted(k, k[-1]))
+            yield from done(k[:cut], n[:cut])
+            k, n = k[cut:], n[cut:]
+        yield from done(k, n)
 
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keys.repartition(n, F.when(F.col("lead").isNull(), F.col("key")).otherwise(F.col("node"))).mapInArrow(run, "key bigint, node bigint, lead bigint")
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keys.repartition(parts, F.when(F.col("lead").isNull(), F.col("key")).otherwise(F.col("node")))
+    return dealt.sortWithinPartitions("key").mapInArrow(run, "key bigint, node bigint, lead bigint")
 
 
-def _sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
-    """node, u (sorted shingle hashes) of the classes in need(node, tid), from the texts of their representatives only."""
+def _sets(docs: DataFrame, need: DataFrame, heat, clashes: dict, words: int) -> DataFrame:
+    """node, n, u (sorted shingle hashes), common (how frequent its shingles are on average) of the classes in need(node, tid), from the texts of their representatives only."""
     n_words = bloom_size(need.count())
     bits = bloom_filter(need.select(F.xxhash64("tid").alias("h")), "h", n_words)
     rows = docs.where(bloom_holds(bits, F.xxhash64("_tid"), n_words)).join(need.withColumnRenamed("tid", "_tid"), "_tid").select("node", "_text")
@@ -259,20 +281,114 @@ def _sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
         sh = Shingler(words)
         for b in by_bytes(batches, "_text", 4_000_000):
             sets = sh.batch(b.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64()))], ["node", "u"])
-
-    return rows.mapInArrow(run, "node bigint, u array<bigint>").dropDuplicates(["node"])
-
-
-def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
-    pairs = _near(pairs, classes, num, den)
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    need = written(nodes.join(classes, "node").select("node", "tid"), "need")
-    sets = written(_sets(docs, need, words), "sets")
-    both = F.size(F.array_intersect("ua", "ub"))
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("u").alias("ua")), "a").join(sets.select(F.col("node").alias("b"), F.col("u").alias("ub")), "b")
-    return written(joined.where(both * (num + den) >= num * (F.size("ua") + F.size("ub"))).select("a", "b"), "links")
+            named = _signed([set_hash(u, clashes)[0] for u in sets]) == b.column("node").to_numpy()  # a text may share its hash with another one
+            n = [len(u) for u in sets]
+            common = [float(heat.value[_slot(u)].mean()) if len(u) else 0.0 for u in sets]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(n, pa.int64()), pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64())), pa.array(common, pa.float64())], ["node", "n", "u", "common"]).filter(pa.array(named))
+
+    return rows.mapInArrow(run, "node bigint, n bigint, u array<bigint>, common double").dropDuplicates(["node"])
+
+
+class _Join:
+    """What the rounds of one join share: its classes (node, n, sketch), the sets of those that share a key with another, and the threshold."""
+
+    def __init__(self, classes: DataFrame, sets: DataFrame, heat, num: int, den: int):
+        self.classes, self.sets, self.heat, self.num, self.den = classes, sets, heat, num, den
+
+    def least_both(self, n: str, m: str) -> str:
+        """SQL for the least intersection at which sets of n and m are linked."""
+        return f"cast(ceil(({n} + {m}) * {self.num} / {self.num + self.den}) as bigint)"
+
+    def sizes_fit(self, n: str, m: str) -> str:
+        return f"least({n}, {m}) * {self.den} >= greatest({n}, {m}) * {self.num}"
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that may reach the similarity by their sizes and by the Hamming distance of their bit sketches, which never exceeds the symmetric difference."""
+        side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        half = lambda s: F.zip_with(F.slice(s, 1, F.expr(f"size({s}) div 2")), F.slice(s, F.expr(f"size({s}) div 2 + 1"), F.expr(f"size({s}) div 2")), lambda x, y: x.bitwiseXOR(y))
+        fit = lambda s, t: F.when(F.size(s) > F.size(t), half(s)).otherwise(F.col(s))
+        both = both.where(self.sizes_fit("na", "nb")).withColumns({"sa": fit("sa", "sb"), "sb": fit("sb", "sa")})
+        apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        return written(both.where(apart <= F.expr(f"na + nb - 2 * {self.least_both('na', 'nb')}")).select("a", "b"), "near")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose whole sets reach the similarity."""
+        side = lambda x: self.sets.select(F.col("node").alias(x), F.col("u").alias(f"u{x}"))
+        joined = self.near(pairs).join(side("a"), "a").join(side("b"), "b")
+        return written(joined.where(F.size(F.array_intersect("ua", "ub")) >= F.expr(self.least_both("size(ua)", "size(ub)"))).select("a", "b"), "links")
+
+    def overlaps(self, jobs: DataFrame) -> DataFrame:
+        """lead, node, n, m (size of the lead), r (the node's shingles that the lead has not), both, linked: of jobs(lead, node)."""
+        x = self.sets.select("node", "n", "u")
+        p = self.sets.select(F.col("node").alias("lead"), F.col("n").alias("m"), F.col("u").alias("up"))
+        rows = jobs.join(x, "node").join(p, "lead").select("lead", "node", "n", "m", F.array_except("u", "up").alias("r")).withColumn("both", F.col("n") - F.size("r"))
+        return written(rows.withColumn("linked", F.expr(f"both >= {self.least_both('n', 'm')}")), "overlaps")
+
+    def leads(self, groups: DataFrame) -> DataFrame:
+        """key, lead: of the smallest quarter of a group's sets the one whose shingles are the most frequent, as the likely middle of its near copies."""
+        sized = groups.join(self.sets.select("node", "n", "common"), "node")
+        quarter = sized.groupBy("key").agg(F.percentile_approx("n", 0.25).alias("q"))
+        some = written(sized, "sized").join(written(quarter, "quarters"), "key").where("n <= q")
+        return written(some.groupBy("key").agg(F.max_by("node", F.struct("common", "node")).alias("lead")), "leads")
+
+    def narrowed(self, over: DataFrame, found: DataFrame) -> DataFrame:
+        """Groups (key, node) in which all linked pairs meet that share a lead and aren't in one component yet.
+
+        Let p be a lead, x and y two linked sets with at least b common shingles, and
+        px, py what p has in common with them. x and y share at least
+        b - min(px, py) shingles that p has not. If that is none and neither x nor y is
+        smaller than p, then both are linked to p and in its component. So it is enough
+        to let sets meet under the shingles that p has not: of r such ones, of which t
+        at least are shared, the first r - t + 1 in one order. What is left are pairs
+        of a set that narrowly misses p, and one smaller than p that lies nearly
+        whole in it: these form one more group.
+        """
+        d, e = self.num, self.num + self.den
+        over = over.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        inside = f"n < m and both * {e} >= 2 * n * {d}"
+        per = over.groupBy("lead").agg(
+            F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.min(F.when(F.expr(inside), F.col("n"))).alias("least_in")
+        ).where("lo <> hi")
+        rows = written(over.join(written(per, "perlead"), "lead"), "open").where("node <> lead")
+        smallest = lambda c: f"greatest({c}, cast(ceil(n * {d} / {self.den}) as bigint))"
+        share = F.expr(f"if(linked, 1, greatest(1, {self.least_both('n', smallest('least'))} - both))")
+        rest = rows.withColumns({
+            "take": F.size("r") - share + 1,
+            "misses": F.expr(f"not linked and least_in is not null and both >= {self.least_both('n', smallest('least_in'))}"),
+            "inside": F.expr(inside),
+        })
+        missed = written(rest.where("misses").select("lead").distinct(), "missed")
+        more = rest.where("misses or inside").join(missed, "lead", "left_semi").select(F.xxhash64(F.lit("inside"), "lead").alias("key"), "node")
+        heat = self.heat
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ks, ns = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                leads = b.column("lead").to_numpy().view(np.uint64)
+                for lead, node, take, r in zip(leads, b.column("node").to_pylist(), b.column("take").to_pylist(), b.column("r"), strict=True):
+                    u = r.values.to_numpy().view(np.uint64)
+                    ks.append(mix(u[np.lexsort((u, heat.value[_slot(u)]))[:take]] ^ mix(lead)))
+                    ns.append(np.full(len(ks[-1]), node, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(np.concatenate(ns))], ["key", "node"])
+
+        return rest.where("take > 0").select("lead", "node", "take", "r").mapInArrow(run, "key bigint, node bigint").unionByName(more)
+
+    def mixed(self, spots: DataFrame, found: DataFrame) -> DataFrame:
+        """key, node, root, k (nodes of the key) of the groups with nodes of different components."""
+        spots = written(spots.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "spots")
+        mixed = spots.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("key", "k")
+        return written(spots.join(written(mixed, "mixed"), "key"), "rest")
+
+    def across(self, rest: DataFrame) -> DataFrame:
+        """The pairs of nodes of one key and different components."""
+        sized = written(rest.join(self.classes.select("node", "n"), "node"), "sides")
+        alike = f"x.key = y.key and x.root < y.root and {self.sizes_fit('x.n', 'y.n')}"
+        return sized.alias("x").join(sized.alias("y"), F.expr(alike)).select(*_ordered("x.node", "y.node")).distinct()
+
+
+def _ordered(a: str, b: str) -> tuple:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
 def ngram_join(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -281,9 +397,15 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_c
     documents: id_col, tid (hash of the text), n_shingles, node, component_id, a row for each row of docs;
     node names its class, the documents of equal sets. classes: node, root,
     min_id. links: a, b, verified pairs of different classes. Every link between
-    different sets is found or lies inside a component that other links join: a
-    key's first node is compared with all others of the key, then nodes of one key
-    that lie in different components are compared with each other.
+    different sets is found or lies inside a component that other links join.
+
+    First a key's first node is compared with all others of the key. Then groups of
+    up to PAIRWISE nodes are compared pair by pair where components differ, and each
+    larger group with a lead in its middle; linked pairs that the lead doesn't join
+    must share shingles that the lead has not, and meet under these in smaller
+    groups (`narrowed`). This goes on until groups are small, or all that is left
+    makes fewer than PAIRWISE pairs for each class. So the pairs compared grow with the
+    input, not with the square of a group's size.
 
     Words are maximal runs without ASCII white space, with A-Z in lower case; fewer
     words than a shingle make one shingle; a text without words, or null, has none
@@ -296,25 +418,42 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_c
     profiles = written(_profiles(docs, words), "profiles")
     heat = spark.sparkContext.broadcast(_heat(profiles))
     people = profiles.where("kind = 0").drop("kind")
-    classes = written(people.where("n > 0").groupBy("node").agg(F.min("_tid").alias("tid"), F.min("_id").alias("min_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-
-    repeated = written(_repeated(_keys(docs, heat, words, num, den)), "keys")
-    order = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    pairs = written(repeated.where("node <> lead").select(*order("node", "lead")).distinct(), "pairs")
-    links = _linked(pairs, docs, classes, words, num, den)
+    each = written(people.where("n > 0").groupBy("node", "other").agg(F.min("_tid").alias("tid"), F.min("_id").alias("min_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    clashes, classes = _clashes(each), each
+    if clashes:
+        names = spark.createDataFrame([(*_signed([a, b]).tolist(), int(_signed([c])[0])) for (a, b), c in clashes.items()], "node bigint, other bigint, name bigint")
+        renamed = lambda df: df.join(F.broadcast(names), ["node", "other"], "left").withColumn("node", F.coalesce("name", "node")).drop("name")
+        people, classes = renamed(people), written(renamed(each), "classes")
+
+    repeated = written(_repeated(_keys(docs, heat, clashes, words, num, den)), "keys")
+    spots = written(repeated.select("key", "node").union(repeated.select("key", "lead")).distinct(), "spots")
+    need = written(spots.select("node").distinct().join(classes, "node").select("node", "tid"), "need")
+    join = _Join(classes, written(_sets(docs, need, heat, clashes, words), "sets"), heat, num, den)
+
+    pairs = written(repeated.where("node <> lead").select(*_ordered("node", "lead")).distinct(), "pairs")
+    links = join.links(pairs)
     found = written(components(links, "a", "b"), "components")
-
-    spots = repeated.select("key", "node").union(repeated.select("key", "lead")).distinct()
-    spots = written(spots.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "spots")
-    size = classes.select("node", "n")
-    mixed = written(spots.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    rest = written(spots.join(mixed, "key", "left_semi").join(size, "node"), "rest")
-    alike = f"x.key = y.key and x.root < y.root and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"
-    across = rest.alias("x").join(rest.alias("y"), F.expr(alike)).select(*order("x.node", "y.node")).distinct()
-    across = written(across.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if across.limit(1).count():
-        links = written(links.union(_linked(across, docs, classes, words, num, den)), "links")
-        found = written(components(links, "a", "b"), "components")
+    n_classes = classes.count()
+    while True:
+        rest = join.mixed(spots, found)
+        large = rest.where(f"k > {PAIRWISE}")
+        in_large = large.groupBy("key").agg(F.first("k").alias("k")).agg(F.sum("k").alias("n"), F.sum(F.expr("k * (k - 1) / 2")).alias("pairs")).first()
+        go_on = in_large.n and in_large.pairs > PAIRWISE * n_classes
+        new = join.across(rest.where(f"k <= {PAIRWISE}") if go_on else rest)
+        new = written(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = join.links(new)
+        if go_on:
+            jobs = large.join(join.leads(large.select("key", "node")), "key").select("lead", "node").distinct()
+            over = join.overlaps(jobs)
+            more = written(more.union(over.where("linked and node <> lead").select(*_ordered("node", "lead")).distinct()), "links")
+        if more.limit(1).count():
+            links = written(links.union(more).distinct(), "links")
+            stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            found = written(components(stars.union(more), "a", "b"), "components")
+        if not go_on:
+            break
+        pairs = pairs.union(new)
+        spots = written(join.narrowed(over, found).distinct(), "spots")
 
     rooted = classes.join(found, "node", "left").select("node", "min_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("min_id").alias("component_id"))
@@ -328,6 +467,7 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_c
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that are their component's least id. Rows without words stay, as do rows of components in which all ids are null; rows that repeat the least id and its set of shingles stay together."""
     found = ngram_join(docs, id_col=id_col, text_col=text_col, **how)[0]
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone"), F.xxhash64(id_col, "tid").alias("_at")).distinct()
-    key = F.xxhash64(F.col(id_col).cast("bigint"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return docs.withColumn("_at", key).join(written(gone, "gone").select("_at"), "_at", "left_anti").drop("_at")
+    gone_id, gone_tid = fresh(docs, "gone_id"), fresh(docs, "gone_tid")
+    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(gone_id), F.col("tid").alias(gone_tid)).distinct()
+    same = (F.col(id_col).cast("bigint") == F.col(gone_id)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(gone_tid))
+    return docs.join(written(gone, "gone"), same, "left_anti")

@@ -263,6 +263,47 @@ def test_ngram_join_edges(spark, docs):
     assert left.columns == d.columns and left.where("text = 'same text'").count() == 1
 
 
+def loose_group(n, seed):
+    """Copies of one text with more and more words changed: some links, many pairs that just miss the threshold, other sizes."""
+    r = random.Random(seed)
+    base = [f"b{r.randrange(10**6)}" for _ in range(120)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(r.randrange(1, 9)):
+            at = r.randrange(len(w))
+            w[at : at + r.choice([0, 1, 1, 1, 2])] = [f"x{r.randrange(10**6)}"]
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_large_loose_groups_are_not_compared_pair_by_pair(spark, monkeypatch):
+    from siglot.llm import ngram_join as m
+
+    seen, near = [], m._Join.near
+    monkeypatch.setattr(m._Join, "near", lambda self, pairs: seen.append(pairs.count()) or near(self, pairs))
+    rows = loose_group(300, 9) + [(1000 + i, t) for i, t in loose_group(200, 10)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string"))[0].collect()}
+    assert got == by_brute_force(rows)
+    assert len(seen) > 2 and sum(seen) < 24 * len(rows)  # of 65,000 pairs
+
+
+def test_sets_whose_hashes_clash_stay_apart(spark, monkeypatch):
+    from siglot.llm import ngram_join as m
+
+    def few_names(u, clashes=None):
+        import xxhash
+
+        h = xxhash.xxh3_128_intdigest(u.tobytes())
+        low, high = (h & 15) << 40, h >> 64  # sixteen names for all sets
+        return (clashes.get((low, high), low) if clashes else low), high
+
+    rows = [(i, t) for i, t in random_texts(60, 12)]
+    monkeypatch.setattr(m, "set_hash", few_names)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string"))[0].collect()}
+    assert got == by_brute_force(rows)
+
+
 # 7: toxicity
 
 
