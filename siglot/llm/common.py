@@ -41,6 +41,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return f"_{name}_{k}"
 
 
+def text_hash(text: Column) -> Column:
+    """128 bits that stand for a text (null: empty)."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def bloom_size(rows: int, bits_per_row: int = 16, least: int = 1 << 12, most: int = 1 << 20) -> int:
     """64-bit words for a filter of rows keys: a power of two, never over most (8 MB), whatever the input."""
     words = least

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siglot.llm.common import bloom_filter, bloom_holds, bloom_size, by_bytes, fresh, written
+from siglot.llm.common import bloom_filter, bloom_holds, bloom_size, by_bytes, fresh, text_hash, written
 from siglot.llm.components import components
 
 SLOTS = 1 << 21  # counters of shingle hashes, one set for the whole corpus
@@ -153,9 +153,9 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
         if seen.any():
             parts = [x.tobytes() for x in np.split(np.minimum(seen, 255).astype(np.uint8), BLOCKS)]
             task, z = TaskContext.get().partitionId(), pa.nulls(BLOCKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([1] * BLOCKS, pa.int32()), pa.array([task] * BLOCKS, pa.int64()), z, pa.array(range(BLOCKS), pa.int64()), z, z, pa.nulls(BLOCKS, pa.list_(pa.int64())), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * BLOCKS, pa.int32()), pa.array([task] * BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.binary()), pa.array(range(BLOCKS), pa.int64()), z, z, pa.nulls(BLOCKS, pa.list_(pa.int64())), pa.array(parts, pa.binary())], names)
 
-    return docs.mapInArrow(run, "kind int, _id bigint, _tid bigint, n bigint, node bigint, other bigint, sketch array<bigint>, counts binary")
+    return docs.mapInArrow(run, "kind int, _id bigint, _tid binary, n bigint, node bigint, other bigint, sketch array<bigint>, counts binary")
 
 
 def _clashes(sets: DataFrame) -> dict[tuple[int, int], int]:
@@ -271,29 +271,29 @@ def _repeated(keys: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("key").mapInArrow(run, "key bigint, node bigint, lead bigint")
 
 
-def _sets(docs: DataFrame, need: DataFrame, heat, clashes: dict, words: int) -> DataFrame:
-    """node, n, u (sorted shingle hashes), common (how frequent its shingles are on average) of the classes in need(node, tid), from the texts of their representatives only."""
-    n_words = bloom_size(need.count())
-    bits = bloom_filter(need.select(F.xxhash64("tid").alias("h")), "h", n_words)
-    rows = docs.where(bloom_holds(bits, F.xxhash64("_tid"), n_words)).join(need.withColumnRenamed("tid", "_tid"), "_tid").select("node", "_text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh = Shingler(words)
-        for b in by_bytes(batches, "_text", 4_000_000):
-            sets = sh.batch(b.column("_text").to_pylist())
-            named = _signed([set_hash(u, clashes)[0] for u in sets]) == b.column("node").to_numpy()  # a text may share its hash with another one
-            n = [len(u) for u in sets]
-            common = [float(heat.value[_slot(u)].mean()) if len(u) else 0.0 for u in sets]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(n, pa.int64()), pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64())), pa.array(common, pa.float64())], ["node", "n", "u", "common"]).filter(pa.array(named))
+class _Join:
+    """What the rounds of one join share: the documents (_tid, _text), their classes (node, tid, n, sketch), the shingles' heat and the threshold."""
 
-    return rows.mapInArrow(run, "node bigint, n bigint, u array<bigint>, common double").dropDuplicates(["node"])
+    def __init__(self, docs: DataFrame, classes: DataFrame, heat, clashes: dict, words: int, num: int, den: int):
+        self.docs, self.classes, self.heat, self.clashes, self.words, self.num, self.den = docs, classes, heat, clashes, words, num, den
 
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """node, n, u (sorted shingle hashes), common (how frequent its shingles are on average) of the classes in nodes(node), from the text of one representative each."""
+        need = written(nodes.distinct().join(self.classes, "node").select("node", F.col("tid").alias("_tid")), "need")
+        n_words = bloom_size(need.count())
+        bits = bloom_filter(need.select(F.xxhash64("_tid").alias("h")), "h", n_words)
+        rows = self.docs.where(bloom_holds(bits, F.xxhash64("_tid"), n_words)).join(need, "_tid").dropDuplicates(["_tid", "node"]).select("node", "_text")
+        words, heat, clashes = self.words, self.heat, self.clashes
 
-class _Join:
-    """What the rounds of one join share: its classes (node, n, sketch), the sets of those that share a key with another, and the threshold."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sh = Shingler(words)
+            for b in by_bytes(batches, "_text", 4_000_000):
+                sets = sh.batch(b.column("_text").to_pylist())
+                n = [len(u) for u in sets]
+                common = [float(heat.value[_slot(u)].mean()) if len(u) else 0.0 for u in sets]
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(n, pa.int64()), pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64())), pa.array(common, pa.float64())], ["node", "n", "u", "common"])
 
-    def __init__(self, classes: DataFrame, sets: DataFrame, heat, num: int, den: int):
-        self.classes, self.sets, self.heat, self.num, self.den = classes, sets, heat, num, den
+        return written(rows.mapInArrow(run, "node bigint, n bigint, u array<bigint>, common double"), "sets")
 
     def least_both(self, n: str, m: str) -> str:
         """SQL for the least intersection at which sets of n and m are linked."""
@@ -314,22 +314,25 @@ class _Join:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets reach the similarity."""
-        side = lambda x: self.sets.select(F.col("node").alias(x), F.col("u").alias(f"u{x}"))
-        joined = self.near(pairs).join(side("a"), "a").join(side("b"), "b")
+        pairs = self.near(pairs)
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+        side = lambda x: sets.select(F.col("node").alias(x), F.col("u").alias(f"u{x}"))
+        joined = pairs.join(side("a"), "a").join(side("b"), "b")
         return written(joined.where(F.size(F.array_intersect("ua", "ub")) >= F.expr(self.least_both("size(ua)", "size(ub)"))).select("a", "b"), "links")
 
-    def overlaps(self, jobs: DataFrame) -> DataFrame:
-        """lead, node, n, m (size of the lead), r (the node's shingles that the lead has not), both, linked: of jobs(lead, node)."""
-        x = self.sets.select("node", "n", "u")
-        p = self.sets.select(F.col("node").alias("lead"), F.col("n").alias("m"), F.col("u").alias("up"))
-        rows = jobs.join(x, "node").join(p, "lead").select("lead", "node", "n", "m", F.array_except("u", "up").alias("r")).withColumn("both", F.col("n") - F.size("r"))
+    def overlaps(self, groups: DataFrame) -> DataFrame:
+        """lead, node, n, m (size of the lead), r (the node's shingles that the lead has not), both, linked: the nodes of groups(key, node) against their group's lead."""
+        sets = self.sets(groups.select("node"))
+        jobs = groups.join(self.leads(groups, sets), "key").select("lead", "node").distinct()
+        p = sets.select(F.col("node").alias("lead"), F.col("n").alias("m"), F.col("u").alias("up"))
+        rows = jobs.join(sets, "node").join(p, "lead").select("lead", "node", "n", "m", F.array_except("u", "up").alias("r")).withColumn("both", F.col("n") - F.size("r"))
         return written(rows.withColumn("linked", F.expr(f"both >= {self.least_both('n', 'm')}")), "overlaps")
 
-    def leads(self, groups: DataFrame) -> DataFrame:
+    def leads(self, groups: DataFrame, sets: DataFrame) -> DataFrame:
         """key, lead: of the smallest quarter of a group's sets the one whose shingles are the most frequent, as the likely middle of its near copies."""
-        sized = groups.join(self.sets.select("node", "n", "common"), "node")
+        sized = written(groups.join(sets.select("node", "n", "common"), "node"), "sized")
         quarter = sized.groupBy("key").agg(F.percentile_approx("n", 0.25).alias("q"))
-        some = written(sized, "sized").join(written(quarter, "quarters"), "key").where("n <= q")
+        some = sized.join(written(quarter, "quarters"), "key").where("n <= q")
         return written(some.groupBy("key").agg(F.max_by("node", F.struct("common", "node")).alias("lead")), "leads")
 
     def narrowed(self, over: DataFrame, found: DataFrame) -> DataFrame:
@@ -365,10 +368,10 @@ class _Join:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ks, ns = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                leads = b.column("lead").to_numpy().view(np.uint64)
+                leads = mix(b.column("lead").to_numpy().view(np.uint64))
                 for lead, node, take, r in zip(leads, b.column("node").to_pylist(), b.column("take").to_pylist(), b.column("r"), strict=True):
                     u = r.values.to_numpy().view(np.uint64)
-                    ks.append(mix(u[np.lexsort((u, heat.value[_slot(u)]))[:take]] ^ mix(lead)))
+                    ks.append(mix(u[np.lexsort((u, heat.value[_slot(u)]))[:take]] ^ lead))
                     ns.append(np.full(len(ks[-1]), node, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(np.concatenate(ns))], ["key", "node"])
 
@@ -414,7 +417,7 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_c
     an empty table gives none.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_tid"), F.col(text_col).alias("_text"))
+    docs = docs.select(F.col(id_col).cast("bigint").alias("_id"), text_hash(F.col(text_col)).alias("_tid"), F.col(text_col).alias("_text"))
     profiles = written(_profiles(docs, words), "profiles")
     heat = spark.sparkContext.broadcast(_heat(profiles))
     people = profiles.where("kind = 0").drop("kind")
@@ -427,8 +430,7 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_c
 
     repeated = written(_repeated(_keys(docs, heat, clashes, words, num, den)), "keys")
     spots = written(repeated.select("key", "node").union(repeated.select("key", "lead")).distinct(), "spots")
-    need = written(spots.select("node").distinct().join(classes, "node").select("node", "tid"), "need")
-    join = _Join(classes, written(_sets(docs, need, heat, clashes, words), "sets"), heat, num, den)
+    join = _Join(docs.select("_tid", "_text"), classes, heat, clashes, words, num, den)
 
     pairs = written(repeated.where("node <> lead").select(*_ordered("node", "lead")).distinct(), "pairs")
     links = join.links(pairs)
@@ -443,8 +445,7 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_c
         new = written(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
         more = join.links(new)
         if go_on:
-            jobs = large.join(join.leads(large.select("key", "node")), "key").select("lead", "node").distinct()
-            over = join.overlaps(jobs)
+            over = join.overlaps(large.select("key", "node"))
             more = written(more.union(over.where("linked and node <> lead").select(*_ordered("node", "lead")).distinct()), "links")
         if more.limit(1).count():
             links = written(links.union(more).distinct(), "links")
@@ -469,5 +470,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = ngram_join(docs, id_col=id_col, text_col=text_col, **how)[0]
     gone_id, gone_tid = fresh(docs, "gone_id"), fresh(docs, "gone_tid")
     gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(gone_id), F.col("tid").alias(gone_tid)).distinct()
-    same = (F.col(id_col).cast("bigint") == F.col(gone_id)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(gone_tid))
+    same = (F.col(id_col).cast("bigint") == F.col(gone_id)) & (text_hash(F.col(text_col)) == F.col(gone_tid))
     return docs.join(written(gone, "gone"), same, "left_anti")
