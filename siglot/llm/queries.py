@@ -75,7 +75,8 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siglot.llm.suffix_dedup import suffix_dedup
 
-    return suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumn("changed", F.col("n_removed") > 0)
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_pii_surrogates, op4_ngram_join, op5_trie_bpe, op6_exact_dedup, op7_toxicity, op8_decontaminate, op9_token_records, op10_suffix_dedup)}

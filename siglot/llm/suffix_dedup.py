@@ -11,12 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siglot.llm.common import bloom_filter, bloom_holds, bloom_size, by_bytes, written
+from siglot.llm.common import bloom_filter, bloom_holds, bloom_size, by_bytes, text_hash, written
 
 GRAM = 32  # bytes of an anchor
 CHUNK = 1 << 22  # starts looked at in one go
-SORTED = 3_000_000  # bytes of segments sorted in one go
-MANY = 4_000  # different segments of one anchor beyond which its windows are hashed one by one
+SORTED = 1_500_000  # bytes of segments sorted in one go
+KEYED = 8_000_000  # bytes of sort keys held at a time
+BLOCKS = (16, 1)  # windows of a segment's parts, where segments of one anchor are more than SORTED bytes
 
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F)
 
@@ -57,6 +58,38 @@ def anchors(b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return first, np.append(first[1:], m) - 1, h[at[first]]
 
 
+def _direct(text: bytes, value: np.ndarray, end_of: np.ndarray, seeds: np.ndarray, width: int) -> np.ndarray:
+    """seeds in the order of the `width` bytes that begin there (less where the piece ends).
+
+    Positions are sorted, not copies of bytes: by seven bytes at a time as one number,
+    ties by the next seven. Ties whose remaining bytes come to KEYED at most are put
+    in order by comparing these bytes.
+    """
+    out, at = np.empty(len(seeds), np.int64), 0
+    todo = [(seeds, 0)] if len(seeds) else []
+    while todo:
+        group, depth = todo.pop()
+        if len(group) == 1 or depth >= width:
+            out[at : at + len(group)] = group
+            at += len(group)
+            continue
+        if len(group) * (width - depth) <= KEYED and (depth or len(group) < 1000):
+            ends = end_of[group].tolist()
+            keys = [text[p + depth : min(p + width, e)] for p, e in zip(group.tolist(), ends, strict=True)]
+            out[at : at + len(group)] = group[sorted(range(len(group)), key=keys.__getitem__)]
+            at += len(group)
+            continue
+        word, ends = np.zeros(len(group), np.int64), end_of[group]
+        for i in range(depth, depth + 7):
+            p = np.minimum(group + i, len(text))
+            word = word << 9 | np.where(p < ends, value[p], 0)
+        order = np.argsort(word, kind="stable")
+        word = word[order]
+        parts = np.split(group[order], np.flatnonzero(word[1:] != word[:-1]) + 1)
+        todo += [(g, depth + 7) for g in reversed(parts)]
+    return out
+
+
 def sorted_starts(text: bytes, pieces: list[tuple[int, int, int]], width: int) -> np.ndarray:
     """The starts of the pieces (first byte, end, number of starts) in the order of the suffixes that begin there, by two-stage sorting to a depth of `width` bytes at least.
 
@@ -86,11 +119,7 @@ def sorted_starts(text: bytes, pieces: list[tuple[int, int, int]], width: int) -
             included[last] = True
     larger = np.zeros(n + 1, bool)
     larger[:n] = ~direct & included[:n]
-    seeds = np.flatnonzero(direct & included[:n])
-    pair = value[seeds].astype(np.int64) << 16 | value[seeds + 1]  # a seed has its two bytes in its piece; the keys of one pair at a time are held
-    seeds = seeds[np.argsort(pair, kind="stable")]
-    groups = np.split(seeds, np.flatnonzero(np.diff(np.sort(pair))) + 1)
-    seeds = np.concatenate([np.array(sorted(g.tolist(), key=lambda p: text[p : min(p + width, end_of[p])]), np.int64) for g in groups])
+    seeds = _direct(text, value, end_of, np.flatnonzero(direct & included[:n]), width)
     fixed = np.split(seeds, np.searchsorted(value[seeds], np.arange(1, 257)))  # value[seeds] ascends
     front: list[list[np.ndarray]] = [[] for _ in range(257)]
 
@@ -152,47 +181,93 @@ def _batch(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols.values()], list(cols))
 
 
+def _digest(x: bytes) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(x)
+
+
+SPAN = "tid binary, a bigint, b bigint, anchor bigint, part binary, n bigint, bytes bigint"
+
+
 def _spans(docs: DataFrame, width: int) -> DataFrame:
-    """tid, a, b (first and last start), anchor, part (hash of the bytes a to b + width): each text as runs of starts with one anchor."""
+    """tid, a, b (first and last start), anchor, part (128-bit hash of the bytes a to b + width), n (1), bytes (their number): each text as runs of starts with one anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in by_bytes(batches, "_text"):
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
+            tids, parts = [], []
             for tid, t in zip(batch.column("_tid").to_pylist(), batch.column("_text").to_pylist(), strict=True):
                 raw = t.encode("utf-8") if t else b""
                 for c in range(0, len(raw) - width + 1, CHUNK):
-                    part = raw[c : c + CHUNK + width - 1]
-                    a, b, h = anchors(np.frombuffer(part, np.uint8), width)
-                    out[0].append(np.full(len(a), tid, np.int64))
-                    out[1].append(a + c)
-                    out[2].append(b + c)
-                    out[3].append(h.view(np.int64))
-                    out[4].append(np.fromiter((xxhash.xxh3_64_intdigest(part[x : y + width]) for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, len(a)).view(np.int64))
-            if out[0]:
-                yield _batch(**dict(zip(("tid", "a", "b", "anchor", "part"), map(np.concatenate, out), strict=True)))
+                    piece = raw[c : c + CHUNK + width - 1]
+                    a, b, h = anchors(np.frombuffer(piece, np.uint8), width)
+                    tids += [tid] * len(a)
+                    parts += [_digest(piece[x : y + width]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                    for o, x in zip(out, (a + c, b + c, h.view(np.int64), b - a + width), strict=True):
+                        o.append(x)
+            if tids:
+                a, b, h, size = map(np.concatenate, out)
+                yield _batch(tid=pa.array(tids, pa.binary()), a=a, b=b, anchor=h, part=pa.array(parts, pa.binary()), n=np.ones(len(a), np.int64), bytes=size)
+
+    return docs.where(F.octet_length("_text") >= width).select("_tid", "_text").mapInArrow(run, SPAN)
 
-    return docs.where(F.octet_length("_text") >= width).select("_tid", "_text").mapInArrow(run, "tid bigint, a bigint, b bigint, anchor bigint, part bigint")
+
+def _parts(cut: DataFrame, width: int, block: int) -> DataFrame:
+    """Spans of one anchor in parts of up to `block` windows, by where the windows stand to the anchor.
+
+    Two equal windows hold their anchor at one place, so they fall into parts of one
+    number, and these parts share the bytes that all windows of such a part hold:
+    the hash of anchor, number and shared bytes is the anchor of the part.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "raw", 200_000):
+            rows = []
+            for tid, a, b, anchor, gram, n, raw in zip(*(batch.column(c).to_pylist() for c in ("tid", "a", "b", "anchor", "gram", "n", "raw")), strict=True):
+                at = a
+                while at <= b:
+                    number = (gram - at) // block  # windows from `low` to `high` have their anchor at one place, give or take block
+                    low, high = gram - number * block - block + 1, gram - number * block
+                    end = min(b, high)
+                    core = raw[high - a : low - a + width]
+                    piece = raw[at - a : end - a + width]
+                    key = int.from_bytes(_digest(b"%d %d " % (anchor, number) + core)[:8], "little", signed=True)
+                    rows.append((tid, at, end, key, _digest(piece), n, len(piece)))
+                    at = end + 1
+            cols = list(zip(*rows, strict=True))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            yield _batch(**{k: pa.array(c, t) for k, c, t in zip(("tid", "a", "b", "anchor", "part", "n", "bytes"), cols, kinds, strict=True)})
+
+    return cut.mapInArrow(run, SPAN)
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The bytes of the wanted spans (tid, a, b, ...), each text fetched once: wanted's columns and bytes."""
+    """The bytes of the wanted spans (tid, a, b, ...), each text fetched once: wanted's columns, raw (the bytes) and gram (where the anchor stands)."""
     n_words = bloom_size(wanted.count())
     among = bloom_filter(wanted.select(F.xxhash64("tid").alias("h")), "h", n_words)
     texts = docs.where(bloom_holds(among, F.xxhash64("_tid"), n_words)).groupBy("_tid").agg(F.min("_text").alias("_text"))
-    spans = wanted.groupBy("tid").agg(F.collect_list(F.struct("a", "b", "anchor", "part", "n", "many")).alias("spans"))
+    spans = wanted.groupBy("tid").agg(F.collect_list(F.struct("a", "b", "anchor", "n", "many")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "_text", 1_000_000):
             for tid, t, spans in zip(batch.column("tid").to_pylist(), batch.column("_text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                raw = t.encode("utf-8")
-                for i in range(0, len(spans), 4_000):
-                    s = spans[i : i + 4_000]
-                    cols = {k: pa.array([x[k] for x in s]) for k in ("a", "b", "anchor", "part", "n", "many")}
-                    yield _batch(tid=pa.array([tid] * len(s), pa.int64()), **cols, bytes=pa.array([raw[x["a"] : x["b"] + width] for x in s], pa.binary()))
+                text = t.encode("utf-8")
+                for i in range(0, len(spans), 2_000):
+                    s = spans[i : i + 2_000]
+                    cols = {k: pa.array([x[k] for x in s], pa.int64()) for k in ("a", "b", "anchor", "n")}
+                    raw = [text[x["a"] : x["b"] + width] for x in s]
+                    gram = [x["a"] + _least_gram(r, x["b"] - x["a"]) for x, r in zip(s, raw, strict=True)]
+                    yield _batch(tid=pa.array([tid] * len(s), pa.binary()), **cols, many=pa.array([x["many"] for x in s]), gram=pa.array(gram, pa.int64()), raw=pa.array(raw, pa.binary()))
+
+    return spans.join(texts, F.col("tid") == F.col("_tid")).select("tid", "_text", "spans").mapInArrow(run, "tid binary, a bigint, b bigint, anchor bigint, n bigint, many boolean, gram bigint, raw binary")
 
-    return spans.join(texts, F.col("tid") == F.col("_tid")).select("tid", "_text", "spans").mapInArrow(run, "tid bigint, a bigint, b bigint, anchor bigint, part bigint, n bigint, many boolean, bytes binary")
+
+def _least_gram(raw: bytes, last: int) -> int:
+    """Where in a span's bytes its anchor stands: the leftmost gram of least hash (as anchors() takes it) in what all its windows hold."""
+    inner = np.frombuffer(raw[last : len(raw) - last], np.uint8)
+    h = rolling(inner, GRAM, BASES[0])
+    return last + int(np.argmin(h & ~np.uint64((1 << 23) - 1)))
 
 
 def _by_suffixes(cut: DataFrame, width: int) -> DataFrame:
@@ -208,17 +283,18 @@ def _by_suffixes(cut: DataFrame, width: int) -> DataFrame:
                 pieces.append((at, at + len(raw), b - a + 1))
                 at += len(raw)
             mark = repeated_starts(text, pieces, width)
-            out: tuple[list, list, list] = ([], [], [])
+            tids: list[bytes] = []
+            out: tuple[list, list] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
             for (tid, a, _, n, _), (p, _, m) in zip(lot, pieces, strict=True):
                 if n == 1 and mark[p : p + m].any():
                     x, y = _runs(mark[p : p + m])
-                    out[0].append(np.full(len(x), tid, np.int64))
-                    out[1].append(x + a)
-                    out[2].append(y + a)
-            return _batch(**{k: np.concatenate(v) if v else pa.array([], pa.int64()) for k, v in zip("tab", out, strict=True)}).rename_columns(["tid", "a", "b"])
+                    tids += [tid] * len(x)
+                    out[0].append(x + a)
+                    out[1].append(y + a)
+            return _batch(tid=pa.array(tids, pa.binary()), a=np.concatenate(out[0]), b=np.concatenate(out[1]))
 
         for batch in batches:
-            for tid, a, b, anchor, n, raw in zip(*(batch.column(c).to_pylist() for c in ("tid", "a", "b", "anchor", "n", "bytes")), strict=True):
+            for tid, a, b, anchor, n, raw in zip(*(batch.column(c).to_pylist() for c in ("tid", "a", "b", "anchor", "n", "raw")), strict=True):
                 if anchor != last and size > SORTED:
                     yield done()
                     lot, size = [], 0
@@ -229,27 +305,7 @@ def _by_suffixes(cut: DataFrame, width: int) -> DataFrame:
             yield done()
 
     parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut.where("not many").repartition(parts, "anchor").sortWithinPartitions("anchor").select("tid", "a", "b", "anchor", "n", "bytes").mapInArrow(run, "tid bigint, a bigint, b bigint")
-
-
-def _by_windows(cut: DataFrame, width: int) -> DataFrame:
-    """The same for anchors of very many different spans, which must not meet in one task: each window as a pair of hashes, counted by Spark."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "bytes", 100_000):
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for tid, a, b, raw in zip(*(batch.column(c).to_pylist() for c in ("tid", "a", "b", "bytes")), strict=True):
-                x = np.frombuffer(raw, np.uint8)
-                out[0].append(np.full(b - a + 1, tid, np.int64))
-                out[1].append(np.arange(a, b + 1))
-                out[2].append(rolling(x, width, BASES[0]).view(np.int64))
-                out[3].append(rolling(x, width, BASES[1]).view(np.int64))
-            yield _batch(**dict(zip(("tid", "at", "h1", "h2"), map(np.concatenate, out), strict=True)))
-
-    every = cut.where("many").select("tid", "a", "b", "n", "bytes").mapInArrow(run, "tid bigint, at bigint, h1 bigint, h2 bigint")
-    every = written(every, "windows")
-    again = written(every.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "again")
-    return every.join(again, ["h1", "h2"], "left_semi").select("tid", F.col("at").alias("a"), F.col("at").alias("b"))
+    return cut.repartition(parts, "anchor").sortWithinPartitions("anchor").select("tid", "a", "b", "anchor", "n", "raw").mapInArrow(run, "tid binary, a bigint, b bigint")
 
 
 def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
@@ -259,23 +315,30 @@ def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
     falls into spans of starts with one anchor. A span with equal bytes elsewhere is
     repeated as a whole. Only anchors that different spans share need the order of
     their suffixes: these spans' bytes, one copy of each, go by anchor to the suffix
-    sort.
+    sort. Where different spans of one anchor come to more than SORTED bytes, they are
+    taken apart by the windows' place to the anchor and by what all windows of a part
+    share, and the same is done with the parts. A part of one window shares all of it
+    with its like, so this ends, and no group of unbounded size meets in a task.
     """
-    spans = written(_spans(docs, width), "spans")
-    met = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("k > 1")
-    met = written(met.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
-    near = written(spans.join(met, "anchor"), "near")
-    kinds = near.groupBy("anchor", "part").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "a", "b")).alias("one"), F.first("mixed").alias("mixed"))
-    kinds = written(kinds, "kinds")
-    whole = written(kinds.where("n > 1").select("anchor", "part"), "whole")
-    copied = near.join(whole, ["anchor", "part"], "left_semi").select("tid", "a", "b").dropDuplicates()  # equal texts have one tid: once per text, not per row
-    mixed = kinds.where("mixed")
-    crowd = written(mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).select("anchor", (F.col("k") > MANY).alias("many")), "crowds")
-    wanted = written(mixed.join(crowd, "anchor").select("anchor", "part", "n", "one.*", "many"), "wanted")
-    cut = written(_cut(docs, wanted, width), "cut")
-    found = copied.unionByName(_by_suffixes(cut, width))
-    if wanted.where("many").limit(1).count():
-        found = found.unionByName(_by_windows(cut, width))
+    spans, found, kinds = written(_spans(docs, width), "spans"), None, None
+    for block in (*BLOCKS, None):
+        met = spans.groupBy("anchor").agg(F.sum("n").alias("k"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("k > 1")
+        met = written(met.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
+        near = written(spans.join(met, "anchor"), "near")
+        kinds = near.groupBy("anchor", "part").agg(F.sum("n").alias("n"), F.min(F.struct("tid", "a", "b", "bytes")).alias("one"), F.first("mixed").alias("mixed"))
+        kinds = written(kinds, "kinds")
+        whole = written(kinds.where("n > 1").select("anchor", "part"), "whole")
+        copied = near.join(whole, ["anchor", "part"], "left_semi").select("tid", "a", "b").dropDuplicates()  # equal texts have one tid: once per text, not per row
+        found = copied if found is None else found.unionByName(copied)
+        mixed = kinds.where("mixed")
+        crowd = written(mixed.groupBy("anchor").agg(F.sum("one.bytes").alias("size")).select("anchor", (F.col("size") > SORTED).alias("many")), "crowds")
+        wanted = mixed.join(crowd, "anchor").select("anchor", "n", "one.*", "many" if block else F.lit(False).alias("many"))
+        wanted = written(wanted, "wanted")
+        cut = written(_cut(docs, wanted, width), "cut")
+        found = found.unionByName(_by_suffixes(cut.where("not many"), width))
+        if not wanted.where("many").limit(1).count():
+            break
+        spans = written(_parts(cut.where("many"), width, block), "spans")
     return written(found.groupBy(F.col("tid").alias("_tid")).agg(F.collect_list(F.struct("a", "b")).alias("spans")), "repeated")
 
 
@@ -288,7 +351,7 @@ def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text
     columns aren't read; an empty table gives no rows. Only texts that lose
     something are shuffled whole.
     """
-    docs = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_tid"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    docs = docs.select(F.col(id_col).alias("_id"), text_hash(F.col(text_col)).alias("_tid"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     marks = repeated_spans(docs.select("_tid", "_text"), width)
     n_words = bloom_size(marks.count())
     holds = bloom_holds(bloom_filter(marks.select(F.xxhash64("_tid").alias("h")), "h", n_words), F.xxhash64("_tid"), n_words)
