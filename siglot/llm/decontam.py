@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siglot.llm.common import bloom_filter, bloom_holds, bloom_size, written
+from siglot.llm.common import bloom_filter, bloom_holds, bloom_size, fresh, text_hash, written
 
-#: Fixed masks: word positions marked 1 are hashed, those marked 0 may differ.
-MASKS = ("11011011", "11100111", "10111101")
+#: Fixed masks: word positions marked 1 are hashed, those marked 0 may differ. Whichever
+#: fifth of the words of a window of 8 to 13 words is substituted, one of these masks lies
+#: somewhere in the window with all its words unchanged (all cases are tested).
+MASKS = ("11111", "111011", "11010011")
+LEAST = 8  # words of an item
 
 
 def words_of(text: Column) -> Column:
@@ -16,49 +19,47 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(df: DataFrame, words: str, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
-    """keep, mask, pos and hash h of every seed of the array column words."""
-    span = len(masks[0])
+def _seeds(df: DataFrame, words: str, keep: list[str], masks: tuple[str, ...], holds=None) -> DataFrame:
+    """keep, pos and hash h of every seed of the array column words, or of those that holds(h)."""
     # explode() of one array keeps the optimizer from putting its formula in place of w, once for every position
-    rows = df.select(*keep, F.explode(F.array(F.transform(words, lambda w: F.xxhash64(w)))).alias("w")).where(F.size("w") >= span)
-    places = F.sequence(F.lit(0), F.size("w") - span)
+    rows = df.select(*keep, F.explode(F.array(F.transform(words, lambda w: F.xxhash64(w)))).alias("w")).where(F.size("w") >= min(map(len, masks)))
 
-    def seed(k: int, mask: str):
-        return lambda i: F.xxhash64(F.lit(k), *[F.get("w", i + o) for o, bit in enumerate(mask) if bit == "1"])
+    def seeds(k: int, mask: str) -> Column:
+        ones = [o for o, bit in enumerate(mask) if bit == "1"]
+        places = F.sequence(F.lit(0), F.greatest(F.size("w") - len(mask), F.lit(0)))
+        every = F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(k), *[F.get("w", i + o) for o in ones]).alias("h")))
+        some = F.filter(every, lambda x: holds(x["h"])) if holds else every
+        return F.when(F.size("w") >= len(mask), some).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
 
-    arrays = [F.transform(places, seed(k, mask)) for k, mask in enumerate(masks)]
-    rows = rows.select(*keep, (F.size("w") - span + 1).alias("n"), F.concat(*arrays).alias("hs"))
-    rows = rows.select(*keep, "n", F.posexplode("hs").alias("at", "h"))
-    return rows.select(*keep, F.expr("at % n").alias("pos"), "h")
+    hits = F.concat(*[seeds(k, mask) for k, mask in enumerate(masks)])
+    return rows.select(*keep, F.explode(hits).alias("hit")).select(*keep, "hit.pos", "hit.h")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 13, agree: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """id_col, item_col, start, n_overlap, n_equal, best_window: a row for each document and benchmark item that overlap.
 
-    Seeds of the benchmark are hashed under each mask into a Bloom filter of bounded
-    size; those of the documents that pass it are joined to the benchmark's. A hit
+    Seeds of the benchmark are hashed under each mask into a Bloom filter; those of
+    the documents that pass it are joined to the benchmark's. A hit
     fixes how item and document lie upon each other; there, all words of the item
     and of the document are compared, and the overlap counts if some stretch of
-    `window` words (the whole item, if shorter) has at least `agree` equal ones. So
-    a passage with substituted words is found unless every seed in it is hit, and a
-    hit alone condemns nothing. Of several overlaps with one item the best is
-    returned.
+    `window` words (the whole item, if shorter) has at least `agree` equal ones. With
+    the masks and limits given here no such overlap is missed, and a hit alone
+    condemns nothing. Of several overlaps with one item the best is returned.
 
-    Texts and items shorter than a mask (8 words), null and empty ones match
-    nothing. Equal texts are verified once and give a row for every document row;
+    Items shorter than 8 words, texts shorter than a mask, null and empty ones match
+    nothing. Items that repeat an id are items of their own. Equal texts are verified once and give a row for every document row;
     null ids are returned as null. Other columns aren't read; empty tables give no
     rows.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("_item"), words_of(F.col(text_col)).alias("item_words"))
-    items = written(items.where(F.size("item_words") >= len(masks[0])), "items")
+    items = written(items.where(F.size("item_words") >= LEAST), "items")
     seeds = written(_seeds(items, "item_words", ["_item"], masks).withColumnRenamed("pos", "item_pos"), "seeds")
     n_words = bloom_size(seeds.count())
     bits = bloom_filter(seeds.select("h"), "h", n_words)
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_tid"), F.col(text_col).alias("_text"))
-    passed = _seeds(rows.select("_tid", words_of(F.col("_text")).alias("words")), "words", ["_tid"], masks).where(bloom_holds(bits, F.col("h"), n_words))
+    rows = docs.select(F.col(id_col).alias("_id"), text_hash(F.col(text_col)).alias("_tid"), F.col(text_col).alias("_text"))
+    passed = _seeds(rows.select("_tid", words_of(F.col("_text")).alias("words")), "words", ["_tid"], masks, lambda h: bloom_holds(bits, h, n_words))
     hits = passed.join(seeds, "h").groupBy("_tid", "_item", (F.col("pos") - F.col("item_pos")).alias("off")).agg(F.count(F.lit(1)).alias("n_seeds"))
     hits = written(hits, "hits")
 
@@ -87,6 +88,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that overlap with no benchmark item."""
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    bad = contaminated(docs.select(key.alias("_k"), F.col(text_col)), benchmark, id_col="_k", text_col=text_col, **how)
-    return docs.withColumn("_k", key).join(written(bad.select("_k").distinct(), "bad"), "_k", "left_anti").drop("_k")
+    key = fresh(docs, "key")
+    bad = contaminated(docs.select(text_hash(F.col(text_col)).alias(key), F.col(text_col)), benchmark, id_col=key, text_col=text_col, **how)
+    bad = written(bad.select(key).distinct(), "bad")
+    return docs.join(bad, text_hash(F.col(text_col)) == bad[key], "left_anti")
