@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siglot.llm.common import bloom_size, slot_filter, slot_set, written
+from siglot.llm.common import bloom_size, fresh, slot_filter, slot_set, written
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16) -> DataFrame:
@@ -27,7 +27,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text, mark = F.coalesce(F.col(text_col), F.lit("")), fresh(docs, "again")
     n_words = bloom_size(docs.count(), bits_per_row)
     bits = F.lit(64 * n_words - 1)
     h = F.xxhash64(text)
@@ -35,11 +35,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     slots = docs.select(F.explode(F.array_distinct(F.array(first, second))).alias("slot")).groupBy("slot").count().where("count > 1")
     words = slot_filter(slots.select("slot"), n_words)
-    flagged = docs.withColumns({"_again": slot_set(words, first) & slot_set(words, second), "text_sha256": F.sha2(text, 256)})
+    flagged = docs.withColumns({mark: slot_set(words, first) & slot_set(words, second), "text_sha256": F.sha2(text, 256)})
 
-    again = flagged.where("_again").drop("_again")
+    again = flagged.where(F.col(mark)).drop(mark)
     groups = again.groupBy("text_sha256").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = written(groups, "copies")  # a join of two plain shuffles, so that a hot group can be split
-    alone = flagged.where("not _again").drop("_again").withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("bigint"), "kept": F.lit(True)})
+    alone = flagged.where(~F.col(mark)).drop(mark).withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("bigint"), "kept": F.lit(True)})
     joined = again.join(groups, "text_sha256").withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
     return alone.unionByName(joined).select(*docs.columns, "keep_id", "group_size", "kept", "text_sha256")

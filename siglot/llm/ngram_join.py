@@ -282,7 +282,8 @@ class _Join:
         need = written(nodes.distinct().join(self.classes, "node").select("node", F.col("tid").alias("_tid")), "need")
         n_words = bloom_size(need.count())
         bits = bloom_filter(need.select(F.xxhash64("_tid").alias("h")), "h", n_words)
-        rows = self.docs.where(bloom_holds(bits, F.xxhash64("_tid"), n_words)).join(need, "_tid").dropDuplicates(["_tid", "node"]).select("node", "_text")
+        texts = self.docs.where(bloom_holds(bits, F.xxhash64("_tid"), n_words)).groupBy("_tid").agg(F.min("_text").alias("_text"))  # copies are dropped before the shuffle
+        rows = texts.join(need, "_tid").select("node", "_text")
         words, heat, clashes = self.words, self.heat, self.clashes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from siglot.llm.common import by_bytes, written
+from siglot.llm.common import by_bytes, fresh, text_hash, written
 
 # Titles by script and gender (m, f, n: either), and given names and family name parts to draw from.
 TITLES = {
@@ -36,6 +36,11 @@ FAMILY = {
     "greek": ["βαρ", "γαλ", "δημ", "καλ", "λαμ", "μαρ", "νικ", "παπ", "σαρ", "τσα"],
 }
 SCRIPTS = {"latin": "A-Za-zÀ-ÖØ-öø-ſ", "cyrillic": "А-Яа-яЁё", "greek": "Ά-Ͽ"}
+ENDINGS = {  # of further given names, by gender
+    "latin": {"m": "o", "f": "a", "n": "is"}, "cyrillic": {"m": "ан", "f": "ина", "n": "ша"}, "greek": {"m": "ος", "f": "ία", "n": "ις"},
+}
+# Calling codes of one and of two digits; all others have three.
+CODES = {1: {"1", "7"}, 2: set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())}
 
 EMAIL = r"[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 CARD = r"(?<![\w.+])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w])"
@@ -51,8 +56,25 @@ def _name_pattern(script: str) -> str:
     return rf"\b({titles})(\.? )({one}(?: {one}){{0,2}})"
 
 
+Unit = tuple[str, str, str]  # kind, canonical value, gender ("" but for given names)
+
+
+def _name_units(script: str, gender: str, name: str) -> list[Unit]:
+    """The units of a name: the pieces of its last word are family names, those before it given ones; single letters stand."""
+    *given, family = name.lower().split(" ")
+    cut = lambda w: [x for x in re.split("[-'’]", w) if len(x) > 1]
+    return [(f"given {script}", x, gender) for w in given for x in cut(w)] + [(f"family {script}", x, "") for x in cut(family)]
+
+
 class Finder:
-    """(start, end, kind, canonical value) of the entities of a text, left to right and without overlap. Kinds of names carry script and gender."""
+    """(start, end, kind, units) of the entities of a text, left to right and without overlap.
+
+    A unit is what keeps one surrogate everywhere: a number, an address's local part
+    with its domain, a domain, and each piece of a name. So the same person with another
+    title, with the family name alone or in another form of writing is the same unit
+    again. A name is found by its title; its other mentions in the text, whole or the
+    family name alone, are entities as well, and share the gender that a title gives.
+    """
 
     def __init__(self):
         self.simple = [(k, re.compile(p)) for k, p in (("card", CARD), ("ip", IP), ("phone", PHONE), ("secret", SECRET))]
@@ -62,24 +84,40 @@ class Finder:
         self.other = re.compile("[Ͱ-ӿ]").search
         self.gender = {t: g for by in TITLES.values() for g, ts in by.items() for t in ts}
 
-    def __call__(self, t: str) -> list[tuple[int, int, str, str]]:
-        out: list[tuple[int, int, str, str]] = []
+    def _names(self, t: str, script: str, pattern: re.Pattern) -> list[tuple[int, int, str, list[Unit]]]:
+        titled = [(m.start(3), m.end(3), m[3], self.gender[m[1]]) for m in pattern.finditer(t)]
+        if not titled:
+            return []
+        known: dict[str, set[str]] = {}  # genders of whole names, from all their titles in the text
+        for _, _, name, g in titled:
+            known.setdefault(name.lower(), set()).add(g)
+        gender = lambda name: (known[name.lower()] - {"n"} or {"n"}).pop() if len(known[name.lower()] - {"n"}) < 2 else "n"
+        forms = {name: name for _, _, name, _ in titled} | {name.split(" ")[-1]: name.split(" ")[-1] for _, _, name, _ in titled}
+        again = re.compile(rf"(?<![\w'’-])(?:{'|'.join(re.escape(f) for f in sorted(forms, key=len, reverse=True))})(?![\w'’-])")
+        out = [(a, b, name, gender(name)) for a, b, name, _ in titled]
+        out += [(m.start(), m.end(), m[0], gender(m[0]) if m[0].lower() in known else "n") for m in again.finditer(t)]
+        return [(a, b, "name", _name_units(script, g, name)) for a, b, name, g in out]
+
+    def __call__(self, t: str) -> list[tuple[int, int, str, list[Unit]]]:
+        out: list[tuple[int, int, str, list[Unit]]] = []
         at = t.find("@")
         while at >= 0:  # from the sign outwards: no scan of every word
             m = self.email.match(t, at - len(self.local.search(t[max(0, at - 64) : at])[0]))
             if m and m.end() > at:
                 end = m.end() - (len(m[0]) - len(m[0].rstrip(".-")))
-                out.append((m.start(), end, "email", t[m.start() : end].lower()))
+                local, domain = t[m.start() : end].lower().split("@")
+                out.append((m.start(), end, "email", [("local " + domain, local, ""), ("domain", domain, "")]))
                 at = m.end() - 1
             at = t.find("@", at + 1)
         if self.digit(t):
             for kind, p in self.simple[:3]:
-                out += [(m.start(), m.end(), kind, m[0] if kind == "ip" else re.sub(r"\D", "", m[0])) for m in p.finditer(t)]
+                for m in p.finditer(t):
+                    digits = re.sub(r"\D", "", m[0])
+                    out.append((m.start(), m.end(), kind, [(kind, m[0] if kind == "ip" else "+" * m[0].startswith("+") + digits, "")]))
         if "AKIA" in t or "password=" in t or "token = " in t:
-            out += [(m.start(), m.end(), "secret", m[0]) for m in self.simple[3][1].finditer(t)]
+            out += [(m.start(), m.end(), "secret", [("secret", m[0], "")]) for m in self.simple[3][1].finditer(t)]
         for script, p in self.names if self.other(t) else self.names[:1]:
-            for m in p.finditer(t):
-                out.append((m.start(3), m.end(3), f"name {script} {self.gender[m[1]]} {len(m[3].split())}", m[3].lower()))
+            out += self._names(t, script, p)
         out.sort(key=lambda x: (x[0], -x[1]))
         kept, end = [], 0
         for x in out:
@@ -101,20 +139,39 @@ def _luhn(digits: str) -> int:
     return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits)))) % 10
 
 
-def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """The canonical value that stands for another of the same kind: same length and classes of characters, valid where the first is."""
+def _code(value: str) -> int:
+    """How many characters of a number stay: the plus sign and the calling code."""
+    if not value.startswith("+"):
+        return 0
+    return 1 + next((k for k in (1, 2) if value[1 : 1 + k] in CODES[k]), 3)
+
+
+def _address(value: str, draw) -> str:
+    """An address of the same class: private ranges and the loopback stay what they are, others are public."""
+    old, new = list(map(int, value.split("."))), [draw(256) for _ in range(3)] + [1 + draw(254)]
+    fixed = 1 if old[0] in (0, 10, 127) or old[0] >= 224 else 2 if old[:2] in ([192, 168], [169, 254]) else 0
+    if old[0] == 172 and 16 <= old[1] < 32:
+        return f"172.{16 + draw(16)}.{new[2]}.{new[3]}"
+    if not fixed:
+        first = [x for x in range(1, 224) if x not in (10, 127, 169, 172, 192)]
+        new[0] = first[draw(len(first))]
+    return ".".join(map(str, old[:fixed] + new[fixed:]))
+
+
+def surrogate(key: bytes, kind: str, value: str, gender: str = "", attempt: int = 0) -> str:
+    """The canonical value that stands for another of the same kind: same length and classes of characters, valid where the first is. A number keeps its calling code, an address its class, a domain its ending, a given name its gender; later attempts draw from more."""
     s = _stream(key, kind, value, attempt)
     draw = lambda n: (next(s) << 16 | next(s) << 8 | next(s)) % n
-    if kind.startswith("name"):
-        _, script, gender, n = kind.split()
-        parts = [GIVEN[script, gender][draw(len(GIVEN[script, gender]))]] if int(n) > 1 else []
-        while len(parts) < int(n):
-            parts.append("".join(FAMILY[script][draw(len(FAMILY[script]))] for _ in range(3 + attempt // 4)).capitalize())
-        return " ".join(parts).lower()
+    kind, _, more = kind.partition(" ")
+    if kind == "given" and not attempt:
+        return GIVEN[more, gender][draw(len(GIVEN[more, gender]))].lower()
+    if kind in ("given", "family"):
+        stem = "".join(FAMILY[more][draw(len(FAMILY[more]))] for _ in range((3 if kind == "family" else 2) + attempt // 4))
+        return stem + (ENDINGS[more][gender] if kind == "given" else "")
     if kind == "ip":
-        return ".".join(str(1 + draw(254)) for _ in range(4))
-    head = 1 if kind in ("card", "phone") else 4 if value.startswith("AKIA") else 0
-    tail = len(value) - value.rfind(".") if kind == "email" else 0
+        return _address(value, draw)
+    head = (_code(value) or (attempt < 10)) if kind == "phone" else int(attempt < 10) if kind == "card" else 4 if value.startswith("AKIA") else 0
+    tail = len(value) - value.rfind(".") if kind == "domain" else 0
     out = list(value[:head])
     for c in value[head : len(value) - tail]:
         if c.isdigit():
@@ -131,63 +188,71 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     return out
 
 
-def in_format(kind: str, found: str, value: str) -> str:
-    """A canonical surrogate in the shape of the text that it replaces: its separators, its case."""
+def in_format(kind: str, found: str, values: list[str]) -> str:
+    """Canonical surrogates of an entity's units in the shape of the text that they replace: its separators, its case."""
     if kind in ("card", "phone"):
-        d = iter(value)
+        d = iter(values[0].lstrip("+"))
         return "".join(next(d) if c.isdigit() else c for c in found)
-    if kind.startswith("name"):
-        parts = [p.upper() if o.isupper() and len(o) > 1 else p.capitalize() for o, p in zip(found.split(" "), value.split(" "), strict=True)]
-        return " ".join(parts)
+    if kind == "name":
+        new = iter(values)
+        cased = lambda o: o if len(o) < 2 else next(new).upper() if o.isupper() else next(new).capitalize()
+        return "".join(x if x in " -'’" else cased(x) for x in re.split("([ '’-])", found) if x)
     if kind == "email":
-        return "".join(v.upper() if f.isupper() else v for f, v in zip(found, value, strict=True))
-    return value
+        return "".join(v.upper() if f.isupper() else v for f, v in zip(found, "@".join(values), strict=True))
+    return values[0]
 
 
 def entities(docs: DataFrame, id_col: str = "_tid", text_col: str = "_text") -> DataFrame:
-    """id_col, kind, value: each entity of each text, once per text."""
+    """id_col, kind, value, gender: each unit of each text, once per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Finder()
         for b in by_bytes(batches, "_t"):
-            rows = [(i, k, v) for i, t in zip(b.column("_i").to_pylist(), b.column("_t").to_pylist(), strict=True) if t for k, v in {(x[2], x[3]) for x in find(t)}]
+            rows = [(i, *u) for i, t in zip(b.column("_i").to_pylist(), b.column("_t").to_pylist(), strict=True) if t for u in {u for x in find(t) for u in x[3]}]
             if rows:
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])], ["_i", "kind", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), *map(pa.array, cols[1:])], ["_i", "kind", "value", "gender"])
 
-    return docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).mapInArrow(run, "_i bigint, kind string, value string").withColumnRenamed("_i", id_col)
+    return docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).mapInArrow(run, "_i binary, kind string, value string, gender string").withColumnRenamed("_i", id_col)
 
 
 def draw_again(found: DataFrame, key: bytes, most_rounds: int = 40) -> DataFrame:
-    """kind, value, attempt > 0 of the entities whose first surrogate won't do.
+    """kind, value, gender, attempt of the units of found(kind, value, gender) whose first surrogate won't do, or whose gender isn't the same at all mentions.
 
-    A surrogate must not stand for two entities, nor be one that the corpus holds.
-    Of several entities with one surrogate the first in order keeps it; the others
+    A surrogate must not stand for two units, nor be one that the corpus holds.
+    Of several units with one surrogate the first in order keeps it; the others
     draw again, and are held against all that is settled, until none is left. Only
-    the losers of a round enter the next.
+    the losers of a round enter the next. A given name that has one gender where its
+    titles tell has it everywhere. Where a kind's values run out, which no draw can
+    mend (fewer free values of one length than entities), a ValueError tells so after
+    most_rounds.
     """
-    real = written(found.select("kind", "value").distinct(), "entities")
-    family = F.split("kind", " ")[0].alias("family")  # names of all genders share one space
+    told = F.collect_set(F.when(~F.col("gender").isin("", "n"), F.col("gender")))
+    real = found.groupBy("kind", "value").agg(told.alias("told"), F.max(F.col("gender") != "").alias("has"), F.min("gender").alias("lo"), F.max("gender").alias("hi"))
+    real = real.withColumn("gender", F.when(F.size("told") == 1, F.get("told", F.lit(0))).when(F.col("has"), "n").otherwise(""))
+    real = written(real.select("kind", "value", "gender", (F.col("lo") != F.col("hi")).alias("mixed")), "entities")
+    family = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind")).alias("family")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [surrogate(key, k, v, n) for k, v, n in zip(*(b.column(c).to_pylist() for c in ("kind", "value", "attempt")), strict=True)]
+            out = [surrogate(key, k, v, g, n) for k, v, g, n in zip(*(b.column(c).to_pylist() for c in ("kind", "value", "gender", "attempt")), strict=True)]
             yield b.append_column("other", pa.array(out, pa.string()))
 
-    left = real.withColumn("attempt", F.lit(0))
+    left = real.select("kind", "value", "gender", "mixed", F.lit(0).alias("attempt"))
     settled, taken, again = None, real.select(family, F.col("value").alias("other")).distinct(), None
     for _ in range(most_rounds):
-        drawn = left.mapInArrow(draw, "kind string, value string, attempt int, other string")
-        place = F.row_number().over(Window.partitionBy(F.split("kind", " ")[0], "other").orderBy("value", "kind"))
-        drawn = written(drawn.withColumn("place", place), "drawn").withColumn("family", F.split("kind", " ")[0])
+        drawn = left.mapInArrow(draw, "kind string, value string, gender string, mixed boolean, attempt int, other string").withColumn("family", family)
+        place = F.row_number().over(Window.partitionBy("family", "other").orderBy("value", "kind"))
+        drawn = written(drawn.withColumn("place", place), "drawn")
         good = drawn.where("place = 1").join(taken, ["family", "other"], "left_anti")
         if settled is not None:
             good = good.join(settled, ["family", "other"], "left_anti")
-        good = written(good.select("family", "other", "kind", "value", "attempt"), "good")
-        later = good.where("attempt > 0").select("kind", "value", "attempt")
+        good = written(good.select("family", "other", "kind", "value", "gender", "mixed", "attempt"), "good")
+        later = good.where("attempt > 0 or mixed").select("kind", "value", "gender", "attempt")
         again = later if again is None else again.unionByName(later)
         settled = good.select("family", "other") if settled is None else settled.unionByName(good.select("family", "other"))
-        left = written(drawn.join(good, ["kind", "value"], "left_anti").select("kind", "value", (F.col("attempt") + 1).alias("attempt")), "left")
+        left = drawn.join(good, ["kind", "value"], "left_anti").select("kind", "value", "gender", "mixed", (F.col("attempt") + 1).alias("attempt"))
+        left = written(left, "left")
         if not left.limit(1).count():
             return written(again, "again")
     raise ValueError(f"no free surrogates after {most_rounds} rounds for some of the {left.count()} entities left")
@@ -196,49 +261,53 @@ def draw_again(found: DataFrame, key: bytes, most_rounds: int = 40) -> DataFrame
 def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", most_sent: int = 50_000) -> DataFrame:
     """Every row of docs with its text's entities replaced, and n_entities added.
 
-    The same entity gets the same surrogate everywhere (e-mail addresses without
-    regard to case, numbers without regard to separators), and different ones get
-    different ones. A surrogate is a keyed function of the entity, so that texts need
-    no join; the few entities that had to draw again are sent to all tasks if they
-    are at most most_sent, and else joined to the documents that hold them.
+    The same entity gets the same surrogate everywhere (e-mail addresses and names
+    without regard to case, numbers without regard to separators), and different ones
+    get different ones: units of entities do (see Finder). A surrogate is a keyed
+    function of the unit, so that texts need no join; the few units that had to draw
+    again are sent to all tasks if they are at most most_sent, and else joined to the
+    documents that hold them.
 
     Null texts stay null with 0 entities; ids may be null or repeat; other columns
     pass through, but an earlier n_entities, which is replaced.
     """
     docs = docs.drop("n_entities")
-    rows = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_tid"), F.col(text_col).alias("_text"))
+    rows = docs.select(text_hash(F.col(text_col)).alias("_tid"), F.col(text_col).alias("_text"))
     found = entities(rows)
-    again = draw_again(found.select("kind", "value"), key)
+    again = draw_again(found.select("kind", "value", "gender"), key)
     n = again.count()
-    few = {(r.kind, r.value): r.attempt for r in again.collect()} if n <= most_sent else None
+    few = {(r.kind, r.value): (r.gender, r.attempt) for r in again.collect()} if n <= most_sent else None
 
     def change(text: str | None, own: dict, find: Finder, known: dict) -> tuple[str | None, int]:
         spans = find(text) if text else []
         if not spans:
             return text, 0
         out, at = [], 0
-        for a, b, kind, value in spans:
-            n = own.get((kind, value), 0)
-            if (kind, value, n) not in known:
-                if len(known) > 200_000:
-                    known.clear()
-                known[kind, value, n] = surrogate(key, kind, value, n)
-            out += [text[at:a], in_format(kind, text[a:b], known[kind, value, n])]
+        for a, b, kind, units in spans:
+            new = []
+            for k, v, g in units:
+                unit = (k, v, *own.get((k, v), (g, 0)))
+                if unit not in known:
+                    if len(known) > 200_000:
+                        known.clear()
+                    known[unit] = surrogate(key, *unit)
+                new.append(known[unit])
+            out += [text[at:a], in_format(kind, text[a:b], new)]
             at = b
         return "".join(out) + text[at:], len(spans)
 
     names = docs.columns
-    extra = "_again"
+    extra, tid = fresh(docs, "again"), fresh(docs, "tid")
     if few is None:
         once = found.dropDuplicates(["_tid", "kind", "value"])  # equal texts have one _tid: once per text, not per row
-        held = once.join(again, ["kind", "value"]).groupBy("_tid").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(extra))
-        docs = docs.withColumn("_tid", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(written(held, "held"), "_tid", "left").drop("_tid")
+        held = once.drop("gender").join(again, ["kind", "value"]).groupBy("_tid").agg(F.collect_list(F.struct("kind", "value", "gender", "attempt")).alias(extra))
+        docs = docs.withColumn(tid, text_hash(F.col(text_col))).join(written(held.withColumnRenamed("_tid", tid), "held"), tid, "left").drop(tid)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, known = Finder(), {}
         for b in by_bytes(batches, text_col):
             texts = b.column(text_col).to_pylist()
-            own = [few] * len(texts) if few is not None else [{(x["kind"], x["value"]): x["attempt"] for x in xs or ()} for xs in b.column(extra).to_pylist()]
+            own = [few] * len(texts) if few is not None else [{(x["kind"], x["value"]): (x["gender"], x["attempt"]) for x in xs or ()} for xs in b.column(extra).to_pylist()]
             new = [change(t, o, find, known) for t, o in zip(texts, own, strict=True)]
             cols = [pa.array([x[0] for x in new], pa.string()) if c == text_col else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([x[1] for x in new], pa.int32())], [*names, "n_entities"])

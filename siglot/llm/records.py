@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siglot.llm.common import by_bytes
+from siglot.llm.common import by_bytes, written
 from siglot.llm.pieces import PieceEncoder, two_bytes
 
 # A shard holds records one after the other. A record is
@@ -50,74 +50,106 @@ def unframe(data: bytes, at: int = 0) -> tuple[bytes, int]:
     return payload, at + HEAD + size + TAIL
 
 
-def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes path/data/shard-NNNNNN.rec and the index table path/index; returns the index.
+def _file(shard: int) -> str:
+    return f"shard-{shard:012d}.rec"
+
+
+def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int, parts: int | None = None, most: int = 64_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes path/data/shard-NNNNNNNNNNNN.rec and the index table path/index; returns the index.
 
     Shards follow each other in ascending id order (nulls first, equal ids in the
-    order of their text's hash). Each text is encoded, end_id is appended, and the
-    index keeps shard, pos, id_col, offset, length and n_tokens of every record. A
-    task writes under a name of its own and moves the finished file in place, so a
-    task that runs twice leaves one whole shard. Null texts count as empty. ids
-    must fit 16 bits.
+    order of their text's hash), and a shard that has reached `most` bytes is
+    followed by another. Each text is encoded, end_id is appended, and the index
+    keeps shard, pos, id_col, offset, length and n_tokens of every record. A task
+    writes under a name of its own and moves each finished file in place, so a task
+    that runs twice leaves one whole shard. Null texts count as empty; other columns
+    aren't read; an empty table gives an empty index and no shards. ids must fit 16
+    bits.
     """
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = f"{path}/data"
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pafs
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        shard, attempt = TaskContext.get().partitionId() << 20, TaskContext.get().taskAttemptId()
         fs, root = pafs.FileSystem.from_uri(data)
         fs.create_dir(root, recursive=True)
         end = struct.pack("<H", end_id)
         encoder = PieceEncoder.of_process(tokenizer, two_bytes, b"".join)
-        temp, at, pos = f"{root}/_temp-{shard}-{attempt}", 0, 0
-        with fs.open_output_stream(temp) as f:
-            for b in by_bytes(batches, "_text"):
-                ids = b.column("_id").to_pylist()
-                rows = []
-                for i, t in zip(ids, pc.fill_null(b.column("_text"), "").to_pylist(), strict=True):
-                    tokens = b"".join(encoder.text(t)) + end
-                    r = frame(struct.pack("<Bq", i is not None, i or 0) + tokens)
-                    rows.append((shard, pos, i, at, len(r), len(tokens) // 2))
-                    f.write(r)
-                    at, pos = at + len(r), pos + 1
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["shard", "pos", "_id", "offset", "length", "n_tokens"])
-        fs.move(temp, f"{root}/shard-{shard:06d}.rec")
+        temp, f, at, pos = f"{root}/_temp-{shard}-{attempt}", None, 0, 0
+        for b in by_bytes(batches, "_text"):
+            rows = []
+            for i, t in zip(b.column("_id").to_pylist(), pc.fill_null(b.column("_text"), "").to_pylist(), strict=True):
+                tokens = b"".join(encoder.text(t)) + end
+                r = frame(struct.pack("<Bq", i is not None, i or 0) + tokens)
+                if f and at + len(r) > most:
+                    f.close()
+                    fs.move(temp, f"{root}/{_file(shard)}")
+                    f, shard, at, pos = None, shard + 1, 0, 0
+                f = f or fs.open_output_stream(temp)
+                rows.append((shard, pos, i, at, len(r), len(tokens) // 2))
+                f.write(r)
+                at, pos = at + len(r), pos + 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "pos", "_id", "offset", "length", "n_tokens"])
+        if f:
+            f.close()
+            fs.move(temp, f"{root}/{_file(shard)}")
 
     ordered = (
         docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
         .repartitionByRange(n, F.col("_id").asc_nulls_first())
         .sortWithinPartitions(F.col("_id").asc_nulls_first(), F.xxhash64("_text"))
     )
-    index = ordered.mapInArrow(write, "shard int, pos int, _id bigint, offset bigint, length bigint, n_tokens bigint")
+    index = ordered.mapInArrow(write, "shard bigint, pos int, _id bigint, offset bigint, length bigint, n_tokens bigint")
     index.withColumnRenamed("_id", id_col).write.parquet(f"{path}/index")
-    return spark.read.parquet(f"{path}/index")
+    return spark.read.schema(f"shard bigint, pos int, `{id_col}` bigint, offset bigint, length bigint, n_tokens bigint").parquet(f"{path}/index")
+
+
+def _records(f) -> Iterator[bytes]:
+    """The payloads of a shard that is read as a stream, one record at a time; ValueError where a checksum fails."""
+    at = 0
+    while head := f.read(HEAD):
+        if len(head) < HEAD or masked_crc(head[:8]) != struct.unpack_from("<I", head, 8)[0]:
+            raise ValueError(f"damaged length at byte {at}")
+        rest = f.read(struct.unpack("<Q", head[:8])[0] + TAIL)
+        payload, at = unframe(head + rest)[0], at + len(head) + len(rest)
+        yield payload
 
 
 def read_records(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Reads every shard back and checks it: shard, pos, id_col, n_tokens, ids_crc32 (of the ids as u32), shard_start (ids of the shard before it)."""
+    """Reads every shard back and checks it: shard, pos, id_col, n_tokens, ids_crc32 (of the ids as u32), shard_start (ids of the shard before it). The index says which shards there are; a task streams through a shard record by record."""
+    data = f"{path}/data"
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                content = content.as_buffer().to_pybytes()
-                shard, at, pos, start, rows = int(name[-10:-4]), 0, 0, 0, []
-                while at < len(content):
-                    payload, at = unframe(content, at)
+        from pyarrow import fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(data)
+
+        def batch(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "pos", "_id", "n_tokens", "ids_crc32", "shard_start"])
+
+        for shard in (x for b in batches for x in b.column("shard").to_pylist()):
+            rows, start = [], 0
+            with fs.open_input_stream(f"{root}/{_file(shard)}", buffer_size=1 << 20) as f:
+                for pos, payload in enumerate(_records(f)):
                     has, i = struct.unpack_from("<Bq", payload)
                     ids = np.frombuffer(payload, "<u2", offset=LEAD)
                     rows.append((shard, pos, i if has else None, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), start))
-                    start, pos = start + len(ids), pos + 1
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["shard", "pos", "_id", "n_tokens", "ids_crc32", "shard_start"])
+                    start += len(ids)
+                    if len(rows) == 10_000:
+                        yield batch(rows)
+                        rows = []
+            if rows:
+                yield batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rec").load(f"{path}/data").select("path", "content")
-    return files.mapInArrow(parse, "shard int, pos int, _id bigint, n_tokens bigint, ids_crc32 bigint, shard_start bigint").withColumnRenamed("_id", id_col)
+    shards = written(spark.read.parquet(f"{path}/index").select("shard").distinct(), "shards")
+    shards = shards.repartition(max(1, shards.count()), "shard")  # a shard is a task's work
+    return shards.mapInArrow(parse, "shard bigint, pos int, _id bigint, n_tokens bigint, ids_crc32 bigint, shard_start bigint").withColumnRenamed("_id", id_col)
 
 
 def read_some(index: DataFrame, wanted: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -132,7 +164,7 @@ def read_some(index: DataFrame, wanted: DataFrame, path: str, id_col: str = "doc
             rows = b.to_pydict()
             ids = []
             for shard, at, n in zip(rows["shard"], rows["offset"], rows["length"], strict=True):
-                with fs.open_input_file(f"{root}/shard-{shard:06d}.rec") as f:
+                with fs.open_input_file(f"{root}/{_file(shard)}") as f:
                     f.seek(at)
                     ids.append(np.frombuffer(unframe(f.read(n))[0], "<u2", offset=LEAD).tolist())
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(ids, pa.list_(pa.int32()))], ["_id", "ids"])

@@ -54,7 +54,7 @@ def terms_of(word: str) -> Iterator[str]:
 class ToxicModel:
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: list[str] = field(default_factory=list)
-    coef: tuple[float, float, float] = (-6.0, 0.0, 0.0)
+    coef: tuple[float, float, float, float] = (-6.0, 0.0, 0.0, 0.0)
 
     def matcher(self):
         """A function from a text to (number of words, sum of the weights matched, phrases around matches)."""
@@ -81,13 +81,13 @@ class ToxicModel:
 
         return match
 
-    def features(self, n_words: int, total: float) -> tuple[float, float]:
-        return math.log1p(total), total / (n_words + 20)
+    def features(self, n_words: int, total: float) -> tuple[float, float, float]:
+        """The weight, its share of the length, and the length."""
+        return math.log1p(total), total / (n_words + 20), math.log1p(n_words)
 
     def score(self, n_words: int, total: float) -> float:
-        a, b, c = self.coef
-        x, y = self.features(n_words, total)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x + c * y))))
+        z = self.coef[0] + sum(c * x for c, x in zip(self.coef[1:], self.features(n_words, total), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def _phrases(line: str, best: dict) -> set[str]:
@@ -116,49 +116,74 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return b
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_terms: int = 5_000, least_docs: int = 5, least_odds: float = 2.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
+FOLDS = 3
+
+
+def _lexicon(counts: list[tuple], nt: int, nc: int, least_docs: int, least_odds: float) -> dict[str, float]:
+    """Weights of the terms in counts (term, toxic documents, clean documents) of nt toxic and nc clean ones: log odds, less one standard error, so that a term seen in few documents has to be all the clearer. Longer beginnings that say no more than a shorter one are left out."""
+    heavy = {}
+    for term, t, c in counts:
+        if t >= least_docs:
+            w = math.log((t + 0.5) / (nt + 1)) - math.log((c + 0.5) / (nc + 1)) - math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+            if w >= least_odds:
+                heavy[term] = w
+    return {t: w for t, w in heavy.items() if not any(heavy.get(t[:n], 0) >= w - 0.7 for n in range(4, len(t.rstrip())))}
+
+
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_docs: int = 3, least_odds: float = 2.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
     """A lexicon and its scale from at most most_rows labelled documents, those whose ids' hashes are least.
 
-    Terms are whole words and beginnings of words; a term's weight is the log odds of
-    toxic against clean documents with it, from two thirds of the sample. Phrases of
-    a matched word and a neighbour that clean documents have at least as often as
-    toxic ones, relative to their numbers, become exceptions. The last third fits a
-    logistic scale on the weight's logarithm and its share of the text's length.
+    Terms are whole words and beginnings of words, weighted by the log odds of toxic
+    against clean documents with them. Phrases of a matched word and a neighbour that
+    clean documents have at least as often as toxic ones, relative to their numbers,
+    become exceptions. A logistic scale is fitted on the weight's logarithm, its
+    share of the text's length and the length, where each third of the sample is
+    measured by a lexicon from the other two. The lexicon has every term that
+    passes; only the sample is bounded, and with it what reaches the driver: terms of
+    least_docs toxic documents in it, and three numbers a row.
+
     Rows whose label is null or whose crc32(id) mod 3 is 1 are never learned from.
+    An id with several labels is toxic if one says so; documents that repeat an id
+    count each. Without labels of both kinds the lexicon is empty and all texts have
+    one low score.
     """
     spark = docs.sparkSession
     able = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("y is not null and crc32(cast(_id as string)) % 3 <> 1")
     picked = written(able.groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(most_rows), "labels")
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(picked), "_id")
-    rows = written(rows.select("_text", "y", (F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(3)) == 0).alias("scale")), "sample").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = written(rows.select("_text", "y", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold")), "sample").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def count(make):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tox, clean, seen, each = Counter(), Counter(), Counter(), make()
+            seen, each = Counter(), make()
             for b in batches:
-                for t, y in zip(b.column("_text").to_pylist(), b.column("y").to_pylist(), strict=True):
-                    (tox if y else clean).update(each(t))
-                    seen[y] += 1
-            tox[""], clean[""] = seen[1], seen[0]
-            keys = list(tox.keys() | clean.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([tox[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], ["term", "t", "c"])
+                for t, y, f in zip(b.column("_text").to_pylist(), b.column("y").to_pylist(), b.column("fold").to_pylist(), strict=True):
+                    seen.update((x, f, y) for x in each(t))
+                    seen["", f, y] += 1
+            if seen:
+                terms, folds, ys = zip(*seen, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(folds, pa.int32()), pa.array(ys, pa.int32()), pa.array(seen.values(), pa.int64())], ["term", "fold", "y", "n"])
 
-        return lambda df: df.select("_text", "y").mapInArrow(run, "term string, t bigint, c bigint").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+        n = lambda y, k: F.sum(F.when(F.col("fold").eqNullSafe(k) & (F.col("y") == y), F.col("n")).otherwise(0))
+        every = [n(y, k).alias(f"{'ct'[y]}{k}") for k in range(FOLDS) for y in (1, 0)]
+        return lambda df: df.mapInArrow(run, "term string, fold int, y int, n bigint").groupBy("term").agg(*every)
 
     def terms():
         fold = folder()
         return lambda text: {t for w in set(fold(text)) for t in terms_of(w)}
 
-    odds = F.log((F.col("t") + 0.5) / (F.col("nt") + 1)) - F.log((F.col("c") + 0.5) / (F.col("nc") + 1))
-    counts = written(count(terms)(rows.where("not scale")), "terms")
-    nt, nc = counts.where("term = ''").select("t", "c").first() or (0, 0)
+    whole = lambda c: " + ".join(f"{c}{k}" for k in range(FOLDS))
+    counts = count(terms)(rows).where(f"term = '' or {whole('t')} >= {least_docs}").collect()  # of at most most_rows documents
+    size = next((r for r in counts if not r.term), None)
     model = ToxicModel()
-    if not nt or not nc:
+    total = lambda r, c, out=None: sum(r[f"{c}{k}"] for k in range(FOLDS) if k != out)
+    if not size or not total(size, "t") or not total(size, "c"):
         return model
-    with_odds = counts.where(f"term <> '' and t >= {least_docs}").withColumns({"nt": F.lit(nt), "nc": F.lit(nc)}).withColumn("w", odds).where(f"w >= {least_odds}")
-    top = with_odds.orderBy(F.desc(F.col("w") * F.log(1.0 + F.col("t"))), "term").limit(most_terms).collect()
-    heavy = {r.term: r.w for r in top}
-    model.weights = {t: w for t, w in heavy.items() if not any(heavy.get(t[:n], 0) >= w - 0.7 for n in range(4, len(t.rstrip())))}
+
+    def lexicon(out: int | None = None) -> dict[str, float]:
+        return _lexicon([(r.term, total(r, "t", out), total(r, "c", out)) for r in counts if r.term], total(size, "t", out), total(size, "c", out), least_docs, least_odds)
+
+    model.weights = lexicon()
 
     def phrases(m=model):
         match = m.matcher()
@@ -169,18 +194,19 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_term
 
         return each
 
-    near = count(phrases)(rows.where("not scale")).where(f"term <> '' and c >= 3 and (t + 0.5) / {nt + 1} <= (c + 0.5) / {nc + 1}")
-    model.exceptions = [r.term for r in near.orderBy(F.desc("c"), "term").limit(most_terms).collect()]
+    nt, nc = total(size, "t"), total(size, "c")
+    near = count(phrases)(rows).selectExpr("term", f"{whole('t')} as t", f"{whole('c')} as c").where(f"term <> '' and c >= 3 and (t + 0.5) / {nt + 1} <= (c + 0.5) / {nc + 1}")
+    model.exceptions = sorted(r.term for r in near.collect())
+    parts = [ToxicModel(lexicon(k), model.exceptions) for k in range(FOLDS)]
 
-    def measure(batches: Iterator[pa.RecordBatch], m=model) -> Iterator[pa.RecordBatch]:
-        match = m.matcher()
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = [m.matcher() for m in parts]
         for b in batches:
-            x = [m.features(*match(t)[:2]) for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64())], ["y", "a", "b"])
+            x = [parts[f].features(*match[f](t)[:2]) for t, f in zip(b.column("_text").to_pylist(), b.column("fold").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("y"), *[pa.array([v[i] for v in x], pa.float64()) for i in range(3)]], ["y", "a", "b", "c"])
 
-    points = rows.where("scale").select("_text", "y").mapInArrow(measure, "y int, a double, b double").toPandas()  # at most most_rows
-    if points["y"].nunique() == 2:
-        model.coef = tuple(float(v) for v in _logistic(points[["a", "b"]].to_numpy(), points["y"].to_numpy()))
+    points = rows.mapInArrow(measure, "y int, a double, b double, c double").toPandas().sort_values(["y", "a", "b", "c"])  # at most most_rows, in one order
+    model.coef = tuple(float(v) for v in _logistic(points[["a", "b", "c"]].to_numpy(), points["y"].to_numpy()))
     return model
 
 
