@@ -19,20 +19,21 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(df: DataFrame, words: str, keep: list[str], masks: tuple[str, ...], holds=None) -> DataFrame:
-    """keep, pos and hash h of every seed of the array column words, or of those that holds(h)."""
+def _seeds(df: DataFrame, words: str, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
+    """keep, pos and hash h of every seed of the array column words; h is null where a mask would pass the end."""
     # explode() of one array keeps the optimizer from putting its formula in place of w, once for every position
-    rows = df.select(*keep, F.explode(F.array(F.transform(words, lambda w: F.xxhash64(w)))).alias("w")).where(F.size("w") >= min(map(len, masks)))
+    least = min(map(len, masks))
+    rows = df.select(*keep, F.explode(F.array(F.transform(words, lambda w: F.xxhash64(w)))).alias("w")).where(F.size("w") >= least)
+    places = F.sequence(F.lit(0), F.size("w") - least)
 
-    def seeds(k: int, mask: str) -> Column:
-        ones = [o for o, bit in enumerate(mask) if bit == "1"]
-        places = F.sequence(F.lit(0), F.greatest(F.size("w") - len(mask), F.lit(0)))
-        every = F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(k), *[F.get("w", i + o) for o in ones]).alias("h")))
-        some = F.filter(every, lambda x: holds(x["h"])) if holds else every
-        return F.when(F.size("w") >= len(mask), some).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
+    def seed(k: int, mask: str):
+        h = lambda i: F.xxhash64(F.lit(k), *[F.get("w", i + o) for o, bit in enumerate(mask) if bit == "1"])
+        return h if len(mask) == least else lambda i: F.when(i <= F.size("w") - len(mask), h(i))
 
-    hits = F.concat(*[seeds(k, mask) for k, mask in enumerate(masks)])
-    return rows.select(*keep, F.explode(hits).alias("hit")).select(*keep, "hit.pos", "hit.h")
+    arrays = [F.transform(places, seed(k, mask)) for k, mask in enumerate(masks)]
+    rows = rows.select(*keep, (F.size("w") - least + 1).alias("n"), F.concat(*arrays).alias("hs"))
+    rows = rows.select(*keep, "n", F.posexplode("hs").alias("at", "h"))
+    return rows.select(*keep, F.expr("at % n").alias("pos"), "h")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 13, agree: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -54,12 +55,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("_item"), words_of(F.col(text_col)).alias("item_words"))
     items = written(items.where(F.size("item_words") >= LEAST), "items")
-    seeds = written(_seeds(items, "item_words", ["_item"], masks).withColumnRenamed("pos", "item_pos"), "seeds")
+    seeds = written(_seeds(items, "item_words", ["_item"], masks).where("h is not null").withColumnRenamed("pos", "item_pos"), "seeds")
     n_words = bloom_size(seeds.count())
     bits = bloom_filter(seeds.select("h"), "h", n_words)
 
     rows = docs.select(F.col(id_col).alias("_id"), text_hash(F.col(text_col)).alias("_tid"), F.col(text_col).alias("_text"))
-    passed = _seeds(rows.select("_tid", words_of(F.col("_text")).alias("words")), "words", ["_tid"], masks, lambda h: bloom_holds(bits, h, n_words))
+    passed = _seeds(rows.select("_tid", words_of(F.col("_text")).alias("words")), "words", ["_tid"], masks).where(bloom_holds(bits, F.col("h"), n_words))
     hits = passed.join(seeds, "h").groupBy("_tid", "_item", (F.col("pos") - F.col("item_pos")).alias("off")).agg(F.count(F.lit(1)).alias("n_seeds"))
     hits = written(hits, "hits")
 

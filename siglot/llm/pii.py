@@ -52,7 +52,7 @@ SECRET = r"\bAKIA[A-Z0-9]{16}\b|(?<=password=)[^\s\"']{6,}|(?<=token = \")[0-9A-
 def _name_pattern(script: str) -> str:
     upper = {"latin": "A-ZÀ-ÖØ-Þ", "cyrillic": "А-ЯЁ", "greek": "Ά-Ϋ"}[script]
     titles = "|".join(re.escape(t) for g in TITLES[script].values() for t in sorted(g, key=len, reverse=True))
-    one = rf"[{upper}][{SCRIPTS[script]}'’-]+"
+    one = rf"(?!(?:{titles})\b)[{upper}][{SCRIPTS[script]}'’-]+"
     return rf"\b({titles})(\.? )({one}(?: {one}){{0,2}})"
 
 
