@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siglot.llm.common import written
 from siglot.llm.decontam import drop_contaminated
@@ -18,15 +19,20 @@ from siglot.llm.toxicity import learn, toxicity
 from siglot.llm.trie_bpe import bpe_round_trip
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row as one column, so that no column that an operator adds meets one of the caller's."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose score is under 0.7."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return toxicity(docs, learn(docs.select("doc_id", "text"), labels)).where("predicted = 0").select(docs.columns)
+    return toxicity(_apart(docs), learn(docs.select("doc_id", "text"), labels)).where("predicted = 0").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of equal texts, the document with the largest id."""
-    return exact_dedup(docs).where("kept").select(docs.columns)
+    return exact_dedup(_apart(docs)).where("kept").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
