@@ -68,7 +68,7 @@ def nested_designs(df: DataFrame, primary: str, least: int = 5) -> DataFrame:
     near = F.lit(False)
     for k in "abcd":
         near = near | F.coalesce(F.abs(F.col(k) - F.col(f"p_{k}")).between(1, least - 1), F.lit(False))
-    return df.join(F.broadcast(p), "event", "left").withColumn("withheld", (F.col("design") != primary) & near).drop(*[f"p_{k}" for k in "abcd"])
+    return df.join(p, "event", "left").withColumn("withheld", (F.col("design") != primary) & near).drop(*[f"p_{k}" for k in "abcd"])
 
 
 def cumulative(df: DataFrame, key: str, order: str, n: str, least: int = 5) -> DataFrame:

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 
 def _lcs(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence, a whole row of the table in one number's bits."""
+    at: dict[str, int] = {}
+    for i, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    v = full
     for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        u = v & at.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(b) - v.bit_count()
 
 
 def _indel(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -29,16 +33,25 @@ _indel.__annotations__ = {"pairs": Iterator[tuple[pd.Series, pd.Series]], "retur
 def fuzzy_join(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float = 85.0, margin: float = 3.0) -> DataFrame:
     """a, b, ratio: for each distinct a the b with the best normalised Indel ratio, if it reaches the threshold and leads the next by the margin.
 
-    Two strings of ratio t share a run of characters: if at most d of them are put in
-    or taken out, one of d + 1 pieces of the shorter survives whole. Candidates share
-    a first or a last character, or a pair of characters near one place, and lie in
+    If at most d characters have to be put in or taken out, two strings differ in at
+    most 2 d of their pairs of neighbouring characters, so the 2 d + 1 rarest pairs of
+    one hold one of the other's: only under these the strings meet. Candidates lie in
     the band of lengths that the ratio allows; the edit distance, which never exceeds
-    the Indel distance, prunes before the exact ratio is computed.
+    the Indel distance, prunes before the exact ratio is computed. Strings too short to
+    share a pair aren't matched.
     """
-    ks = left.select(F.col(a).alias("a")).where("length(a) > 0").distinct()
-    cs = right.select(F.col(b).alias("b")).where("length(b) > 0").distinct()
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(F.concat(F.lit("^"), c, F.lit("$")), i, F.lit(2))))
-    pairs = ks.select("a", F.explode(grams(F.col("a"))).alias("g")).join(cs.select("b", F.explode(grams(F.col("b"))).alias("g")), "g").select("a", "b").distinct()
+    ks = left.select(F.col(a).alias("s"), F.lit(True).alias("ask")).where("length(s) > 0").distinct()
+    cs = right.select(F.col(b).alias("s"), F.lit(False).alias("ask")).where("length(s) > 0").distinct()
+    padded = F.concat(F.lit("^"), F.col("s"), F.lit("$"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") + 1), lambda i: F.substr(padded, i, F.lit(2))))
+    every = ks.unionByName(cs).select("s", "ask", F.explode(grams).alias("g"))
+    rare = every.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
+    t = (threshold - margin) / 100
+    most = F.floor((1 - t) * F.length("s") * (1 + (2 - t) / t) + 1e-9).cast("int")  # d, for the longest partner
+    by_rank = F.transform(F.array_sort(F.collect_list(F.struct("often", "g"))), lambda x: x["g"])
+    kept = every.join(rare, "g").groupBy("s", "ask").agg(by_rank.alias("gs")).select("s", "ask", F.explode(F.slice("gs", F.lit(1), 2 * most + 1)).alias("g"))
+    side = lambda asks, name: kept.where("ask" if asks else "not ask").select(F.col("s").alias(name), "g")
+    pairs = side(True, "a").join(side(False, "b"), "g").select("a", "b").distinct()
     total = F.length("a") + F.length("b")
     near = pairs.where((200.0 * F.least(F.length("a"), F.length("b")) / total >= threshold - margin) & (F.levenshtein("a", "b") <= total * (1 - (threshold - margin) / 100)))
     scored = near.withColumn("ratio", F.pandas_udf(_indel, "double")("a", "b"))
@@ -58,20 +71,30 @@ def choose(candidates: DataFrame, key: list[str], lot: str, national: str, year:
     return out.select(*key, F.when(F.col("_n") == 1, F.col(lot)).alias(lot), F.when(F.col("_n") == 1, "unique").otherwise("ambiguous").alias("choice"))
 
 
-def cascade(tokens: DataFrame, lots: DataFrame, record: str = "record_id") -> DataFrame:
-    """record, lot_key, level: each token by its exact key, else by its core key; all tokens of a record must agree on one lot.
+def cascade(tokens: DataFrame, lots: DataFrame, record: str = "record_id", threshold: float = 85.0, margin: float = 3.0) -> DataFrame:
+    """record, lot_key, level: each token by its exact key, else by its core key, else by similarity; all tokens of a record must agree on one lot.
 
     tokens(record, exact, core, report_year); lots(lot_key, exact, core, national, year). Ambiguity at a level ends the cascade for the token.
+    What a token finds depends on its keys and year alone, so each distinct one is looked up once and the answers go back to the tokens.
     """
-    key = [record, "exact", "core"]
+    key = ["exact", "core", "report_year"]
     lot = lots.select("lot_key", F.col("exact").alias("l_exact"), F.col("core").alias("l_core"), "national", "year")
-    by_exact = choose(tokens.join(lot, F.col("exact") == F.col("l_exact")), key, "lot_key", "national", "year", "report_year").withColumn("step", F.lit("exact"))
-    rest = tokens.join(by_exact.select(*key), key, "left_anti")
-    by_core = choose(rest.join(lot, F.col("core") == F.col("l_core")), key, "lot_key", "national", "year", "report_year").withColumn("step", F.lit("core"))
-    none = rest.join(by_core.select(*key), key, "left_anti").select(*key, F.lit(None).cast("string").alias("lot_key"), F.lit("no_match").alias("choice"), F.lit("none").alias("step"))
-    every = by_exact.unionByName(by_core).unionByName(none)
-    out = every.groupBy(record).agg(F.countDistinct("lot_key").alias("n"), F.min("lot_key").alias("lot_key"), F.min(F.when(F.col("lot_key").isNotNull(), F.when(F.col("step") == "exact", 0).otherwise(1))).alias("best"), F.bool_or(F.col("choice") == "ambiguous").alias("amb"))
-    level = F.when(F.col("n") > 1, "multiple_lots").when(F.col("n") == 1, F.when(F.col("best") == 0, "exact").otherwise("core")).when(F.col("amb"), "ambiguous").otherwise("no_match")
+    asked = tokens.select(*key).where("exact is not null").distinct()
+    answers, rest = None, asked
+    for step, on in enumerate(("exact", "core", "similar")):
+        if on == "similar":
+            like = fuzzy_join(rest, lots, "exact", "exact", threshold, margin).select(F.col("a").alias("exact"), F.col("b").alias("l_exact"))
+            met = rest.join(like, "exact").join(lot, "l_exact")
+        else:
+            met = rest.join(lot, F.col(on) == F.col(f"l_{on}"))
+        found = choose(met, key, "lot_key", "national", "year", "report_year").withColumn("step", F.lit(step))
+        answers = found if answers is None else answers.unionByName(found)
+        rest = rest.join(found.select(*key), key, "left_anti")
+    every = tokens.join(answers, key, "left")
+    found = F.when(F.col("lot_key").isNotNull(), F.col("step"))
+    out = every.groupBy(record).agg(F.countDistinct("lot_key").alias("n"), F.min("lot_key").alias("lot_key"), F.min(found).alias("best"), F.bool_or(F.col("choice") == "ambiguous").alias("amb"))
+    names = F.array(*[F.lit(x) for x in ("exact", "core", "fuzzy")])
+    level = F.when(F.col("n") > 1, "multiple_lots").when(F.col("n") == 1, F.get(names, F.col("best"))).when(F.col("amb"), "ambiguous").otherwise("no_match")
     return out.select(record, F.when(F.col("n") == 1, F.col("lot_key")).alias("lot_key"), level.alias("level"))
 
 

@@ -52,9 +52,31 @@ def average_rank(value: Column, *by: str) -> Column:
     return F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2
 
 
+def total_before(df: DataFrame, value: str, amount: str, *by: str, parts: int = 200) -> DataFrame:
+    """df with before, the sum of amount over the smaller values (of the same group); values are distinct in their group.
+
+    Values are dealt to ranges between quantiles of the whole column, the ranges' totals
+    run over at most `parts` rows a group, and a window runs inside each range, so that
+    no task holds a whole column.
+    """
+    edges = df.select(F.percentile_approx(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(10_000))).scalar()
+    d = df.withColumn("_edges", edges).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    w = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = d.groupBy(*by, "_part").agg(F.sum(amount).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(w), F.lit(0))).drop("_sum")
+    inside = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return d.join(base, [*by, "_part"]).withColumn("before", F.col("_base") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop("_part", "_base")
+
+
 def spearman(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
-    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumns({"_a": average_rank(F.col(a), group), "_b": average_rank(F.col(b), group)})
-    return d.groupBy(group).agg(F.corr("_a", "_b").alias("rho"))
+    """group, rho: correlation of average ranks, which are taken over the distinct values with their counts and joined back."""
+    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(group, a, b)
+
+    def ranks(c: str) -> DataFrame:
+        n = total_before(d.groupBy(group, c).agg(F.count(F.lit(1)).alias("_n")), c, "_n", group)
+        return n.select(group, c, (F.col("before") + (F.col("_n") + 1) / 2).alias(f"_rank_{c}"))
+
+    ranked = d.join(ranks(a), [group, a]).join(ranks(b), [group, b])
+    return ranked.groupBy(group).agg(F.corr(f"_rank_{a}", f"_rank_{b}").alias("rho"))
 
 
 def wilson(k: Column, n: Column) -> tuple[Column, Column]:
@@ -72,7 +94,7 @@ def garwood(k: Column) -> tuple[Column, Column]:
 def reporting_rates(counts: DataFrame, doses: DataFrame, year: str, partial: DataFrame, per: float = 1e5) -> DataFrame:
     """year, n, doses, rate: partial years keep their count but have no rate."""
     p = partial.select(year).withColumn("_partial", F.lit(True))
-    d = counts.join(doses, year, "left").join(F.broadcast(p), year, "left")
+    d = counts.join(doses, year, "left").join(p, year, "left")
     return d.select(year, "n", "doses", F.when(F.col("_partial").isNull() & (F.col("doses") > 0), F.col("n") / F.col("doses") * per).alias("rate"))
 
 
@@ -166,7 +188,7 @@ def individuals(df: DataFrame, series: str, order: list[str], value: str) -> Dat
     w = Window.partitionBy(series).orderBy(*order)
     d = df.withColumns({"i": F.row_number().over(w), "_mr": F.abs(F.col(value) - F.lag(value).over(w))})
     limits = d.groupBy(series).agg(F.avg(value).alias("centre"), (F.avg("_mr") / 1.128).alias("sigma"))
-    return d.join(F.broadcast(limits), series).drop("_mr").withColumn("z", F.when(F.col("sigma") > 0, (F.col(value) - F.col("centre")) / F.col("sigma")))
+    return d.join(limits, series).drop("_mr").withColumn("z", F.when(F.col("sigma") > 0, (F.col(value) - F.col("centre")) / F.col("sigma")))
 
 
 def nelson(df: DataFrame, series: str, z: str = "z", order: str = "i") -> DataFrame:
@@ -214,13 +236,16 @@ def icc(df: DataFrame, cluster: str, y: Column) -> DataFrame:
 
 
 def auroc(df: DataFrame, y: str, score: str) -> DataFrame:
-    """n, positives, auroc: by counts per distinct score, ties at half; one class alone has none."""
-    per = df.groupBy(score).agg(F.sum(F.col(y).cast("bigint")).alias("p"), F.count(F.lit(1)).alias("m"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = per.select("p", "m", (F.col("m") - F.col("p")).alias("q")).groupBy().agg(F.sum("p").alias("pos"), F.sum("q").alias("neg"))
-    lower = per.withColumn("q", F.col("m") - F.col("p")).withColumn("before", F.coalesce(F.sum("q").over(w), F.lit(0)))
-    u = lower.agg(F.sum(F.col("p") * (F.col("before") + F.col("q") / 2)).alias("u"))
-    return u.join(F.broadcast(below)).select((F.col("pos") + F.col("neg")).alias("n"), F.col("pos").alias("positives"), F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("u") / (F.col("pos") * F.col("neg"))).alias("auroc"))
+    """n, positives, auroc, average_precision: by counts per distinct score, ties at half; one class alone has none."""
+    per = df.groupBy(score).agg(F.sum(F.col(y).cast("bigint")).alias("p"), F.count(F.lit(1)).alias("m")).withColumn("q", F.col("m") - F.col("p"))
+    lower = total_before(per, score, "q").withColumnRenamed("before", "q_below")
+    lower = total_before(lower, score, "p").withColumnRenamed("before", "p_below")
+    all_p, all_q = per.select(F.sum("p")).scalar(), per.select(F.sum("q")).scalar()
+    up_p, up_q = F.col("pos") - F.col("p_below"), F.col("neg") - F.col("q_below")  # of this score and above
+    d = lower.withColumns({"pos": all_p, "neg": all_q})
+    s = d.agg(F.max("pos").alias("pos"), F.max("neg").alias("neg"), F.sum(F.col("p") * (F.col("q_below") + F.col("q") / 2)).alias("u"), F.sum(F.col("p") * up_p / (up_p + up_q)).alias("ap"))
+    some = (F.col("pos") > 0) & (F.col("neg") > 0)
+    return s.select((F.col("pos") + F.col("neg")).alias("n"), F.col("pos").alias("positives"), F.when(some, F.col("u") / (F.col("pos") * F.col("neg"))).alias("auroc"), F.when(some, F.col("ap") / F.col("pos")).alias("average_precision"))
 
 
 def energy_statistic(df: DataFrame, vector: str, group: str) -> DataFrame:

@@ -47,29 +47,31 @@ def _mean(family: str):
     return lambda e: np.exp(np.clip(e, -30, 30)), lambda m: m
 
 
-def glm(d: DataFrame, p: int, family: str = "binomial", penalty: str = "", steps: int = 30) -> tuple[np.ndarray, np.ndarray, float]:
-    """(coefficients, covariance, Pearson dispersion) of a design() by Newton's method: one aggregation per step, p numbers and a p x p matrix at the driver. penalty 'firth' adds the hat diagonal to the score, which bounds separated coefficients."""
+def glm(d: DataFrame, p: int, family: str = "binomial", penalty: str = "", steps: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
+    """(coefficients, covariance, Pearson dispersion) of a design() by Newton's method: one aggregation per step, p numbers and a p x p matrix at the driver. penalty 'firth' adds the hat diagonal to the score, which bounds separated coefficients; the hat needs the information at the same coefficients, so a step takes two aggregations then."""
     mean, var = _mean(family)
     b = np.zeros(p)
-    inverse = None
-    for _ in range(steps):
 
-        def parts(x, y, w, o, b=b, inverse=inverse):
+    def parts(b, inverse=None):
+        def run(x, y, w, o):
             m = mean(x @ b + o)
             v = w * var(m)
             r = w * (y - m)
-            if penalty == "firth" and inverse is not None:
+            if inverse is not None:
                 r = r + v * np.einsum("ij,jk,ik->i", x, inverse, x) * (0.5 - m)
             return np.concatenate([x.T @ r, ((x * v[:, None]).T @ x).ravel(), [(w * (y - m) ** 2 / var(m)).sum(), len(y)]])
 
-        s = _sums(d, parts, p + p * p + 2)
-        info = s[p : p + p * p].reshape(p, p)
-        first = inverse is None
-        inverse = np.linalg.pinv(info)
+        return run
+
+    for _ in range(steps):
+        s = _sums(d, parts(b), p + p * p + 2)
+        inverse = np.linalg.pinv(s[p : p + p * p].reshape(p, p))
+        if penalty == "firth":
+            s = _sums(d, parts(b, inverse), p + p * p + 2)
         step = inverse @ s[:p]
         step *= min(1.0, 5.0 / max(abs(step).max(), 1e-12))
         b = b + step
-        if abs(step).max() < 1e-8 and not (first and penalty):
+        if abs(step).max() < 1e-8:
             break
     return b, inverse, s[-2] / max(1.0, s[-1] - p)
 
@@ -97,56 +99,95 @@ def terms(names: list[str], b: np.ndarray, cov: np.ndarray) -> list[tuple]:
 TERMS = "term string, ratio double, low double, high double, p double"
 
 
-def latent_classes(patterns: DataFrame, items: list[str], k: int, starts: int = 4, steps: int = 200, seed: int = 1) -> DataFrame:
-    """class, share, item, probability, log_likelihood, bic of the best of several starts of a Bernoulli mixture.
+def class_counts(patterns: DataFrame, items: list[str], most: int = 7, starts: int = 20, steps: int = 500, seed: int = 1) -> DataFrame:
+    """classes, start, log_likelihood, bic, steps, shares, probabilities: Bernoulli mixtures of 1 to `most` classes from `starts` starts each, to convergence.
 
-    patterns holds the distinct response patterns with a weight, unknown answers
-    integrated out. A step is one aggregation for all starts at once: tasks send sums
-    of responsibilities, and the driver holds starts x k x items numbers.
+    Each fit is a task's work over the distinct response patterns with their weights,
+    of which q yes/no/unknown items have at most 3^q, whatever the number of rows.
     """
-    rng = np.random.default_rng(seed)
-    d = patterns.select(F.array(*[F.col(c).cast("double") for c in items]).alias("x"), F.col("weight").cast("double").alias("w"))
-    share, prob = np.full((starts, k), 1 / k), rng.uniform(0.2, 0.8, (starts, k, len(items)))
-    q, size = len(items), starts * k * (2 * len(items) + 1) + starts
-    before = None
-    for _ in range(steps):
-
-        def run(batches: Iterator[pa.RecordBatch], share=share, prob=prob) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(size)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, q)
-                w, seen = b.column("w").to_numpy(), ~np.isnan(x)
-                x = np.where(seen, x, 0.0)
-                for s in range(starts):
-                    ll = np.log(share[s]) + x @ np.log(prob[s]).T + (seen - x) @ np.log1p(-prob[s]).T
-                    top = ll.max(axis=1, keepdims=True)
-                    like = np.exp(ll - top)
-                    r = like / like.sum(axis=1, keepdims=True) * w[:, None]
-                    at = s * k * (2 * q + 1)
-                    total[at : at + k] += r.sum(axis=0)
-                    total[at + k : at + k + k * q] += (r.T @ x).ravel()
-                    total[at + k + k * q : at + k + 2 * k * q] += (r.T @ seen).ravel()
-                    total[-starts + s] += (w * (top[:, 0] + np.log(like.sum(axis=1)))).sum()
-            yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total)], ["i", "v"])
-
-        got = np.zeros(size)
-        for r in d.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-            got[r.i] = r.v
-        each = got[: -starts].reshape(starts, k * (2 * q + 1))
-        n = each[:, :k]
-        share = n / n.sum(axis=1, keepdims=True)
-        prob = (each[:, k : k + k * q].reshape(starts, k, q) + 0.5) / (each[:, k + k * q :].reshape(starts, k, q) + 1.0)
-        log = got[-starts:]
-        if before is not None and np.abs(log - before).max() < 1e-7 * np.abs(log).max():
-            break
-        before = log
-    best = int(log.argmax())
-    bic = -2 * log[best] + (k * q + k - 1) * math.log(n[best].sum())
-    order = np.argsort(-share[best])
-    rows = [(int(c), float(share[best][j]), item, float(prob[best][j][i]), float(log[best]), float(bic)) for c, j in enumerate(order) for i, item in enumerate(items)]
-    return patterns.sparkSession.createDataFrame(rows, "class int, share double, item string, probability double, log_likelihood double, bic double")
+    spark, q = patterns.sparkSession, len(items)
+    runs = spark.createDataFrame([(k, s) for k in range(1, most + 1) for s in range(starts if k > 1 else 1)], "classes int, start int")
+    rows = patterns.select(F.array(*[F.col(c).cast("double") for c in items]).alias("x"), F.col("weight").cast("double").alias("w"))
+    met = rows.crossJoin(F.broadcast(runs)).repartition("classes", "start")  # a declared list of runs
+
+    def fit(key: tuple, pdf) -> object:
+        import pandas as pd
+
+        k, start = int(key[0]), int(key[1])
+        pdf = pdf.iloc[np.lexsort(np.stack(pdf["x"].map(lambda v: np.nan_to_num(np.array(v, float), nan=2.0)).to_list()).T)]
+        x, w = np.array([[np.nan if v is None else v for v in r] for r in pdf["x"]], float), pdf["w"].to_numpy()
+        seen = ~np.isnan(x)
+        x = np.where(seen, x, 0.0)
+        rng = np.random.default_rng([seed, k, start])
+        share, prob, before = np.full(k, 1 / k), rng.uniform(0.2, 0.8, (k, q)), -np.inf
+        for step in range(1, steps + 1):
+            ll = np.log(share) + x @ np.log(prob).T + (seen - x) @ np.log1p(-prob).T
+            top = ll.max(axis=1, keepdims=True)
+            like = np.exp(ll - top)
+            log = float((w * (top[:, 0] + np.log(like.sum(axis=1)))).sum())
+            r = like / like.sum(axis=1, keepdims=True) * w[:, None]
+            share = np.maximum(r.sum(axis=0) / w.sum(), 1e-12)
+            prob = np.clip((r.T @ x) / np.maximum(r.T @ seen, 1e-12), 1e-6, 1 - 1e-6)
+            if abs(log - before) < 1e-7 * max(1.0, abs(log)):
+                break
+            before = log
+        order = np.argsort(-share)
+        bic = -2 * log + (k * q + k - 1) * math.log(w.sum())
+        return pd.DataFrame({"classes": [k], "start": [start], "log_likelihood": [log], "bic": [bic], "steps": [step], "shares": [share[order].tolist()], "probabilities": [prob[order].tolist()]})
+
+    return met.groupBy("classes", "start").applyInPandas(fit, "classes int, start int, log_likelihood double, bic double, steps int, shares array<double>, probabilities array<array<double>>")
+
+
+def best_classes(fits: DataFrame) -> DataFrame:
+    """Of class_counts() the best start for each number of classes, with chosen: the least BIC."""
+    best = fits.groupBy("classes").agg(F.max_by(F.struct("log_likelihood", "bic", "shares", "probabilities"), F.struct("log_likelihood", -F.col("start"))).alias("b"))
+    best = best.select("classes", "b.*")
+    return best.withColumn("chosen", F.col("bic") == best.select(F.min("bic")).scalar())
+
+
+def assign(df: DataFrame, items: list[str], best: DataFrame) -> DataFrame:
+    """df with class (0: the largest) and its posterior share, by the chosen mixture, which is one row."""
+    m = best.where("chosen").select("shares", "probabilities")
+    x = F.array(*[F.col(c).cast("double") for c in items])
+    log = lambda p: F.aggregate(F.zip_with(x, p, lambda v, pr: F.when(v.isNull(), 0.0).otherwise(v * F.log(pr) + (1 - v) * F.log(1 - pr))), F.lit(0.0), lambda s, v: s + v)
+    d = df.withColumns({"_s": m.select("shares").scalar(), "_p": m.select("probabilities").scalar()})
+    d = d.withColumn("_l", F.zip_with("_s", "_p", lambda s, p: F.log(s) + log(p)))
+    top = F.array_max("_l")
+    total = F.aggregate("_l", F.lit(0.0), lambda s, v: s + F.exp(v - F.array_max("_l")))
+    return d.withColumns({"class": (F.array_position("_l", top) - 1).cast("int"), "posterior": 1 / total}).drop("_s", "_p", "_l")
+
+
+def calibration(df: DataFrame, y: str, p: str, tiny: float = 1e-6) -> DataFrame:
+    """intercept (with the log odds as offset), slope: 0 and 1 where predictions are calibrated."""
+    c = F.least(F.greatest(F.col(p), F.lit(tiny)), F.lit(1 - tiny))
+    d = df.withColumn("_logit", F.log(c / (1 - c)))
+    level = glm(design(d, [], y, offset="_logit"), 1)[0]
+    slope = glm(design(d, ["_logit"], y), 2)[0]
+    return df.sparkSession.createDataFrame([(float(level[0]), float(slope[1]))], "intercept double, slope double")
+
+
+def flic(d: DataFrame, b: np.ndarray) -> np.ndarray:
+    """Coefficients of a penalised fit with the intercept fitted anew by likelihood, so that predictions add up to the events."""
+    eta = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in [0.0, *b[1:]]]), lambda x, v: x * v), F.lit(0.0), lambda s, v: s + v) + F.col("o")
+    alone = d.select(F.array(F.lit(1.0)).alias("x"), "y", "w", eta.alias("o"))
+    return np.concatenate([glm(alone, 1)[0], b[1:]])
+
+
+def independent_columns(df: DataFrame, columns: list[str], tolerance: float = 1e-9) -> list[str]:
+    """The columns that are no linear combination of a constant and those before them, from one aggregation of products."""
+    every = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
+    k = len(every)
+    got = df.agg(*[F.sum(every[i] * every[j]) for i in range(k) for j in range(k)]).first()
+    gram = np.array(got, float).reshape(k, k)
+    scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    gram = gram / np.outer(scale, scale)
+    kept = [0]
+    for i in range(1, k):
+        inner = gram[np.ix_(kept, kept)]
+        rest = gram[i, i] - gram[i, kept] @ np.linalg.pinv(inner) @ gram[kept, i]
+        if rest > tolerance:
+            kept.append(i)
+    return [columns[i - 1] for i in kept[1:]]
 
 
 def boosted(train: DataFrame, test: DataFrame, features: list[str], y: str, rounds: int = 20) -> DataFrame:
@@ -161,20 +202,35 @@ def boosted(train: DataFrame, test: DataFrame, features: list[str], y: str, roun
     return out.withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).drop("_x", "rawPrediction", "probability", "prediction")
 
 
-def bootstrap_capability(df: DataFrame, group: str, value: str, low: float, high: float, draws: int = 200) -> DataFrame:
-    """group, ppk_low, ppk_high: each replicate weighs a row by a Poisson draw from a hash of the row's place and the replicate, so that it needs no join and repeats exactly."""
-    d = df.select(group, F.col(value).alias("v"), F.xxhash64(*df.columns).alias("h")).select(group, "v", "h", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("b"))
-    u = F.pmod(F.xxhash64("h", "b"), F.lit(1_000_003)) / 1_000_003.0
-    cuts, w, total = [], F.lit(0), 0.0
-    for k in range(7):
-        total += math.exp(-1) / math.factorial(k)
-        cuts.append(total)
-        w = w + (u >= total).cast("int")
-    s = d.withColumn("w", w).groupBy(group, "b").agg(F.sum("w").alias("n"), F.sum(F.expr("w * v")).alias("s"), F.sum(F.expr("w * v * v")).alias("q"))
+def bootstrap_capability(df: DataFrame, group: str, value: str, low: float, high: float, draws: int = 2000) -> DataFrame:
+    """group, ppk_low, ppk_high: each replicate weighs a row by a Poisson draw from a hash of the row and the replicate, so that it repeats exactly. Tasks add up weighted moments; one row for each group and replicate is shuffled."""
+    kind = df.schema[group].dataType.simpleString()
+    d = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.xxhash64(*df.columns).alias("h"))
+    cuts = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
+    seeds = np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for b in batches:
+            names, v, h = b.column("g").to_pylist(), b.column("v").to_numpy(), b.column("h").to_numpy().view(np.uint64)
+            for i in range(0, len(v), 500):
+                x = h[i : i + 500, None] ^ seeds
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                w = np.searchsorted(cuts, (x >> np.uint64(11)).ravel() * 2.0**-53, side="right").reshape(x.shape).astype(float)
+                part, some = np.array(names[i : i + 500], object), v[i : i + 500]
+                for g in set(part.tolist()):
+                    at = part == g
+                    total = sums.setdefault(g, np.zeros((3, draws)))
+                    total += np.stack([np.ones(at.sum()), some[at], some[at] ** 2]) @ w[at]
+        for g, t in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * draws), pa.array(range(draws), pa.int32()), *map(pa.array, t)], ["g", "b", "n", "s", "q"])
+
+    s = d.mapInArrow(run, f"g {kind}, b int, n double, s double, q double").groupBy("g", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).where("n > 1")
     mean = F.col("s") / F.col("n")
-    sd = F.sqrt((F.col("q") - F.col("n") * mean * mean) / (F.col("n") - 1))
-    ppk = s.select(group, F.least((mean - low) / (3 * sd), (high - mean) / (3 * sd)).alias("ppk"))
-    return ppk.groupBy(group).agg(F.percentile("ppk", F.lit(0.025)).alias("ppk_low"), F.percentile("ppk", F.lit(0.975)).alias("ppk_high"))
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("q") - F.col("n") * mean * mean) / (F.col("n") - 1))
+    ppk = s.select("g", F.when(sd > 0, F.least((mean - low) / (3 * sd), (high - mean) / (3 * sd))).alias("ppk"))
+    return ppk.groupBy(F.col("g").alias(group)).agg(F.percentile("ppk", F.lit(0.025)).alias("ppk_low"), F.percentile("ppk", F.lit(0.975)).alias("ppk_high"))
 
 
 def hodges_lehmann(df: DataFrame, block: list[str], value: str, side: Column) -> DataFrame:

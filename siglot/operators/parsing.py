@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Cells that mean "missing" and "not applicable", and the words of a yes/no and of a sex cell.
-MISSING = ["", "NAN", "NAT", "NONE", "NULL", "-", "--", "?", "ND", "S/D"]
-NOT_APPLICABLE = ["N", "NO", "NA", "N/A", "NP", "NO PROCEDE"]
-YES = ["S", "SI", "Y", "YES", "1", "X", "TRUE"]
-NO = ["N", "NO", "0", "FALSE"]
-MALE = ["M", "MASC", "MASCULINO", "MALE", "H", "HOMBRE"]
-FEMALE = ["F", "FEM", "FEMENINO", "FEMALE", "MUJER"]
+# Fixed values, as normalize() leaves them: cells that mean "missing" and "not applicable", and the words of a yes/no and of a sex cell.
+MISSING = ["", "NA", "N A", "NAN", "NONE", "NULL", "ND", "S D", "SD", "SIN DATOS", "SIN DATO", "NO CONSTA", "DESCONOCIDO", "DESC", "NR", "NO REFIERE"]
+NOT_APPLICABLE = ["N", "NO", "N A", "NO PROCEDE", "NP", "NO APLICA"]
+YES = ["S", "SI", "Y", "YES", "1", "X", "POSITIVO", "VERDADERO", "TRUE"]
+NO = ["N", "NO", "0", "NEGATIVO", "FALSO", "FALSE"]
+MALE = ["M", "MASCULINO", "MASC", "H", "HOMBRE", "VARON", "MALE"]
+FEMALE = ["F", "FEMENINO", "FEM", "MUJER", "HEMBRA", "FEMALE"]
 
 SPACES = "[ \\u00a0\\u2000-\\u200a\\u202f\\u3000]"
 
@@ -48,31 +48,57 @@ def strip_accents(c: Column) -> Column:
     return F.pandas_udf(_plain, "string")(c)
 
 
+def _folds() -> dict[str, str]:
+    """Each look-alike, accented or wide character that stands for one plain ASCII character."""
+    out = {chr(a): chr(b) for a, b in LOOK_ALIKES.items()}
+    for k in [*range(0xA1, 0x2200), *range(0xFF01, 0xFF5F)]:
+        plain = [x for x in unicodedata.normalize("NFKD", out.get(chr(k), chr(k))) if not unicodedata.combining(x)]
+        if len(plain) == 1 and plain[0].isascii() and plain[0] != chr(k):
+            out[chr(k)] = plain[0]
+    return out
+
+
+_FOLDS = _folds()
+
+
+def fold(c: Column) -> Column:
+    """strip_accents() for cells, in the JVM: characters that stand for one ASCII character, and combining marks dropped."""
+    return F.regexp_replace(F.translate(c, "".join(_FOLDS), "".join(_FOLDS.values())), "[\\u0300-\\u036f]", "")
+
+
 def normalize(c: Column) -> Column:
-    """Upper case, letters and digits only, single blanks."""
-    return F.trim(F.regexp_replace(F.upper(c), "[^0-9A-Z]+", " "))
+    """Without accents, upper case, letters and digits only, single blanks."""
+    return F.trim(F.regexp_replace(F.upper(fold(c)), "[^0-9A-Z]+", " "))
 
 
 def compact(c: Column) -> Column:
     return F.replace(normalize(c), F.lit(" "), F.lit(""))
 
 
+def missing(c: Column) -> Column:
+    """Whether a cell says nothing, or says that nothing is known."""
+    return c.isNull() | normalize(c).isin(MISSING)
+
+
 def result(value: Column, status: Column) -> Column:
     return F.struct(value.alias("value"), status.alias("status"))
 
 
 def yes_no(c: Column) -> Column:
     """Three-valued: blank is unknown, not no. Repeated letters ('SS') are recovered."""
-    t = F.upper(cell(c))
-    value = F.when(t.isin(YES) | t.rlike("^S+$"), True).when(t.isin(NO) | t.rlike("^N+$"), False)
-    status = F.when(t.isNull() | t.isin(MISSING), "missing").when(t.isin(*YES, *NO), "ok").when(value.isNotNull(), "recovered").otherwise("invalid")
-    return result(value, status)
+    c = cell(c)
+    t = normalize(c)
+    tight = F.replace(t, F.lit(" "), F.lit(""))
+    value = F.when(t.isin(YES) | tight.rlike("^S+$"), True).when(t.isin(NO) | tight.rlike("^N+$"), False)
+    status = F.when(t.isin(*YES, *NO), "ok").when(missing(c), "missing").when(value.isNotNull(), "recovered").otherwise("invalid")
+    return result(F.when(status.isin("ok", "recovered"), value), status)
 
 
 def sex(c: Column) -> Column:
     t = compact(cell(c))
     value = F.when(t.isin(MALE), "M").when(t.isin(FEMALE), "F")
-    return result(value, F.when(t.isNull() | (t == ""), "missing").when(value.isNotNull(), "ok").otherwise("invalid"))
+    none = t.isNull() | t.isin([m.replace(" ", "") for m in MISSING])
+    return result(value, F.when(value.isNotNull(), "ok").when(none, "missing").otherwise("invalid"))
 
 
 def number(c: Column) -> Column:
@@ -88,9 +114,9 @@ def number(c: Column) -> Column:
         .when(dots > 1, drop(t, "."))
         .otherwise(t)
     )
-    value = F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain.try_cast("double"))
-    status = F.when(t.isNull() | F.upper(t).isin(MISSING), "missing").when(value.isNull(), "invalid").when(commas + dots > F.when(commas == 0, F.least(dots, F.lit(1))).otherwise(0), "recovered").otherwise("ok")
-    return result(value, status)
+    value = F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain.try_cast("double"))
+    status = F.when(missing(cell(c)), "missing").when(value.isNull(), "invalid").when(commas + dots > F.when(commas == 0, F.least(dots, F.lit(1))).otherwise(0), "recovered").otherwise("ok")
+    return result(F.when(status != "missing", value), status)
 
 
 def integer(c: Column) -> Column:
@@ -108,7 +134,7 @@ MONTHS = {
 
 def date(c: Column, pivot: int = 30) -> Column:
     """c is a cell() already. ISO first, then day/month/year, then month/day/year (recovered), serial days since 1899-12-30, and day, month word, year."""
-    t = F.lower(c)
+    t = F.lower(fold(c))
     iso = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1)
     g = lambda k, p: F.regexp_extract(t, p, k)
     dmy = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})$"
@@ -125,20 +151,32 @@ def date(c: Column, pivot: int = 30) -> Column:
         F.when(serial.between(10000, 80000), F.date_add(F.lit("1899-12-30").cast("date"), serial)),
     )
     status = (
-        F.when(t.isNull() | F.upper(t).isin(MISSING), "missing").when(F.upper(t).isin(NOT_APPLICABLE), "not_applicable")
+        F.when(t.isNull(), "missing").when(normalize(t).isin(NOT_APPLICABLE), "not_applicable").when(missing(t), "missing")
         .when(value.isNull(), "invalid").when((t.rlike(dmy) & first.isNull()) | serial.isNotNull(), "recovered").otherwise("ok")
     )
     return result(value, status)
 
 
+# Units of age in months; a month has 365.25 / 12 days.
+UNITS = {
+    "A": 12.0, "ANO": 12.0, "ANOS": 12.0, "AN": 12.0, "Y": 12.0, "YEARS": 12.0, "M": 1.0, "MES": 1.0, "MESES": 1.0, "MS": 1.0,
+    "D": 12 / 365.25, "DIA": 12 / 365.25, "DIAS": 12 / 365.25, "S": 84 / 365.25, "SEM": 84 / 365.25, "SEMANA": 84 / 365.25, "SEMANAS": 84 / 365.25,
+}
+NEWBORN = ["RN", "RECIENNACIDO", "NEONATO"]
+
+
 def age_months(c: Column) -> Column:
-    """'6M', '1A6M', '10D', 'RN' and words; a bare number is invalid."""
-    t = compact(cell(c))
-    part = lambda u: F.coalesce(F.nullif(F.regexp_extract(t, rf"(\d+)(?:{u})", 1), F.lit("")).try_cast("double"), F.lit(0.0))
-    shaped = t.rlike(r"^(\d+(A|ANOS?|AÑOS?|Y|M|MESES|MES|S|SEM|SEMANAS?|D|DIAS?))+$")
-    total = part("A") * 12 + part("Y") * 12 + part("M") + part("S") * 7 / 30.4375 + part("D") / 30.4375
-    value = F.when(t.isin("RN", "RECIENNACIDO"), 0.0).when(shaped, total)
-    return result(value, F.when(t.isNull() | (t == ""), "missing").when(value.isNotNull(), "ok").otherwise("invalid"))
+    """'6M', '1A6M', '1,5 A', '10D', 'RN' and words; a bare number, or an unknown unit, is invalid."""
+    c = cell(c)
+    t = F.regexp_replace(F.upper(fold(c)), r"(?<=\d)[.,](?=\d)", "#")  # decimal signs outlive the other signs
+    t = F.replace(F.regexp_replace(t, "[^0-9A-Z#]+", ""), F.lit("#"), F.lit("."))
+    units = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
+    part = r"(\d+(?:\.\d+)?)([A-Z]+)"
+    amounts, names = F.regexp_extract_all(t, F.lit(part), 1), F.regexp_extract_all(t, F.lit(part), 2)
+    months = F.zip_with(amounts, names, lambda n, u: n.try_cast("double") * F.try_element_at(units, u))
+    total = F.aggregate(months, F.lit(0.0), lambda x, y: x + y)
+    value = F.when(t.isin(NEWBORN), 0.0).when(t.rlike(f"^({part})+$"), total)
+    return result(F.when(~missing(c), value), F.when(missing(c), "missing").when(value.isNotNull(), "ok").otherwise("invalid"))
 
 
 def age_group(months: Column) -> Column:
@@ -268,13 +306,13 @@ DOSE_WORDS = {
     "PRIMERA": "1", "SEGUNDA": "2", "TERCERA": "3", "CUARTA": "4", "QUINTA": "5", "REFUERZO": "R", "REF": "R", "REACTIVACION": "R", "R1": "R", "R2": "R",
     "UNICA": "U", "UNICO": "U", "DOSISUNICA": "U",
 }
-ORDINAL = "^([1-5])(RA|DA|TA|RO|DO|TO|MA|NA|A|O|ª|º)?$"
+ORDINAL = "^([1-5])(RA|DA|TA|RO|DO|TO|MA|NA|A|O)?$"
 FRACTIONS = [(1, 2), (1, 3), (2, 3), (1, 4), (3, 4), (1, 5), (2, 5), (3, 5), (4, 5)]
 
 
 def doses(c: Column) -> Column:
     """A cell() as array of doses (1 to 5, R, U) with status: lists and words; '2.1' and '0.5' are two doses that became a number, and a date two that became a day and a month."""
-    t = F.translate(F.upper(c), "ÁÉÍÓÚ", "AEIOU")
+    t = F.upper(fold(c))
     words = F.create_map(*[F.lit(x) for kv in DOSE_WORDS.items() for x in kv])
     token = lambda x: F.when(x.isin("R", "U"), x).when(F.try_element_at(words, x).isNotNull(), F.try_element_at(words, x)).when(x.rlike(ORDINAL), F.substring(x, 1, 1))
     one = token(F.replace(t, F.lit(" "), F.lit("")))
@@ -290,5 +328,5 @@ def doses(c: Column) -> Column:
         .when(t.rlike(day), F.array(part(day, 2), part(day, 1))).when(list_ok, listed)
     )
     repaired = one.isNull() & (t.rlike(day) | (t.rlike(number) & ~F.contains(t, F.lit(","))))
-    status = F.when(t.isNull() | t.isin(MISSING), "missing").when(value.isNull(), "invalid").when(repaired & ~(t.rlike(number) & whole.isNotNull()), "recovered").otherwise("ok")
+    status = F.when(missing(c), "missing").when(value.isNull(), "invalid").when(repaired & ~(t.rlike(number) & whole.isNotNull()), "recovered").otherwise("ok")
     return result(value, status)

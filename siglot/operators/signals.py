@@ -98,7 +98,7 @@ def cooccurrence(events: DataFrame, least_share: float = 0.01) -> DataFrame:
     single = known.groupBy("event").agg(F.count(F.lit(1)).alias("n1")).withColumn("total", n).where(F.col("n1") >= least_share * F.col("total"))
     pairs = known.alias("l").join(known.alias("r"), F.expr("l.record_id = r.record_id and l.event < r.event")).groupBy(F.col("l.event").alias("x"), F.col("r.event").alias("y")).agg(F.count(F.lit(1)).alias("n11"))
     x, y = (single.select(F.col("event").alias(k), F.col("n1").alias(f"n_{k}"), F.col("total").alias(f"t_{k}")) for k in "xy")
-    d = pairs.join(F.broadcast(x), "x").join(F.broadcast(y), "y")
+    d = pairs.join(x, "x").join(y, "y")
     n10, n01 = F.col("n_x") - F.col("n11"), F.col("n_y") - F.col("n11")
     n00 = F.col("t_x") - F.col("n_x") - F.col("n_y") + F.col("n11")
     return d.select("x", "y", "n11", F.log((F.col("n11") + 0.5) * (n00 + 0.5) / ((n10 + 0.5) * (n01 + 0.5))).alias("log_or"))

@@ -16,11 +16,13 @@ def _c1(spark, sf):
     return table(spark, sf, "part").select("p_partkey", P.cell(F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(".0 "))).alias("cell"))
 
 
-@query("c2_strip_accents", "select doc_id, lower(strip_accents(regexp_extract(text, '^[^\\n]*', 0))) as plain from documents where regexp_full_match(regexp_extract(text, '^[^\\n]*', 0), '[ -~áéíóúñàâçèêëîïôûùüöäÁÉÍÓÚÑÀÂÇÈÊËÎÏÔÛÙÜÖÄ]*')")
+@query("c2_strip_accents", """
+select p_partkey, upper(strip_accents(case p_size % 4 when 0 then 'Camagüey Ñandú ' when 1 then 'ÁÉÍÓÚ âêîôû ç ' when 2 then 'Žluťoučký kůň ' else 'Größe ' end || p_name)) as plain from part
+""")
 def _c2(spark, sf):
-    first = F.regexp_extract("text", r"^[^\n]*", 0)
-    marked = "áéíóúñàâçèêëîïôûùüöäÁÉÍÓÚÑÀÂÇÈÊËÎÏÔÛÙÜÖÄ"
-    return table(spark, sf, "documents").where(first.rlike(f"^[ -~{marked}]*$")).select("doc_id", F.lower(P.strip_accents(first)).alias("plain"))
+    k = F.col("p_size") % 4
+    marked = F.when(k == 0, "Camagüey Ñandú ").when(k == 1, "ÁÉÍÓÚ âêîôû ç ").when(k == 2, "Žluťoučký kůň ").otherwise("Größe ")
+    return table(spark, sf, "part").select("p_partkey", F.upper(P.fold(F.concat(marked, "p_name"))).alias("plain"))
 
 
 @query("c2_strip_accents_whole")
@@ -38,34 +40,46 @@ def _c3(spark, sf):
     return table(spark, sf, "part").select("p_partkey", P.normalize(t).alias("normal"), P.compact(t).alias("tight"))
 
 
-@query("c4_missing_tokens", """
-with t as (select o_orderkey, case when o_orderkey % 4 = 0 then 'N/A' when o_orderkey % 4 = 1 then '-' when o_orderkey % 4 = 2 then 'nan' else o_orderstatus end as raw from orders)
-select o_orderkey, upper(raw) in ('', 'NAN', 'NAT', 'NONE', 'NULL', '-', '--', '?', 'ND', 'S/D') as missing, upper(raw) in ('N', 'NO', 'NA', 'N/A', 'NP', 'NO PROCEDE') as not_applicable from t
+_NONE = "'', 'NA', 'N A', 'NAN', 'NONE', 'NULL', 'ND', 'S D', 'SD', 'SIN DATOS', 'SIN DATO', 'NO CONSTA', 'DESCONOCIDO', 'DESC', 'NR', 'NO REFIERE'"
+_CELLS = ["N/A", "-", "nan", "Sin datos", "no consta", "S/D", "No procede", "np", "¿?", "Sí", "No", "NN", "desconocido", "quizás", "Varón", " m, ", "Femenino.", "х"]  # the last is Cyrillic
+
+
+def _cell(df, key):
+    """One of the spellings by the row's key."""
+    return df.withColumn("raw", F.element_at(F.array(*[F.lit(x) for x in _CELLS]), (F.col(key) % len(_CELLS) + 1).cast("int")))
+
+
+_SPELT = f"(values {', '.join(f'({i}, {chr(39)}{x}{chr(39)})' for i, x in enumerate(_CELLS))}) as s(k, raw)"
+_NORMAL = "trim(regexp_replace(upper(strip_accents(replace(raw, 'х', 'x'))), '[^0-9A-Z]+', ' ', 'g'))"
+
+
+@query("c4_missing_tokens", f"""
+select o_orderkey, n in ({_NONE}) as missing, n in ('N', 'NO', 'N A', 'NO PROCEDE', 'NP', 'NO APLICA') as not_applicable
+from (select o_orderkey, {_NORMAL} as n from orders join {_SPELT} on o_orderkey % {len(_CELLS)} = k)
 """)
 def _c4(spark, sf):
-    k = F.col("o_orderkey") % 4
-    raw = F.upper(F.when(k == 0, "N/A").when(k == 1, "-").when(k == 2, "nan").otherwise(F.col("o_orderstatus")))
-    return table(spark, sf, "orders").select("o_orderkey", raw.isin(P.MISSING).alias("missing"), raw.isin(P.NOT_APPLICABLE).alias("not_applicable"))
+    rows = _cell(table(spark, sf, "orders"), "o_orderkey")
+    return rows.select("o_orderkey", P.missing(F.col("raw")).alias("missing"), P.normalize(F.col("raw")).isin(P.NOT_APPLICABLE).alias("not_applicable"))
 
 
-@query("c5_yes_no", """
-with t as (select l_orderkey, l_linenumber, case l_returnflag when 'A' then ' si ' when 'N' then 'NN' else case when l_linestatus = 'O' then '?' else 'maybe' end end as raw from lineitem)
-select l_orderkey, l_linenumber, case when raw = ' si ' then true when raw = 'NN' then false end as value,
-       case raw when ' si ' then 'ok' when 'NN' then 'recovered' when '?' then 'missing' else 'invalid' end as status from t
+@query("c5_yes_no", f"""
+select l_orderkey, l_linenumber, case when n in ('SI', 'X') then true when n in ('NO', 'NN') then false end as value,
+  case when n in ('SI', 'X', 'NO') then 'ok' when n = 'NN' then 'recovered' when n in ({_NONE}) then 'missing' else 'invalid' end as status
+from (select l_orderkey, l_linenumber, {_NORMAL} as n from lineitem join {_SPELT} on (l_orderkey + l_linenumber) % {len(_CELLS)} = k)
 """)
 def _c5(spark, sf):
-    raw = F.when(F.col("l_returnflag") == "A", " si ").when(F.col("l_returnflag") == "N", "NN").when(F.col("l_linestatus") == "O", "?").otherwise("maybe")
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", P.yes_no(raw).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
+    rows = _cell(table(spark, sf, "lineitem").withColumn("i", F.col("l_orderkey") + F.col("l_linenumber")), "i")
+    return rows.select("l_orderkey", "l_linenumber", P.yes_no(F.col("raw")).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
 
 
-@query("c6_sex", """
-with t as (select c_custkey, case c_mktsegment when 'BUILDING' then 'm,' when 'MACHINERY' then 'Femenino' when 'FURNITURE' then '' else 'x' end as raw from customer)
-select c_custkey, case raw when 'm,' then 'M' when 'Femenino' then 'F' end as value, case raw when '' then 'missing' when 'x' then 'invalid' else 'ok' end as status from t
+@query("c6_sex", f"""
+select c_custkey, case when n in ('M', 'VARON') then 'M' when n = 'FEMENINO' then 'F' end as value,
+  case when n in ('M', 'VARON', 'FEMENINO') then 'ok' when n in ('', 'NA', 'NAN', 'SINDATOS', 'NOCONSTA', 'SD', 'DESCONOCIDO') then 'missing' else 'invalid' end as status
+from (select c_custkey, replace({_NORMAL}, ' ', '') as n from customer join {_SPELT} on c_custkey % {len(_CELLS)} = k)
 """)
 def _c6(spark, sf):
-    s = F.col("c_mktsegment")
-    raw = F.when(s == "BUILDING", "m,").when(s == "MACHINERY", "Femenino").when(s == "FURNITURE", "").otherwise("x")
-    return table(spark, sf, "customer").select("c_custkey", P.sex(raw).alias("r")).select("c_custkey", "r.*")
+    rows = _cell(table(spark, sf, "customer"), "c_custkey")
+    return rows.select("c_custkey", P.sex(F.col("raw")).alias("r")).select("c_custkey", "r.*")
 
 
 @query("c7_number", """
@@ -87,9 +101,12 @@ def _c8(spark, sf):
 
 
 @query("c9_date", """
-select o_orderkey, case when o_orderkey % 7 = 6 then null else cast(cast(o_orderdate as date) as varchar) end as value,
-       case o_orderkey % 7 when 3 then case when day(o_orderdate) > 12 then 'recovered' else 'ok' end when 5 then 'recovered' when 6 then 'not_applicable' else 'ok' end as status
-from orders where not (o_orderkey % 7 = 3 and day(o_orderdate) <= 12)
+select o_orderkey,
+  case when o_orderkey % 7 = 6 then null
+    when o_orderkey % 7 = 3 and day(o_orderdate) <= 12 then cast(make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) as varchar)
+    else cast(cast(o_orderdate as date) as varchar) end as value,
+  case o_orderkey % 7 when 3 then case when day(o_orderdate) > 12 then 'recovered' else 'ok' end when 5 then 'recovered' when 6 then 'not_applicable' else 'ok' end as status
+from orders
 """)
 def _c9(spark, sf):
     d, k = F.to_date("o_orderdate"), F.col("o_orderkey") % 7
@@ -98,8 +115,7 @@ def _c9(spark, sf):
         F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "d/M/yyyy")).when(k == 2, F.date_format(d, "dd.MM.yy")).when(k == 3, F.date_format(d, "M/d/yyyy"))
         .when(k == 4, F.concat_ws(" ", F.dayofmonth(d), en, F.year(d))).when(k == 5, F.datediff(d, F.lit("1899-12-30").cast("date")).cast("string")).otherwise("N")
     )
-    rows = table(spark, sf, "orders").where(~((k == 3) & (F.dayofmonth(d) <= 12)))
-    rows = rows.select("o_orderkey", P.cell(raw).alias("t")).select("o_orderkey", P.date(F.col("t")).alias("r"))
+    rows = table(spark, sf, "orders").select("o_orderkey", P.cell(raw).alias("t")).select("o_orderkey", P.date(F.col("t")).alias("r"))
     return rows.select("o_orderkey", F.col("r.value").cast("string").alias("value"), "r.status")
 
 
@@ -125,12 +141,16 @@ def _c10(spark, sf):
 
 
 @query("c11_age_months", """
-select p_partkey, case p_size % 4 when 0 then cast(p_size as double) when 1 then p_size * 12.0 + 6 when 2 then 0.0 end as value, case p_size % 4 when 3 then 'invalid' else 'ok' end as status from part
+select p_partkey, round(case p_size % 8 when 0 then cast(p_size as double) when 1 then p_size * 12.0 + 6 when 2 then 0.0 when 4 then p_size * 12.0 + 6 when 5 then p_size * 12.0 when 6 then p_size * 84 / 365.25 end, 6) as value,
+  case p_size % 8 when 3 then 'invalid' when 7 then 'missing' else 'ok' end as status from part
 """)
 def _c11(spark, sf):
-    n, k = F.col("p_size").cast("string"), F.col("p_size") % 4
-    raw = F.when(k == 0, F.concat(n, F.lit(" m"))).when(k == 1, F.concat(n, F.lit("A6M"))).when(k == 2, "RN").otherwise(n)
-    return table(spark, sf, "part").select("p_partkey", P.age_months(raw).alias("r")).select("p_partkey", "r.*")
+    n, k = F.col("p_size").cast("string"), F.col("p_size") % 8
+    raw = (
+        F.when(k == 0, F.concat(n, F.lit(" m"))).when(k == 1, F.concat(n, F.lit("A6M"))).when(k == 2, "Recién nacido").when(k == 4, F.concat(n, F.lit(",5 A")))
+        .when(k == 5, F.concat(n, F.lit(" AÑOS"))).when(k == 6, F.concat(n, F.lit(" Sem."))).when(k == 7, "sin datos").otherwise(n)
+    )
+    return table(spark, sf, "part").select("p_partkey", P.age_months(raw).alias("r")).select("p_partkey", F.round("r.value", 6).alias("value"), "r.status")
 
 
 _PAIR = "lineitem join orders on l_orderkey = o_orderkey"

@@ -40,9 +40,12 @@ def _scores(spark, sf):
     return table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select(F.col("quality").alias("y"), F.col("n_chars").alias("score"))
 
 
-@query("m8_auroc", _SCORES + " select cast(sum(p + q) as bigint) as n, cast(sum(p) as bigint) as positives, round(sum(p * (before + q / 2)) / (sum(p) * cast(sum(q) as double)), 6) as auroc from c")
+@query("m8_auroc", _SCORES + """, d as (select *, sum(p) over () as pos, sum(q) over () as neg, coalesce(sum(p) over (order by score rows between unbounded preceding and 1 preceding), 0) as p_before from c)
+select cast(sum(p + q) as bigint) as n, cast(sum(p) as bigint) as positives, round(sum(p * (before + q / 2)) / (sum(p) * cast(sum(q) as double)), 6) as auroc,
+  round(sum(p * cast(pos - p_before as double) / (pos - p_before + neg - before)) / sum(p), 6) as average_precision from d""")
 def _m8(spark, sf):
-    return M.auroc(_scores(spark, sf), "y", "score").withColumn("auroc", F.round("auroc", 6))
+    d = M.auroc(_scores(spark, sf), "y", "score")
+    return d.select("n", "positives", F.round("auroc", 6).alias("auroc"), F.round("average_precision", 6).alias("average_precision"))
 
 
 @query("m8_brier", "select round(avg(pow(quality - least(1, n_chars / 10000.0), 2)), 6) as brier, round(avg(quality), 6) as prevalence from labels join documents using (doc_id)")
@@ -105,7 +108,7 @@ def _terms(spark, d, family, penalty="", robust=False):
 
 @query("m3_m4_firth_logistic")
 def _m4(spark, sf):
-    return _terms(spark, R.design(_model_rows(spark, sf), _X, "y").cache(), "binomial", "firth")
+    return _terms(spark, R.design(_model_rows(spark, sf), _X, "y"), "binomial", "firth")
 
 
 @query("m7_boosted_trees")
@@ -117,7 +120,7 @@ def _m7(spark, sf):
 
 @query("g4_cluster_robust")
 def _g4(spark, sf):
-    return _terms(spark, R.design(_model_rows(spark, sf), _X, "y", cluster="analytic_year").cache(), "binomial", robust=True)
+    return _terms(spark, R.design(_model_rows(spark, sf), _X, "y", cluster="analytic_year"), "binomial", robust=True)
 
 
 @query("g7_lot_level_model")
@@ -125,18 +128,51 @@ def _g7b(spark, sf):
     lots = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("l_returnflag") == "R").cast("double")).alias("share")).where("n >= 5")
     d = R.design(lots.join(table(spark, sf, "supplier").withColumn("z", F.col("s_acctbal") / 1000), F.col("l_suppkey") == F.col("s_suppkey")), ["z"], "share", weight="n").cache()
     b, inverse, phi = R.glm(d, 2)
+    d.unpersist()
     return spark.createDataFrame(R.terms(["z"], b, inverse * max(phi, 1e-12)), R.TERMS)
 
 
+def _patterns(spark, sf):
+    return V.reports(spark, sf).groupBy(*V.EVENTS).agg(F.count(F.lit(1)).alias("weight"))
+
+
 @query("l2_l3_latent_classes")
 def _l3(spark, sf):
-    p = V.reports(spark, sf).groupBy(*V.EVENTS).agg(F.count(F.lit(1)).alias("weight")).cache()
-    return R.latent_classes(p, V.EVENTS, 2, steps=40)
+    best = R.best_classes(R.class_counts(_patterns(spark, sf), V.EVENTS))
+    return best.select("classes", F.round("log_likelihood", 3).alias("log_likelihood"), F.round("bic", 3).alias("bic"), "chosen")
+
+
+@query("l5_classes_of_reports")
+def _l5(spark, sf):
+    best = R.best_classes(R.class_counts(_patterns(spark, sf), V.EVENTS, most=4))
+    d = R.assign(V.reports(spark, sf), V.EVENTS, best)
+    return d.groupBy("class", "hospitalized").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("posterior"), 4).alias("mean_posterior"), *[F.round(F.avg(F.col(e).cast("int")), 6).alias(e) for e in V.EVENTS])
+
+
+@query("m2_independent_columns")
+def _m2(spark, sf):
+    d = _model_rows(spark, sf).withColumn("twice", 2 * F.col("n_products") - F.col("ev_bulk") + 3).withColumn("constant", F.lit(1))
+    kept = R.independent_columns(d, [*_X, "twice", "constant"])
+    return spark.createDataFrame([(c, c in kept) for c in [*_X, "twice", "constant"]], "term string, kept boolean")
+
+
+@query("m5_flic")
+def _m5(spark, sf):
+    d = R.design(_model_rows(spark, sf), _X, "y")
+    b = R.glm(d, len(_X) + 1, "binomial", "firth")[0]
+    new = R.flic(d, b)
+    return spark.createDataFrame([(k, float(x), float(y)) for k, x, y in zip(["intercept", *_X], b, new, strict=True)], "term string, firth double, flic double")
+
+
+@query("m9_calibration")
+def _m9(spark, sf):
+    d = _scores(spark, sf).withColumn("p", F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.col("score") / 10000.0)))
+    return R.calibration(d, "y", "p")
 
 
 @query("q6_bootstrap_ppk")
 def _q6(spark, sf):
-    return R.bootstrap_capability(V.qc(spark, sf).select("series", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), "series", "l_extendedprice", 1000, 90000, draws=50)
+    return R.bootstrap_capability(V.qc(spark, sf).select("series", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), "series", "l_extendedprice", 1000, 90000, draws=2000)
 
 
 @query("q19_hodges_lehmann", "with d as (select p_brand, p_type, avg(p_retailprice) as v from part group by 1, 2), p as (select a.p_brand, a.v - b.v as d from d a join d b on a.p_brand = b.p_brand and a.p_type < 'M' and b.p_type >= 'M') select p_brand, round(quantile_cont(d, 0.5), 4) as shift from p group by 1")

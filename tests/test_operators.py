@@ -26,6 +26,29 @@ def test_yes_no_keeps_blank_unknown(spark):
     assert values(spark, parsing.yes_no, ["S", "nn", " ", "?", "quizás"]) == [(True, "ok"), (False, "recovered"), (None, "missing"), (None, "missing"), (None, "invalid")]
 
 
+def test_words_and_accents_of_cells(spark):
+    cells = ["S", " S ", "Sí", "N ", "NO", "SS", "N N", None, "", "quizás", "1", "0", "SIN DATOS", "no consta", "Desconocido", "N/A", "X"]
+    yes, no = (True, "ok"), (False, "ok")
+    none = (None, "missing")
+    assert values(spark, parsing.yes_no, cells) == [yes, yes, yes, no, no, (True, "recovered"), (False, "recovered"), none, none, (None, "invalid"), yes, no, none, none, none, none, yes]
+    assert values(spark, parsing.sex, ["M", "m", "F ", "M,", "Femenino", "varón", None, "X", "S/D"]) == [("M", "ok"), ("M", "ok"), ("F", "ok"), ("M", "ok"), ("F", "ok"), ("M", "ok"), none, (None, "invalid"), none]
+    numbers = ["12,5", "20 000", "1,234,567", "-", "abc", "1e3", "≤ 5", "nan", "inf"]
+    assert values(spark, parsing.number, numbers) == [(12.5, "recovered"), (20000.0, "ok"), (1234567.0, "recovered"), none, (None, "invalid"), (1000.0, "ok"), (None, "invalid"), none, (None, "invalid")]
+    d = spark.createDataFrame([("Camagüey Ñandú áéíóú",), ("  Heber- biotec ",), ("R.L.S",), ("а́",)], "c string").select(parsing.fold(F.col("c")).alias("f"), parsing.normalize(F.col("c")).alias("n"), parsing.compact(F.col("c")).alias("k"))
+    assert [tuple(r) for r in d.collect()] == [("Camaguey Nandu aeiou", "CAMAGUEY NANDU AEIOU", "CAMAGUEYNANDUAEIOU"), ("  Heber- biotec ", "HEBER BIOTEC", "HEBERBIOTEC"), ("R.L.S", "R L S", "RLS"), ("a", "A", "A")]
+
+
+def test_ages_in_every_spelling(spark):
+    day = 12 / 365.25
+    want = {
+        "6M": 6, "18 m": 18, "6 M": 6, "6m": 6, "6 MESES": 6, "2A": 24, "2 a": 24, "2 AÑOS": 24, "1A6M": 18, "1 A 6 M": 18, "RN": 0, "R.N.": 0, "recién nacido": 0,
+        "15 D": 15 * day, "2 S": 14 * day, "1,5A": 18, "1.5 A": 18,
+    }
+    got = values(spark, parsing.age_months, list(want))
+    assert [s for _, s in got] == ["ok"] * len(want) and [v for v, _ in got] == pytest.approx(list(want.values()))
+    assert values(spark, parsing.age_months, ["6", "abc", "6X", "M6", None, "S/D"]) == [(None, "invalid")] * 4 + [(None, "missing")] * 2
+
+
 def test_dates(spark):
     got = values(spark, parsing.date, ["2019-03-02", "2/3/2019", "3/25/2019", "43526", "n", "31/02/2019", "2 mar 19"])
     assert [(str(v) if v else None, s) for v, s in got] == [("2019-03-02", "ok"), ("2019-03-02", "ok"), ("2019-03-25", "recovered"), ("2019-03-02", "recovered"), (None, "not_applicable"), (None, "invalid"), ("2019-03-02", "ok")]
@@ -143,3 +166,39 @@ def test_entry_points_without_text_operators(spark, sf):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_fuzzy_join_against_all_pairs(spark):
+    import random
+
+    r = random.Random(3)
+    names = ["".join(r.choices("abcde", k=r.randrange(5, 14))) for _ in range(80)]
+    typed = []
+    for x in names:
+        y = list(x)
+        for _ in range(r.randrange(3)):
+            y[r.randrange(len(y))] = r.choice(["", "a", "ez"])
+        typed.append("".join(y))
+
+    def lcs(a, b):
+        row = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                row[i + 1][j + 1] = row[i][j] + 1 if x == y else max(row[i][j + 1], row[i + 1][j])
+        return row[-1][-1]
+
+    want = {}
+    for a in {t for t in typed if t}:
+        best = sorted(((200.0 * lcs(a, b) / (len(a) + len(b)), b) for b in set(names)), key=lambda x: (-x[0], x[1]))
+        if best[0][0] >= 85 and best[0][0] - best[1][0] >= 3:
+            want[a] = (best[0][1], round(best[0][0], 6))
+    left, right = spark.createDataFrame([(t,) for t in typed] + [(None,)], "t string"), spark.createDataFrame([(n,) for n in names], "n string")
+    assert {x.a: (x.b, round(x.ratio, 6)) for x in linkage.fuzzy_join(left, right, "t", "n").collect()} == want and len(want) > 30
+
+
+def test_cascade_levels(spark):
+    lots = spark.createDataFrame([("1", "812M", "812:M", True, 2001), ("2", "BRAND77", "77:ABDNR", True, 2001), ("3", "77BRAND", "77:ABDNR", False, 2001), ("4", "ZZ55", "55:ZZ", True, 2001), ("5", "ZZ55", "55:ZZ", True, 2001)], "lot_key string, exact string, core string, national boolean, year int")
+    tokens = [(1, "812M"), (2, "M812"), (3, "BRANT77"), (4, "ZZ55"), (5, "QQQ"), (6, None), (7, "812M"), (7, "BRAND77"), (8, "812M"), (8, "M0812")]
+    d = spark.createDataFrame(tokens, "record_id int, exact string").withColumn("core", parsing.core_key(F.col("exact"))).withColumn("report_year", F.lit(2002))
+    got = {r.record_id: (r.lot_key, r.level) for r in linkage.cascade(d, lots).collect()}
+    assert got == {1: ("1", "exact"), 2: ("1", "core"), 3: ("2", "fuzzy"), 4: (None, "ambiguous"), 5: (None, "no_match"), 6: (None, "no_match"), 7: (None, "multiple_lots"), 8: ("1", "exact")}
