@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siglot.llm.common import bloom_filter, bloom_holds, bloom_size, by_bytes, fresh, text_hash, written
+from siglot.llm.common import bloom_filter, bloom_holds, bloom_size, by_bytes, fresh, text_hash, tidy, written
 from siglot.llm.components import components
 
 SLOTS = 1 << 21  # counters of shingle hashes, one set for the whole corpus
@@ -41,7 +41,7 @@ class Shingler:
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         import xxhash
 
-        if len(self.ids) > 300_000:
+        if len(self.ids) > 150_000:
             self.ids, self.hashes = defaultdict(count().__next__), np.zeros(0, np.uint64)
         cut = [t.encode("utf-8").lower().split() if t else [] for t in texts]  # bytes: only A-Z, and only ASCII white space
         known = len(self.hashes)
@@ -142,7 +142,7 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh, seen = Shingler(words), np.zeros(SLOTS, np.int32)
         names = ["kind", "_id", "_tid", "n", "node", "other", "sketch", "counts"]
-        for b in by_bytes(batches, "_text", 4_000_000):
+        for b in by_bytes(batches, "_text", 2_000_000):
             sets = sh.batch(b.column("_text").to_pylist())
             if sum(map(len, sets)):
                 seen += np.bincount(_slot(np.concatenate(sets)), minlength=SLOTS).astype(np.int32)
@@ -155,7 +155,7 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
             task, z = TaskContext.get().partitionId(), pa.nulls(BLOCKS, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([1] * BLOCKS, pa.int32()), pa.array([task] * BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.binary()), pa.array(range(BLOCKS), pa.int64()), z, z, pa.nulls(BLOCKS, pa.list_(pa.int64())), pa.array(parts, pa.binary())], names)
 
-    return docs.mapInArrow(run, "kind int, _id bigint, _tid binary, n bigint, node bigint, other bigint, sketch array<bigint>, counts binary")
+    return docs.mapInArrow(tidy(run), "kind int, _id bigint, _tid binary, n bigint, node bigint, other bigint, sketch array<bigint>, counts binary")
 
 
 def _clashes(sets: DataFrame) -> dict[tuple[int, int], int]:
@@ -209,7 +209,7 @@ def _keys(docs: DataFrame, heat, clashes: dict, words: int, num: int, den: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh, done, ks, ns, size = Shingler(words), set(), [], [], 0
-        for b in by_bytes(batches, "_text", 4_000_000):
+        for b in by_bytes(batches, "_text", 2_000_000):
             for u in sh.batch(b.column("_text").to_pylist()):
                 if len(u) and (node := set_hash(u, clashes)[0]) not in done:
                     done.add(node)
@@ -217,7 +217,7 @@ def _keys(docs: DataFrame, heat, clashes: dict, words: int, num: int, den: int)
                     ks.append(k)
                     ns.append(np.full(len(k), node, np.uint64))
                     size += len(k)
-            if size > 600_000:  # a bounded part of the task's keys at a time
+            if size > 400_000:  # a bounded part of the task's keys at a time
                 yield from gathered(ks, ns)
                 ks, ns, size = [], [], 0
             if len(done) > 100_000:  # a node that comes again then gives the same keys again
@@ -225,7 +225,7 @@ def _keys(docs: DataFrame, heat, clashes: dict, words: int, num: int, den: int)
         if ks:
             yield from gathered(ks, ns)
 
-    return docs.mapInArrow(run, "key bigint, node bigint, lead bigint")
+    return docs.mapInArrow(tidy(run), "key bigint, node bigint, lead bigint")
 
 
 def _repeated(keys: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def _repeated(keys: DataFrame) -> DataFrame:
 
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keys.repartition(parts, F.when(F.col("lead").isNull(), F.col("key")).otherwise(F.col("node")))
-    return dealt.sortWithinPartitions("key").mapInArrow(run, "key bigint, node bigint, lead bigint")
+    return dealt.sortWithinPartitions("key").mapInArrow(tidy(run), "key bigint, node bigint, lead bigint")
 
 
 class _Join:
@@ -288,13 +288,13 @@ class _Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sh = Shingler(words)
-            for b in by_bytes(batches, "_text", 4_000_000):
+            for b in by_bytes(batches, "_text", 2_000_000):
                 sets = sh.batch(b.column("_text").to_pylist())
                 n = [len(u) for u in sets]
                 common = [float(heat.value[_slot(u)].mean()) if len(u) else 0.0 for u in sets]
                 yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(n, pa.int64()), pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64())), pa.array(common, pa.float64())], ["node", "n", "u", "common"])
 
-        return written(rows.mapInArrow(run, "node bigint, n bigint, u array<bigint>, common double"), "sets")
+        return written(rows.mapInArrow(tidy(run), "node bigint, n bigint, u array<bigint>, common double"), "sets")
 
     def least_both(self, n: str, m: str) -> str:
         """SQL for the least intersection at which sets of n and m are linked."""
@@ -376,7 +376,7 @@ class _Join:
                     ns.append(np.full(len(ks[-1]), node, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(np.concatenate(ns))], ["key", "node"])
 
-        return rest.where("take > 0").select("lead", "node", "take", "r").mapInArrow(run, "key bigint, node bigint").unionByName(more)
+        return rest.where("take > 0").select("lead", "node", "take", "r").mapInArrow(tidy(run), "key bigint, node bigint").unionByName(more)
 
     def mixed(self, spots: DataFrame, found: DataFrame) -> DataFrame:
         """key, node, root, k (nodes of the key) of the groups with nodes of different components."""

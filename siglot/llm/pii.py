@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from siglot.llm.common import by_bytes, fresh, text_hash, written
+from siglot.llm.common import by_bytes, fresh, text_hash, tidy, written
 
 # Titles by script and gender (m, f, n: either), and given names and family name parts to draw from.
 TITLES = {
@@ -213,7 +213,7 @@ def entities(docs: DataFrame, id_col: str = "_tid", text_col: str = "_text") ->
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), *map(pa.array, cols[1:])], ["_i", "kind", "value", "gender"])
 
-    return docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).mapInArrow(run, "_i binary, kind string, value string, gender string").withColumnRenamed("_i", id_col)
+    return docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).mapInArrow(tidy(run), "_i binary, kind string, value string, gender string").withColumnRenamed("_i", id_col)
 
 
 def draw_again(found: DataFrame, key: bytes, most_rounds: int = 40) -> DataFrame:
@@ -241,7 +241,7 @@ def draw_again(found: DataFrame, key: bytes, most_rounds: int = 40) -> DataFrame
     left = real.select("kind", "value", "gender", "mixed", F.lit(0).alias("attempt"))
     settled, taken, again = None, real.select(family, F.col("value").alias("other")).distinct(), None
     for _ in range(most_rounds):
-        drawn = left.mapInArrow(draw, "kind string, value string, gender string, mixed boolean, attempt int, other string").withColumn("family", family)
+        drawn = left.mapInArrow(tidy(draw), "kind string, value string, gender string, mixed boolean, attempt int, other string").withColumn("family", family)
         place = F.row_number().over(Window.partitionBy("family", "other").orderBy("value", "kind"))
         drawn = written(drawn.withColumn("place", place), "drawn")
         good = drawn.where("place = 1").join(taken, ["family", "other"], "left_anti")
@@ -313,4 +313,4 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([*cols, pa.array([x[1] for x in new], pa.int32())], [*names, "n_entities"])
 
     schema = docs.select(names).schema.add("n_entities", IntegerType())
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siglot.llm.common import by_bytes, written
+from siglot.llm.common import by_bytes, tidy, written
 from siglot.llm.pieces import PieceEncoder, two_bytes
 
 # A shard holds records one after the other. A record is
@@ -104,7 +104,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int, parts
         .repartitionByRange(n, F.col("_id").asc_nulls_first())
         .sortWithinPartitions(F.col("_id").asc_nulls_first(), F.xxhash64("_text"))
     )
-    index = ordered.mapInArrow(write, "shard bigint, pos int, _id bigint, offset bigint, length bigint, n_tokens bigint")
+    index = ordered.mapInArrow(tidy(write), "shard bigint, pos int, _id bigint, offset bigint, length bigint, n_tokens bigint")
     index.withColumnRenamed("_id", id_col).write.parquet(f"{path}/index")
     return spark.read.schema(f"shard bigint, pos int, `{id_col}` bigint, offset bigint, length bigint, n_tokens bigint").parquet(f"{path}/index")
 
@@ -149,7 +149,7 @@ def read_records(spark: SparkSession, path: str, id_col: str = "doc_id") -> Data
 
     shards = written(spark.read.parquet(f"{path}/index").select("shard").distinct(), "shards")
     shards = shards.repartition(max(1, shards.count()), "shard")  # a shard is a task's work
-    return shards.mapInArrow(parse, "shard bigint, pos int, _id bigint, n_tokens bigint, ids_crc32 bigint, shard_start bigint").withColumnRenamed("_id", id_col)
+    return shards.mapInArrow(tidy(parse), "shard bigint, pos int, _id bigint, n_tokens bigint, ids_crc32 bigint, shard_start bigint").withColumnRenamed("_id", id_col)
 
 
 def read_some(index: DataFrame, wanted: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -170,7 +170,7 @@ def read_some(index: DataFrame, wanted: DataFrame, path: str, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(ids, pa.list_(pa.int32()))], ["_id", "ids"])
 
     rows = index.join(wanted.select(id_col).distinct(), id_col, "left_semi").select(F.col(id_col).alias("_id"), "shard", "offset", "length")
-    return rows.mapInArrow(fetch, "_id bigint, ids array<int>").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(tidy(fetch), "_id bigint, ids array<int>").withColumnRenamed("_id", id_col)
 
 
 def record_digest(records: DataFrame, index: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siglot.llm.common import bloom_filter, bloom_holds, bloom_size, by_bytes, text_hash, written
+from siglot.llm.common import bloom_filter, bloom_holds, bloom_size, by_bytes, text_hash, tidy, written
 
 GRAM = 32  # bytes of an anchor
 CHUNK = 1 << 22  # starts looked at in one go
@@ -210,7 +210,7 @@ def _spans(docs: DataFrame, width: int) -> DataFrame:
                 a, b, h, size = map(np.concatenate, out)
                 yield _batch(tid=pa.array(tids, pa.binary()), a=a, b=b, anchor=h, part=pa.array(parts, pa.binary()), n=np.ones(len(a), np.int64), bytes=size)
 
-    return docs.where(F.octet_length("_text") >= width).select("_tid", "_text").mapInArrow(run, SPAN)
+    return docs.where(F.octet_length("_text") >= width).select("_tid", "_text").mapInArrow(tidy(run), SPAN)
 
 
 def _parts(cut: DataFrame, width: int, block: int) -> DataFrame:
@@ -239,7 +239,7 @@ def _parts(cut: DataFrame, width: int, block: int) -> DataFrame:
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
             yield _batch(**{k: pa.array(c, t) for k, c, t in zip(("tid", "a", "b", "anchor", "part", "n", "bytes"), cols, kinds, strict=True)})
 
-    return cut.mapInArrow(run, SPAN)
+    return cut.mapInArrow(tidy(run), SPAN)
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -260,7 +260,7 @@ def _cut(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     gram = [x["a"] + _least_gram(r, x["b"] - x["a"]) for x, r in zip(s, raw, strict=True)]
                     yield _batch(tid=pa.array([tid] * len(s), pa.binary()), **cols, many=pa.array([x["many"] for x in s]), gram=pa.array(gram, pa.int64()), raw=pa.array(raw, pa.binary()))
 
-    return spans.join(texts, F.col("tid") == F.col("_tid")).select("tid", "_text", "spans").mapInArrow(run, "tid binary, a bigint, b bigint, anchor bigint, n bigint, many boolean, gram bigint, raw binary")
+    return spans.join(texts, F.col("tid") == F.col("_tid")).select("tid", "_text", "spans").mapInArrow(tidy(run), "tid binary, a bigint, b bigint, anchor bigint, n bigint, many boolean, gram bigint, raw binary")
 
 
 def _least_gram(raw: bytes, last: int) -> int:
@@ -305,7 +305,7 @@ def _by_suffixes(cut: DataFrame, width: int) -> DataFrame:
             yield done()
 
     parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut.repartition(parts, "anchor").sortWithinPartitions("anchor").select("tid", "a", "b", "anchor", "n", "raw").mapInArrow(run, "tid binary, a bigint, b bigint")
+    return cut.repartition(parts, "anchor").sortWithinPartitions("anchor").select("tid", "a", "b", "anchor", "n", "raw").mapInArrow(tidy(run), "tid binary, a bigint, b bigint")
 
 
 def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
@@ -378,6 +378,6 @@ def suffix_dedup(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text
             yield _batch(**cols, **({"kept": pa.array(kept, pa.binary())} if with_kept else {}))
 
     schema = f"_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_kept
-    some = docs.where(holds).join(marks, "_tid", "left").select("_id", "_text", "spans").mapInArrow(cut, schema)
+    some = docs.where(holds).join(marks, "_tid", "left").select("_id", "_text", "spans").mapInArrow(tidy(cut), schema)
     none = docs.where(~holds).select("_id", F.octet_length("_text").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2("_text", 256).alias("kept_sha256"), *([F.col("_text").cast("binary").alias("kept")] if with_kept else []))
     return some.unionByName(none).withColumnRenamed("_id", id_col)

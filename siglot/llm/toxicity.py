@@ -10,12 +10,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siglot.llm.common import written
+from siglot.llm.common import by_bytes, tidy, written
 
 # Letters of other scripts that look like Latin ones, and characters that stand for letters.
 HOMOGLYPHS = str.maketrans("аеорсухкмтвніјѕԁɡαεορτυχικν", "aeopcyxkmtbhijsdgaeoptuxikv")
@@ -166,7 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_doc
 
         n = lambda y, k: F.sum(F.when(F.col("fold").eqNullSafe(k) & (F.col("y") == y), F.col("n")).otherwise(0))
         every = [n(y, k).alias(f"{'ct'[y]}{k}") for k in range(FOLDS) for y in (1, 0)]
-        return lambda df: df.mapInArrow(run, "term string, fold int, y int, n bigint").groupBy("term").agg(*every)
+        return lambda df: df.mapInArrow(tidy(run), "term string, fold int, y int, n bigint").groupBy("term").agg(*every)
 
     def terms():
         fold = folder()
@@ -205,7 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_doc
             x = [parts[f].features(*match[f](t)[:2]) for t, f in zip(b.column("_text").to_pylist(), b.column("fold").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("y"), *[pa.array([v[i] for v in x], pa.float64()) for i in range(3)]], ["y", "a", "b", "c"])
 
-    points = rows.mapInArrow(measure, "y int, a double, b double, c double").toPandas().sort_values(["y", "a", "b", "c"])  # at most most_rows, in one order
+    points = rows.mapInArrow(tidy(measure), "y int, a double, b double, c double").toPandas().sort_values(["y", "a", "b", "c"])  # at most most_rows, in one order
     model.coef = tuple(float(v) for v in _logistic(points[["a", "b", "c"]].to_numpy(), points["y"].to_numpy()))
     return model
 
@@ -220,13 +219,15 @@ def toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, id_col:
     """
     docs = docs.drop("score", "predicted")
 
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         match = model.matcher()
-        for texts in series:
-            yield pd.Series([model.score(*match(x or "")[:2]) for x in texts], dtype="float64")
+        for texts in arrays:  # a slice of text at a time as Python strings
+            batch = pa.RecordBatch.from_arrays([texts], ["t"])
+            yield pa.array([model.score(*match(x or "")[:2]) for b in by_bytes(iter([batch]), "t") for x in b.column("t").to_pylist()], pa.float64())
 
-    run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}  # as types, which the UDF's kind is read from
-    score = F.pandas_udf(run, "double")
+    tidied = tidy(run)
+    tidied.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}  # as types, which the UDF's kind is read from
+    score = F.arrow_udf(tidied, "double")
     return docs.withColumn("score", score(F.col(text_col))).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
