@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -121,6 +123,14 @@ def slot_set(words: Column, slot: Column) -> Column:
     return F.get(words, F.shiftright(slot, 6).cast("int")).bitwiseAND(bit) != 0
 
 
+def kept(name: tuple, make: Callable):
+    """What make() gave in this process first, for all tasks that it runs: in a module of its own, as functions travel to workers by value."""
+    memory = sys.modules.setdefault("_siglot_memory", types.ModuleType("_siglot_memory")).__dict__
+    if name not in memory:
+        memory[name] = make()
+    return memory[name]
+
+
 def tidy(run: Callable) -> Callable:
     """A function of Arrow batches that gives its memory back when its task ends: workers stay for later stages, and what their allocators keep would count against those."""
 

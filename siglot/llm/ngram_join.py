@@ -23,6 +23,7 @@ BLOCKS = 64  # pieces in which a task's counters are added to the others'
 FINE = 8  # words of a sketch per shingle of the largest set of its band
 SMALL = 64  # below this size every shingle is a part of its own
 PAIRWISE = 16  # sets of a group that are compared pair by pair
+LEFT = 64  # pairs for each class that may be left to one last comparison
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -408,7 +409,7 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_c
     larger group with a lead in its middle; linked pairs that the lead doesn't join
     must share shingles that the lead has not, and meet under these in smaller
     groups (`narrowed`). This goes on until groups are small, or all that is left
-    makes fewer than PAIRWISE pairs for each class. So the pairs compared grow with the
+    makes fewer than LEFT pairs for each class. So the pairs compared grow with the
     input, not with the square of a group's size.
 
     Words are maximal runs without ASCII white space, with A-Z in lower case; fewer
@@ -441,7 +442,7 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_c
         rest = join.mixed(spots, found)
         large = rest.where(f"k > {PAIRWISE}")
         in_large = large.groupBy("key").agg(F.first("k").alias("k")).agg(F.sum("k").alias("n"), F.sum(F.expr("k * (k - 1) / 2")).alias("pairs")).first()
-        go_on = in_large.n and in_large.pairs > PAIRWISE * n_classes
+        go_on = in_large.n and in_large.pairs > LEFT * n_classes
         new = join.across(rest.where(f"k <= {PAIRWISE}") if go_on else rest)
         new = written(new.join(pairs, ["a", "b"], "left_anti"), "pairs")
         more = join.links(new)

@@ -13,15 +13,22 @@ model encodes directly.
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Callable
 
+from siglot.llm.common import kept
+
 ODD = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 KEEP = 400_000  # pieces, and words, remembered in a process
 LONG = 2_000  # characters of a text part that isn't remembered
 
 
+def unsafe() -> Callable[[str], bool]:
+    """Whether a text has to be encoded as a whole."""
+    odd, run = re.compile(ODD).search, re.compile(r"\s (?:\s|\Z)").search
+    return lambda t: bool(odd(t) or (("  " in t or "\n " in t or "\t " in t or "\r " in t or t[-1:] == " ") and run(t)))
+
+
 class _Known(dict):
     """A bounded memory of what `make` gives."""
 
@@ -47,7 +54,7 @@ class PieceEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.made, self.joined = made, joined
-        self.odd, self.unsafe = re.compile(ODD).search, re.compile(r"\s (?:\s|\Z)").search
+        self.whole = unsafe()
         self.plain = re.compile(rf"[\n -&(-~{LETTERS}]*").fullmatch  # no apostrophe, which may belong to the letters after it
         self.parts = re.compile(rf" ?[{LETTERS}]+|(?:(?! ?[{LETTERS}])[\s\S])+").findall
         self.word = re.compile(rf" ?[{LETTERS}]+").fullmatch
@@ -58,11 +65,7 @@ class PieceEncoder:
     @classmethod
     def of_process(cls, path: str, made: Callable, joined: Callable) -> PieceEncoder:
         """One encoder for all tasks that a Python worker runs."""
-        kept = sys.__dict__.setdefault("_siglot_encoders", {})
-        name = (path, made.__name__)
-        if name not in kept:
-            kept[name] = cls(path, made, joined)
-        return kept[name]
+        return kept((path, made.__name__), lambda: cls(path, made, joined))
 
     def _whole(self, text: str):
         return self.made(self.tok.encode(text, add_special_tokens=False).ids)
@@ -84,7 +87,7 @@ class PieceEncoder:
 
     def text(self, t: str) -> list:
         """What stands for the pieces of t, in order."""
-        if self.odd(t) or (("  " in t or "\n " in t or "\t " in t or "\r " in t or t[-1:] == " ") and self.unsafe(t)):
+        if self.whole(t):
             return [self._whole(t)]
         head, *rest = t.split(" ")
         out = list(map(self.later.__getitem__, rest))
@@ -93,10 +96,6 @@ class PieceEncoder:
         return out
 
 
-def count_ids(ids: list[int]) -> int:
-    return len(ids)
-
-
 def two_bytes(ids: list[int]) -> bytes:
     import struct
 

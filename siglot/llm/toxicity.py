@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siglot.llm.common import by_bytes, tidy, written
+from siglot.llm.common import by_bytes, fresh, text_hash, tidy, written
 
 # Letters of other scripts that look like Latin ones, and characters that stand for letters.
 HOMOGLYPHS = str.maketrans("аеорсухкмтвніјѕԁɡαεορτυχικν", "aeopcyxkmtbhijsdgaeoptuxikv")
@@ -231,5 +231,20 @@ def toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, id_col:
     return docs.withColumn("score", score(F.col(text_col))).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
+def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score is under the threshold. Only texts go to the workers and only the hashes of rejected ones come back, so rows with all their columns stay where they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = model.matcher()
+        for b in by_bytes(batches, "t"):
+            bad = [model.score(*match(x or "")[:2]) >= threshold for x in b.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("h").filter(pa.array(bad))], ["h"])
+
+    name = fresh(docs, "toxic")
+    texts = docs.select(text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("t"))
+    bad = written(texts.mapInArrow(tidy(run), "h binary").distinct(), "toxic").withColumnRenamed("h", name)
+    return docs.join(bad, text_hash(F.col(text_col)) == bad[name], "left_anti")
+
+
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))

@@ -6,7 +6,6 @@ import hashlib
 import json
 import re
 import struct
-import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -15,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siglot.llm.common import by_bytes, tidy
+from siglot.llm.common import by_bytes, kept, tidy
 
 KEEP = 250_000  # words, and pieces, remembered in a process
 
@@ -144,10 +143,7 @@ class TextEncoder:
     @classmethod
     def of_process(cls, path: str) -> TextEncoder:
         """One encoder for all tasks that a Python worker runs."""
-        kept = sys.__dict__.setdefault("_siglot_encoders", {})
-        if (path, "trie") not in kept:
-            kept[path, "trie"] = cls(path)
-        return kept[path, "trie"]
+        return kept((path, "trie"), lambda: cls(path))
 
     def _words(self, piece: str) -> list[str | int]:
         """What a piece without white space is made of: words as byte-level symbols, and ids of special strings."""
