@@ -11,11 +11,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siglot.llm import toxicity
 from siglot.llm.common import written
 from siglot.llm.decontam import drop_contaminated
 from siglot.llm.exact_dedup import exact_dedup
 from siglot.llm.ngram_join import one_of_each
-from siglot.llm.toxicity import learn, toxicity
 from siglot.llm.trie_bpe import bpe_round_trip
 
 
@@ -27,7 +27,7 @@ def _apart(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose score is under 0.7."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return toxicity(_apart(docs), learn(docs.select("doc_id", "text"), labels)).where("predicted = 0").select("row.*")
+    return toxicity.drop_toxic(docs, toxicity.learn(docs.select("doc_id", "text"), labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
