@@ -64,6 +64,27 @@ def plausibility(df: DataFrame, by: str, flags: dict[str, Column]) -> DataFrame:
     return long.withColumn("pct", F.round(100.0 * F.col("flagged") / F.col("n"), 4))
 
 
+def plausibility_flags(most_delay: int = 730, most_stay: int = 365) -> dict[str, Column]:
+    """The flags of a report, from columns of these names: vaccination_date, notification_date, birth_date, admission_date, discharge_date, age_months, age_source, age_group, age_group_reported, hospitalized, pregnant, sex, recovered, died, n_events, other_categories, vaccines, has_target, target_lots, schedule_invalid, vaccination_date_rule, notification_date_rule, month_reported. An unknown condition flags nothing."""
+    c = F.col
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    delay, stay = F.datediff("notification_date", "vaccination_date"), F.datediff("discharge_date", "admission_date")
+    month = F.month("vaccination_date")
+    flags = {
+        "notification_before_vaccination": delay < 0, "notification_delay_implausible": delay > most_delay, "birth_after_vaccination": c("birth_date") > c("vaccination_date"),
+        "discharge_before_admission": stay < 0, "stay_implausible": stay > most_stay, "admission_before_vaccination": c("admission_date") < c("vaccination_date"),
+        "age_conflict": c("age_source") == "conflict_derived", "age_missing": c("age_months").isNull(), "age_group_mismatch": c("age_group_reported") != c("age_group"),
+        "hospitalized_without_date": c("hospitalized") & c("admission_date").isNull(), "admission_date_not_hospitalized": ~c("hospitalized") & c("admission_date").isNotNull(),
+        "pregnant_male": c("pregnant") & (c("sex") == "M"), "pregnant_age_implausible": c("pregnant") & ~yes(F.floor(c("age_months") / 12).between(10, 55)),
+        "recovered_and_died": c("recovered") & c("died"), "no_event_marked": (c("n_events") == 0) & c("other_categories").isNull(),
+        "unmapped_vaccine": F.exists("vaccines", lambda v: v.startswith("X:")), "target_lot_missing": c("has_target") & c("target_lots").isNull(), "schedule_invalid": c("schedule_invalid"),
+    }
+    for what in ("vaccination", "notification"):
+        flags |= {f"{what}_year_imputed": c(f"{what}_date_rule") == "imputed_year", f"{what}_year_dropped": c(f"{what}_date_rule") == "dropped_impossible"}
+    flags["month_mismatch"] = (c("month_reported") != month) & (c("month_reported") != F.month("notification_date"))
+    return {k: yes(v) for k, v in flags.items()}
+
+
 def completeness(df: DataFrame, by: str, fields: list[str]) -> DataFrame:
     """by, field, n, filled, pct."""
     wide = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in fields])

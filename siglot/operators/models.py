@@ -99,6 +99,74 @@ def terms(names: list[str], b: np.ndarray, cov: np.ndarray) -> list[tuple]:
 TERMS = "term string, ratio double, low double, high double, p double"
 
 
+def _answers(pdf) -> tuple[np.ndarray, np.ndarray]:
+    """Answers (unknown ones nan) and weights of distinct patterns, in one order."""
+    x = np.array([[np.nan if v is None else v for v in r] for r in pdf["x"]], float)
+    order = np.lexsort(np.nan_to_num(x, nan=2.0).T)
+    return x[order], pdf["w"].to_numpy()[order]
+
+
+def _posterior(x: np.ndarray, share: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log likelihood of each pattern, its shares of the classes); unknown answers are integrated out."""
+    seen = ~np.isnan(x)
+    known = np.where(seen, x, 0.0)
+    ll = np.log(share) + known @ np.log(prob).T + (seen - known) @ np.log1p(-prob).T
+    top = ll.max(axis=1, keepdims=True)
+    like = np.exp(ll - top)
+    return top[:, 0] + np.log(like.sum(axis=1)), like / like.sum(axis=1, keepdims=True)
+
+
+def _mixture(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator, steps: int) -> tuple[float, int, np.ndarray, np.ndarray]:
+    """(log likelihood, steps, shares, probabilities) of a Bernoulli mixture from one random start, the largest class first."""
+    seen = ~np.isnan(x)
+    known = np.where(seen, x, 0.0)
+    share, prob, before = np.full(k, 1 / k), rng.uniform(0.2, 0.8, (k, x.shape[1])), -np.inf
+    for step in range(1, steps + 1):
+        each, r = _posterior(x, share, prob)
+        log = float((w * each).sum())
+        r = r * w[:, None]
+        share = np.maximum(r.sum(axis=0) / w.sum(), 1e-12)
+        prob = np.clip((r.T @ known) / np.maximum(r.T @ seen, 1e-12), 1e-6, 1 - 1e-6)
+        if abs(log - before) < 1e-7 * max(1.0, abs(log)):
+            break
+        before = log
+    order = np.argsort(-share)
+    return log, step, share[order], prob[order]
+
+
+def adjusted_rand(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> float:
+    """The adjusted Rand index of two labellings of weighted points."""
+    table = np.zeros((a.max() + 1, b.max() + 1))
+    np.add.at(table, (a, b), w)
+    two = lambda v: (v * (v - 1) / 2).sum()
+    both, rows, cols, every = two(table), two(table.sum(axis=1)), two(table.sum(axis=0)), two(np.array([w.sum()]))
+    expected, most = rows * cols / every, (rows + cols) / 2
+    return 1.0 if most == expected else float((both - expected) / (most - expected))
+
+
+def class_stability(patterns: DataFrame, items: list[str], best: DataFrame, draws: int = 100, starts: int = 5, steps: int = 500, seed: int = 1) -> DataFrame:
+    """draw, ari: agreement of the chosen classes with those refitted to a bootstrap sample of the rows, both assigned to all patterns. A draw is a task's work over the distinct patterns."""
+    rows = patterns.select(F.array(*[F.col(c).cast("double") for c in items]).alias("x"), F.col("weight").cast("double").alias("w"))
+    chosen = best.where("chosen").select("shares", "probabilities").first()
+    share, prob = np.array(chosen.shares), np.array(chosen.probabilities)
+    runs = patterns.sparkSession.range(draws).withColumnRenamed("id", "draw")
+    met = rows.crossJoin(F.broadcast(runs)).repartition("draw")  # a declared number of draws
+
+    def fit(key: tuple, pdf) -> object:
+        import pandas as pd
+
+        draw = int(key[0])
+        x, w = _answers(pdf)
+        rng = np.random.default_rng([seed, draw])
+        sample = rng.multinomial(int(w.sum()), w / w.sum()).astype(float)
+        some = sample > 0
+        fits = [_mixture(x[some], sample[some], len(share), rng, steps) for _ in range(starts)]
+        _, _, s, p = max(fits, key=lambda f: f[0])
+        return pd.DataFrame({"draw": [draw], "ari": [adjusted_rand(_posterior(x, share, prob)[1].argmax(axis=1), _posterior(x, s, p)[1].argmax(axis=1), w)]})
+
+    return met.groupBy("draw").applyInPandas(fit, "draw bigint, ari double")
+
+
 def class_counts(patterns: DataFrame, items: list[str], most: int = 7, starts: int = 20, steps: int = 500, seed: int = 1) -> DataFrame:
     """classes, start, log_likelihood, bic, steps, shares, probabilities: Bernoulli mixtures of 1 to `most` classes from `starts` starts each, to convergence.
 
@@ -114,26 +182,10 @@ def class_counts(patterns: DataFrame, items: list[str], most: int = 7, starts: i
         import pandas as pd
 
         k, start = int(key[0]), int(key[1])
-        pdf = pdf.iloc[np.lexsort(np.stack(pdf["x"].map(lambda v: np.nan_to_num(np.array(v, float), nan=2.0)).to_list()).T)]
-        x, w = np.array([[np.nan if v is None else v for v in r] for r in pdf["x"]], float), pdf["w"].to_numpy()
-        seen = ~np.isnan(x)
-        x = np.where(seen, x, 0.0)
-        rng = np.random.default_rng([seed, k, start])
-        share, prob, before = np.full(k, 1 / k), rng.uniform(0.2, 0.8, (k, q)), -np.inf
-        for step in range(1, steps + 1):
-            ll = np.log(share) + x @ np.log(prob).T + (seen - x) @ np.log1p(-prob).T
-            top = ll.max(axis=1, keepdims=True)
-            like = np.exp(ll - top)
-            log = float((w * (top[:, 0] + np.log(like.sum(axis=1)))).sum())
-            r = like / like.sum(axis=1, keepdims=True) * w[:, None]
-            share = np.maximum(r.sum(axis=0) / w.sum(), 1e-12)
-            prob = np.clip((r.T @ x) / np.maximum(r.T @ seen, 1e-12), 1e-6, 1 - 1e-6)
-            if abs(log - before) < 1e-7 * max(1.0, abs(log)):
-                break
-            before = log
-        order = np.argsort(-share)
+        x, w = _answers(pdf)
+        log, steps_taken, share, prob = _mixture(x, w, k, np.random.default_rng([seed, k, start]), steps)
         bic = -2 * log + (k * q + k - 1) * math.log(w.sum())
-        return pd.DataFrame({"classes": [k], "start": [start], "log_likelihood": [log], "bic": [bic], "steps": [step], "shares": [share[order].tolist()], "probabilities": [prob[order].tolist()]})
+        return pd.DataFrame({"classes": [k], "start": [start], "log_likelihood": [log], "bic": [bic], "steps": [steps_taken], "shares": [share.tolist()], "probabilities": [prob.tolist()]})
 
     return met.groupBy("classes", "start").applyInPandas(fit, "classes int, start int, log_likelihood double, bic double, steps int, shares array<double>, probabilities array<array<double>>")
 

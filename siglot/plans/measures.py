@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siglot.operators import measures as M
+from siglot.operators.counts import count_models, interrupted
 from siglot.plans import views as V
 from siglot.plans.registry import query
 from siglot.plans.tables import _MONTHS, _coverage
@@ -160,3 +161,21 @@ def _t9(spark, sf):
     before = F.year("o_orderdate") < 1998
     v = lambda c: F.when(c, F.col("o_totalprice"))
     return table(spark, sf, "orders").agg(F.count_if(before).alias("pre_n"), F.round(F.avg(v(before)), 2).alias("pre_mean"), F.count_if(~before).alias("post_n"), F.round(F.avg(v(~before)), 2).alias("post_mean"))
+
+
+def _yearly(spark, sf):
+    """Reports and lines of each product and year."""
+    d = V.reports(spark, sf).select(F.explode("vaccines").alias("product"), F.col("analytic_year").alias("year"), "ev_returned")
+    return d.groupBy("product", "year").agg(F.count_if("ev_returned").alias("n"), F.count(F.lit(1)).cast("double").alias("doses"))
+
+
+@query("t5_negative_binomial_trend")
+def _t5(spark, sf):
+    return count_models(_yearly(spark, sf), "product", "n", {"year": F.col("year") - 1995}, "doses")
+
+
+@query("t9_interrupted_series")
+def _t9b(spark, sf):
+    monthly = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n"))
+    d = monthly.withColumns({"t": F.col("year") * 12 + F.col("month"), "every": F.lit("urgent")})
+    return count_models(d, "every", "n", interrupted(F.col("t"), 1995 * 12 + 1, 1995 * 12 + 6))

@@ -142,6 +142,14 @@ def _l3(spark, sf):
     return best.select("classes", F.round("log_likelihood", 3).alias("log_likelihood"), F.round("bic", 3).alias("bic"), "chosen")
 
 
+@query("l4_class_stability")
+def _l4(spark, sf):
+    p = _patterns(spark, sf)
+    best = R.best_classes(R.class_counts(p, V.EVENTS, most=4))
+    ari = R.class_stability(p, V.EVENTS, best)
+    return ari.agg(F.count(F.lit(1)).alias("draws"), F.round(F.percentile("ari", F.lit(0.5)), 4).alias("median_ari"))
+
+
 @query("l5_classes_of_reports")
 def _l5(spark, sf):
     best = R.best_classes(R.class_counts(_patterns(spark, sf), V.EVENTS, most=4))

@@ -89,6 +89,35 @@ def _q14(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(score, 5).alias("score"), F.round(score * score / 1.5, 5).alias("t2"))
 
 
+def _monitor(spark, sf, robust):
+    from siglot.operators.monitoring import fit_monitor
+
+    rows = table(spark, sf, "lineitem")
+    return rows, fit_monitor(rows, V.ATTRIBUTES, robust=robust)
+
+
+@query("q13_q15_robust_monitor")
+def _q13(spark, sf):
+    m = _monitor(spark, sf, True)[1]
+    rows = [(c, float(m.mean[i]), float(m.scale[i]), float(m.values[i]), m.a, m.t2_limit, m.spe_limit) for i, c in enumerate(m.columns)]
+    return spark.createDataFrame(rows, "attribute string, centre double, scale double, eigenvalue double, components int, t2_limit double, spe_limit double")
+
+
+@query("q14_t2_spe")
+def _q14b(spark, sf):
+    rows, m = _monitor(spark, sf, True)
+    d = m.scores(rows)
+    return d.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_if("t2_flag").alias("t2_flagged"), F.count_if("spe_flag").alias("spe_flagged"), F.round(F.avg("t2"), 4).alias("mean_t2"), F.round(F.avg("spe"), 4).alias("mean_spe"))
+
+
+@query("q16_t2_contributions")
+def _q16b(spark, sf):
+    rows, m = _monitor(spark, sf, True)
+    top = F.posexplode("contributions").alias("i", "c")
+    d = m.scores(rows).select("t2_flag", top).withColumn("attribute", F.get(F.array(*[F.lit(c) for c in m.columns]), F.col("i")))
+    return d.groupBy("t2_flag", "attribute").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c"), 4).alias("mean_contribution"))
+
+
 @query("q16_atypicality", "with r as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, rank() over (partition by l_suppkey order by l_extendedprice) + (count(*) over (partition by l_suppkey, l_extendedprice) - 1) / 2.0 as k, count(*) over (partition by l_suppkey) as n from lineitem) select l_orderkey, l_linenumber, l_partkey, l_suppkey, k as avg_rank, n from r")
 def _q16(spark, sf):
     from pyspark.sql import Window

@@ -135,6 +135,41 @@ def _d14(spark, sf):
     return C.plausibility(table(spark, sf, "lineitem"), "l_returnflag", {k: F.expr(c) for k, c in _FLAGS.items()})
 
 
+_REPORT = """with r as (select o_orderkey as k, cast(o_orderdate as date) as notification_date, cast(o_orderdate as date) - cast(o_orderkey % 800 - 30 as integer) as vaccination_date,
+  cast(o_orderdate as date) - cast(o_custkey * 37 % 12000 as integer) as birth_date, o_orderstatus = 'F' as hospitalized, o_orderpriority, o_totalprice from orders),
+d as (select *, case when k % 3 > 0 then notification_date + cast(k % 11 - 5 as integer) end as admission_date, case when k % 3 > 0 then notification_date + cast(k % 11 - 5 + (k % 420) - 3 as integer) end as discharge_date,
+  case when k % 13 > 0 then date_diff('day', birth_date, vaccination_date) / 30.4375 end as age_months from r)"""
+_CONDITIONS = {
+    "notification_before_vaccination": "notification_date < vaccination_date", "notification_delay_implausible": "date_diff('day', vaccination_date, notification_date) > 730", "birth_after_vaccination": "birth_date > vaccination_date",
+    "discharge_before_admission": "discharge_date < admission_date", "stay_implausible": "date_diff('day', admission_date, discharge_date) > 365", "admission_before_vaccination": "admission_date < vaccination_date",
+    "age_conflict": "k % 17 = 3", "age_missing": "age_months is null", "age_group_mismatch": "k % 5 = 1",
+    "hospitalized_without_date": "hospitalized and admission_date is null", "admission_date_not_hospitalized": "not hospitalized and admission_date is not null",
+    "pregnant_male": "k % 9 = 2 and k % 2 = 0", "pregnant_age_implausible": "k % 9 = 2 and not coalesce(floor(age_months / 12) between 10 and 55, false)",
+    "recovered_and_died": "k % 7 = 0 and k % 8 = 0", "no_event_marked": "k % 6 = 0 and k % 4 <> 1",
+    "unmapped_vaccine": "k % 19 = 4", "target_lot_missing": "k % 10 = 5 and k % 3 = 0", "schedule_invalid": "k % 23 = 0",
+    "vaccination_year_imputed": "k % 20 = 1", "vaccination_year_dropped": "k % 20 = 2", "notification_year_imputed": "k % 20 = 3", "notification_year_dropped": "k % 20 = 4",
+    "month_mismatch": "k % 12 + 1 <> month(vaccination_date) and k % 12 + 1 <> month(notification_date) and k % 2 = 0",
+}
+
+
+@query("d13_plausibility_flags", _REPORT + " union all ".join(f" select '{f}' as flag, count(*) as n, count(*) filter ({c}) as flagged, round(100.0 * count(*) filter ({c}) / count(*), 4) as pct from d" for f, c in _CONDITIONS.items()))
+def _d13(spark, sf):
+    k = F.col("o_orderkey")
+    day = lambda d, n: F.date_add(d, n.cast("int"))
+    d = table(spark, sf, "orders").withColumn("notification_date", F.to_date("o_orderdate"))
+    d = d.withColumns({"vaccination_date": day(F.col("notification_date"), -(k % 800 - 30)), "birth_date": day(F.col("notification_date"), -(F.col("o_custkey") * 37 % 12000)), "hospitalized": F.col("o_orderstatus") == "F"})
+    d = d.withColumns({
+        "admission_date": F.when(k % 3 > 0, day(F.col("notification_date"), k % 11 - 5)), "discharge_date": F.when(k % 3 > 0, day(F.col("notification_date"), k % 11 - 8 + k % 420)),
+        "age_months": F.when(k % 13 > 0, F.datediff("vaccination_date", "birth_date") / 30.4375), "age_source": F.when(k % 17 == 3, "conflict_derived").otherwise("both_agree"),
+        "age_group": F.lit("0-5"), "age_group_reported": F.when(k % 5 == 1, "61+").when(k % 5 == 2, None).otherwise("0-5"), "pregnant": F.when(k % 9 == 2, True).when(k % 9 == 3, None).otherwise(False),
+        "sex": F.when(k % 2 == 0, "M").otherwise("F"), "recovered": k % 7 == 0, "died": F.when(k % 8 == 0, True).when(k % 8 == 1, None).otherwise(False), "n_events": k % 6, "other_categories": F.when(k % 4 == 1, "x"),
+        "vaccines": F.when(k % 19 == 4, F.array(F.lit("A"), F.lit("X:B"))).otherwise(F.array(F.lit("A"))), "has_target": k % 10 == 5, "target_lots": F.when(k % 3 > 0, "l"), "schedule_invalid": k % 23 == 0,
+        "vaccination_date_rule": F.when(k % 20 == 1, "imputed_year").when(k % 20 == 2, "dropped_impossible").otherwise("kept"), "notification_date_rule": F.when(k % 20 == 3, "imputed_year").when(k % 20 == 4, "dropped_impossible").otherwise("kept"),
+        "month_reported": F.when(k % 2 == 0, k % 12 + 1),
+    })
+    return C.plausibility(d.withColumn("every", F.lit("all")), "every", C.plausibility_flags()).drop("every")
+
+
 @query("d15_conformance", """
 with t as (select l_returnflag, case when l_discount = 0 then 'missing' when l_discount > 0.08 then 'invalid' else 'ok' end as discount, case when l_tax = 0 then 'missing' else 'ok' end as tax from lineitem)
 select l_returnflag, field, count(*) filter (status = 'ok') as ok, count(*) filter (status = 'missing') as missing, count(*) filter (status = 'invalid') as invalid

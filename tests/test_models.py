@@ -101,6 +101,17 @@ def test_planted_classes_are_found(spark):
     assert got[2].shares == pytest.approx([0.7, 0.3], abs=0.03) and np.array(got[2].probabilities) == pytest.approx(prob, abs=0.05)
     right = R.assign(d, items, best).agg(F.avg((F.col("class") == F.col("kind")).cast("int")).alias("p"), F.min("posterior").alias("least")).first()
     assert right.p > 0.95 and right.least >= 0.5
+    ari = R.class_stability(d.groupBy(*items).agg(F.count(F.lit(1)).alias("weight")), items, best, draws=8).agg(F.min("ari").alias("least"), F.count("ari").alias("n")).first()
+    assert ari.n == 8 and 0.9 < ari.least <= 1
+
+
+def test_adjusted_rand_by_pairs():
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 3, 60), rng.integers(0, 3, 60)
+    pairs = [(a[i] == a[j], b[i] == b[j]) for i in range(60) for j in range(i)]
+    both, one, two, n = sum(x and y for x, y in pairs), sum(x for x, _ in pairs), sum(y for _, y in pairs), len(pairs)
+    assert R.adjusted_rand(a, b, np.ones(60)) == pytest.approx((both - one * two / n) / ((one + two) / 2 - one * two / n))
+    assert R.adjusted_rand(a, a, np.ones(60)) == 1
 
 
 def test_collinear_columns_are_dropped(spark):
