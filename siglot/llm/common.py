@@ -29,11 +29,17 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut and lost executors cost nothing."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, tag: str, most_rows: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: its lineage is cut and lost executors cost nothing. most_rows bounds the Arrow batches of this one job, where rows are whole texts."""
+    spark, path, name = df.sparkSession, new_path(df.sparkSession, tag), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if most_rows:
+        spark.conf.set(name, str(most_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -123,25 +129,39 @@ def slot_set(words: Column, slot: Column) -> Column:
     return F.get(words, F.shiftright(slot, 6).cast("int")).bitwiseAND(bit) != 0
 
 
+def _memory() -> dict:
+    """What a worker process remembers: in a module of its own, as functions travel to workers by value."""
+    module = sys.modules.setdefault("_siglot_memory", types.ModuleType("_siglot_memory"))
+    return module.__dict__.setdefault("kept", {})
+
+
 def kept(name: tuple, make: Callable):
-    """What make() gave in this process first, for all tasks that it runs: in a module of its own, as functions travel to workers by value."""
-    memory = sys.modules.setdefault("_siglot_memory", types.ModuleType("_siglot_memory")).__dict__
+    """What make() gave in this process first, for all tasks that it runs. One thing is remembered at a time."""
+    memory = _memory()
     if name not in memory:
+        memory.clear()
         memory[name] = make()
     return memory[name]
 
 
-def tidy(run: Callable) -> Callable:
-    """A function of Arrow batches that gives its memory back when its task ends: workers stay for later stages, and what their allocators keep would count against those."""
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable, remembers: bool = False) -> Callable:
+    """A function of Arrow batches that gives its memory back when its task ends: workers stay for later stages, and what their allocators keep would count against those. Unless it remembers something itself, it drops what another operator's tasks have kept."""
 
     def tidied(batches: Iterator) -> Iterator:
+        if not remembers and _memory():
+            _memory().clear()
+            _give_back()
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-            if trim:
-                trim(0)
+            _give_back()
 
     return tidied
 

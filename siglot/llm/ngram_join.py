@@ -42,7 +42,7 @@ class Shingler:
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         import xxhash
 
-        if len(self.ids) > 150_000:
+        if len(self.ids) > 100_000:
             self.ids, self.hashes = defaultdict(count().__next__), np.zeros(0, np.uint64)
         cut = [t.encode("utf-8").lower().split() if t else [] for t in texts]  # bytes: only A-Z, and only ASCII white space
         known = len(self.hashes)
@@ -143,7 +143,7 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh, seen = Shingler(words), np.zeros(SLOTS, np.int32)
         names = ["kind", "_id", "_tid", "n", "node", "other", "sketch", "counts"]
-        for b in by_bytes(batches, "_text", 2_000_000):
+        for b in by_bytes(batches, "_text", 1_000_000):
             sets = sh.batch(b.column("_text").to_pylist())
             if sum(map(len, sets)):
                 seen += np.bincount(_slot(np.concatenate(sets)), minlength=SLOTS).astype(np.int32)
@@ -210,7 +210,7 @@ def _keys(docs: DataFrame, heat, clashes: dict, words: int, num: int, den: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh, done, ks, ns, size = Shingler(words), set(), [], [], 0
-        for b in by_bytes(batches, "_text", 2_000_000):
+        for b in by_bytes(batches, "_text", 1_000_000):
             for u in sh.batch(b.column("_text").to_pylist()):
                 if len(u) and (node := set_hash(u, clashes)[0]) not in done:
                     done.add(node)
@@ -218,7 +218,7 @@ def _keys(docs: DataFrame, heat, clashes: dict, words: int, num: int, den: int)
                     ks.append(k)
                     ns.append(np.full(len(k), node, np.uint64))
                     size += len(k)
-            if size > 400_000:  # a bounded part of the task's keys at a time
+            if size > 250_000:  # a bounded part of the task's keys at a time
                 yield from gathered(ks, ns)
                 ks, ns, size = [], [], 0
             if len(done) > 100_000:  # a node that comes again then gives the same keys again
@@ -289,13 +289,13 @@ class _Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sh = Shingler(words)
-            for b in by_bytes(batches, "_text", 2_000_000):
+            for b in by_bytes(batches, "_text", 1_000_000):
                 sets = sh.batch(b.column("_text").to_pylist())
                 n = [len(u) for u in sets]
                 common = [float(heat.value[_slot(u)].mean()) if len(u) else 0.0 for u in sets]
                 yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(n, pa.int64()), pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64())), pa.array(common, pa.float64())], ["node", "n", "u", "common"])
 
-        return written(rows.mapInArrow(tidy(run), "node bigint, n bigint, u array<bigint>, common double"), "sets")
+        return written(rows.mapInArrow(tidy(run), "node bigint, n bigint, u array<bigint>, common double"), "sets", 2_000)
 
     def least_both(self, n: str, m: str) -> str:
         """SQL for the least intersection at which sets of n and m are linked."""
@@ -420,7 +420,7 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_c
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("_id"), text_hash(F.col(text_col)).alias("_tid"), F.col(text_col).alias("_text"))
-    profiles = written(_profiles(docs, words), "profiles")
+    profiles = written(_profiles(docs, words), "profiles", 2_000)
     heat = spark.sparkContext.broadcast(_heat(profiles))
     people = profiles.where("kind = 0").drop("kind")
     each = written(people.where("n > 0").groupBy("node", "other").agg(F.min("_tid").alias("tid"), F.min("_id").alias("min_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
@@ -430,7 +430,7 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_c
         renamed = lambda df: df.join(F.broadcast(names), ["node", "other"], "left").withColumn("node", F.coalesce("name", "node")).drop("name")
         people, classes = renamed(people), written(renamed(each), "classes")
 
-    repeated = written(_repeated(_keys(docs, heat, clashes, words, num, den)), "keys")
+    repeated = written(_repeated(_keys(docs, heat, clashes, words, num, den)), "keys", 4_000)
     spots = written(repeated.select("key", "node").union(repeated.select("key", "lead")).distinct(), "spots")
     join = _Join(docs.select("_tid", "_text"), classes, heat, clashes, words, num, den)
 

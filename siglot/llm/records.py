@@ -104,7 +104,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int, parts
         .repartitionByRange(n, F.col("_id").asc_nulls_first())
         .sortWithinPartitions(F.col("_id").asc_nulls_first(), F.xxhash64("_text"))
     )
-    index = ordered.mapInArrow(tidy(write), "shard bigint, pos int, _id bigint, offset bigint, length bigint, n_tokens bigint")
+    index = ordered.mapInArrow(tidy(write, remembers=True), "shard bigint, pos int, _id bigint, offset bigint, length bigint, n_tokens bigint")
     index.withColumnRenamed("_id", id_col).write.parquet(f"{path}/index")
     return spark.read.schema(f"shard bigint, pos int, `{id_col}` bigint, offset bigint, length bigint, n_tokens bigint").parquet(f"{path}/index")
 

@@ -69,5 +69,5 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(tidy(count), f"_id {kind}, n_bytes bigint, n_tokens bigint")
+    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(tidy(count, remembers=True), f"_id {kind}, n_bytes bigint, n_tokens bigint")
     return out.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

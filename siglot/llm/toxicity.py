@@ -242,7 +242,7 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, text_
 
     name = fresh(docs, "toxic")
     texts = docs.select(text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("t"))
-    bad = written(texts.mapInArrow(tidy(run), "h binary").distinct(), "toxic").withColumnRenamed("h", name)
+    bad = written(texts.mapInArrow(tidy(run), "h binary").distinct(), "toxic", 2_000).withColumnRenamed("h", name)
     return docs.join(bad, text_hash(F.col(text_col)) == bad[name], "left_anti")
 
 
