@@ -65,28 +65,26 @@ def _direct(text: bytes, value: np.ndarray, end_of: np.ndarray, seeds: np.ndarra
     ties by the next seven. Ties whose remaining bytes come to KEYED at most are put
     in order by comparing these bytes.
     """
-    out, at = np.empty(len(seeds), np.int64), 0
-    todo = [(seeds, 0)] if len(seeds) else []
+    out, todo = seeds.copy(), [(0, len(seeds), 0)]
     while todo:
-        group, depth = todo.pop()
-        if len(group) == 1 or depth >= width:
-            out[at : at + len(group)] = group
-            at += len(group)
+        lo, hi, depth = todo.pop()
+        if depth >= width:
             continue
-        if len(group) * (width - depth) <= KEYED and (depth or len(group) < 1000):
-            ends = end_of[group].tolist()
-            keys = [text[p + depth : min(p + width, e)] for p, e in zip(group.tolist(), ends, strict=True)]
-            out[at : at + len(group)] = group[sorted(range(len(group)), key=keys.__getitem__)]
-            at += len(group)
+        group, ends = out[lo:hi], end_of[out[lo:hi]]
+        if (hi - lo) * (width - depth) <= KEYED and (depth or hi - lo < 1000):
+            keys = [text[p + depth : min(p + width, e)] for p, e in zip(group.tolist(), ends.tolist(), strict=True)]
+            out[lo:hi] = group[sorted(range(hi - lo), key=keys.__getitem__)]
             continue
-        word, ends = np.zeros(len(group), np.int64), end_of[group]
+        word = np.zeros(hi - lo, np.int64)
         for i in range(depth, depth + 7):
             p = np.minimum(group + i, len(text))
             word = word << 9 | np.where(p < ends, value[p], 0)
         order = np.argsort(word, kind="stable")
         word = word[order]
-        parts = np.split(group[order], np.flatnonzero(word[1:] != word[:-1]) + 1)
-        todo += [(g, depth + 7) for g in reversed(parts)]
+        out[lo:hi] = group[order]
+        cuts = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1, [hi - lo]])
+        many = np.flatnonzero(np.diff(cuts) > 1)  # only ties go on
+        todo += [(lo + a, lo + b, depth + 7) for a, b in zip(cuts[many].tolist(), cuts[many + 1].tolist(), strict=True)]
     return out
 
 
