@@ -79,7 +79,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("changed", F.col("n_removed") > 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_pii_surrogates, op4_ngram_join, op5_trie_bpe, op6_exact_dedup, op7_toxicity, op8_decontaminate, op9_token_records, op10_suffix_dedup)}
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siglot.llm.language_id import held_out, language_id, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    return language_id(docs.select("doc_id", "text"), learn(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_pii_surrogates, op4_ngram_join, op5_trie_bpe, op6_exact_dedup, op7_toxicity, op8_decontaminate, op9_token_records, op10_suffix_dedup, op12_language_id)}
 
 SQL = {
     "op2_url_filter": r"""
