@@ -79,6 +79,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("changed", F.col("n_removed") > 0)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siglot.llm.collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents").select("lang", "text")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siglot.llm.language_id import held_out, language_id, learn
 
@@ -86,7 +92,7 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(docs.select("doc_id", "text"), learn(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_pii_surrogates, op4_ngram_join, op5_trie_bpe, op6_exact_dedup, op7_toxicity, op8_decontaminate, op9_token_records, op10_suffix_dedup, op12_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_pii_surrogates, op4_ngram_join, op5_trie_bpe, op6_exact_dedup, op7_toxicity, op8_decontaminate, op9_token_records, op10_suffix_dedup, op11_collocations, op12_language_id)}
 
 SQL = {
     "op2_url_filter": r"""
