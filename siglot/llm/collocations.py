@@ -17,7 +17,7 @@ from siglot.llm.common import by_bytes, tidy, written
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 GAPS = b"\t "
 END = b"."  # stands between pieces, as no word has it
-SLICE = 6_000_000  # bytes of text whose suffixes are added up before they leave a task
+SLICE = 16_000_000  # bytes of text whose suffixes are added up before they leave a task
 ROUTED = 400_000  # suffixes of a range, as a goal
 ROWS = 50_000  # of a batch of results
 
@@ -37,21 +37,40 @@ def _cut(text: bytes, most: int) -> Iterator[bytes]:
     yield text[start:]
 
 
-def _suffixes(words: list[bytes], longest: int) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
+def _coded(texts: list[bytes]) -> pa.DictionaryArray:
+    """The words of texts as codes, an END before each text."""
+    return pa.array([END, *words_of(texts)], pa.binary()).dictionary_encode()
+
+
+def _suffixes(parts: list[pa.DictionaryArray], longest: int) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
     """The vocabulary, the distinct suffixes cut to `longest` words (codes of words, -1 past the end of their piece), and how often each occurs."""
-    coded = pa.array([END, *words], pa.binary()).dictionary_encode()
-    code, size = coded.indices.to_numpy()[1:].astype(np.int64), len(coded.dictionary)  # END has code 0
+    coded = pa.chunked_array(parts).unify_dictionaries().combine_chunks()
+    code, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    end = coded.dictionary.index(END).as_py()
+    code = np.where(code == end, 0, code + (code < end))  # END gets code 0
     columns, live = [code], code != 0
     for k in range(1, longest):
         following = np.zeros(len(code), np.int64)
         following[:-k] = code[k:]
         columns.append(np.where(columns[-1] != 0, following, 0))
     columns = [c[live] for c in columns]
-    group = columns[0]
-    for c in columns[1:]:  # one number for all words so far, made dense each time so that it fits 64 bits
-        _, group = np.unique(group * size + c, return_inverse=True)
-    _, first, n = np.unique(group, return_index=True, return_counts=True)
-    return coded.dictionary, [c[first] - 1 for c in columns], n
+    if size**longest < 1 << 63:  # one number for all words, taken apart again afterwards
+        group = columns[0]
+        for c in columns[1:]:
+            group = group * size + c
+        group, n = np.unique(group, return_counts=True)
+        columns = []
+        for _ in range(longest):
+            group, c = np.divmod(group, size)
+            columns.insert(0, c)
+    else:
+        group = columns[0]
+        for c in columns[1:]:
+            group = np.unique(group * size + c, return_inverse=True)[1]
+        _, first, n = np.unique(group, return_index=True, return_counts=True)
+        columns = [c[first] for c in columns]
+    names = pa.concat_arrays([coded.dictionary[:end], coded.dictionary[end + 1 :]])
+    return names, [c - 1 for c in columns], n
 
 
 def equal_partitions(columns: list[np.ndarray], weight: np.ndarray, least: int, shared: np.ndarray | None = None, seed: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -122,21 +141,24 @@ def _suffix_table(docs: DataFrame, longest: int, lang_col: str, text_col: str) -
     """lang, w1 to w<longest> (null past the end of a piece), n: the suffixes of all texts, added up within tasks."""
     words = [f"w{k + 1}" for k in range(longest)]
 
-    def added_up(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        for lang, texts in held.items():
-            names, columns, n = _suffixes(words_of(texts), longest)
+    def added_up(held: dict[str, list[pa.DictionaryArray]]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            names, columns, n = _suffixes(parts, longest)
             names = names.cast(pa.string())
             for at in range(0, len(n), ROWS):
                 codes = [c[at : at + ROWS] for c in columns]
-                parts = [names.take(pa.array(c + 1, mask=c < 0)) for c in codes]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes[0]), pa.string()), *parts, pa.array(n[at : at + ROWS].astype(np.int64))], ["lang", *words, "n"])
+                taken = [names.take(pa.array(c, mask=c < 0)) for c in codes]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes[0]), pa.string()), *taken, pa.array(n[at : at + ROWS].astype(np.int64))], ["lang", *words, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
         for b in by_bytes(batches, "text"):
+            texts = {}
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                for part in _cut(text, SLICE):
-                    held.setdefault(lang, []).append(part)
+                texts.setdefault(lang, []).append(text)
+            for lang, some in texts.items():
+                for part in _cut(END.join(some), SLICE):
+                    held.setdefault(lang, []).append(_coded([part]))
                     size += len(part)
                     if size >= SLICE:
                         yield from added_up(held)
