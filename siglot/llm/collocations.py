@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 GAPS = b"\t "
 END = b"."  # stands between pieces, as no word has it
 SLICE = 16_000_000  # bytes of text whose suffixes are added up before they leave a task
-ROUTED = 400_000  # suffixes of a range, as a goal
+RANGE = 2_000_000  # bytes of text whose suffixes one range gets, as a goal
 ROWS = 50_000  # of a batch of results
 
 
@@ -42,12 +43,15 @@ def _coded(texts: list[bytes]) -> pa.DictionaryArray:
     return pa.array([END, *words_of(texts)], pa.binary()).dictionary_encode()
 
 
-def _suffixes(parts: list[pa.DictionaryArray], longest: int) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
-    """The vocabulary, the distinct suffixes cut to `longest` words (codes of words, -1 past the end of their piece), and how often each occurs."""
+def _suffixes(parts: list[pa.DictionaryArray], longest: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The vocabulary in byte order, the distinct suffixes cut to `longest` words in the order of their words (places in the vocabulary, 0 for END past the end of their piece), and how often each occurs."""
     coded = pa.chunked_array(parts).unify_dictionaries().combine_chunks()
-    code, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
-    end = coded.dictionary.index(END).as_py()
-    code = np.where(code == end, 0, code + (code < end))  # END gets code 0
+    names = coded.dictionary
+    order = pc.sort_indices(names).to_numpy()
+    order = np.r_[names.index(END).as_py(), order[order != names.index(END).as_py()]]  # END first
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    code, names, size = place[coded.indices.to_numpy()], names.take(pa.array(order)), len(order)
     columns, live = [code], code != 0
     for k in range(1, longest):
         following = np.zeros(len(code), np.int64)
@@ -69,8 +73,22 @@ def _suffixes(parts: list[pa.DictionaryArray], longest: int) -> tuple[pa.Array,
             group = np.unique(group * size + c, return_inverse=True)[1]
         _, first, n = np.unique(group, return_index=True, return_counts=True)
         columns = [c[first] for c in columns]
-    names = pa.concat_arrays([coded.dictionary[:end], coded.dictionary[end + 1 :]])
-    return names, [c - 1 for c in columns], n
+    return names, np.column_stack(columns), n.astype(np.int64)
+
+
+def _cuts(names: list[bytes], rows: np.ndarray, bounds: list[tuple[bytes, ...]]) -> list[int]:
+    """Where each bound would stand among the sorted rows."""
+    out = []
+    for bound in bounds:
+        lo, hi = 0, len(rows)
+        for k, word in enumerate(bound):
+            at = 0 if word == END else bisect_left(names, word, 1)
+            column = rows[lo:hi, k]
+            hi, lo = lo + int(np.searchsorted(column, at, "right" if at < len(names) and names[at] == word else "left")), lo + int(np.searchsorted(column, at))
+            if lo == hi:
+                break
+        out.append(lo)
+    return out
 
 
 def equal_partitions(columns: list[np.ndarray], weight: np.ndarray, least: int, shared: np.ndarray | None = None, seed: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -121,42 +139,67 @@ def equal_partitions(columns: list[np.ndarray], weight: np.ndarray, least: int,
         order, segment = order[stay], segment[stay]
 
 
-def _shared(coded: list[pa.DictionaryArray], columns: list[np.ndarray]) -> np.ndarray:
-    """How many leading columns each row has in common with the range's first or last row, which may go on in the ranges beside it."""
-    out = np.zeros(len(columns[0]), np.int64)
+def _shared(rows: np.ndarray, names: pa.Array) -> np.ndarray:
+    """How many leading words each row has in common with the first or the last row of its range, which may go on in the ranges beside it. Codes below 0 are ends and come first."""
+    out = np.zeros(len(rows), np.int64)
     for last in (False, True):
         among = np.arange(len(out))
-        for depth, (c, codes) in enumerate(zip(coded, columns, strict=True)):
-            used = np.unique(codes[among])
-            if used[-1] < 0 or (not last and used[0] < 0):  # an end comes first
+        for depth in range(rows.shape[1]):
+            used = np.unique(rows[among, depth])
+            if used[-1] < 0 or (not last and used[0] < 0):
                 break
-            values = c.dictionary.take(pa.array(used[used >= 0]))
-            edge = pc.min_max(values)["max" if last else "min"]
-            among = among[codes[among] == c.dictionary.index(edge).as_py()]
+            edge = pc.min_max(names.take(pa.array(used[used >= 0])))["max" if last else "min"]
+            among = among[rows[among, depth] == names.index(edge).as_py()]
             out[among] = np.maximum(out[among], depth + 1)
     return out
 
 
-def _suffix_table(docs: DataFrame, longest: int, lang_col: str, text_col: str) -> DataFrame:
-    """lang, w1 to w<longest> (null past the end of a piece), n: the suffixes of all texts, added up within tasks."""
-    words = [f"w{k + 1}" for k in range(longest)]
+def _bounds(texts: DataFrame, longest: int, sampled: int = 5_000, most_ranges: int = 50_000) -> dict[str, list[tuple[bytes, ...]]]:
+    """For each language, the suffixes at which its ranges part, from up to 32 places of some `sampled` texts; they decide who counts what, and no result."""
+    n = texts.count()
+    share = min(1.0, sampled / max(1, n))
+    size = F.length("text")
+    k = 1 + F.least(F.lit(31), F.floor(size / 2048).cast("int"))
+    at = F.explode(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.substring("text", F.floor(size * (2 * i + 1) / (2 * k)).cast("int"), F.lit(80))))
+    some = texts.sample(share, seed=11).select("lang", (F.octet_length("text") / k).alias("bytes"), at.alias("at")).toPandas()
+    starts, weights = {}, {}
+    for lang, size, text in zip(some["lang"], some["bytes"], some["at"], strict=True):
+        words = words_of([text.encode()])[1:]  # the first may be cut
+        words = words[next((i for i, w in enumerate(words) if w != END), len(words)) :]
+        end = words.index(END) if END in words else len(words)
+        if words:
+            starts.setdefault(lang, []).append(tuple((words[:end] + [END] * longest)[:longest]))
+            weights.setdefault(lang, []).append(size / share)
+    total, out = sum(map(sum, weights.values())), {}
+    for lang, found in starts.items():
+        order = sorted(range(len(found)), key=lambda i: [b"" if w == END else w for w in found[i]])
+        so_far = np.cumsum([weights[lang][i] for i in order])
+        step = max(RANGE, total / most_ranges)
+        out[lang] = sorted({found[order[i]] for i in np.searchsorted(so_far, np.arange(step, so_far[-1], step))}, key=lambda b: [b"" if w == END else w for w in b])
+    return out
+
+
+def _routed(texts: DataFrame, bounds: dict[str, list[tuple[bytes, ...]]], longest: int) -> DataFrame:
+    """lang, range, suffixes, n: the suffixes of a slice of texts that go to one range, as their words (END past the end of a piece), and their counts as 64-bit integers."""
+    sent = texts.sparkSession.sparkContext.broadcast(bounds)
 
     def added_up(held: dict[str, list[pa.DictionaryArray]]) -> Iterator[pa.RecordBatch]:
         for lang, parts in held.items():
-            names, columns, n = _suffixes(parts, longest)
-            names = names.cast(pa.string())
-            for at in range(0, len(n), ROWS):
-                codes = [c[at : at + ROWS] for c in columns]
-                taken = [names.take(pa.array(c, mask=c < 0)) for c in codes]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes[0]), pa.string()), *taken, pa.array(n[at : at + ROWS].astype(np.int64))], ["lang", *words, "n"])
+            names, rows, n = _suffixes(parts, longest)
+            names, ends = names.to_pylist(), [0]
+            ends += [*_cuts(names, rows, sent.value.get(lang, [])), len(rows)]
+            words = np.array(names, object)
+            for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+                if b > a:
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([k], pa.int32()), pa.array([b" ".join(words[rows[a:b].ravel()])], pa.binary()), pa.array([n[a:b].tobytes()], pa.binary())], ["lang", "range", "suffixes", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
         for b in by_bytes(batches, "text"):
-            texts = {}
+            found = {}
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                texts.setdefault(lang, []).append(text)
-            for lang, some in texts.items():
+                found.setdefault(lang, []).append(text)
+            for lang, some in found.items():
                 for part in _cut(END.join(some), SLICE):
                     held.setdefault(lang, []).append(_coded([part]))
                     size += len(part)
@@ -165,38 +208,46 @@ def _suffix_table(docs: DataFrame, longest: int, lang_col: str, text_col: str) -
                         held, size = {}, 0
         yield from added_up(held)
 
-    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text is not null")
-    return texts.mapInArrow(tidy(run), f"lang string, {', '.join(f'{w} string' for w in words)}, n bigint")
+    return texts.mapInArrow(tidy(run), "lang string, range int, suffixes binary, n binary")
 
 
-def _frequent(suffixes: DataFrame, longest: int, least: int) -> DataFrame:
-    """lang, phrase, size, f of every phrase of up to `longest` words that occurs at least `least` times.
+def _counted(routed: DataFrame, longest: int, least: int) -> DataFrame:
+    """lang, phrase, size, f: every phrase of up to `longest` words that occurs at least `least` times; and with size 0 and an empty phrase each language's words.
 
-    Suffixes are routed to ranges by their leading words, all of them, so that even a
-    third of all rows with one leading word is spread over as many ranges as it
-    needs. Each range is sorted by itself; only what begins like its first or
-    last suffix can go on in another one, is never abandoned there, and is added up.
+    A range is sorted by itself, one at a time in a task. Only what begins like its
+    first or last suffix can go on in another range, is never abandoned there,
+    and is added up.
     """
-    names = ["lang", *[f"w{k + 1}" for k in range(longest)]]
+
+    def sort(lang: str, blocks: list[bytes], counts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        coded = pa.array(b" ".join(blocks).split(), pa.binary()).dictionary_encode()
+        names, weight = coded.dictionary, np.frombuffer(b"".join(counts), np.int64)
+        rows = coded.indices.to_numpy().reshape(-1, longest).astype(np.int64)
+        end = names.index(END).as_py()
+        rows[rows == end] = -1
+        found = [(0, np.zeros(1, np.int64), np.array([weight.sum()]))]
+        for size, at, f in [*found, *equal_partitions(list(rows.T), weight, least, _shared(rows, names))]:
+            for k in range(0, len(at), ROWS):
+                some = rows[at[k : k + ROWS]]
+                words = [names.take(pa.array(some[:, i])).cast(pa.string()) for i in range(size)]
+                phrase = pc.binary_join_element_wise(*words, pa.scalar(" ")) if words else pa.array([""])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), phrase, pa.array(np.full(len(some), size, np.int32)), pa.array(f[k : k + ROWS])], ["lang", "phrase", "size", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not len(table):
-            return
-        weight = table.column("n").to_numpy()
-        coded = [table.column(c).combine_chunks().dictionary_encode() for c in names]
-        del table
-        columns = [c.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in coded]
-        for depth, rows, f in equal_partitions(columns, weight, least, _shared(coded, columns)):
-            for at in range(0, len(rows) if depth > 1 else 0, ROWS):  # at depth 1 there is only the language
-                some = rows[at : at + ROWS]
-                lang, *words = (coded[k].dictionary.take(pa.array(columns[k][some])) for k in range(depth))
-                phrase = pc.binary_join_element_wise(*words, pa.scalar(" "))
-                yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(some), depth - 1, np.int32)), pa.array(f[at : at + ROWS])], ["lang", "phrase", "size", "f"])
-
-    ranges = max(1, -(-suffixes.count() // ROUTED))
-    parts = suffixes.repartitionByRange(ranges, *names).mapInArrow(tidy(run), "lang string, phrase string, size int, f bigint")
-    return parts.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+        key, blocks, counts = None, [], []
+        for b in batches:
+            for lang, k, block, n in zip(*(b.column(c).to_pylist() for c in ("lang", "range", "suffixes", "n")), strict=True):
+                if key != (lang, k) and blocks:
+                    yield from sort(key[0], blocks, counts)
+                    blocks, counts = [], []
+                key = (lang, k)
+                blocks.append(block)
+                counts.append(n)
+        if blocks:
+            yield from sort(key[0], blocks, counts)
+
+    parts = routed.repartition("lang", "range").sortWithinPartitions("lang", "range").mapInArrow(tidy(run), "lang string, phrase string, size int, f bigint")
+    return parts.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("size") == 0))
 
 
 def collocations(docs: DataFrame, longest: int = 3, least: int = 10, within: int = 50, top: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -210,15 +261,18 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, within: int
     `within` percent as often. n counts the language's words. The `top` best of each
     language stay, by score, then a, both descending, then phrase in byte order.
 
-    Suffixes of all texts are counted by multikey three-way quicksort (see
-    equal_partitions); memory is bounded by a slice of text and by a range of
-    suffixes. A null language is `und`, null and empty texts have no words, rows that
-    repeat count each, other columns aren't read, and empty tables give no rows.
-    Counts up to 10^15 keep the scores exact.
+    Each task adds up the suffixes of a slice of text, and routes them to ranges by
+    their leading words, all of them, so that even a third of all rows with one
+    leading word spreads over as many ranges as it needs; a range is counted by
+    multikey three-way quicksort (see equal_partitions). Memory is bounded by a
+    slice and by a range (2 MB of text, or a 50,000th of the corpus if that is more).
+    A null language is `und`, null and empty texts have no words, rows that repeat
+    count each, other columns aren't read, and empty tables give no rows. Counts up
+    to 10^15 keep the scores exact.
     """
-    suffixes = written(_suffix_table(docs, longest, lang_col, text_col), "suffixes")
-    frequent = written(_frequent(suffixes, longest, least), "frequent")
-    sizes = suffixes.groupBy("lang").agg(F.sum("n").alias("n"))
+    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text is not null")
+    counted = written(_counted(_routed(texts, _bounds(texts, longest), longest), longest, least), "frequent")
+    frequent, sizes = counted.where("size > 0"), counted.where("size = 0").select("lang", F.col("f").alias("n"))
 
     words = F.split("phrase", " ")
     part = lambda start, size: F.array_join(F.slice(words, start, size), " ")

@@ -91,8 +91,11 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     any document to learn from there are no languages.
     """
     usable = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("_text")).where("lang is not null and _text is not null").where(~held_out("_id"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id")
-    picked = written(usable.select("_id", "lang").withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= most_per_lang).select("_id", "lang").distinct(), "languages")
+    picked = usable.select("_id", "lang", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(64)).alias("_part"))
+    for keys in (["lang", "_part"], ["lang"]):  # first within parts of a language, so that no task gets all its documents
+        first = Window.partitionBy(*keys).orderBy(F.xxhash64("_id"), "_id")
+        picked = picked.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= most_per_lang).drop("_k")
+    picked = written(picked.select("_id", "lang").distinct(), "languages")
     shares = {r.lang: r["count"] for r in picked.groupBy("lang").count().collect()}
     languages = sorted(shares)
     while len(languages) * buckets > most_cells:

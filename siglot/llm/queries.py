@@ -92,7 +92,13 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(docs.select("doc_id", "text"), learn(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_pii_surrogates, op4_ngram_join, op5_trie_bpe, op6_exact_dedup, op7_toxicity, op8_decontaminate, op9_token_records, op10_suffix_dedup, op11_collocations, op12_language_id)}
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siglot.llm.lexical_search import lexical_search
+
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_pii_surrogates, op4_ngram_join, op5_trie_bpe, op6_exact_dedup, op7_toxicity, op8_decontaminate, op9_token_records, op10_suffix_dedup, op11_collocations, op12_language_id, op13_lexical_search)}
 
 SQL = {
     "op2_url_filter": r"""
