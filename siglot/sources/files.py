@@ -107,3 +107,10 @@ def write_table(df: DataFrame, path: str, digits: int = 6) -> None:
     """A release table: floats rounded, one header, CSV."""
     cols = [F.round(f.name, digits).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in df.schema.fields]
     df.select(*cols).coalesce(1).write.csv(path, header=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: iterations read it instead of running its plan again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
