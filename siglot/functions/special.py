@@ -25,6 +25,17 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))
 
 
+def trigamma(x: np.ndarray) -> np.ndarray:
+    """By recurrence up to 8, then the asymptotic series."""
+    x = np.array(x, float)
+    out = np.zeros_like(x)
+    while (low := x < 8).any():
+        out = np.where(low, out + 1 / (x * x), out)
+        x = np.where(low, x + 1, x)
+    f = 1 / (x * x)
+    return out + 1 / x + f / 2 + f / x * (1 / 6 - f * (1 / 30 - f * (1 / 42 - f * (1 / 30 - f * 5 / 66))))
+
+
 def gamma_cdf(x: np.ndarray, a: np.ndarray) -> np.ndarray:
     """The regularised lower incomplete gamma function: a series for small x, a continued fraction beyond."""
     x, a = np.broadcast_arrays(np.maximum(np.asarray(x, float), 0), np.asarray(a, float))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-
+import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siglot.functions import special as S
+from siglot.sources.files import stored
 
 Z = 1.959963984540054
 
@@ -248,13 +250,77 @@ def auroc(df: DataFrame, y: str, score: str) -> DataFrame:
     return s.select((F.col("pos") + F.col("neg")).alias("n"), F.col("pos").alias("positives"), F.when(some, F.col("u") / (F.col("pos") * F.col("neg"))).alias("auroc"), F.when(some, F.col("ap") / F.col("pos")).alias("average_precision"))
 
 
-def energy_statistic(df: DataFrame, vector: str, group: str) -> DataFrame:
-    """energy statistic of two groups of vectors (group: true for the first), from their pairwise distances. Meant for samples: pairs grow with the square."""
-    v = df.select(F.monotonically_increasing_id().alias("i"), F.col(vector).alias("v"), F.col(group).alias("g"))
-    pairs = v.alias("a").join(v.alias("b"), F.col("a.i") < F.col("b.i"))
-    dist = F.sqrt(F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    p = pairs.select(dist.alias("d"), F.col("a.g").alias("x"), F.col("b.g").alias("y"))
-    s = p.agg(F.sum(F.when(F.expr("x <> y"), F.col("d"))).alias("ab"), F.sum(F.when(F.expr("x and y"), F.col("d"))).alias("aa"), F.sum(F.when(F.expr("not x and not y"), F.col("d"))).alias("bb"))
-    n = v.agg(F.count_if("g").alias("n"), F.count_if(~F.col("g")).alias("m"))
-    c = lambda k: F.col(k).cast("double")
-    return s.join(F.broadcast(n)).select((c("n") * c("m") / (c("n") + c("m")) * (2 * F.col("ab") / (c("n") * c("m")) - 2 * F.coalesce("aa", F.lit(0.0)) / (c("n") * c("n")) - 2 * F.coalesce("bb", F.lit(0.0)) / (c("m") * c("m")))).alias("energy"))
+def dealt(i: np.ndarray, n: int, key: int) -> np.ndarray:
+    """A permutation of 0 to n - 1 by a keyed network of four rounds, applied to the numbers i: any part of it can be computed anywhere."""
+    half = max(1, math.ceil(math.log2(max(2, n)) / 2))
+    mask, out, todo = np.uint64((1 << half) - 1), i.astype(np.uint64), np.ones(len(i), bool)
+    while todo.any():  # numbers beyond n walk on until they come back
+        left, right = out[todo] >> np.uint64(half), out[todo] & mask
+        for r in range(4):
+            x = (right + np.uint64((key * 4 + r + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            left, right = right, left ^ ((x >> np.uint64(29)) & mask)
+        out[todo] = (left << np.uint64(half)) | right
+        todo[todo] = out[todo] >= np.uint64(n)
+    return out.astype(np.int64)
+
+
+def energy_tests(df: DataFrame, vector: str, label: str, permutations: int = 199, seed: int = 1, block: int = 1_000) -> DataFrame:
+    """label, n, m, energy, p: for each label, the energy distance between its vectors and all others, and its permutation test.
+
+    Every pair of vectors is needed, so work grows with the square of the rows: rows
+    fall into blocks of bounded size, a pair of blocks meets under one key, and a task adds
+    up the distances inside and around each label for all permutations at once. Rows
+    are numbered in the order of their labels, so a permutation of the numbers
+    gives its labels by arithmetic, and no task holds more than two blocks. p is
+    (1 + permutations at least as far apart) / (1 + permutations). Rows without a
+    vector or label are left out.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(label).alias("g"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("g is not null and v is not null")
+    placed = stored(rows.repartitionByRange("g", F.xxhash64("v")).sortWithinPartitions("g").select("g", "v", F.monotonically_increasing_id().alias("at")))  # part number and place in it
+    kept = placed.select("g", "v", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    parts = {r.part: r.n for r in kept.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    start, n = {}, 0
+    for k in sorted(parts):
+        start[k], n = n, n + parts[k]
+    labels = [(r.g, r.n) for r in kept.groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy("g").collect()]  # of a declared list
+    out = f"label {rows.schema['g'].dataType.simpleString()}, n bigint, m bigint, energy double, p double"
+    if len(labels) < 2:
+        return spark.createDataFrame([], out)
+    ends, blocks = np.cumsum([c for _, c in labels]), -(-n // block)
+    index = F.try_element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("part")) + F.col("place")
+    d = kept.select(index.cast("bigint").alias("i"), "v").withColumn("b", F.pmod("i", F.lit(blocks)))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("i", "v", "b", F.least("b", "other").cast("int").alias("r"), F.greatest("b", "other").cast("int").alias("c"))
+
+    def run(table: pa.Table) -> pa.Table:
+        r, c = table.column("r")[0].as_py(), table.column("c")[0].as_py()
+        i, b = table.column("i").to_numpy(), table.column("b").to_numpy()
+        x = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(i), -1)
+        one, two = (b == r), (b == c)
+        left, right = x[one], x[two]
+        square = (left * left).sum(1)[:, None] + (right * right).sum(1)[None, :] - 2 * left @ right.T
+        dist = np.sqrt(np.maximum(square, 0))
+        if r == c:
+            dist = np.triu(dist, 1)
+        inside, around = np.zeros((permutations + 1, len(ends))), np.zeros((permutations + 1, len(ends)))
+        by_row, by_column = dist.sum(1), dist.sum(0)
+        for k in range(permutations + 1):
+            g = np.searchsorted(ends, dealt(i, n, seed * 1_000_003 + k) if k else i, side="right")
+            hot = lambda g: (g[:, None] == np.arange(len(ends))).astype(float)
+            a, z = hot(g[one]), hot(g[two])
+            inside[k] = ((dist @ z) * a).sum(0)
+            around[k] = by_row @ a + by_column @ z
+        size = inside.size
+        return pa.table({"k": pa.array(np.repeat(np.arange(permutations + 1), len(ends)), pa.int32()), "g": pa.array(np.tile(np.arange(len(ends)), permutations + 1), pa.int32()), "inside": inside.ravel(), "around": around.ravel(), "every": np.full(size, dist.sum())})
+
+    sums = d.groupBy("r", "c").applyInArrow(run, "k int, g int, inside double, around double, every double").groupBy("k", "g").agg(*[F.sum(c).alias(c) for c in ("inside", "around", "every")])
+    size = F.try_element_at(F.create_map(*[F.lit(x) for g, (_, c) in enumerate(labels) for x in (g, float(c))]), F.col("g"))
+    a, z = size, F.lit(float(n)) - size
+    between = F.col("around") - 2 * F.col("inside")
+    energy = a * z / (a + z) * (2 * between / (a * z) - 2 * F.col("inside") / (a * a) - 2 * (F.col("every") - F.col("inside") - between) / (z * z))
+    e = sums.select("k", "g", a.cast("bigint").alias("n"), z.cast("bigint").alias("m"), energy.alias("energy"))
+    own = F.max(F.when(F.col("k") == 0, F.col("energy"))).over(Window.partitionBy("g"))
+    per = e.withColumn("own", own).groupBy("g").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("own").alias("energy"), F.count_if((F.col("k") > 0) & (F.col("energy") >= F.col("own") * (1 - 1e-12))).alias("hits"))
+    names = spark.createDataFrame([(g, v) for g, (v, _) in enumerate(labels)], f"g int, label {rows.schema['g'].dataType.simpleString()}")
+    return per.join(F.broadcast(names), "g").select("label", "n", "m", "energy", ((1 + F.col("hits")) / (1.0 + permutations)).alias("p"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siglot.operators import attributions as A
+from siglot.operators import clustered as C
 from siglot.operators import measures as M
 from siglot.operators import models as R
 from siglot.plans import views as V
@@ -187,3 +189,105 @@ def _q6(spark, sf):
 def _q19(spark, sf):
     d = table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.avg("p_retailprice").alias("v"))
     return R.hodges_lehmann(d, ["p_brand"], "v", F.col("p_type") < "M").select("p_brand", F.round("shift", 4).alias("shift"))
+
+
+def _trees(spark, sf):
+    """The test half of the reports with the attributions of trees fitted to the other."""
+    d = _model_rows(spark, sf)
+    trees = A.trees_of(A.fit_trees(d.where("analytic_year <= 1998"), _X, "y"))
+    return A.attributed(d.where("analytic_year > 1998"), trees, _X)
+
+
+@query("m11_attributions")
+def _m11(spark, sf):
+    return _trees(spark, sf).select("record_id", *[F.round(F.get("attributions", F.lit(i)), 6).alias(f) for i, f in enumerate(_X)], F.round("margin", 6).alias("margin"))
+
+
+@query("m11_importance")
+def _m11b(spark, sf):
+    return A.importance(_trees(spark, sf), _X)
+
+
+@query("m11_dependence")
+def _m11c(spark, sf):
+    return A.dependence(_trees(spark, sf), _X)
+
+
+_LINK_SQL = "links as (select *, case l_linenumber when 7 then 'none' when 6 then 'fuzzy' when 5 then 'core' when 4 then 'core' else 'exact' end as match_level, case when l_linenumber = 2 then null else year(l_shipdate) >= 1993 end as temporal_ok from lineitem)"
+
+
+def _linked(spark, sf, **options):
+    """Lines as reports, suppliers as lots."""
+    l = table(spark, sf, "lineitem").withColumn("record_id", F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    ok = F.when(F.col("l_linenumber") != 2, F.year("l_shipdate") >= 1993)
+    level = F.when(F.col("l_linenumber") == 7, "none").when(F.col("l_linenumber") == 6, "fuzzy").when(F.col("l_linenumber").isin(4, 5), "core").otherwise("exact")
+    links = l.select("record_id", F.col("l_suppkey").alias("lot_key"), level.alias("match_level"), ok.alias("temporal_ok"))
+    reports = l.select("record_id", (F.col("l_returnflag") == "R").cast("int").alias("returned"), (F.col("l_quantity") >= 45).cast("int").alias("bulk"), (F.col("l_linestatus") == "O").cast("int").alias("open"), F.ceil(F.col("l_discount") * 20).alias("discount"), F.year("l_shipdate").alias("year"), (F.col("l_tax") > 0.06).alias("taxed"))
+    lots = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("lot_key"), F.col("s_acctbal").alias("balance"), F.length("s_name").alias("name_size"), F.col("s_nationkey").alias("nation"))
+    exclude = F.col("taxed") if options.pop("untaxed", False) else None
+    return C.linked_frame(reports, links, lots, ["balance", "name_size", "nation"], exclude=exclude, **options)
+
+
+_FRAMES = {"primary": {}, "exact_links_only": {"levels": ("exact",)}, "excluding_taxed": {"untaxed": True}, "keeping_inconsistent_lots": {"drop_implausible": False}}
+
+
+@query("g1_g11_frames", f"with {_LINK_SQL}" + """, f as (
+select 'primary' as frame, * from links where match_level <> 'none' and coalesce(temporal_ok, true) union all select 'exact_links_only', * from links where match_level = 'exact' and coalesce(temporal_ok, true)
+union all select 'excluding_taxed', * from links where match_level <> 'none' and coalesce(temporal_ok, true) and not l_tax > 0.06 union all select 'keeping_inconsistent_lots', * from links where match_level <> 'none'),
+u as (select frame, s_suppkey, s_acctbal, s_nationkey from supplier join (select distinct frame, l_suppkey from f) on l_suppkey = s_suppkey),
+m as (select frame, avg(s_acctbal) as a, stddev_samp(s_acctbal) as b, avg(s_nationkey) as c, stddev_samp(s_nationkey) as d from u group by 1)
+select frame, count(*) as n, count(distinct l_suppkey) as lots, round(avg((s_acctbal - a) / b), 5) as z_balance, round(avg((s_nationkey - c) / d), 5) as z_nation from f join u using (frame) join m using (frame) where l_suppkey = s_suppkey group by 1
+""")
+def _g11(spark, sf):
+    out = None
+    for name, options in _FRAMES.items():
+        d = _linked(spark, sf, **options)[0].agg(F.count(F.lit(1)).alias("n"), F.countDistinct("lot_key").alias("lots"), F.round(F.avg("z_balance"), 5).alias("z_balance"), F.round(F.avg("z_nation"), 5).alias("z_nation")).withColumn("frame", F.lit(name))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("g2_prune_collinear")
+def _g2(spark, sf):
+    d, z, _ = _linked(spark, sf)
+    d = d.withColumn("late", (F.col("year") >= 1998).cast("int"))
+    terms = ["discount", "open", "late", "C(year)"]
+    stay, gone = C.prune_collinear(d, terms, z)
+    return spark.createDataFrame([(t, t in stay) for t in terms], "term string, kept boolean")
+
+
+@query("g3_exchangeable")
+def _g3(spark, sf):
+    d, z, _ = _linked(spark, sf)
+    b, cov, alpha, n = C.exchangeable(C.patterns(R.design(d, [*z, "discount"], "returned", cluster="lot_key")), len(z) + 2)
+    return spark.createDataFrame(R.terms([*z, "discount"], b, cov), R.TERMS).withColumns({"working_corr": F.lit(float(alpha)), "n_lots": F.lit(n)})
+
+
+@query("g5_model_family")
+def _g5(spark, sf):
+    d, z, _ = _linked(spark, sf)
+    return C.model_family(d, {k: F.col(k) for k in ("returned", "bulk")}, z, ["discount"], "lot_key", negative_controls=("z_nation",))
+
+
+@query("g6_random_intercepts")
+def _g6(spark, sf):
+    d, z, _ = _linked(spark, sf)
+    names = [*z, "discount"]
+    m, s, sd, bounds = C.random_intercepts(C.patterns(R.design(d, names, "returned", cluster="lot_key")), len(names) + 1, steps=25)
+    return spark.createDataFrame(R.terms(names, m, s), R.TERMS).withColumns({"lot_sd": F.lit(sd), "steps": F.lit(len(bounds))})
+
+
+@query("g10_incremental_value")
+def _g10(spark, sf):
+    d, z, _ = _linked(spark, sf)
+    lots = d.select("lot_key", *z).distinct()
+    return C.incremental_value(d, "returned", ["discount", "open"], lots, z, "lot_key", permutations=200)
+
+
+@query("g12_agreement")
+def _g12(spark, sf):
+    """The primary family against its models over the frames of G11, at a level that lets some be significant."""
+    outcomes = {"returned": F.col("returned")}
+    d, z, _ = _linked(spark, sf)
+    family = C.model_family(d, outcomes, z, ["discount"], "lot_key", correlation="independence", negative_controls=("z_nation",))
+    others = C.sensitivity({k: _linked(spark, sf, **v)[0] for k, v in _FRAMES.items() if v}, outcomes, z, ["discount"], "lot_key", correlation="independence")
+    return C.agreement(family, others.where("model = 'single'"), alpha=1.0)

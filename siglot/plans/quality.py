@@ -150,13 +150,18 @@ def _q18b(spark, sf):
 
 
 @query("q20_energy_statistic", """
-with v as (select vec_id, embedding as e, label = 1 as g from embeddings where label in (1, 2)), p as (select a.g as x, b.g as y, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: pow(cast(z[1] as double) - cast(z[2] as double), 2)))) as d from v a join v b on a.vec_id < b.vec_id),
-s as (select sum(d) filter (x <> y) as ab, sum(d) filter (x and y) as aa, sum(d) filter (not x and not y) as bb from p), c as (select cast(count(*) filter (g) as double) as n, cast(count(*) filter (not g) as double) as m from v)
-select round(n * m / (n + m) * (2 * ab / (n * m) - 2 * coalesce(aa, 0) / (n * n) - 2 * coalesce(bb, 0) / (m * m)), 5) as energy from s, c
+with v as (select vec_id, label, cast(embedding as double[]) as e from embeddings where label is not null and embedding is not null), p as (select a.label as x, b.label as y, sum(list_distance(a.e, b.e)) as d from v a join v b on a.vec_id < b.vec_id group by 1, 2),
+c as (select label, cast(count(*) as double) as n, (select count(*) from v) - count(*) as m from v group by 1),
+s as (select label, n, cast(m as double) as m, (select sum(d) from p where (x = label) <> (y = label)) as ab, (select sum(d) from p where x = label and y = label) as aa, (select sum(d) from p where x <> label and y <> label) as bb from c)
+select label, cast(n as bigint) as n, cast(m as bigint) as m, round(n * m / (n + m) * (2 * ab / (n * m) - 2 * coalesce(aa, 0) / (n * n) - 2 * coalesce(bb, 0) / (m * m)), 4) as energy from s
 """)
 def _q20(spark, sf):
-    d = table(spark, sf, "embeddings").where("label in (1, 2)").select(F.transform("embedding", lambda x: x.cast("double")).alias("v"), (F.col("label") == 1).alias("g"))
-    return M.energy_statistic(d, "v", "g").select(F.round("energy", 5).alias("energy"))
+    return M.energy_tests(table(spark, sf, "embeddings"), "embedding", "label", permutations=0).select("label", "n", "m", F.round("energy", 4).alias("energy"))
+
+
+@query("q20_energy_permutations")
+def _q20b(spark, sf):
+    return M.energy_tests(table(spark, sf, "embeddings"), "embedding", "label", permutations=199)
 
 
 @query("q7_capability_periods", ctes("qc") + ", p as (select *, case when year(l_shipdate) < 1998 then 'before' else 'during' end as period from qc) select period, series, count(*) as n, round(least((avg(l_extendedprice) - 1000) / (3 * stddev_samp(l_extendedprice)), (90000 - avg(l_extendedprice)) / (3 * stddev_samp(l_extendedprice))), 4) as ppk from p group by 1, 2")

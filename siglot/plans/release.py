@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siglot.operators import disclosure as X
 from siglot.plans.registry import query
 from siglot.plans.views import table
+from siglot.sources import files
 from siglot.streaming import deliveries
 
 _N = "with c as (select l_suppkey, cast(year(l_shipdate) as integer) as year, count(*) as n, round(avg(l_quantity), 4) as mean from lineitem where l_returnflag = 'R' and l_linestatus = 'O' and l_quantity > 45 group by 1, 2)"
@@ -111,3 +112,19 @@ def _w1(spark, sf):
 @query("w2_streaming_counts", "select cast(cast(ts as date) as varchar) as day, event_type, count(*) as n from events group by 1, 2")
 def _w2(spark, sf):
     return deliveries.daily_counts(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
+
+
+@query("w1_superseded_deliveries", """
+select cast(event_id as bigint) as event_id, cast(month(ts) as integer) as period, case when month(ts) % 2 = 0 then 2 else 1 end as delivered, round(case when month(ts) % 2 = 0 then value * 2 else value end, 6) as value
+from events where month(ts) % 2 = 1 or event_id % 3 <> 0
+""")
+def _w1b(spark, sf):
+    """Even months are delivered twice: the second, cumulative file has corrected values and lacks every third event, and comes before the first one's copy that is late."""
+    e = table(spark, sf, "events").select(F.col("event_id").cast("bigint").alias("event_id"), F.month("ts").alias("period"), "value")
+    at = files.scratch(spark)
+    first = e.withColumn("delivered", F.lit(1))
+    second = e.where("period % 2 = 0 and event_id % 3 <> 0").withColumns({"delivered": F.lit(2), "value": F.col("value") * 2})
+    for k, part in enumerate((first, second, first.where("period % 2 = 0"))):
+        part.coalesce(1).write.parquet(f"{at}/delivery={k}")
+    out = deliveries.ingest_versions(spark, at, first.schema, ["event_id"], "period", "delivered")
+    return out.select("event_id", "period", "delivered", F.round("value", 6).alias("value"))

@@ -94,10 +94,17 @@ def _p9(spark, sf):
     return G.shrunk(c, G.fit_prior(c))
 
 
+@query("p8_prior")
+def _p8(spark, sf):
+    prior = G.fit_prior(G.product_event_counts(V.administrations(spark, sf), V.event_long(spark, sf)))
+    return spark.createDataFrame([tuple(prior)], "a1 double, b1 double, a2 double, b2 double, weight double, converged boolean, log_likelihood double")
+
+
 @query("p10_signal_criteria")
 def _p10(spark, sf):
-    d = cells(spark, sf).withColumns({**G.ror(), **G.prr(), **G.information(limits=True)})
-    return d.select("design", "event", "a", *[c.alias(k) for k, c in G.criteria().items()])
+    prior = G.fit_prior(G.product_event_counts(V.administrations(spark, sf), V.event_long(spark, sf)))
+    d = G.shrunk(cells(spark, sf).withColumnRenamed("a", "n"), prior).withColumnRenamed("n", "a").withColumns({**G.ror(), **G.prr(), **G.information(limits=True)})
+    return d.select("design", "event", "a", *[c.alias(k) for k, c in G.criteria(shrunk=True).items()])
 
 
 @query("p11_rethreshold", _MEASURES + " select design, event, a >= 100 and ror_low > 0.9 as signal_ror, a >= 100 and prr >= 1.01 and chi2 >= 0.5 as signal_prr, a >= 100 and ic > 0.01 as signal_ic from m")
