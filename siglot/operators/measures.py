@@ -186,9 +186,10 @@ def capability(df: DataFrame, group: str, value: str, low: Column | None, high:
 
 
 def individuals(df: DataFrame, series: str, order: list[str], value: str) -> DataFrame:
-    """df with i, centre, sigma (mean moving range / 1.128) and z."""
+    """df with i, centre, sigma (mean moving range / 1.128) and z. A missing value has its place in the series, and the range closes over it."""
     w = Window.partitionBy(series).orderBy(*order)
-    d = df.withColumns({"i": F.row_number().over(w), "_mr": F.abs(F.col(value) - F.lag(value).over(w))})
+    before = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = df.withColumns({"i": F.row_number().over(w), "_mr": F.abs(F.col(value) - before)})
     limits = d.groupBy(series).agg(F.avg(value).alias("centre"), (F.avg("_mr") / 1.128).alias("sigma"))
     return d.join(limits, series).drop("_mr").withColumn("z", F.when(F.col("sigma") > 0, (F.col(value) - F.col("centre")) / F.col("sigma")))
 
@@ -210,9 +211,9 @@ def nelson(df: DataFrame, series: str, z: str = "z", order: str = "i") -> DataFr
 
 
 def ewma(df: DataFrame, series: str, value: str = "z", order: str = "i", lam: float = 0.2, width: int = 170) -> DataFrame:
-    """df with ewma from 0 on a standardised series, and its limit L = 3 with the time-varying variance. Weights under 1e-16 don't count."""
+    """df with ewma from 0 on a standardised series, and its limit L = 3 with the time-varying variance. A missing value repeats the one before. Weights under 1e-16 don't count."""
     w = Window.partitionBy(series).orderBy(order).rowsBetween(-width, 0)
-    past = F.collect_list(F.coalesce(F.col(value), F.lit(0.0))).over(w)
+    past = F.collect_list(F.col(value)).over(w)  # of known values
     out = F.aggregate(past, F.lit(0.0), lambda s, x: (1 - lam) * s + lam * x)
     return df.withColumns({"ewma": out, "limit": 3 * F.sqrt(lam / (2 - lam) * (1 - F.pow(F.lit(1 - lam), 2 * F.col(order))))})
 

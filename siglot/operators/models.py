@@ -116,22 +116,37 @@ def _posterior(x: np.ndarray, share: np.ndarray, prob: np.ndarray) -> tuple[np.n
     return top[:, 0] + np.log(like.sum(axis=1)), like / like.sum(axis=1, keepdims=True)
 
 
-def _mixture(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator, steps: int) -> tuple[float, int, np.ndarray, np.ndarray]:
-    """(log likelihood, steps, shares, probabilities) of a Bernoulli mixture from one random start, the largest class first."""
+#: The conjugate prior of each answer's probability: Beta(1.5, 1.5), half an answer of either kind.
+PRIOR = 1.5
+
+
+def _mixture(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator, steps: int) -> tuple[float, int, np.ndarray, np.ndarray, bool]:
+    """(log likelihood, steps, shares, probabilities, whether it settled) of a Bernoulli mixture from one random start, the largest class first. Probabilities are posterior modes, the likelihood is that of the answers alone."""
     seen = ~np.isnan(x)
     known = np.where(seen, x, 0.0)
-    share, prob, before = np.full(k, 1 / k), rng.uniform(0.2, 0.8, (k, x.shape[1])), -np.inf
+    share, prob, before, settled = np.full(k, 1 / k), rng.uniform(0.2, 0.8, (k, x.shape[1])), -np.inf, False
     for step in range(1, steps + 1):
         each, r = _posterior(x, share, prob)
         log = float((w * each).sum())
         r = r * w[:, None]
-        share = np.maximum(r.sum(axis=0) / w.sum(), 1e-12)
-        prob = np.clip((r.T @ known) / np.maximum(r.T @ seen, 1e-12), 1e-6, 1 - 1e-6)
+        share = np.maximum(r.sum(axis=0) / w.sum(), 1e-10)
+        share = share / share.sum()
+        prob = np.clip((r.T @ known + PRIOR - 1) / (r.T @ seen + 2 * (PRIOR - 1)), 1e-12, 1 - 1e-12)
         if abs(log - before) < 1e-7 * max(1.0, abs(log)):
+            settled = True
             break
         before = log
     order = np.argsort(-share)
-    return log, step, share[order], prob[order]
+    return float((w * _posterior(x, share, prob)[0]).sum()), step, share[order], prob[order], settled
+
+
+def class_criteria(x: np.ndarray, w: np.ndarray, log: float, share: np.ndarray, prob: np.ndarray) -> dict[str, float]:
+    """bic, aic, icl (BIC plus twice the entropy of the assignments), entropy_r2 (1: classes lie apart) and the smallest class's percentage."""
+    k, q, n = len(share), x.shape[1], w.sum()
+    p = np.clip(_posterior(x, share, prob)[1], 1e-300, 1)
+    entropy, parameters = -float((w[:, None] * p * np.log(p)).sum()), k * q + k - 1
+    bic = -2 * log + parameters * math.log(n)
+    return {"bic": bic, "aic": -2 * log + 2 * parameters, "icl": bic + 2 * entropy, "entropy_r2": 1 - entropy / (n * math.log(k)) if k > 1 else 1.0, "smallest_pct": 100 * float(share.min())}
 
 
 def adjusted_rand(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> float:
@@ -161,19 +176,22 @@ def class_stability(patterns: DataFrame, items: list[str], best: DataFrame, draw
         sample = rng.multinomial(int(w.sum()), w / w.sum()).astype(float)
         some = sample > 0
         fits = [_mixture(x[some], sample[some], len(share), rng, steps) for _ in range(starts)]
-        _, _, s, p = max(fits, key=lambda f: f[0])
+        _, _, s, p, _ = max(fits, key=lambda f: f[0])
         return pd.DataFrame({"draw": [draw], "ari": [adjusted_rand(_posterior(x, share, prob)[1].argmax(axis=1), _posterior(x, s, p)[1].argmax(axis=1), w)]})
 
     return met.groupBy("draw").applyInPandas(fit, "draw bigint, ari double")
 
 
+CRITERIA = ["bic", "aic", "icl", "entropy_r2", "smallest_pct"]
+
+
 def class_counts(patterns: DataFrame, items: list[str], most: int = 7, starts: int = 20, steps: int = 500, seed: int = 1) -> DataFrame:
-    """classes, start, log_likelihood, bic, steps, shares, probabilities: Bernoulli mixtures of 1 to `most` classes from `starts` starts each, to convergence.
+    """classes, start, log_likelihood, the criteria, converged, steps, shares, probabilities: Bernoulli mixtures of 1 to `most` classes from `starts` starts each, to convergence.
 
     Each fit is a task's work over the distinct response patterns with their weights,
-    of which q yes/no/unknown items have at most 3^q, whatever the number of rows.
+    of which q yes/no/unknown items have at most 3^q, whatever the number of rows: meant for some ten items.
     """
-    spark, q = patterns.sparkSession, len(items)
+    spark = patterns.sparkSession
     runs = spark.createDataFrame([(k, s) for k in range(1, most + 1) for s in range(starts if k > 1 else 1)], "classes int, start int")
     rows = patterns.select(F.array(*[F.col(c).cast("double") for c in items]).alias("x"), F.col("weight").cast("double").alias("w"))
     met = rows.crossJoin(F.broadcast(runs)).repartition("classes", "start")  # a declared list of runs
@@ -183,16 +201,16 @@ def class_counts(patterns: DataFrame, items: list[str], most: int = 7, starts: i
 
         k, start = int(key[0]), int(key[1])
         x, w = _answers(pdf)
-        log, steps_taken, share, prob = _mixture(x, w, k, np.random.default_rng([seed, k, start]), steps)
-        bic = -2 * log + (k * q + k - 1) * math.log(w.sum())
-        return pd.DataFrame({"classes": [k], "start": [start], "log_likelihood": [log], "bic": [bic], "steps": [steps_taken], "shares": [share.tolist()], "probabilities": [prob.tolist()]})
+        log, steps_taken, share, prob, settled = _mixture(x, w, k, np.random.default_rng([seed, k, start]), steps)
+        criteria = {c: [v] for c, v in class_criteria(x, w, log, share, prob).items()}
+        return pd.DataFrame({"classes": [k], "start": [start], "log_likelihood": [log], **criteria, "converged": [settled], "steps": [steps_taken], "shares": [share.tolist()], "probabilities": [prob.tolist()]})
 
-    return met.groupBy("classes", "start").applyInPandas(fit, "classes int, start int, log_likelihood double, bic double, steps int, shares array<double>, probabilities array<array<double>>")
+    return met.groupBy("classes", "start").applyInPandas(fit, f"classes int, start int, log_likelihood double, {', '.join(f'{c} double' for c in CRITERIA)}, converged boolean, steps int, shares array<double>, probabilities array<array<double>>")
 
 
 def best_classes(fits: DataFrame) -> DataFrame:
     """Of class_counts() the best start for each number of classes, with chosen: the least BIC."""
-    best = fits.groupBy("classes").agg(F.max_by(F.struct("log_likelihood", "bic", "shares", "probabilities"), F.struct("log_likelihood", -F.col("start"))).alias("b"))
+    best = fits.groupBy("classes").agg(F.max_by(F.struct("log_likelihood", *CRITERIA, "converged", "shares", "probabilities"), F.struct("log_likelihood", -F.col("start"))).alias("b"))
     best = best.select("classes", "b.*")
     return best.withColumn("chosen", F.col("bic") == best.select(F.min("bic")).scalar())
 

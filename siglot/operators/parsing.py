@@ -133,12 +133,12 @@ MONTHS = {
 
 
 def date(c: Column, pivot: int = 30) -> Column:
-    """c is a cell() already. ISO first, then day/month/year, then month/day/year (recovered), serial days since 1899-12-30, and day, month word, year."""
+    """c is a cell() already. ISO first, then day/month/year, then month/day/year (recovered), serial days since 1899-12-30, and day, month word, year ('12 de enero de 2017'), both recovered."""
     t = F.lower(fold(c))
     iso = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1)
     g = lambda k, p: F.regexp_extract(t, p, k)
     dmy = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})$"
-    word = r"^(\d{1,2})[ /.-]+([a-z]{3})[a-z]*[ /.,-]+(\d{4}|\d{2})$"
+    word = r"^(\d{1,2})(?: +de +|[ /.-]+)([a-z]{3})[a-z]*(?: +del? +|[ /.,-]+)(\d{4}|\d{2})$"
     year = lambda y: F.when(F.length(y) == 4, y.try_cast("int")).when(y.try_cast("int") <= pivot, y.try_cast("int") + 2000).otherwise(y.try_cast("int") + 1900)
     day_of = lambda y, m, d: F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
     months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
@@ -152,7 +152,7 @@ def date(c: Column, pivot: int = 30) -> Column:
     )
     status = (
         F.when(t.isNull(), "missing").when(normalize(t).isin(NOT_APPLICABLE), "not_applicable").when(missing(t), "missing")
-        .when(value.isNull(), "invalid").when((t.rlike(dmy) & first.isNull()) | serial.isNotNull(), "recovered").otherwise("ok")
+        .when(value.isNull(), "invalid").when((t.rlike(dmy) & first.isNull()) | serial.isNotNull() | t.rlike(word), "recovered").otherwise("ok")
     )
     return result(value, status)
 
@@ -180,8 +180,18 @@ def age_months(c: Column) -> Column:
 
 
 def age_group(months: Column) -> Column:
+    """The programme's group of an age in months; a negative age has none."""
     y = F.floor(months / 12)
-    return F.when(y <= 5, "0-5").when(y <= 14, "6-14").when(y <= 60, "15-60").when(y > 60, "61+")
+    return F.when(y < 0, None).when(y <= 5, "0-5").when(y <= 14, "6-14").when(y <= 60, "15-60").when(y > 60, "61+")
+
+
+def normalize_age_group(c: Column) -> Column:
+    """'0 a 5' as 0-5 and '61 y +' as 61+; other shapes are unknown."""
+    raw, t = F.trim(cell(c)), normalize(c)
+    both, above = r"^(\d+) *(?:A|AL|HASTA| ) *(\d+)$", r"^(\d+) *(?:Y|O)? *(?:MAS)?$"
+    n = lambda p, k: F.regexp_extract(t, p, k).try_cast("bigint").cast("string")
+    more = F.contains(t, F.lit("Y")) | F.contains(t, F.lit("MAS")) | F.endswith(raw, F.lit("+"))
+    return F.when(missing(cell(c)), None).when(t.rlike(both), F.concat_ws("-", n(both, 1), n(both, 2))).when(t.rlike(above) & more, F.concat(n(above, 1), F.lit("+")))
 
 
 def reconcile_age(derived: Column, reported: Column, most: float = 1464.0) -> tuple[Column, Column]:
@@ -221,41 +231,73 @@ def repair_dates(v: Column, n: Column, file_year: Column, most: int = 365) -> tu
 
 
 def exact_key(c: Column) -> Column:
-    return F.regexp_replace(F.upper(c), "[^0-9A-Z]", "")
+    return F.regexp_replace(F.upper(fold(c)), "[^0-9A-Z]", "")
 
 
 def core_key(c: Column) -> Column:
-    """digits:letters, the letters sorted and the digits without leading zeros: blind to order and punctuation."""
+    """digits:letters with the digits' leading zeros cut: letters before the digits are sorted and those after them kept, so '575MX' and '575XM' stay two lots while 'M575' and '575M' are one. Null where there is more than one block of digits."""
+    shape = r"^([A-Z]*)(\d+)([A-Z]*\d?[A-Z]*)$"
     k = exact_key(c)
-    letters = F.array_join(F.array_sort(F.split(F.regexp_replace(k, "[0-9]", ""), "")), "")
-    return F.concat(F.regexp_replace(F.regexp_replace(k, "[^0-9]", ""), "^0+", ""), F.lit(":"), letters)
+    part = lambda i: F.regexp_extract(k, shape, i)
+    before = F.array_join(F.array_sort(F.split(part(1), "")), "")
+    return F.when(k.rlike(shape), F.concat(F.regexp_replace(part(2), r"^0+(?=\d)", ""), F.lit(":"), before, part(3)))
+
+
+# Fixed value: what may stand before a lot number.
+LOT_PREFIX = r"^(?:LOTE|LOT|NO|N|NRO|NUM|#)\s*[.:#]?\s*(?=\w*\d)"
 
 
 def lot_tokens(c: Column) -> Column:
-    """array<struct<exact,core>> of the lot numbers in a cell; a number has a digit and isn't a date."""
-    parts = F.split(F.regexp_replace(F.upper(cell(c)), r"\b(LOTE|LOT|NO|NRO)\b[.: ]*", ""), "[,;/+&]| Y ")
-    parts = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x.rlike("[0-9]") & ~x.rlike(r"^\d{1,2}[-.]\d{1,2}[-.]\d{2,4}$"))
-    return F.transform(parts, lambda x: F.struct(exact_key(x).alias("exact"), core_key(x).alias("core")))
+    """array<struct<exact,core>> of the lot numbers in a cell; a number has a digit and isn't a date, and a cell that became a date with or without a time has none left."""
+    text = cell(c)
+    parts = F.transform(F.split(F.upper(fold(text)), r"[,;/+&]|\s+Y\s+"), lambda x: F.regexp_replace(F.trim(x), LOT_PREFIX, ""))
+    parts = F.filter(parts, lambda x: x.rlike("[0-9]") & ~x.rlike(r"^\d{1,2}[-.]\d{1,2}[-.]\d{2,4}$"))
+    found = F.transform(parts, lambda x: F.struct(exact_key(x).alias("exact"), core_key(x).alias("core")))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}( .*)?$"), F.slice(found, 1, 0)).otherwise(found)
 
 
 def split_multi(c: Column, separators: str = "[,;/+&]| Y ") -> Column:
     return F.filter(F.transform(F.split(F.upper(cell(c)), separators), lambda x: F.trim(x)), lambda x: x != "")
 
 
+# Signs and words of written limits, and units.
+NUMBER = r"[+-]?\d+(?:[.,]\d+)?(?:\s?\d{3})*(?:[.,]\d+)?"
+LIMITS = {
+    "ge": r"≥|>=|=>|mayor\s+o\s+igual(?:\s+(?:que|a))?|minimo|no\s+menor\s+de|min\.?|al menos|at least",
+    "le": r"≤|<=|=<|menor\s+o\s+igual(?:\s+(?:que|a))?|maximo|no\s+mayor\s+de|max\.?|^hasta|^up to",
+    "gt": r">|mayor\s+(?:que|de)",
+    "lt": r"<|menor\s+(?:que|de)",
+}
+BETWEEN = r"-|–|—|a|al|hasta|y|to"
+UNIT = r"(%|[µμu]g\s*/\s*m[lL]|mg\s*/\s*m[lL]|U[EI]\s*/\s*m[lL]|EU\s*/\s*m[lL]|UIgG\s*/\s*m[lL]|m[lL])"
+
+
 def spec(c: Column) -> Column:
-    """A limit in words or signs as struct<op, low, high, unit>; a text without one is qualitative."""
-    t = F.replace(F.lower(cell(c)), F.lit(","), F.lit("."))
-    num = r"(-?\d+(?:\.\d+)?)"
-    rng, ge, le = rf"^{num} *(?:-|a|to) *{num} *(.*)$", rf"^(?:≥|>=|min\.?|al menos|at least) *{num} *(.*)$", rf"^(?:≤|<=|max\.?|hasta|up to) *{num} *(.*)$"
-    gt, lt = rf"^(?:>) *{num} *(.*)$", rf"^(?:<) *{num} *(.*)$"
-    x = lambda p, k: F.regexp_extract(t, p, k)
-    s = lambda op, low, high, unit: F.struct(F.lit(op).alias("op"), low.alias("low"), high.alias("high"), F.nullif(F.trim(unit), F.lit("")).alias("unit"))
-    none = F.lit(None).cast("double")
-    n = lambda p, k: x(p, k).try_cast("double")
-    return (
-        F.when(t.rlike(rng), s("range", n(rng, 1), n(rng, 2), x(rng, 3))).when(t.rlike(ge), s("ge", n(ge, 1), none, x(ge, 2))).when(t.rlike(le), s("le", none, n(le, 1), x(le, 2)))
-        .when(t.rlike(gt), s("gt", n(gt, 1), none, x(gt, 2))).when(t.rlike(lt), s("lt", none, n(lt, 1), x(lt, 2))).otherwise(s("qualitative", none, none, F.lit("")))
-    )
+    """A limit in words or signs as struct<op, low, high, unit>: '(70 -130) μg/mL', 'entre 70 y 130', 'no mayor de 20 000'. One-sided limits are looked for first, a range's ends are put in order, micrograms have one spelling; a text without a limit is qualitative."""
+    raw = cell(c)
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  x is worked out once, however often f names it
+    t = F.trim(F.replace(F.lower(fold(raw)), F.lit("\u00a0"), F.lit(" ")))
+    sided = {op: rf"(?:{words})\s*({NUMBER})" for op, words in LIMITS.items()}
+    both = rf"({NUMBER})\s*(?:{BETWEEN})\s*({NUMBER})"
+
+    def found(t: Column) -> Column:
+        part = lambda op, p, k: F.struct(F.lit(op).alias("op"), *[F.regexp_replace(F.regexp_extract(t, p, i), r"\s", "").alias(f"n{i}") if i <= k else F.lit(None).cast("string").alias(f"n{i}") for i in (1, 2)])
+        out = None
+        for op, p in sided.items():
+            out = F.when(t.rlike(p), part(op, p, 1)) if out is None else out.when(t.rlike(p), part(op, p, 1))
+        return out.when(t.rlike(both), part("range", both, 2)).otherwise(part("qualitative", "(x)(x)", 0))
+
+    def limit(x: Column) -> Column:
+        return once(F.struct(x["op"].alias("op"), number(x["n1"])["value"].alias("a"), number(x["n2"])["value"].alias("b")), ends)
+
+    def ends(x: Column) -> Column:
+        low = F.when(x["op"].isin("ge", "gt"), x["a"]).when(x["op"] == "range", F.least(x["a"], x["b"]))
+        high = F.when(x["op"].isin("le", "lt"), x["a"]).when(x["op"] == "range", F.greatest(x["a"], x["b"]))
+        unit = F.regexp_replace(F.regexp_replace(F.regexp_extract(raw, UNIT, 1), r"\s", ""), "^[μu]g", "µg")
+        return F.struct(x["op"].alias("op"), low.alias("low"), high.alias("high"), F.when(x["op"] != "qualitative", F.nullif(unit, F.lit(""))).alias("unit"))
+
+    none = F.struct(F.lit("qualitative").alias("op"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(None).cast("string").alias("unit"))
+    return F.coalesce(once(once(t, found), limit), none)
 
 
 def conforms(value: Column, limit: Column) -> Column:

@@ -105,7 +105,7 @@ select o_orderkey,
   case when o_orderkey % 7 = 6 then null
     when o_orderkey % 7 = 3 and day(o_orderdate) <= 12 then cast(make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) as varchar)
     else cast(cast(o_orderdate as date) as varchar) end as value,
-  case o_orderkey % 7 when 3 then case when day(o_orderdate) > 12 then 'recovered' else 'ok' end when 5 then 'recovered' when 6 then 'not_applicable' else 'ok' end as status
+  case o_orderkey % 7 when 3 then case when day(o_orderdate) > 12 then 'recovered' else 'ok' end when 4 then 'recovered' when 5 then 'recovered' when 6 then 'not_applicable' else 'ok' end as status
 from orders
 """)
 def _c9(spark, sf):
@@ -113,7 +113,7 @@ def _c9(spark, sf):
     en = F.element_at(F.array(*[F.lit(m) for m in "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()]), F.month(d))
     raw = (
         F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "d/M/yyyy")).when(k == 2, F.date_format(d, "dd.MM.yy")).when(k == 3, F.date_format(d, "M/d/yyyy"))
-        .when(k == 4, F.concat_ws(" ", F.dayofmonth(d), en, F.year(d))).when(k == 5, F.datediff(d, F.lit("1899-12-30").cast("date")).cast("string")).otherwise("N")
+        .when(k == 4, F.when(F.col("o_orderkey") % 2 == 0, F.concat_ws(" ", F.dayofmonth(d), en, F.year(d))).otherwise(F.concat_ws(" de ", F.dayofmonth(d), en, F.year(d)))).when(k == 5, F.datediff(d, F.lit("1899-12-30").cast("date")).cast("string")).otherwise("N")
     )
     rows = table(spark, sf, "orders").select("o_orderkey", P.cell(raw).alias("t")).select("o_orderkey", P.date(F.col("t")).alias("r"))
     return rows.select("o_orderkey", F.col("r.value").cast("string").alias("value"), "r.status")
@@ -177,31 +177,51 @@ def _c13(spark, sf):
     return _lines(spark, sf).select("l_orderkey", "l_linenumber", F.round(age, 4).alias("age"), source.alias("source"))
 
 
-@query("c14_age_group", "select c_custkey, case when floor(c_acctbal / 12) <= 5 then '0-5' when floor(c_acctbal / 12) <= 14 then '6-14' when floor(c_acctbal / 12) <= 60 then '15-60' else '61+' end as age_group from customer")
+@query("c14_age_group", "select c_custkey, case when c_acctbal < 0 then null when c_acctbal < 72 then '0-5' when c_acctbal < 180 then '6-14' when c_acctbal < 732 then '15-60' else '61+' end as age_group from customer")
 def _c14(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", P.age_group(F.col("c_acctbal")).alias("age_group"))
 
 
-@query("c16_c17_lot_keys", r"""
-with t as (select p_partkey, 'B' || regexp_extract(p_brand, '[0-9]+', 0) || 'a' as one from part)
-select p_partkey, 2 as n, upper(one) as exact, regexp_replace(regexp_extract(one, '[0-9]+', 0), '^0+', '') || ':AB' as core,
-       regexp_replace(regexp_extract(one, '[0-9]+', 0), '^0+', '') || ':AB' as turned_core from t
-""")
+@query("c14_written_groups", "select c_custkey, case c_nationkey % 6 when 0 then cast(c_nationkey as varchar) || '-' || cast(c_nationkey + 9 as varchar) when 1 then cast(c_nationkey as varchar) || '+' when 2 then cast(c_nationkey as varchar) || '+' when 3 then '6-14' end as age_group from customer")
+def _c14b(spark, sf):
+    n, k = F.col("c_nationkey"), F.col("c_nationkey") % 6
+    raw = F.when(k == 0, F.concat(n, F.lit(" a "), n + 9)).when(k == 1, F.concat(n, F.lit(" y +"))).when(k == 2, F.concat(n, F.lit(" años y más"))).when(k == 3, "06 - 14").when(k == 4, "sin datos").otherwise("adulto")
+    raw = F.when(k == 2, F.concat(n, F.lit(" y más"))).otherwise(raw)
+    return table(spark, sf, "customer").select("c_custkey", P.normalize_age_group(raw).alias("age_group"))
+
+
+#: Spellings of one lot's number n, and their core keys: sub-lots stay apart, and two blocks of digits have none.
+_SPELLINGS = [("B{}a", "{}:BA"), ("{}MX", "{}:MX"), ("{}xm", "{}:XM"), ("0{} -M", "{}:M"), ("m {}", "{}:M"), ("BA{}", "{}:AB"), ("A{}B34", None), ("Lote: {}-Z", "{}:Z")]
+
+
+@query("c16_c17_lot_keys", "with t as (select p_partkey, regexp_extract(p_brand, '[0-9]+', 0) as n, p_size % 8 as k from part) select p_partkey, case k " + " ".join(f"when {i} then {'null' if core is None else repr(core).replace('{}', chr(39) + ' || n || ' + chr(39))}" for i, (_, core) in enumerate(_SPELLINGS)) + " end as core, case k when 6 then 'A' || n || 'B34' when 7 then n || 'Z' end as exact, 2 as n_lots, 0 as n_dates from t")
 def _c16(spark, sf):
-    digits = F.regexp_extract("p_brand", "[0-9]+", 0)
-    raw = F.concat(F.lit("lote b"), digits, F.lit("a; A-"), digits, F.lit("B / 12-03-2019 & sin"))
-    return table(spark, sf, "part").select("p_partkey", P.lot_tokens(raw).alias("t")).select("p_partkey", F.size("t").alias("n"), F.get("t", F.lit(0))["exact"].alias("exact"), F.get("t", F.lit(0))["core"].alias("core"), F.get("t", F.lit(1))["core"].alias("turned_core"))
+    n, k = F.regexp_extract("p_brand", "[0-9]+", 0), F.col("p_size") % 8
+    one = F.element_at(F.array(*[F.concat(*[F.lit(x) if x else n for x in _around(text)]) for text, _ in _SPELLINGS]), (k + 1).cast("int"))
+    rows = table(spark, sf, "part").select("p_partkey", k.alias("k"), P.lot_tokens(F.concat(one, F.lit(" / 12-03-2019 & sin ; No. 77Q"))).alias("t"), P.lot_tokens(F.lit("2017-05-07 00:00:00")).alias("d"))
+    first = F.get("t", F.lit(0))
+    return rows.select("p_partkey", first["core"].alias("core"), F.when(F.col("k") >= 6, first["exact"]).alias("exact"), F.size("t").alias("n_lots"), F.size("d").alias("n_dates"))
 
 
-@query("c18_spec_conforms", """
-select p_partkey, case p_size % 5 when 0 then 'range' when 1 then 'ge' when 2 then 'le' when 3 then 'gt' else 'qualitative' end as op,
-  case p_size % 5 when 0 then p_retailprice between 900 and 950.5 when 1 then p_retailprice >= 920 when 2 then p_retailprice <= 920 when 3 then p_retailprice > 920 end as ok from part
-""")
+def _around(text):
+    before, _, after = text.partition("{}")
+    return [x for x in (before, None, after) if x is None or x]
+
+
+#: Written limits and what they mean for a price.
+_WRITTEN = [
+    ("(900 -950,5) μg/mL", "range", "p_retailprice between 900 and 950.5", "µg/mL"), ("≥ 920 %", "ge", "p_retailprice >= 920", "%"), ("no mayor de 1 050", "le", "p_retailprice <= 1050", None),
+    ("> 920", "gt", "p_retailprice > 920", None), ("clear", "qualitative", "cast(null as boolean)", None), ("entre 905,5 y 1.020,25 mg / mL", "range", "p_retailprice between 905.5 and 1020.25", "mg/mL"),
+    ("mínimo 930", "ge", "p_retailprice >= 930", None), ("960 - 910", "range", "p_retailprice between 910 and 960", None), ("menor o igual que 940 UE/mL", "le", "p_retailprice <= 940", "UE/mL"),
+    ("menor que 940", "lt", "p_retailprice < 940", None), ("al menos 915", "ge", "p_retailprice >= 915", None), ("max. 925", "le", "p_retailprice <= 925", None),
+]
+
+
+@query("c18_spec_conforms", f"select p_partkey, case p_size % {len(_WRITTEN)} " + " ".join(f"when {i} then '{op}'" for i, (_, op, _, _) in enumerate(_WRITTEN)) + f" end as op, case p_size % {len(_WRITTEN)} " + " ".join(f"when {i} then {ok}" for i, (_, _, ok, _) in enumerate(_WRITTEN)) + f" end as ok, case p_size % {len(_WRITTEN)} " + " ".join(f"when {i} then '{unit}'" for i, (_, _, _, unit) in enumerate(_WRITTEN) if unit) + " end as unit from part")
 def _c18(spark, sf):
-    k = F.col("p_size") % 5
-    raw = F.when(k == 0, "900 - 950,5 UE").when(k == 1, "≥ 920 %").when(k == 2, "max. 920").when(k == 3, "> 920").otherwise("clear")
+    raw = F.element_at(F.array(*[F.lit(text) for text, *_ in _WRITTEN]), (F.col("p_size") % len(_WRITTEN) + 1).cast("int"))
     rows = table(spark, sf, "part").withColumn("s", P.spec(raw))
-    return rows.select("p_partkey", F.col("s.op").alias("op"), P.conforms(F.col("p_retailprice"), F.col("s")).alias("ok"))
+    return rows.select("p_partkey", F.col("s.op").alias("op"), P.conforms(F.col("p_retailprice"), F.col("s")).alias("ok"), F.col("s.unit").alias("unit"))
 
 
 @query("c19_split_multi", "select p_partkey, list_filter(string_split(upper(p_name), ' '), lambda x: x <> '') as parts from part")

@@ -83,7 +83,7 @@ from k left join ch using (record_id)""")
 def _j8(spark, sf):
     # a fourth of the tokens each: as the lot is written, in another order, with a wrong letter, and none
     t, k = _tokens(spark, sf), F.col("record_id") % 4
-    typed = F.when(k == 0, F.col("exact")).when(k == 1, F.concat(F.regexp_extract("exact", "[0-9]+", 0), F.lit("BRAND"))).when(k == 2, F.regexp_replace("exact", "D", "T")).otherwise("UNKNOWN")
+    typed = F.when(k == 0, F.col("exact")).when(k == 1, F.concat(F.regexp_extract("exact", "[0-9]+", 0), F.lit("ABDNR"))).when(k == 2, F.regexp_replace("exact", "D", "T")).otherwise("UNKNOWN")
     return L.cascade(t.withColumn("exact", typed).withColumn("core", P.core_key(typed)), _lots(spark, sf))
 
 

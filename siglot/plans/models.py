@@ -141,7 +141,7 @@ def _patterns(spark, sf):
 @query("l2_l3_latent_classes")
 def _l3(spark, sf):
     best = R.best_classes(R.class_counts(_patterns(spark, sf), V.EVENTS))
-    return best.select("classes", F.round("log_likelihood", 3).alias("log_likelihood"), F.round("bic", 3).alias("bic"), "chosen")
+    return best.select("classes", F.round("log_likelihood", 3).alias("log_likelihood"), *[F.round(c, 3).alias(c) for c in R.CRITERIA], "converged", "chosen")
 
 
 @query("l4_class_stability")

@@ -174,3 +174,14 @@ def _q7(spark, sf):
 @query("q21_destination_split", "select l_linestatus = 'O' as national, count(*) as n, round(avg(l_quantity), 6) as mean, round(quantile_cont((l_quantity - 1) / 49, 0.5), 6) as median_window from lineitem group by 1")
 def _q21(spark, sf):
     return table(spark, sf, "lineitem").groupBy((F.col("l_linestatus") == "O").alias("national")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.percentile((F.col("l_quantity") - 1) / 49, F.lit(0.5)), 6).alias("median_window"))
+
+
+@query("q8_q10_gaps", ctes("qc") + f""", o as (select *, case when l_linenumber = 5 then null else l_quantity end as q, row_number() over (partition by series order by {_ORD}) as i from qc),
+k as (select *, count(q) over (partition by series order by i) as j from o), kn as (select series, j, q, abs(q - lag(q) over (partition by series order by j)) as mr from k where q is not null),
+lim as (select series, avg(q) as c, avg(mr) / 1.128 as s from kn group by 1), z as (select kn.series, j, (q - c) / s as z from kn join lim using (series)),
+e as (select a.series, a.j, sum(0.2 * pow(0.8, a.j - b.j) * b.z) as ewma from z a join z b on a.series = b.series and b.j between a.j - 135 and a.j group by 1, 2)
+select k.series, cast(i as integer) as i, round(s, 4) as sigma, round(case when q is not null then (q - c) / s end, 4) + 0.0 as z, round(coalesce(ewma, 0), 4) + 0.0 as ewma from k join lim using (series) left join e on e.series = k.series and e.j = k.j""")
+def _q8b(spark, sf):
+    d = V.qc(spark, sf).withColumn("q", F.when(F.col("l_linenumber") != 5, F.col("l_quantity")))
+    out = M.ewma(M.individuals(d, "series", [*V.QC_ORDER, "l_extendedprice"], "q"), "series")
+    return out.select("series", "i", F.round("sigma", 4).alias("sigma"), (F.round("z", 4) + 0.0).alias("z"), (F.round("ewma", 4) + 0.0).alias("ewma"))
