@@ -18,7 +18,7 @@ from siglot.llm.common import by_bytes, tidy, written
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 GAPS = b"\t "
 END = b"."  # stands between pieces, as no word has it
-SLICE = 16_000_000  # bytes of text whose suffixes are added up before they leave a task
+SLICE = 8_000_000  # bytes of text whose suffixes are added up before they leave a task
 RANGE = 2_000_000  # bytes of text whose suffixes one range gets, as a goal
 ROWS = 50_000  # of a batch of results
 

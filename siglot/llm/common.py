@@ -111,6 +111,15 @@ def bloom_holds(words: Column, h: Column, n_words: int) -> Column:
     return F.coalesce(F.get(words, bloom_word(h, n_words)).bitwiseAND(mask) == mask, F.lit(False))
 
 
+def without(docs: DataFrame, bad: DataFrame, key: Column) -> DataFrame:
+    """docs without the rows whose key is in bad.h, a stored table. A Bloom filter of these keys lets rows outside it pass straight through, whole and unmoved; only the few that it holds are joined."""
+    n_words = bloom_size(bad.count())
+    held = bloom_holds(bloom_filter(bad.select(F.xxhash64("h").alias("k")), "k", n_words), F.xxhash64(key), n_words)
+    name = fresh(docs, "bad")
+    maybe = docs.where(held).join(bad.select(F.col("h").alias(name)), key == F.col(name), "left_anti")
+    return docs.where(~held).unionByName(maybe)
+
+
 def slot_filter(slots: DataFrame, n_words: int, tag: str = "slots") -> Column:
     """A bitmap of the bit numbers in slots.slot (0 to 64 * n_words - 1)."""
     words = (

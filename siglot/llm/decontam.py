@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siglot.llm.common import bloom_filter, bloom_holds, bloom_size, fresh, text_hash, written
+from siglot.llm.common import bloom_filter, bloom_holds, bloom_size, fresh, text_hash, without, written
 
 #: Fixed masks: word positions marked 1 are hashed, those marked 0 may differ. Whichever
 #: fifth of the words of a window of 8 to 13 words is substituted, one of these masks lies
@@ -49,11 +49,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
 
     Items shorter than 8 words, texts shorter than a mask, null and empty ones match
     nothing. Items that repeat an id are items of their own. Equal texts are verified once and give a row for every document row;
-    null ids are returned as null. Other columns aren't read; empty tables give no
+    null ids, of documents and of items, are returned as null. Other columns aren't read; empty tables give no
     rows.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("_item"), words_of(F.col(text_col)).alias("item_words"))
+    items = benchmark.select(F.monotonically_increasing_id().alias("_item"), F.col(item_col).alias("_item_id"), words_of(F.col(text_col)).alias("item_words"))
     items = written(items.where(F.size("item_words") >= LEAST), "items")
     seeds = written(_seeds(items, "item_words", ["_item"], masks).where("h is not null").withColumnRenamed("pos", "item_pos"), "seeds")
     n_words = bloom_size(seeds.count())
@@ -75,7 +75,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
         F.slice("words", F.greatest(a["off"], F.lit(0)) + 1, a["m"] - F.greatest(-a["off"], F.lit(0))).alias("part"),
     )
     parts = lined.select("_tid", F.explode(F.transform("at", cut)).alias("p")).select("_tid", "p.*")
-    pairs = parts.join(items, "_item").select("_tid", "_item", "start", "part", F.slice("item_words", F.col("skip") + 1, F.size("part")).alias("same"), F.size("item_words").alias("m"))
+    pairs = parts.join(items.drop("_item_id"), "_item").select("_tid", "_item", "start", "part", F.slice("item_words", F.col("skip") + 1, F.size("part")).alias("same"), F.size("item_words").alias("m"))
     pairs = pairs.select("*", F.explode(F.array(F.zip_with("part", "same", lambda x, y: F.when(x == y, 1).otherwise(0)))).alias("equal"))
     pairs = pairs.withColumn("w", F.least(F.lit(window), F.col("m"))).where(F.size("equal") >= F.col("w"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
@@ -84,12 +84,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
         F.max(F.struct(total(F.col("equal")).alias("n_equal"), F.size("equal").alias("n_overlap"), F.col("best").alias("best_window"), (-F.col("start")).alias("back"))).alias("x")
     )
     found = written(found, "found").select("_tid", "_item", (-F.col("x.back")).alias("start"), "x.n_overlap", "x.n_equal", "x.best_window")
-    return rows.select("_id", "_tid").join(found, "_tid").select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), "start", "n_overlap", "n_equal", "best_window")
+    found = found.join(items.select("_item", "_item_id"), "_item")
+    return rows.select("_id", "_tid").join(found, "_tid").select(F.col("_id").alias(id_col), F.col("_item_id").alias(item_col), "start", "n_overlap", "n_equal", "best_window")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that overlap with no benchmark item."""
     key = fresh(docs, "key")
     bad = contaminated(docs.select(text_hash(F.col(text_col)).alias(key), F.col(text_col)), benchmark, id_col=key, text_col=text_col, **how)
-    bad = written(bad.select(key).distinct(), "bad")
-    return docs.join(bad, text_hash(F.col(text_col)) == bad[key], "left_anti")
+    bad = written(bad.select(F.col(key).alias("h")).distinct(), "bad")
+    return without(docs, bad, text_hash(F.col(text_col)))

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siglot.llm.common import bloom_filter, bloom_holds, bloom_size, by_bytes, fresh, text_hash, tidy, written
+from siglot.llm.common import bloom_filter, bloom_holds, bloom_size, by_bytes, text_hash, tidy, without, written
 from siglot.llm.components import components
 
 SLOTS = 1 << 21  # counters of shingle hashes, one set for the whole corpus
@@ -470,7 +470,6 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_c
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that are their component's least id. Rows without words stay, as do rows of components in which all ids are null; rows that repeat the least id and its set of shingles stay together."""
     found = ngram_join(docs, id_col=id_col, text_col=text_col, **how)[0]
-    gone_id, gone_tid = fresh(docs, "gone_id"), fresh(docs, "gone_tid")
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(gone_id), F.col("tid").alias(gone_tid)).distinct()
-    same = (F.col(id_col).cast("bigint") == F.col(gone_id)) & (text_hash(F.col(text_col)) == F.col(gone_tid))
-    return docs.join(written(gone, "gone"), same, "left_anti")
+    named = lambda i, t: F.struct(i.cast("bigint").alias("i"), t.alias("t"))
+    gone = found.where(F.col("component_id") != F.col(id_col)).select(named(F.col(id_col), F.col("tid")).alias("h")).distinct()
+    return without(docs, written(gone, "gone"), named(F.col(id_col), text_hash(F.col(text_col))))

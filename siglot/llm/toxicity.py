@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siglot.llm.common import by_bytes, fresh, text_hash, tidy, written
+from siglot.llm.common import by_bytes, text_hash, tidy, without, written
 
 # Letters of other scripts that look like Latin ones, and characters that stand for letters.
 HOMOGLYPHS = str.maketrans("аеорсухкмтвніјѕԁɡαεορτυχικν", "aeopcyxkmtbhijsdgaeoptuxikv")
@@ -24,8 +24,8 @@ SIGNS = str.maketrans("@$!|", "asil")
 
 
 def folder():
-    """A function from a text to its words: lower case, no accents, look-alike letters and digits or signs inside words turned into Latin letters."""
-    other, accent, marks = re.compile("[ɐ-ʯͰ-ԯ]").search, re.compile("[^\x00-\x7f]").search, re.compile("[̀-ͯ]+")
+    """A function from a text to its words: lower case, one form of each letter, look-alike letters and digits or signs inside words turned into Latin letters. Accents stay: in many languages they make another word."""
+    other, accent = re.compile("[ɐ-ʯͰ-ԯ]").search, re.compile("[^\x00-\x7f]").search
     mixed, sign = re.compile(r"\b(?=\w*[a-z])(?=\w*[013457])\w+"), re.compile(r"(?<=[a-z])[@$!|]+(?=[a-z])")
     some_mixed, words = re.compile("[a-z][013457]|[013457][a-z]").search, re.compile(r"[^\W_]+").findall
 
@@ -34,7 +34,7 @@ def folder():
         if accent(text):
             if other(text):
                 text = text.translate(HOMOGLYPHS)
-            text = marks.sub("", unicodedata.normalize("NFKD", text))
+            text = unicodedata.normalize("NFKC", text)
         if some_mixed(text):
             text = mixed.sub(lambda m: m[0].translate(DIGITS), text)
         return words(sign.sub(lambda m: m[0].translate(SIGNS), text))
@@ -116,24 +116,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 FOLDS = 3
+NEAR = 0.2  # by how much a longer beginning has to outweigh a shorter one
 
 
-def _lexicon(counts: list[tuple], nt: int, nc: int, least_docs: int, least_odds: float) -> dict[str, float]:
-    """Weights of the terms in counts (term, toxic documents, clean documents) of nt toxic and nc clean ones: log odds, less one standard error, so that a term seen in few documents has to be all the clearer. Longer beginnings that say no more than a shorter one are left out."""
-    heavy = {}
-    for term, t, c in counts:
+def _lexicon(counts: list[tuple], size: tuple, least_docs: int, least_odds: float) -> dict[str, float]:
+    """Weights of the terms in counts: (term, toxic and clean documents with it, its occurrences in either), against size, the same of all words. A weight is the log ratio of the term's rates among the words of toxic and of clean documents, less one standard error by documents, so that a term seen in few has to be all the clearer, and one that long clean texts hold once by chance but toxic ones over and over counts. Longer beginnings that say no more than a shorter one are left out."""
+    heavy, (_, _, every_t, every_c) = {}, size
+    for term, t, c, kt, kc in counts:
         if t >= least_docs:
-            w = math.log((t + 0.5) / (nt + 1)) - math.log((c + 0.5) / (nc + 1)) - math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+            w = math.log((kt + 0.5) / (every_t + 1)) - math.log((kc + 0.5) / (every_c + 1)) - math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
             if w >= least_odds:
                 heavy[term] = w
-    return {t: w for t, w in heavy.items() if not any(heavy.get(t[:n], 0) >= w - 0.7 for n in range(4, len(t.rstrip())))}
+    return {t: w for t, w in heavy.items() if not any(heavy.get(t[:n], 0) >= w - NEAR for n in range(4, len(t.rstrip())))}
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_docs: int = 3, least_odds: float = 2.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_docs: int = 3, least_odds: float = 3.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicModel:
     """A lexicon and its scale from at most most_rows labelled documents, those whose ids' hashes are least.
 
-    Terms are whole words and beginnings of words, weighted by the log odds of toxic
-    against clean documents with them. Phrases of a matched word and a neighbour that
+    Terms are whole words and beginnings of words, weighted by how much oftener toxic
+    documents use them than clean ones. Phrases of a matched word and a neighbour that
     clean documents have at least as often as toxic ones, relative to their numbers,
     become exceptions. A logistic scale is fitted on the weight's logarithm, its
     share of the text's length and the length, where each third of the sample is
@@ -154,46 +155,53 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, least_doc
 
     def count(make):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen, each = Counter(), make()
+            docs, uses, each = Counter(), Counter(), make()
             for b in batches:
                 for t, y, f in zip(b.column("_text").to_pylist(), b.column("y").to_pylist(), b.column("fold").to_pylist(), strict=True):
-                    seen.update((x, f, y) for x in each(t))
-                    seen["", f, y] += 1
-            if seen:
-                terms, folds, ys = zip(*seen, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(folds, pa.int32()), pa.array(ys, pa.int32()), pa.array(seen.values(), pa.int64())], ["term", "fold", "y", "n"])
+                    for x, k in each(t).items():
+                        docs[x, f, y] += 1
+                        uses[x, f, y] += k
+            if docs:
+                terms, folds, ys = zip(*docs, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(folds, pa.int32()), pa.array(ys, pa.int32()), pa.array(docs.values(), pa.int64()), pa.array([uses[x] for x in docs], pa.int64())], ["term", "fold", "y", "n", "k"])
 
-        n = lambda y, k: F.sum(F.when(F.col("fold").eqNullSafe(k) & (F.col("y") == y), F.col("n")).otherwise(0))
-        every = [n(y, k).alias(f"{'ct'[y]}{k}") for k in range(FOLDS) for y in (1, 0)]
-        return lambda df: df.mapInArrow(tidy(run), "term string, fold int, y int, n bigint").groupBy("term").agg(*every)
+        n = lambda y, f, c: F.sum(F.when(F.col("fold").eqNullSafe(f) & (F.col("y") == y), F.col(c)).otherwise(0))
+        every = [n(y, f, c).alias(f"{'ct'[y]}{c}{f}") for f in range(FOLDS) for y in (1, 0) for c in "nk"]
+        return lambda df: df.mapInArrow(tidy(run), "term string, fold int, y int, n bigint, k bigint").groupBy("term").agg(*every)
 
     def terms():
         fold = folder()
-        return lambda text: {t for w in set(fold(text)) for t in terms_of(w)}
 
-    whole = lambda c: " + ".join(f"{c}{k}" for k in range(FOLDS))
+        def each(text: str) -> Counter:
+            words = fold(text)
+            return Counter({"": len(words)}) + Counter(x for w in words for x in terms_of(w)) if words else Counter({"": 0})
+
+        return each
+
+    whole = lambda c: " + ".join(f"{c}n{k}" for k in range(FOLDS))
     counts = count(terms)(rows).where(f"term = '' or {whole('t')} >= {least_docs}").collect()  # of at most most_rows documents
     size = next((r for r in counts if not r.term), None)
     model = ToxicModel()
     total = lambda r, c, out=None: sum(r[f"{c}{k}"] for k in range(FOLDS) if k != out)
-    if not size or not total(size, "t") or not total(size, "c"):
+    if not size or not total(size, "tn") or not total(size, "cn"):
         return model
 
     def lexicon(out: int | None = None) -> dict[str, float]:
-        return _lexicon([(r.term, total(r, "t", out), total(r, "c", out)) for r in counts if r.term], total(size, "t", out), total(size, "c", out), least_docs, least_odds)
+        of = lambda r: tuple(total(r, c, out) for c in ("tn", "cn", "tk", "ck"))
+        return _lexicon([(r.term, *of(r)) for r in counts if r.term], of(size), least_docs, least_odds)
 
     model.weights = lexicon()
 
     def phrases(m=model):
         match = m.matcher()
 
-        def each(text: str) -> set[str]:
+        def each(text: str) -> Counter:
             _, _, line, best = match(text)
-            return _phrases(line, best)
+            return Counter(_phrases(line, best))
 
         return each
 
-    nt, nc = total(size, "t"), total(size, "c")
+    nt, nc = total(size, "tn"), total(size, "cn")
     near = count(phrases)(rows).selectExpr("term", f"{whole('t')} as t", f"{whole('c')} as c").where(f"term <> '' and c >= 3 and (t + 0.5) / {nt + 1} <= (c + 0.5) / {nc + 1}")
     model.exceptions = sorted(r.term for r in near.collect())
     parts = [ToxicModel(lexicon(k), model.exceptions) for k in range(FOLDS)]
@@ -240,10 +248,8 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, text_
             bad = [model.score(*match(x or "")[:2]) >= threshold for x in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("h").filter(pa.array(bad))], ["h"])
 
-    name = fresh(docs, "toxic")
     texts = docs.select(text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("t"))
-    bad = written(texts.mapInArrow(tidy(run), "h binary").distinct(), "toxic", 2_000).withColumnRenamed("h", name)
-    return docs.join(bad, text_hash(F.col(text_col)) == bad[name], "left_anti")
+    return without(docs, written(texts.mapInArrow(tidy(run), "h binary").distinct(), "toxic", 2_000), text_hash(F.col(text_col)))
 
 
 def held_out(id_col: str = "doc_id"):
