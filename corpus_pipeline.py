@@ -47,7 +47,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
-    return bpe_round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return written(bpe_round_trip(docs, public_tokenizers.path("word_bpe_49k.json")), "encoded", 2_000)  # texts in small batches
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("ngram_join", drop_near_copies), ("decontaminate", drop_leaks), ("trie_bpe", encode)]
