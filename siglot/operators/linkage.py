@@ -30,6 +30,11 @@ def _indel(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
 _indel.__annotations__ = {"pairs": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
 
 
+def ratio(a: str, b: str) -> Column:
+    """The normalised Indel ratio of two columns of text, 0 to 100."""
+    return F.pandas_udf(_indel, "double")(a, b)
+
+
 def fuzzy_join(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float = 85.0, margin: float = 3.0) -> DataFrame:
     """a, b, ratio: for each distinct a the b with the best normalised Indel ratio, if it reaches the threshold and leads the next by the margin.
 

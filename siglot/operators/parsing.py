@@ -335,12 +335,21 @@ def hmac_token(message: Column, key: bytes, size: int = 20) -> Column:
     return F.substring(F.sha2(F.concat(pad(0x5C), inner), 256), 1, size)
 
 
-def map_tokens(tokens: DataFrame, rules: DataFrame, col: str = "token", default: str | None = None) -> DataFrame:
-    """tokens with code and rule: the first rule (by position) whose pattern matches the whole token. Only distinct tokens meet the rules, a short declared list."""
+def map_tokens(tokens: DataFrame, rules: DataFrame, col: str = "token", default: str | None = None, anchors: DataFrame | None = None, fuzzy: float = 85.0) -> DataFrame:
+    """tokens with code and rule: the first rule (by position) whose pattern matches the whole token, else the anchor (code, anchor) that is most like it, if their ratio reaches `fuzzy` and no other is as like. Only distinct tokens meet the rules, a short declared list."""
     distinct = tokens.select(F.col(col).alias("_t")).distinct()
     hit = distinct.join(F.broadcast(rules), F.expr("_t rlike concat('^(?:', pattern, ')$')")).groupBy("_t").agg(F.min_by(F.struct("code", "pattern"), "position").alias("r"))
-    code = F.coalesce(F.col("r.code"), F.lit(default) if default else F.concat(F.lit("X:"), F.replace(F.col(col), F.lit(" "), F.lit(""))))
-    return tokens.join(hit, F.col(col) == F.col("_t"), "left").select(*tokens.columns, code.alias("code"), F.when(F.col("r").isNotNull(), "regex").otherwise("default" if default else "unmapped").alias("rule"))
+    hit = hit.select("_t", F.col("r.code").alias("_code"), F.lit("regex").alias("_how"))
+    if anchors is not None:
+        from siglot.operators.linkage import fuzzy_join
+
+        left = distinct.join(hit, "_t", "left_anti").withColumn("_key", compact(F.col("_t")))
+        named = anchors.select(F.col("code").alias("_code"), compact(F.col("anchor")).alias("_anchor"))
+        like = fuzzy_join(left, named, "_key", "_anchor", fuzzy, 1e-9)
+        found = left.join(like, F.col("_key") == F.col("a")).join(F.broadcast(named), F.col("b") == F.col("_anchor"))
+        hit = hit.unionByName(found.groupBy("_t").agg(F.min("_code").alias("_code")).withColumn("_how", F.lit("fuzzy")))
+    code = F.coalesce(F.col("_code"), F.lit(default) if default else F.concat(F.lit("X:"), F.replace(F.col(col), F.lit(" "), F.lit(""))))
+    return tokens.join(hit, F.col(col) == F.col("_t"), "left").select(*tokens.columns, code.alias("code"), F.coalesce("_how", F.lit("default" if default else "unmapped")).alias("rule"))
 
 
 # Words for doses, the endings of ordinals, and the fractions that spreadsheets make of two doses.

@@ -49,13 +49,19 @@ def header_row(rows: DataFrame, aliases: DataFrame, first_rows: int = 15, least:
     return best.select("file", "b.*").where(F.col("matches") >= least)
 
 
-def match_headers(headers: DataFrame, aliases: DataFrame) -> DataFrame:
-    """file, header, occurrence, field, how: by the n-th occurrence of an exact alias, else by the one pattern that matches the whole header.
-
-    headers(file, position, header); aliases(field, alias, occurrence, pattern).
+def match_headers(headers: DataFrame, aliases: DataFrame, fuzzy: float = 90.0, margin: float = 5.0) -> DataFrame:
+    """file, header, occurrence, field, how: by the n-th occurrence of an exact alias, else by the one pattern that matches the whole header, else by similarity.
+
+    A header is similar to the field with the best alias, if their ratio reaches
+    `fuzzy` and leads the next field's by the margin; fields that a file has given
+    away aren't in question, and of two headers the first gets the field.
+    headers(file, position, header); aliases(field, alias, occurrence, pattern), a
+    short declared list.
     """
     from pyspark.sql import Window
 
+    from siglot.operators.linkage import ratio
+
     n = headers.withColumn("occurrence", F.row_number().over(Window.partitionBy("file", "header").orderBy("position")))
     exact = n.join(F.broadcast(aliases.where("alias is not null").select("field", F.col("alias").alias("header"), "occurrence")), ["header", "occurrence"]).withColumn("how", F.lit("exact"))
     rest = n.join(exact.select("file", "position"), ["file", "position"], "left_anti")
@@ -63,8 +69,17 @@ def match_headers(headers: DataFrame, aliases: DataFrame) -> DataFrame:
     one = by_pattern.groupBy("file", "position", "header", "occurrence").agg(F.count(F.lit(1)).alias("n"), F.min("field").alias("field")).where("n = 1").withColumn("how", F.lit("pattern"))
     cols = ["file", "position", "header", "occurrence", "field", "how"]
     found = exact.select(cols).unionByName(one.select(cols))
-    none = rest.join(one.select("file", "position"), ["file", "position"], "left_anti").select("file", "position", "header", "occurrence", F.lit(None).cast("string").alias("field"), F.lit("unmatched").alias("how"))
-    return found.unionByName(none)
+    rest = rest.join(one.select("file", "position"), ["file", "position"], "left_anti")
+    key = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    known = aliases.where("alias is not null").select("field", key(F.col("alias")).alias("_alias"), "occurrence")
+    pairs = rest.withColumn("_key", key(F.col("header"))).where("_key <> ''").join(F.broadcast(known), "occurrence").join(found.select("file", "field"), ["file", "field"], "left_anti")
+    pairs = pairs.withColumn("ratio", ratio("_key", "_alias")).groupBy("file", "position", "header", "occurrence", "field").agg(F.max("ratio").alias("ratio"))
+    w = Window.partitionBy("file", "position").orderBy(F.desc("ratio"), "field")
+    best = pairs.withColumns({"_place": F.row_number().over(w), "_next": F.lead("ratio").over(w)}).where((F.col("_place") == 1) & (F.col("ratio") >= fuzzy) & (F.col("_next").isNull() | (F.col("ratio") - F.col("_next") >= margin)))
+    first = F.row_number().over(Window.partitionBy("file", "field").orderBy("position"))
+    like = best.withColumn("_first", first).where("_first = 1").withColumn("how", F.lit("fuzzy")).select(cols)
+    none = rest.join(like.select("file", "position"), ["file", "position"], "left_anti").select("file", "position", "header", "occurrence", F.lit(None).cast("string").alias("field"), F.lit("unmatched").alias("how"))
+    return found.unionByName(like).unionByName(none)
 
 
 def schema_drift(mapping: DataFrame) -> DataFrame:
