@@ -369,7 +369,7 @@ def test_matching_against_a_plain_search(spark):
 
 
 def test_folding_and_exceptions(spark):
-    assert folder()("Ｉd10t іdiot ídiot st@pid 100") [1:] == ["idiot", "idiot", "stapid", "100"]
+    assert folder()("Ｉd10t іdiot ídiot st@pid 100")[1:] == ["idiot", "ídiot", "stapid", "100"]  # an accent makes another word
     model = ToxicModel({" idiot ": 5.0, " scum": 4.0}, [" holy idiot "], (-4.0, 2.0, 5.0, 0.0))
     d = spark.createDataFrame([(1, "you 1d10t", "a"), (2, "a holy idiot", "a"), (3, "scummy", "a"), (4, None, "a"), (5, "fine " * 1000, "a")], "doc_id int, text string, score string")
     s = {r.doc_id: r.score for r in toxicity(d, model).collect()}
@@ -534,6 +534,12 @@ def test_pipeline_stages(spark, sf, docs, texts):
             seen.append((d.select("doc_id", "text").toPandas(), out.select("doc_id", "text").toPandas()))
             d = out
     assert [n for n, _ in p.STAGES] == ["toxicity", "exact_dedup", "ngram_join", "decontaminate", "trie_bpe"]
+    before, after = seen[0]
+    bad = {r.doc_id for r in queries.op7_toxicity(spark, sf).collect() if r.predicted}
+    assert set(after.doc_id) == set(before.doc_id) - bad
+    before, after = seen[3]
+    bad = {r.doc_id for r in contaminated(spark.createDataFrame(before), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    assert bad and set(after.doc_id) == set(before.doc_id) - bad
     before, after = seen[1]
     assert set(after.doc_id) == set(before.groupby("text").doc_id.max())
     before, after = seen[2]
