@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siglot.functions import special as S
@@ -303,8 +304,58 @@ def bootstrap_capability(df: DataFrame, group: str, value: str, low: float, high
     return ppk.groupBy(F.col("g").alias(group)).agg(F.percentile("ppk", F.lit(0.025)).alias("ppk_low"), F.percentile("ppk", F.lit(0.975)).alias("ppk_high"))
 
 
-def hodges_lehmann(df: DataFrame, block: list[str], value: str, side: Column) -> DataFrame:
-    """block, shift: the median of all differences between the two sides of each block. A block is a small group of lots."""
-    d = df.select(*block, F.col(value).alias("v"), side.alias("s"))
-    pairs = d.where("s").alias("a").join(d.where("not s").alias("b"), block)
-    return pairs.groupBy(*block).agg(F.percentile(F.col("a.v") - F.col("b.v"), F.lit(0.5)).alias("shift"))
+def hodges_lehmann(df: DataFrame, block: list[str], value: str, side: Column, alpha: float = 0.05) -> DataFrame:
+    """block, n_x, n_y, shift, low, high: the median of all differences between the two sides of each block, and the differences that the normal approximation of the rank-sum test counts in from either end.
+
+    Equal values of a side, and equal differences, count once with their number; all
+    others of a block are differences of its own two sides, so a block is a group of lots,
+    not a corpus. Blocks with one side have no row.
+    """
+    d = df.select(*block, F.col(value).cast("double").alias("_v"), side.alias("_s")).where("_v is not null and not isnan(_v)")
+    per = lambda s, v, n: d.where(s).groupBy(*block, F.col("_v").alias(v)).agg(F.count(F.lit(1)).alias(n))
+    diffs = per("_s", "_x", "_m").join(per("not _s", "_y", "_k"), block).groupBy(*block, (F.col("_x") - F.col("_y")).alias("_d")).agg(F.sum(F.col("_m") * F.col("_k")).alias("_n"))
+    upto = diffs.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*block).orderBy("_d")))
+    sizes = d.groupBy(*block).agg(F.count_if("_s").alias("n_x"), F.count_if(~F.col("_s")).alias("n_y"))
+    total = F.col("n_x") * F.col("n_y")
+    inwards = F.floor(total / 2 - NormalDist().inv_cdf(1 - alpha / 2) * F.sqrt(total * (F.col("n_x") + F.col("n_y") + 1) / 12))
+    placed = upto.join(sizes, block).withColumn("_k", F.greatest(F.lit(0), F.least(inwards, total - 1)))
+    at = lambda i: F.min(F.when(F.col("_upto") > i, F.col("_d")))  # noqa: E731  the i-th difference, from 0
+    shift = (at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2
+    return placed.groupBy(*block, "n_x", "n_y").agg(shift.alias("shift"), at(F.col("_k")).alias("low"), at(total - 1 - F.col("_k")).alias("high"))
+
+
+def report_design(df: DataFrame, outcome: str, age: str, indicators: dict[str, Column], events: list[str], counts: list[str] = (), least_share: float = 0.002) -> tuple[DataFrame, list[str]]:
+    """(df's rows with a known outcome, with y and all features; the names of those that can be estimated).
+
+    Features: age_log, the logarithm of one plus the age, where unknown its median;
+    age_missing; the indicators, the events and the counts, unknown ones 0. Events of
+    fewer than least_share of the rows and features with one value are not named. The
+    median is taken over distinct ages with their numbers, and one aggregation looks at
+    all features.
+    """
+    d = df.where(F.col(outcome).isNotNull())
+    log = F.log1p(F.col(age).cast("double"))
+    ages = d.select(log.alias("a")).where("a is not null").groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    median = ages.agg(F.percentile("a", F.lit(0.5), F.col("n"))).first()[0] or 0.0
+    zero = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    cols = {"age_log": F.coalesce(log, F.lit(median)), "age_missing": log.isNull().cast("int")} | {k: zero(c) for k, c in indicators.items()}
+    cols |= {f"x_{c}": zero(F.col(c)) for c in [*events, *counts]}
+    d = d.withColumns(cols | {"y": F.col(outcome).cast("int")})
+    s = d.agg(*[f(c).alias(f"{k}_{c}") for c in cols for k, f in (("lo", F.min), ("hi", F.max), ("mean", F.avg))]).first()
+    rare = {f"x_{c}" for c in events if (s[f"mean_x_{c}"] or 0) < least_share}
+    return d, [c for c in cols if s[f"lo_{c}"] is not None and s[f"lo_{c}"] < s[f"hi_{c}"] and c not in rare]
+
+
+def logistic_table(d: DataFrame, features: list[str], y: str = "y", least: float = 5) -> tuple[DataFrame, list[str]]:
+    """(term, ratio, low, high, p, n_with_term of Firth's logistic regression; the features that are sums of others).
+
+    Features that add up to less than `least` are too rare for a term. n_with_term is
+    the number of rows with a feature of two values.
+    """
+    s = d.agg(*[f(c).alias(f"{k}_{c}") for c in features for k, f in (("lo", F.min), ("hi", F.max), ("sum", F.sum))]).first()
+    often = [c for c in features if (s[f"sum_{c}"] or 0) >= least]
+    between = d.agg(*[F.count_if((F.col(c) != s[f"lo_{c}"]) & (F.col(c) != s[f"hi_{c}"])).alias(c) for c in often]).first() if often else {}
+    kept = independent_columns(d, often)
+    b, inverse, _ = glm(design(d, kept, y), len(kept) + 1, "binomial", "firth")
+    rows = [(*t, int(s[f"sum_{t[0]}"]) if between[t[0]] == 0 else None) for t in terms(kept, b, inverse)[1:]]
+    return d.sparkSession.createDataFrame(rows, TERMS + ", n_with_term bigint"), [c for c in often if c not in kept]

@@ -130,3 +130,17 @@ def fit_monitor(df: DataFrame, columns: list[str], alpha: float = 0.01, variance
     a = max(1, min(int(np.searchsorted(np.cumsum(values) / values.sum(), variance)) + 1, max(1, p - 1)))
     t2 = (n - 1) ** 2 / n * float(S.beta_quantile(np.array([1 - alpha]), np.array([a / 2]), np.array([(n - a - 1) / 2]))[0])
     return Monitor(columns, mean, scale, values, vectors, a, t2, residual_limit(values[a:], alpha))
+
+
+def flagged_by(scores: DataFrame, by: str) -> DataFrame:
+    """by, n_lots, t2_flagged, spe_flagged of Monitor.scores()."""
+    return scores.groupBy(by).agg(F.count(F.lit(1)).alias("n_lots"), F.count_if("t2_flag").alias("t2_flagged"), F.count_if("spe_flag").alias("spe_flagged"))
+
+
+def top_contributors(scores: DataFrame, columns: list[str], k: int = 3) -> DataFrame:
+    """attribute, n_flagged, n: in how many of the flagged lots an attribute is among the k largest contributions by size, equal ones in the order of the columns; attributes that never are have n = 0."""
+    flagged = scores.where("(t2_flag or spe_flag) and contributions is not null")
+    ranked = F.array_sort(F.transform("contributions", lambda c, i: F.struct((-F.abs(c)).alias("size"), i.alias("i"))))
+    top = F.transform(F.slice(ranked, 1, k), lambda x: x["i"])
+    counts = flagged.select(top.alias("top")).agg(F.count(F.lit(1)).alias("n_flagged"), *[F.count_if(F.array_contains("top", i)).alias(c) for i, c in enumerate(columns)])
+    return counts.unpivot(["n_flagged"], columns, "attribute", "n")

@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return put
 
 
-from siglot.plans import cleaning, linking, measures, models, publication, quality, release, signals, summaries, tables  # noqa: E402, F401
+from siglot.plans import cleaning, linking, lots, measures, models, publication, quality, release, signals, summaries, tables  # noqa: E402, F401
