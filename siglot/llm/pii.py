@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hmac
+import math
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -158,8 +160,109 @@ def _address(value: str, draw) -> str:
     return ".".join(map(str, old[:fixed] + new[fixed:]))
 
 
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+FORMS = ("card", "phone", "secret", "domain", "local", "ip")  # kinds whose surrogates have the value's own form
+
+
+def _address_class(value: str) -> tuple[str, int, int]:
+    """(name, octets that stay, addresses that are drawn from) of the range that an address belongs to."""
+    a, b = map(int, value.split(".")[:2])
+    if a == 172 and 16 <= b < 32:
+        return "172.16", 1, 16 * 256 * 254
+    if (a, b) in ((192, 168), (169, 254)):
+        return f"{a}.{b}", 2, 256 * 254
+    return (str(a), 1, 256 * 256 * 254) if a in (0, 10, 127) or a >= 224 else ("public", 0, 219 * 256 * 256 * 254)
+
+
+def _places(kind: str, value: str) -> list[str]:
+    """For each character of a value those that a surrogate may have there; one where it stays."""
+    head = _code(value) if kind == "phone" else 4 if kind == "secret" and value.startswith("AKIA") else 0
+    tail = len(value) - value.rfind(".") if kind == "domain" else 0
+    free = lambda c: DIGITS if c.isdigit() and c.isascii() else LOWER if c in LOWER else UPPER if c in UPPER else c
+    out = [c if i < head or i >= len(value) - tail else free(c) for i, c in enumerate(value)]
+    if kind == "card" and _luhn(value) == 0:
+        out[-1] = ""  # what the others make it
+    return out
+
+
+def space(kind: str, value: str) -> tuple[str, float]:
+    """(name, size) of the set of values that surrogates of a value come from. Those of different names have no value in common; names have no bound, as further draws are longer."""
+    what = kind.partition(" ")[0]
+    if what not in FORMS:
+        return "", float("inf")
+    if what == "ip":
+        name, _, size = _address_class(value)
+        return f"{kind}\x1f{name}", float(size)
+    places = _places(what, value)
+    hexes = what == "secret" and re.fullmatch("[0-9a-f]+", value)
+    size = 1.0
+    for p in places:
+        size *= 6 if hexes and p == LOWER else max(1, len(p))
+    size *= 0.9 if what == "card" and places[-1] else 1
+    return f"{kind}\x1f" + "".join({DIGITS: "\x100", LOWER: "\x10a", UPPER: "\x10A", "": "\x10="}.get(p, p) for p in places), size
+
+
+def _permuted(key: bytes, name: str, i: int, n: int, back: bool = False) -> int:
+    """A keyed permutation of 0 .. n - 1, or its inverse: a Feistel network over two parts, walked until its value is below n."""
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+
+    def mixed(r: int, x: int, m: int) -> int:
+        return int.from_bytes(hmac.digest(key, f"{name}\x1f{r}\x1f{x}".encode(), "sha512"), "big") % m
+
+    while True:
+        x, y = i % a, i // a
+        for r in reversed(range(8)) if back else range(8):
+            sign = -1 if back else 1
+            if r % 2:
+                y = (y + sign * mixed(r, x, b)) % b
+            else:
+                x = (x + sign * mixed(r, y, a)) % a
+        i = x + a * y
+        if i < n:
+            return i
+
+
+def shifted(key: bytes, kind: str, value: str) -> str:
+    """The value that follows in one keyed cycle through all values of the space: other values have others, and none but the only one of a space stays as it is. It may be a value that the corpus holds."""
+    what, name = kind.partition(" ")[0], space(kind, value)[0]
+    if what == "ip":
+        _, fixed, _ = _address_class(value)
+        octets = list(map(int, value.split(".")))
+        places, digits = [256] * (4 - fixed), octets[fixed:]
+    else:
+        chars = _places(what, value)
+        at = [k for k, p in enumerate(chars) if len(p) > 1]
+        places, digits = [len(chars[k]) for k in at], [chars[k].index(value[k]) for k in at]
+    n, i = math.prod(places), 0
+    if n < 2:
+        return value
+    for p, d in zip(places, digits, strict=True):
+        i = i * p + d
+    while True:
+        i = _permuted(key, name, (_permuted(key, name, i, n, back=True) + 1) % n, n)
+        rest, new = i, []
+        for p in reversed(places):
+            rest, d = divmod(rest, p)
+            new.insert(0, d)
+        if what == "ip":
+            out = ".".join(map(str, octets[:fixed] + new))
+            if _address_class(out)[0] == _address_class(value)[0]:
+                return out
+            continue
+        made = list(value)
+        for k, d in zip(at, new, strict=True):
+            made[k] = chars[k][d]
+        out = "".join(made)
+        if what == "card" and chars[-1] and _luhn(out) == 0:
+            continue  # numbers that fail the check stay apart from those that pass
+        return next(out[:-1] + d for d in DIGITS if _luhn(out[:-1] + d) == 0) if chars[-1] == "" else out
+
+
 def surrogate(key: bytes, kind: str, value: str, gender: str = "", attempt: int = 0) -> str:
-    """The canonical value that stands for another of the same kind: same length and classes of characters, valid where the first is. A number keeps its calling code, an address its class, a domain its ending, a given name its gender; later attempts draw from more."""
+    """The canonical value that stands for another of the same kind: same length and classes of characters, valid where the first is. A number keeps its calling code, an address its class, a domain its ending, a given name its gender; later attempts draw from more. An attempt below 0 stands for shifted()."""
+    if attempt < 0:
+        return shifted(key, kind, value)
     s = _stream(key, kind, value, attempt)
     draw = lambda n: (next(s) << 16 | next(s) << 8 | next(s)) % n
     kind, _, more = kind.partition(" ")
@@ -183,8 +286,8 @@ def surrogate(key: bytes, kind: str, value: str, gender: str = "", attempt: int
         else:
             out.append(c)
     out = "".join(out) + value[len(value) - tail :]
-    if kind == "card" and _luhn(value) == 0:
-        out = next(out[:-1] + str(d) for d in range(10) if _luhn(out[:-1] + str(d)) == 0)
+    if kind == "card" and (_luhn(value) == 0) != (_luhn(out) == 0):
+        out = next(x for d in range(10) if (_luhn(x := out[:-1] + str((int(out[-1]) + d) % 10)) == 0) == (_luhn(value) == 0))
     return out
 
 
@@ -216,16 +319,19 @@ def entities(docs: DataFrame, id_col: str = "_tid", text_col: str = "_text") ->
     return docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).mapInArrow(tidy(run), "_i binary, kind string, value string, gender string").withColumnRenamed("_i", id_col)
 
 
-def draw_again(found: DataFrame, key: bytes, most_rounds: int = 40) -> DataFrame:
+def draw_again(found: DataFrame, key: bytes, fullest: float = 0.125) -> DataFrame:
     """kind, value, gender, attempt of the units of found(kind, value, gender) whose first surrogate won't do, or whose gender isn't the same at all mentions.
 
     A surrogate must not stand for two units, nor be one that the corpus holds.
     Of several units with one surrogate the first in order keeps it; the others
     draw again, and are held against all that is settled, until none is left. Only
     the losers of a round enter the next. A given name that has one gender where its
-    titles tell has it everywhere. Where a kind's values run out, which no draw can
-    mend (fewer free values of one length than entities), a ValueError tells so after
-    most_rounds.
+    titles tell has it everywhere.
+
+    A space of values (see space()) of which the corpus holds more than `fullest` isn't
+    drawn from: its values take each other's place by a keyed cycle (attempt -1), which
+    keeps them distinct however many there are. In all other spaces a draw succeeds
+    three times in four, so that the rounds end.
     """
     told = F.collect_set(F.when(~F.col("gender").isin("", "n"), F.col("gender")))
     real = found.groupBy("kind", "value").agg(told.alias("told"), F.max(F.col("gender") != "").alias("has"), F.min("gender").alias("lo"), F.max("gender").alias("hi"))
@@ -238,9 +344,19 @@ def draw_again(found: DataFrame, key: bytes, most_rounds: int = 40) -> DataFrame
             out = [surrogate(key, k, v, g, n) for k, v, g, n in zip(*(b.column(c).to_pylist() for c in ("kind", "value", "gender", "attempt")), strict=True)]
             yield b.append_column("other", pa.array(out, pa.string()))
 
-    left = real.select("kind", "value", "gender", "mixed", F.lit(0).alias("attempt"))
-    settled, taken, again = None, real.select(family, F.col("value").alias("other")).distinct(), None
-    for _ in range(most_rounds):
+
+    def spaces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, sizes = zip(*[space(k, v) for k, v in zip(b.column("kind").to_pylist(), b.column("value").to_pylist(), strict=True)], strict=True) if b.num_rows else ((), ())
+            yield b.append_column("space", pa.array(names, pa.string())).append_column("room", pa.array(sizes, pa.float64()))
+
+    placed = written(real.mapInArrow(tidy(spaces), "kind string, value string, gender string, mixed boolean, space string, room double"), "spaces")
+    full = placed.where("space <> ''").groupBy("space").agg(F.count(F.lit(1)).alias("n"), F.min("room").alias("room")).where(F.col("n") > F.col("room") * fullest)
+    full = written(full.select("space"), "full")
+    swapped = placed.join(full, "space", "left_semi").select("kind", "value", "gender", F.lit(-1).alias("attempt"))
+    left = placed.join(full, "space", "left_anti").select("kind", "value", "gender", "mixed", F.lit(0).alias("attempt"))
+    settled, taken, again = None, real.select(family, F.col("value").alias("other")).distinct(), swapped
+    for _ in count():
         drawn = left.mapInArrow(tidy(draw), "kind string, value string, gender string, mixed boolean, attempt int, other string").withColumn("family", family)
         place = F.row_number().over(Window.partitionBy("family", "other").orderBy("value", "kind"))
         drawn = written(drawn.withColumn("place", place), "drawn")
@@ -249,17 +365,16 @@ def draw_again(found: DataFrame, key: bytes, most_rounds: int = 40) -> DataFrame
             good = good.join(settled, ["family", "other"], "left_anti")
         good = written(good.select("family", "other", "kind", "value", "gender", "mixed", "attempt"), "good")
         later = good.where("attempt > 0 or mixed").select("kind", "value", "gender", "attempt")
-        again = later if again is None else again.unionByName(later)
+        again = again.unionByName(later)
         settled = good.select("family", "other") if settled is None else settled.unionByName(good.select("family", "other"))
         left = drawn.join(good, ["kind", "value"], "left_anti").select("kind", "value", "gender", "mixed", (F.col("attempt") + 1).alias("attempt"))
         left = written(left, "left")
         if not left.limit(1).count():
             return written(again, "again")
-    raise ValueError(f"no free surrogates after {most_rounds} rounds for some of the {left.count()} entities left")
 
 
 def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", most_sent: int = 50_000) -> DataFrame:
-    """Every row of docs with its text's entities replaced, and n_entities added.
+    """Every row of docs with its text's entities replaced; n_entities and n_swapped added, the latter counts entities whose surrogate may be another's real value (see draw_again).
 
     The same entity gets the same surrogate everywhere (e-mail addresses and names
     without regard to case, numbers without regard to separators), and different ones
@@ -269,20 +384,21 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
     documents that hold them.
 
     Null texts stay null with 0 entities; ids may be null or repeat; other columns
-    pass through, but an earlier n_entities, which is replaced.
+    pass through, but an earlier n_entities or n_swapped, which is replaced. A value of
+    which there is no other of its form, such as a local part of signs only, stays.
     """
-    docs = docs.drop("n_entities")
+    docs = docs.drop("n_entities", "n_swapped")
     rows = docs.select(text_hash(F.col(text_col)).alias("_tid"), F.col(text_col).alias("_text"))
     found = entities(rows)
     again = draw_again(found.select("kind", "value", "gender"), key)
     n = again.count()
     few = {(r.kind, r.value): (r.gender, r.attempt) for r in again.collect()} if n <= most_sent else None
 
-    def change(text: str | None, own: dict, find: Finder, known: dict) -> tuple[str | None, int]:
+    def change(text: str | None, own: dict, find: Finder, known: dict) -> tuple[str | None, int, int]:
         spans = find(text) if text else []
         if not spans:
-            return text, 0
-        out, at = [], 0
+            return text, 0, 0
+        out, at, swapped = [], 0, 0
         for a, b, kind, units in spans:
             new = []
             for k, v, g in units:
@@ -292,9 +408,10 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
                         known.clear()
                     known[unit] = surrogate(key, *unit)
                 new.append(known[unit])
+            swapped += any(own.get(u[:2], (u[2], 0))[1] < 0 for u in units)
             out += [text[at:a], in_format(kind, text[a:b], new)]
             at = b
-        return "".join(out) + text[at:], len(spans)
+        return "".join(out) + text[at:], len(spans), swapped
 
     names = docs.columns
     extra, tid = fresh(docs, "again"), fresh(docs, "tid")
@@ -310,7 +427,7 @@ def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: s
             own = [few] * len(texts) if few is not None else [{(x["kind"], x["value"]): (x["gender"], x["attempt"]) for x in xs or ()} for xs in b.column(extra).to_pylist()]
             new = [change(t, o, find, known) for t, o in zip(texts, own, strict=True)]
             cols = [pa.array([x[0] for x in new], pa.string()) if c == text_col else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([x[1] for x in new], pa.int32())], [*names, "n_entities"])
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.array([x[i] for x in new], pa.int32()) for i in (1, 2)]], [*names, "n_entities", "n_swapped"])
 
-    schema = docs.select(names).schema.add("n_entities", IntegerType())
+    schema = docs.select(names).schema.add("n_entities", IntegerType()).add("n_swapped", IntegerType())
     return docs.mapInArrow(tidy(run), schema)

@@ -213,6 +213,36 @@ def test_surrogates_stay_distinct(spark):
         assert again and len(set(made)) == len(made) and not set(made) & {v for _, v, _ in some}
 
 
+def test_full_spaces_take_each_others_values(spark):
+    """As many values as a form has, or nearly: every one gets another's, none its own, and coreference holds."""
+    from siglot.llm.pii import space
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    units = [("local a.com", c, "") for c in letters] + [("domain", f"{c}.com", "") for c in letters[:20]] + [("local b.com", "7", ""), ("local b.com", "3", ""), ("local b.com", "_", "")]
+    units += [("ip", f"192.168.{i // 256}.{i % 256}", "") for i in range(0, 65536)] + [("ip", f"172.{16 + i % 16}.0.{i}", "") for i in range(200)] + [("phone", f"{i:04d}", "") for i in range(10000)]
+    units += [("card", f"{i:03d}{c}", "") for i in range(1000) for c in range(10)] + [("domain", "longer-name.com", ""), ("local a.com", "someone", "")]
+    again = {(r.kind, r.value): r.attempt for r in draw_again(spark.createDataFrame(units, "kind string, value string, gender string").repartition(4), b"k").collect()}
+    made = {}
+    for k, v, g in units:
+        made.setdefault(k, {})[v] = surrogate(b"k", k, v, g, again.get((k, v), 0))
+    for k, by in made.items():
+        assert len(set(by.values())) == len(by), k
+        assert {v for v, o in by.items() if v == o} == ({"_"} if k == "local b.com" else set())
+        assert all(space(k, v)[0] == space(k, o)[0] for v, o in by.items() if again.get((k, v), 0) < 0)
+        drawn = {o for v, o in by.items() if again.get((k, v), 0) >= 0}
+        assert not drawn & set(by)
+    assert again["ip", "192.168.0.0"] == -1 and again.get(("ip", "172.16.0.0"), 0) >= 0 and again["local a.com", "q"] == -1 and again.get(("domain", "longer-name.com"), 0) >= 0
+
+
+def test_documents_with_full_spaces(spark):
+    d = spark.createDataFrame([(i, f"write to {c}@x.com, or {c}@x.com") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")] + [(99, "someone.else@elsewhere.org")], "doc_id bigint, text string")
+    for sent in (50_000, 0):
+        out = {r.doc_id: r for r in replace_pii(d, b"k", most_sent=sent).collect()}
+        twice = [out[i].text.removeprefix("write to ").split(", or ") for i in range(26)]
+        assert all(a == b and len(a.split("@")[0]) == 1 for a, b in twice) and len({a for a, _ in twice}) == 26
+        assert {(out[i].n_entities, out[i].n_swapped) for i in range(26)} == {(2, 2)} and (out[99].n_entities, out[99].n_swapped) == (1, 0)
+
+
 def test_many_second_draws_go_by_join(spark):
     d = spark.createDataFrame([(i, f"Mr Name{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} says") for i in range(3000)], "doc_id bigint, text string")
     a = {r.doc_id: r.text for r in replace_pii(d, b"k").collect()}
