@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siglot.sources.files import stored
+
 
 def _lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, a whole row of the table in one number's bits."""
@@ -84,7 +86,7 @@ def cascade(tokens: DataFrame, lots: DataFrame, record: str = "record_id", thres
     """
     key = ["exact", "core", "report_year"]
     lot = lots.select("lot_key", F.col("exact").alias("l_exact"), F.col("core").alias("l_core"), "national", "year")
-    asked = tokens.select(*key).where("exact is not null").distinct()
+    lot, asked = stored(lot), stored(tokens.select(*key).where("exact is not null").distinct())
     answers, rest = None, asked
     for step, on in enumerate(("exact", "core", "similar")):
         if on == "similar":
@@ -92,7 +94,7 @@ def cascade(tokens: DataFrame, lots: DataFrame, record: str = "record_id", thres
             met = rest.join(like, "exact").join(lot, "l_exact")
         else:
             met = rest.join(lot, F.col(on) == F.col(f"l_{on}"))
-        found = choose(met, key, "lot_key", "national", "year", "report_year").withColumn("step", F.lit(step))
+        found = stored(choose(met, key, "lot_key", "national", "year", "report_year").withColumn("step", F.lit(step)))
         answers = found if answers is None else answers.unionByName(found)
         rest = rest.join(found.select(*key), key, "left_anti")
     every = tokens.join(answers, key, "left")

@@ -28,11 +28,10 @@ def characteristics(df: DataFrame, variables: list[str], group: str) -> DataFram
 
 def summary(df: DataFrame, group: str, value: str, digits: int = 4) -> DataFrame:
     """group, n, mean, sd, min, q1, median, q3, p90, max."""
-    q = lambda p: F.round(F.percentile(value, F.lit(p)), digits)
-    return df.groupBy(group).agg(
-        F.count(value).alias("n"), F.round(F.avg(value), digits).alias("mean"), F.round(F.stddev_samp(value), digits).alias("sd"), F.min(value).alias("min"),
-        q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), q(0.9).alias("p90"), F.max(value).alias("max"),
-    )
+    names = ["q1", "median", "q3", "p90"]
+    plain = df.groupBy(F.col(group).alias("_g")).agg(F.count(value).alias("n"), F.round(F.avg(value), digits).alias("mean"), F.round(F.stddev_samp(value), digits).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = quantiles(df, group, value, [0.25, 0.5, 0.75, 0.9]).select(group, *[F.round(F.get("q", F.lit(i)), digits).alias(c) for i, c in enumerate(names)])
+    return plain.join(q, F.col("_g").eqNullSafe(F.col(group))).select(group, "n", "mean", "sd", "min", *names, "max")
 
 
 def crosstab_chi2(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -54,31 +53,96 @@ def average_rank(value: Column, *by: str) -> Column:
     return F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2
 
 
-def total_before(df: DataFrame, value: str, amount: str, *by: str, parts: int = 200) -> DataFrame:
-    """df with before, the sum of amount over the smaller values (of the same group); values are distinct in their group.
+def total_before(df: DataFrame, value: str, amounts: list[str], *by: str, parts: int = 128) -> DataFrame:
+    """df with, for each amount, its sum over the smaller values of the same group (<amount>_before) and over the whole group (<amount>_all); values are distinct in their group. df is read twice, so it should be a stored table.
 
     Values are dealt to ranges between quantiles of the whole column, the ranges' totals
     run over at most `parts` rows a group, and a window runs inside each range, so that
     no task holds a whole column.
     """
-    edges = df.select(F.percentile_approx(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(10_000))).scalar()
-    d = df.withColumn("_edges", edges).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
-    w = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = d.groupBy(*by, "_part").agg(F.sum(amount).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(w), F.lit(0))).drop("_sum")
+    edges = df.select(F.percentile_approx(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(10_000))).first()[0] or []
+    edges = sorted(set(edges))
+
+    def part(low: int, high: int) -> Column:
+        """How many edges are smaller, between low and high, by halving."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col(value) > F.lit(edges[mid]), part(mid + 1, high)).otherwise(part(low, mid))
+
+    d = df.withColumn("_part", part(0, len(edges)))
+    every, earlier = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = d.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_sum_{c}") for c in amounts])
+    base = base.select(*by, "_part", *[F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_base_{c}") for c in amounts], *[F.sum(f"_sum_{c}").over(every).alias(f"{c}_all") for c in amounts])
     inside = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return d.join(base, [*by, "_part"]).withColumn("before", F.col("_base") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop("_part", "_base")
+    out = d.join(base, [*by, "_part"]).withColumns({f"{c}_before": F.col(f"_base_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in amounts})
+    return out.drop("_part", *[f"_base_{c}" for c in amounts])
+
+
+def quantiles(df: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
+    """group, n, q (array): exact quantiles of the known values, interpolated between neighbours, null where a group has none.
+
+    Equal values are counted before they move, and ranks come from ranges of values, so
+    no task holds a group's values.
+    """
+    per = stored(df.groupBy(group, F.col(value).cast("double").alias("v")).agg(F.count(value).alias("n")))
+    known = total_before(per.where("v is not null").withColumn("g", F.struct(group)), "v", ["n"], "g")  # a struct keeps the null group joinable
+    sides = [(p, side) for p in shares for side in (F.floor, F.ceil)]
+    rank = lambda p, side: side(p * (F.col("n_all") - 1))
+    at = [F.max(F.when((F.col("n_before") <= rank(p, side)) & (rank(p, side) < F.col("n_before") + F.col("n")), F.col("v"))) for p, side in sides]
+    found = known.groupBy("g").agg(F.max("n_all").alias("n_all"), *[c.alias(f"_q{i}") for i, c in enumerate(at)])
+    between = lambda i, p: F.col(f"_q{2 * i}") + (F.col(f"_q{2 * i + 1}") - F.col(f"_q{2 * i}")) * (p * (F.col("n_all") - 1) - rank(p, F.floor))
+    q = found.select(F.col(f"g.{group}").alias("_of"), F.array(*[between(i, p) for i, p in enumerate(shares)]).alias("q"))
+    groups = per.groupBy(group).agg(F.sum("n").alias("n"))
+    return groups.join(q, groups[group].eqNullSafe(F.col("_of")), "left").select(group, "n", "q")
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: list[float], few: int = 50_000) -> list[float | None]:
+    """Exact interpolated quantiles of one column's known values.
+
+    Each share's neighbours are bracketed by approximate quantiles, the rows below a
+    bracket are counted exactly, and the bracket narrows until it holds at most `few`
+    distinct values, which alone are counted one by one. A pass is an aggregation.
+    """
+    v = F.col(value).cast("double")
+    n, low, high = df.agg(F.count(v), F.min(v), F.max(v)).first()
+    if not n:
+        return [None] * len(shares)
+    out = []
+    for p in shares:
+        place, a, b, below = p * (n - 1), low, high, 0  # the wanted values lie in [a, b], with `below` rows under a
+        wanted = (math.floor(place), math.ceil(place))
+        inside = n
+        while inside > few and a < b:
+            lo, hi = (wanted[0] - below) / inside, (wanted[1] - below + 1) / inside
+            near = df.where(v.between(a, b)).select(F.percentile_approx(v, F.array(F.lit(max(0.0, lo - 2e-3)), F.lit(min(1.0, hi + 2e-3))), F.lit(10_000))).first()[0]
+            under, kept = df.agg(F.count_if(v < near[0]), F.count_if(v.between(near[0], near[1]))).first()
+            if not (under <= wanted[0] and wanted[1] < under + kept) or kept >= inside:
+                break  # ties hold the bracket together: few values are left, or many equal ones
+            a, b, below, inside = near[0], near[1], under, kept
+        rest = df.where(v.between(a, b))
+        if inside <= few:
+            ends = rest.agg(F.sort_array(F.collect_list(v)).alias("s")).select(*[F.get("s", F.lit(r - below)) for r in wanted]).first()
+        else:
+            counts = rest.groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+            ends = total_before(stored(counts), "v", ["n"]).agg(*[F.max(F.when((F.col("n_before") + below <= r) & (r < F.col("n_before") + below + F.col("n")), F.col("v"))) for r in wanted]).first()
+        out.append(ends[0] + (ends[1] - ends[0]) * (place - wanted[0]))
+    return out
 
 
 def spearman(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
-    """group, rho: correlation of average ranks, which are taken over the distinct values with their counts and joined back."""
-    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(group, a, b)
+    """group, rho: correlation of average ranks. Equal rows are counted first; the ranks of both margins come from these counts, and no raw row is joined."""
+    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(group).isNotNull())
+    per = stored(d.groupBy(F.col(group).alias("g"), F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n")))
 
     def ranks(c: str) -> DataFrame:
-        n = total_before(d.groupBy(group, c).agg(F.count(F.lit(1)).alias("_n")), c, "_n", group)
-        return n.select(group, c, (F.col("before") + (F.col("_n") + 1) / 2).alias(f"_rank_{c}"))
+        """The rank less the mean rank of the group."""
+        margin = total_before(stored(per.groupBy("g", c).agg(F.sum("n").alias("n"))), c, ["n"], "g")
+        return margin.select("g", c, (F.col("n_before") + (F.col("n") - F.col("n_all")) / 2).alias(f"r{c}"))
 
-    ranked = d.join(ranks(a), [group, a]).join(ranks(b), [group, b])
-    return ranked.groupBy(group).agg(F.corr(f"_rank_{a}", f"_rank_{b}").alias("rho"))
+    x, y, n = F.col("ra"), F.col("rb"), F.col("n")
+    sums = per.join(ranks("a"), ["g", "a"]).join(ranks("b"), ["g", "b"]).groupBy("g").agg(F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"))
+    return sums.select(F.col("g").alias(group), F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt("xx") / F.sqrt("yy")).alias("rho"))
 
 
 def wilson(k: Column, n: Column) -> tuple[Column, Column]:
@@ -240,13 +304,10 @@ def icc(df: DataFrame, cluster: str, y: Column) -> DataFrame:
 
 def auroc(df: DataFrame, y: str, score: str) -> DataFrame:
     """n, positives, auroc, average_precision: by counts per distinct score, ties at half; one class alone has none."""
-    per = df.groupBy(score).agg(F.sum(F.col(y).cast("bigint")).alias("p"), F.count(F.lit(1)).alias("m")).withColumn("q", F.col("m") - F.col("p"))
-    lower = total_before(per, score, "q").withColumnRenamed("before", "q_below")
-    lower = total_before(lower, score, "p").withColumnRenamed("before", "p_below")
-    all_p, all_q = per.select(F.sum("p")).scalar(), per.select(F.sum("q")).scalar()
-    up_p, up_q = F.col("pos") - F.col("p_below"), F.col("neg") - F.col("q_below")  # of this score and above
-    d = lower.withColumns({"pos": all_p, "neg": all_q})
-    s = d.agg(F.max("pos").alias("pos"), F.max("neg").alias("neg"), F.sum(F.col("p") * (F.col("q_below") + F.col("q") / 2)).alias("u"), F.sum(F.col("p") * up_p / (up_p + up_q)).alias("ap"))
+    per = stored(df.groupBy(score).agg(F.sum(F.col(y).cast("bigint")).alias("p"), F.count(F.lit(1)).alias("m")).withColumn("q", F.col("m") - F.col("p")))
+    d = total_before(per, score, ["p", "q"])
+    up_p, up_q = F.col("p_all") - F.col("p_before"), F.col("q_all") - F.col("q_before")  # of this score and above
+    s = d.agg(F.max("p_all").alias("pos"), F.max("q_all").alias("neg"), F.sum(F.col("p") * (F.col("q_before") + F.col("q") / 2)).alias("u"), F.sum(F.col("p") * up_p / (up_p + up_q)).alias("ap"))
     some = (F.col("pos") > 0) & (F.col("neg") > 0)
     return s.select((F.col("pos") + F.col("neg")).alias("n"), F.col("pos").alias("positives"), F.when(some, F.col("u") / (F.col("pos") * F.col("neg"))).alias("auroc"), F.when(some, F.col("ap") / F.col("pos")).alias("average_precision"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siglot.functions import special as S
+from siglot.sources.files import stored
 
 Z = 1.959963984540054
 
@@ -25,17 +26,17 @@ def design(df: DataFrame, features: list[str], y: str, weight: str | None = None
 
 
 def _sums(d: DataFrame, f, size: int) -> np.ndarray:
-    """The sum over all rows of f(x, y, w, o), a vector of `size`: one partial sum per task, added by Spark."""
+    """The sum over all rows of f(x, y, w, o, n), a vector of `size`: one partial sum per task, added by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for b in batches:
             if b.num_rows:
                 x = b.column("x").flatten().to_numpy().reshape(b.num_rows, -1)
-                total += f(x, *(b.column(c).to_numpy() for c in "ywo"))
+                total += f(x, *(b.column(c).to_numpy() for c in "ywon"))
         yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total)], ["i", "v"])
 
-    rows = d.select("x", "y", "w", "o").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    rows = d.select("x", "y", "w", "o", "n").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(size)
     for r in rows:
         out[r.i] = r.v
@@ -51,16 +52,16 @@ def _mean(family: str):
 def glm(d: DataFrame, p: int, family: str = "binomial", penalty: str = "", steps: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
     """(coefficients, covariance, Pearson dispersion) of a design() by Newton's method: one aggregation per step, p numbers and a p x p matrix at the driver. penalty 'firth' adds the hat diagonal to the score, which bounds separated coefficients; the hat needs the information at the same coefficients, so a step takes two aggregations then."""
     mean, var = _mean(family)
-    b = np.zeros(p)
+    b, d = np.zeros(p), stored(d.groupBy("x", "y", "o").agg(F.sum("w").alias("w"), F.count(F.lit(1)).cast("double").alias("n")))  # equal rows count as one, and steps don't run the design's plan again
 
     def parts(b, inverse=None):
-        def run(x, y, w, o):
+        def run(x, y, w, o, n):
             m = mean(x @ b + o)
             v = w * var(m)
             r = w * (y - m)
             if inverse is not None:
                 r = r + v * np.einsum("ij,jk,ik->i", x, inverse, x) * (0.5 - m)
-            return np.concatenate([x.T @ r, ((x * v[:, None]).T @ x).ravel(), [(w * (y - m) ** 2 / var(m)).sum(), len(y)]])
+            return np.concatenate([x.T @ r, ((x * v[:, None]).T @ x).ravel(), [(w * (y - m) ** 2 / var(m)).sum(), n.sum()]])
 
         return run
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siglot.functions import special as S
+from siglot.operators.measures import exact_quantiles
+from siglot.sources.files import stored
 
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -45,25 +47,25 @@ def robust_moments(df: DataFrame, columns: list[str], share: float = 0.5, steps:
     the distance so far and takes their mean and covariance, which never enlarges the
     determinant, until it stands. The covariance is then scaled so that the median
     distance is that of normal data, and the rows within the 97.5 % distance give the
-    result. A step is a quantile and an aggregation over all rows.
+    result. A step is a narrowed exact quantile and an aggregation over all rows.
     """
-    df = df.where(" and ".join(f"`{c}` is not null" for c in columns))
+    df = stored(df.where(" and ".join(f"`{c}` is not null" for c in columns)).select(*columns))
     p = len(columns)
     n = df.count()
     share = max(share, (n + p + 1) / (2 * n))
-    mid = np.array(df.agg(*[F.percentile(c, F.lit(0.5)) for c in columns]).first(), float)
-    spread = df.agg(*[F.percentile(F.abs(F.col(c) - float(m)), F.lit(0.5)) for c, m in zip(columns, mid, strict=True)]).first()
+    mid = np.array([exact_quantiles(df, c, [0.5])[0] for c in columns], float)
+    spread = [exact_quantiles(df.select(F.abs(F.col(c) - float(m)).alias("v")), "v", [0.5])[0] for c, m in zip(columns, mid, strict=True)]
     mean, cov, before = mid, np.diag([max(1.4826 * s, 1e-9) ** 2 for s in spread]), math.inf
     for _ in range(steps):
         d = df.withColumn("_d", distance2(columns, mean, cov))
-        cut = d.select(F.percentile("_d", F.lit(share))).first()[0]
+        cut = exact_quantiles(d.select("_d"), "_d", [share])[0]
         _, mean, cov = moments(d.where(F.col("_d") <= cut), columns)
         det = float(np.linalg.slogdet(cov)[1])
         if abs(det - before) < 1e-9:
             break
         before = det
     d = df.withColumn("_d", distance2(columns, mean, cov))
-    middle = d.select(F.percentile("_d", F.lit(0.5))).first()[0]
+    middle = exact_quantiles(d.select("_d"), "_d", [0.5])[0]
     cov = cov * middle / float(S.chi2_quantile(0.5, p))
     near = df.where(distance2(columns, mean, cov) < float(S.chi2_quantile(0.975, p)))
     _, mean, cov = moments(near, columns)

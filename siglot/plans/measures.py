@@ -55,8 +55,8 @@ select year, attribute, count(*) as n, case when count(*) >= 5 then round(quanti
 """)
 def _a7(spark, sf):
     u = V.qc(spark, sf).select(F.year("l_shipdate").alias("year"), "l_quantity", "l_tax").unpivot(["year"], ["l_quantity", "l_tax"], "attribute", "v")
-    q = lambda p: F.when(F.count("v") >= 5, F.round(F.percentile("v", F.lit(p)), 4))
-    return u.groupBy("year", "attribute").agg(F.count("v").alias("n"), q(0.1).alias("q10"), q(0.5).alias("q50"), q(0.9).alias("q90"))
+    d = M.quantiles(u.select(F.struct("year", "attribute").alias("at"), "v"), "at", "v", [0.1, 0.5, 0.9])
+    return d.select("at.*", "n", *[F.when(F.col("n") >= 5, F.round(F.get("q", F.lit(i)), 4)).alias(c) for i, c in enumerate(("q10", "q50", "q90"))])
 
 
 @query("a8_spearman", """

@@ -58,8 +58,8 @@ def _m8b(spark, sf):
 @query("m10_calibration_deciles", "with s as (select quality as y, n_chars as score from labels join documents using (doc_id)), e as (select list_sort(list_distinct(list_transform(range(1, 10), lambda i: 0))) as z, quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as edges from s), b as (select y, score, len(list_filter(list_distinct(edges), lambda x: score > x)) as bin from s, e) select cast(bin as integer) as bin, count(*) as n, round(avg(y), 6) as observed, round(avg(score), 4) as predicted from b group by 1")
 def _m10(spark, sf):
     s = _scores(spark, sf)
-    edges = s.select(F.array_distinct(F.percentile("score", F.array(*[F.lit(i / 10) for i in range(1, 10)])))).scalar()
-    b = s.withColumn("edges", edges).select("y", "score", F.size(F.filter("edges", lambda x: F.col("score") > x)).alias("bin"))
+    edges = sorted(set(M.exact_quantiles(s, "score", [i / 10 for i in range(1, 10)])))
+    b = s.withColumn("edges", F.array(*[F.lit(e) for e in edges])).select("y", "score", F.size(F.filter("edges", lambda x: F.col("score") > x)).alias("bin"))
     return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 6).alias("observed"), F.round(F.avg("score"), 4).alias("predicted"))
 
 

@@ -33,7 +33,7 @@ def _q4(spark, sf):
 
 @query("q5_percentile_ppk", ctes("qc") + ", q as (select series, quantile_cont(l_extendedprice, 0.00135) as a, quantile_cont(l_extendedprice, 0.5) as b, quantile_cont(l_extendedprice, 0.99865) as c, count(*) as n from qc group by 1) select series, round(case when n >= 50 then least((b - 1000) / (b - a), (90000 - b) / (c - b)) end, 4) as ppk from q")
 def _q5(spark, sf):
-    q = V.qc(spark, sf).groupBy("series").agg(F.percentile("l_extendedprice", F.array(F.lit(0.00135), F.lit(0.5), F.lit(0.99865))).alias("q"), F.count(F.lit(1)).alias("n"))
+    q = M.quantiles(V.qc(spark, sf), "series", "l_extendedprice", [0.00135, 0.5, 0.99865])
     a, b, c = (F.get("q", F.lit(i)) for i in range(3))
     return q.select("series", F.round(F.when(F.col("n") >= 50, F.least((b - 1000) / (b - a), (90000 - b) / (c - b))), 4).alias("ppk"))
 
@@ -126,12 +126,12 @@ def _q16(spark, sf):
     return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("k").alias("avg_rank"), "n")
 
 
-@query("q17_top_contributors", "with c as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, unnest(['quantity', 'discount', 'tax']) as attribute, unnest([abs(l_quantity - 25) / 15, abs(l_discount - 0.05) / 0.03, abs(l_tax - 0.04) / 0.025]) as v from lineitem where l_extendedprice > 50000), r as (select attribute, row_number() over (partition by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice order by round(v, 9) desc, attribute) as k from c) select attribute, count(*) as n from r where k <= 2 group by 1")
+@query("q17_top_contributors", "with c as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, unnest(['quantity', 'discount', 'tax']) as attribute, unnest([abs(l_quantity - 25) / 15, abs(l_discount - 0.05) / 0.03, abs(l_tax - 0.04) / 0.025]) as v from lineitem), r as (select attribute, row_number() over (partition by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice order by round(v, 9) desc, attribute) as k from c) select attribute, count(*) as n from r where k <= 2 group by 1")
 def _q17(spark, sf):
     from pyspark.sql import Window
 
     parts = {"quantity": F.abs(F.col("l_quantity") - 25) / 15, "discount": F.abs(F.col("l_discount") - 0.05) / 0.03, "tax": F.abs(F.col("l_tax") - 0.04) / 0.025}
-    rows = table(spark, sf, "lineitem").where("l_extendedprice > 50000")
+    rows = table(spark, sf, "lineitem")
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
     long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("attribute"), F.round(v, 9).alias("v")) for k, v in parts.items()])).alias("c")).select(*keys, "c.*")
     w = Window.partitionBy(*keys).orderBy(F.desc("v"), "attribute")

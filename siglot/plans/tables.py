@@ -203,11 +203,11 @@ def _d19(spark, sf):
 
 
 @query("d20_recorded_mask", """
-with seen as (select distinct source as source_file, lang as event from documents where n_chars > 3000)
+with seen as (select distinct source as source_file, lang as event from documents)
 select event from seen group by event having count(distinct source_file) = (select count(distinct source_file) from seen)
 """)
 def _d20(spark, sf):
-    return C.recorded_everywhere(table(spark, sf, "documents").where("n_chars > 3000").select(F.col("source").alias("source_file"), F.col("lang").alias("event")).distinct())
+    return C.recorded_everywhere(table(spark, sf, "documents").select(F.col("source").alias("source_file"), F.col("lang").alias("event")).distinct())
 
 
 _MONTHS = """with t as (select cast(year(l_shipdate) as integer) as y, cast(month(l_shipdate) as integer) as m from lineitem), c as (select y, m, count(*) as n from t group by 1, 2),

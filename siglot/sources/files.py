@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-siglot-")
+    """A new folder that driver and executors share: under spark.checkpoint.dir, which only a local master may leave unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="spark-siglot-")
     return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex[:12]}"
 
 
