@@ -18,8 +18,10 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, which only a local master may leave unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not base:
         base = _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="spark-siglot-"))
     return base.rstrip("/")
