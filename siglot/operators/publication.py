@@ -69,12 +69,16 @@ def _files(spark: SparkSession, root: str, most: int = MOST_BYTES, content: bool
     return d.select(name.alias("file"), F.col("length").alias("bytes"), *(["content"] if content else []))
 
 
+#: Of one file of a table: rows of up to 500 bytes stay within MOST_BYTES.
+MOST_ROWS = 50_000
+
+
 def write_release(spark: SparkSession, root: str, tables: dict[str, tuple[DataFrame, Rules]], least: int = 5, token: str = "<5") -> None:
-    """The protected tables as CSV under root/tables/<name>/, hidden counts as the token, and root/manifest with the digest of every file, the release's name and each table's person counts. Tables are written in as many parts as they have."""
+    """The protected tables as CSV under root/tables/<name>/, hidden counts as the token, and root/manifest with the digest of every file, the release's name and each table's person counts. Tables are written in as many parts as they have, and of at most MOST_ROWS rows."""
     for name, (df, rules) in tables.items():
         d = protect(df, rules, least)
         shown = [F.coalesce(F.col(c).cast("string"), F.lit(token)).alias(c) if c in rules.counts else F.col(c) for c in df.columns]
-        d.select(*shown).write.csv(f"{root}/tables/{name}", header=True)
+        d.select(*shown).write.option("maxRecordsPerFile", MOST_ROWS).csv(f"{root}/tables/{name}", header=True)
     counts = F.create_map(*[x for name, (_, rules) in tables.items() for x in (F.lit(name), F.array(*[F.lit(c) for c in rules.counts]))])
     listed = _files(spark, root, content=True)
     table = F.element_at(F.split("file", "/"), -2)
@@ -171,6 +175,14 @@ def verify_release(spark: SparkSession, root: str, columns: list[str], patterns:
     return found.unionByName(texts.mapInArrow(run, out))
 
 
+def by_table(found: DataFrame) -> DataFrame:
+    """rule, table, n of verify_release(): the parts of one table share its header and its place in the release, so a forbidden column, or that the table isn't listed, is one fault of all its parts; other faults count one by one."""
+    table = F.when(F.contains("file", F.lit("/")), F.regexp_replace("file", "/[^/]*$", "")).otherwise(F.col("file"))
+    whole = F.when(F.col("rule") == "column", F.col("detail")).when(F.col("rule") == "unlisted", F.lit(""))
+    d = found.groupBy("rule", table.alias("table"), whole.alias("_whole")).agg(F.count(F.lit(1)).alias("n"))
+    return d.groupBy("rule", "table").agg(F.sum(F.when(F.col("_whole").isNotNull(), 1).otherwise(F.col("n"))).alias("n"))
+
+
 INDEX = "key string, number int, settings string, tables array<string>"
 
 

@@ -61,6 +61,17 @@ def test_every_fault_is_found(spark, release):
     assert any(r == "size" for r, *_ in faults(spark, release, most=20))
 
 
+def test_a_table_of_many_parts_is_one_fault(spark, release, monkeypatch):
+    """A table added afterwards: its header and that it isn't listed count once, its rows one by one, and no part outgrows the limit."""
+    monkeypatch.setattr(U, "MOST_ROWS", 50)
+    d = spark.range(0, 400, 1, 2).select(F.col("id").alias("person_id"), F.lit("2017-03-04").alias("day"))
+    d.write.option("maxRecordsPerFile", U.MOST_ROWS).csv(f"file://{release}/tables/late", header=True)
+    got = {(r.rule, r.table): r.n for r in U.by_table(U.verify_release(spark, f"file://{release}", ["person_id"], [])).collect()}
+    assert got == {("column", "tables/late"): 1, ("unlisted", "tables/late"): 1, ("day", "tables/late"): 400}
+    U.write_release(spark, f"file://{release.parent}/large", {"t": (d, U.Rules({}))})
+    assert len(list((release.parent / "large").rglob("part-*.csv"))) == 8
+
+
 def test_missing_files_and_other_names(spark, release, tmp_path):
     next(release.rglob("part-*.csv")).unlink()
     assert any(r == "missing" for r, *_ in faults(spark, release))
