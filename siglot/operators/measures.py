@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siglot.functions import special as S
 from siglot.sources.files import stored
@@ -230,11 +231,15 @@ def change_points(df: DataFrame, series: str, order: str, value: str, penalty: f
 
 
 def best_split(df: DataFrame, series: list[str], order: list[str], value: str) -> DataFrame:
-    """series, n_before, gain: the one split that lowers the squared error most, from running sums."""
-    w = Window.partitionBy(*series).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    """series, n_before, gain: the one split that lowers the squared error most, from running sums inside parts of the whole order and over the parts' totals, so no task holds a series."""
+    d = in_order(df.select(*series, *order, F.col(value).alias("_v")), series, order)
     every = Window.partitionBy(*series)
-    d = df.select(*series, F.sum(value).over(w).alias("s"), F.count(value).over(w).alias("k"), F.sum(value).over(every).alias("t"), F.count(value).over(every).alias("n")).where("k < n")
-    gain = F.col("s") * F.col("s") / F.col("k") + F.pow(F.col("t") - F.col("s"), F.lit(2)) / (F.col("n") - F.col("k")) - F.col("t") * F.col("t") / F.col("n")
+    earlier, inside = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*series, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    parts = d.groupBy(*series, "_part").agg(F.sum("_v").alias("_s"), F.count("_v").alias("_k"))
+    parts = stored(parts.select(*series, "_part", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_k0"), F.sum("_s").over(every).alias("t"), F.sum("_k").over(every).alias("n")))
+    own = d.select(*series, "_part", F.coalesce(F.sum("_v").over(inside), F.lit(0)).alias("s"), F.count("_v").over(inside).alias("k"))
+    d = own.join(parts, [*series, "_part"]).withColumns({"s": F.col("s") + F.col("_s0"), "k": F.col("k") + F.col("_k0")}).where("k < n")
+    gain = F.try_divide(F.col("s") * F.col("s"), F.col("k")) + F.pow(F.col("t") - F.col("s"), F.lit(2)) / (F.col("n") - F.col("k")) - F.col("t") * F.col("t") / F.col("n")
     return d.withColumn("gain", F.round(gain, 4)).groupBy(*series).agg(F.max_by("k", F.struct("gain", -F.col("k"))).alias("n_before"), F.max("gain").alias("gain"))
 
 
@@ -250,20 +255,50 @@ def capability(df: DataFrame, group: str, value: str, low: Column | None, high:
 
 
 def individuals(df: DataFrame, series: str, order: list[str], value: str) -> DataFrame:
-    """df with i, centre, sigma (mean moving range / 1.128) and z. A missing value has its place in the series, and the range closes over it."""
-    w = Window.partitionBy(series).orderBy(*order)
-    before = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = df.withColumns({"i": F.row_number().over(w), "_mr": F.abs(F.col(value) - before)})
-    limits = d.groupBy(series).agg(F.avg(value).alias("centre"), (F.avg("_mr") / 1.128).alias("sigma"))
-    return d.join(limits, series).drop("_mr").withColumn("z", F.when(F.col("sigma") > 0, (F.col(value) - F.col("centre")) / F.col("sigma")))
+    """df with i, centre, sigma (mean moving range / 1.128) and z. A missing value has its place in the series, and the range closes over it.
+
+    Rows are numbered inside parts of the whole order, whose counts, ranges and last
+    known values run over one row for each part, so no task holds a series.
+    """
+    d = in_order(df, [series], order)
+    w = Window.partitionBy(series, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    near = d.select(series, "_part", "_at", F.col(value).alias("_v")).withColumn("_mr", F.abs(F.col("_v") - F.last("_v", ignorenulls=True).over(w)))
+    known = F.col("_v").isNotNull()
+    parts = near.groupBy(series, "_part").agg(
+        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"), F.count("_v").alias("_k"), F.sum("_v").alias("_s"), F.count("_mr").alias("_m"), F.sum("_mr").alias("_r"),
+        F.min_by("_v", F.when(known, F.col("_at"))).alias("_head"), F.max_by("_v", F.when(known, F.col("_at"))).alias("_tail"),
+    )
+    every = Window.partitionBy(series)
+    earlier = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_gap": F.abs(F.col("_head") - F.last("_tail", ignorenulls=True).over(earlier))})
+    ranges, wide = F.sum("_m").over(every) + F.count("_gap").over(every), F.coalesce(F.sum("_r").over(every), F.lit(0.0)) + F.coalesce(F.sum("_gap").over(every), F.lit(0.0))
+    limits = stored(parts.select(series, "_part", (F.col("_before") - F.col("_first") + 1).alias("_shift"), F.try_divide(F.sum("_s").over(every), F.sum("_k").over(every)).alias("centre"), (F.try_divide(wide, ranges) / 1.128).alias("sigma")))
+    out = d.join(limits, [series, "_part"]).withColumn("i", (F.col("_at") + F.col("_shift")).cast("int"))
+    return out.drop("_part", "_at", "_shift").withColumn("z", F.when(F.col("sigma") > 0, (F.col(value) - F.col("centre")) / F.col("sigma")))
+
+
+def in_order(df: DataFrame, series: list[str], order: list[str]) -> DataFrame:
+    """df, stored, with _at, which rises in the order of series and `order`, and _part: ranges of that order of bounded size, whatever a series holds. Inside a part _at has no gaps."""
+    d = df.repartitionByRange(*series, *order).sortWithinPartitions(*series, *order).withColumn("_at", F.monotonically_increasing_id())
+    return stored(d).withColumn("_part", F.shiftright("_at", 33).cast("int"))  # part number and place in it
+
+
+#: Rows of a series that a task of nelson() or ewma() holds at once.
+BLOCK = 50_000
 
 
 def nelson(df: DataFrame, series: str, z: str = "z", order: str = "i") -> DataFrame:
-    """df with rule1 (beyond 3 sigma), rule2 (9 on one side), rule3 (6 rising or falling), rule5 (2 of 3 beyond 2 sigma on one side)."""
-    w = Window.partitionBy(series).orderBy(order)
+    """df with rule1 (beyond 3 sigma), rule2 (9 on one side), rule3 (6 rising or falling), rule5 (2 of 3 beyond 2 sigma on one side). order: 1, 2, ... in each series.
+
+    A series falls into blocks, each with the 8 rows before it, so no task holds a series.
+    """
+    place = F.col(order) - 1
+    own = F.floor(place / BLOCK)
+    d = df.withColumn("_block", F.explode(F.when(F.pmod(place, F.lit(BLOCK)) >= BLOCK - 8, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy(series, "_block").orderBy(order)
     v = F.coalesce(F.col(z), F.lit(0.0))
     nine, three = w.rowsBetween(-8, 0), w.rowsBetween(-2, 0)
-    d = df.withColumn("_v", v).withColumn("_d", F.signum(v - F.lag(v).over(w)))
+    d = d.withColumn("_v", v).withColumn("_d", F.signum(v - F.lag(v).over(w)))
     five = w.rowsBetween(-4, 0)
     side = lambda c, over, n: (F.sum(F.when(c, 1).otherwise(0)).over(over) >= n)
     return d.withColumns({
@@ -271,15 +306,47 @@ def nelson(df: DataFrame, series: str, z: str = "z", order: str = "i") -> DataFr
         "rule2": side(F.col("_v") > 0, nine, 9) | side(F.col("_v") < 0, nine, 9),
         "rule3": side(F.col("_d") > 0, five, 5) | side(F.col("_d") < 0, five, 5),
         "rule5": (side(F.col("_v") > 2, three, 2) | side(F.col("_v") < -2, three, 2)) & (F.col(order) >= 3),
-    }).drop("_v", "_d")
+    }).where(F.col("_block") == own).drop("_v", "_d", "_block")
+
+
+def smoothed(x: np.ndarray, lam: float, run: int = 64) -> np.ndarray:
+    """The exponentially weighted moving average from 0: runs of values at once, each from the end of the one before."""
+    rows = -(-len(x) // run)
+    padded = np.zeros(rows * run)
+    padded[: len(x)] = x
+    k = np.arange(run)
+    own = padded.reshape(rows, run) @ np.triu(lam * (1 - lam) ** np.maximum(k[None, :] - k[:, None], 0))
+    start = np.zeros(rows)
+    for r in range(1, rows):
+        start[r] = own[r - 1, -1] + (1 - lam) ** run * start[r - 1]
+    return (own + start[:, None] * (1 - lam) ** (k + 1)).ravel()[: len(x)]
+
 
+def ewma(df: DataFrame, series: str, value: str = "z", order: str = "i", lam: float = 0.2) -> DataFrame:
+    """df with ewma from 0 on a standardised series, and its limit L = 3 with the time-varying variance. A missing value repeats the one before. order: 1, 2, ... in each series.
 
-def ewma(df: DataFrame, series: str, value: str = "z", order: str = "i", lam: float = 0.2, width: int = 170) -> DataFrame:
-    """df with ewma from 0 on a standardised series, and its limit L = 3 with the time-varying variance. A missing value repeats the one before. Weights under 1e-16 don't count."""
-    w = Window.partitionBy(series).orderBy(order).rowsBetween(-width, 0)
-    past = F.collect_list(F.col(value)).over(w)  # of known values
-    out = F.aggregate(past, F.lit(0.0), lambda s, x: (1 - lam) * s + lam * x)
-    return df.withColumns({"ewma": out, "limit": 3 * F.sqrt(lam / (2 - lam) * (1 - F.pow(F.lit(1 - lam), 2 * F.col(order))))})
+    A series falls into blocks that are averaged from 0 side by side; what a block starts
+    from follows from one row for each block before it.
+    """
+    names, spark_schema = df.columns, df.schema
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        v = table.column(value).cast(pa.float64()).to_numpy()
+        known = ~np.isnan(v)
+        count = np.cumsum(known)
+        own = np.concatenate([[0.0], smoothed(v[known], lam)])[count]
+        return pa.table({**{c: table.column(c) for c in (*names, "_block")}, "_own": own, "_count": count})
+
+    out = StructType([*spark_schema.fields]).add("_block", "long").add("_own", "double").add("_count", "long")
+    d = df.withColumn("_block", F.floor((F.col(order) - 1) / BLOCK))
+    d = stored(d.groupBy(series, "_block").applyInArrow(run, out))
+    ends = d.groupBy(series, "_block").agg(F.max_by("_own", order).alias("own"), F.max("_count").alias("count"))
+    earlier = Window.partitionBy(series).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    past = F.coalesce(F.aggregate(F.collect_list(F.struct("own", "count")).over(earlier), F.lit(0.0), lambda s, x: s * F.pow(F.lit(1 - lam), x["count"]) + x["own"]), F.lit(0.0))
+    starts = stored(ends.select(series, "_block", past.alias("_start")))
+    ewma = F.col("_own") + F.col("_start") * F.pow(F.lit(1 - lam), F.col("_count"))
+    return d.join(starts, [series, "_block"]).select(*names, ewma.alias("ewma"), (3 * F.sqrt(lam / (2 - lam) * (1 - F.pow(F.lit(1 - lam), 2 * F.col(order))))).alias("limit"))
 
 
 def tost(df: DataFrame, group: Column, value: str, margin: float) -> DataFrame:

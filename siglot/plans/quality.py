@@ -43,7 +43,8 @@ lim as (select series, avg(l_quantity) as centre, avg(mr) / 1.128 as sigma from
 
 
 def _individuals(spark, sf):
-    return M.individuals(V.qc(spark, sf), "series", [*V.QC_ORDER, "l_extendedprice"], "l_quantity")
+    d = V.qc(spark, sf).select("series", *V.QC_ORDER, "l_extendedprice")
+    return M.individuals(d, "series", [*V.QC_ORDER, "l_extendedprice"], "l_quantity").select("series", "i", "l_quantity", "centre", "sigma", "z")
 
 
 @query("q8_individuals", _IND + " select series, cast(i as integer) as i, l_quantity, round(centre, 4) as centre, round(sigma, 4) as sigma, round(z, 4) as z from z")
@@ -182,6 +183,6 @@ lim as (select series, avg(q) as c, avg(mr) / 1.128 as s from kn group by 1), z
 e as (select a.series, a.j, sum(0.2 * pow(0.8, a.j - b.j) * b.z) as ewma from z a join z b on a.series = b.series and b.j between a.j - 135 and a.j group by 1, 2)
 select k.series, cast(i as integer) as i, round(s, 4) as sigma, round(case when q is not null then (q - c) / s end, 4) + 0.0 as z, round(coalesce(ewma, 0), 4) + 0.0 as ewma from k join lim using (series) left join e on e.series = k.series and e.j = k.j""")
 def _q8b(spark, sf):
-    d = V.qc(spark, sf).withColumn("q", F.when(F.col("l_linenumber") != 5, F.col("l_quantity")))
-    out = M.ewma(M.individuals(d, "series", [*V.QC_ORDER, "l_extendedprice"], "q"), "series")
+    d = V.qc(spark, sf).select("series", *V.QC_ORDER, "l_extendedprice", F.when(F.col("l_linenumber") != 5, F.col("l_quantity")).alias("q"))
+    out = M.ewma(M.individuals(d, "series", [*V.QC_ORDER, "l_extendedprice"], "q").select("series", "i", "sigma", "z"), "series")
     return out.select("series", "i", F.round("sigma", 4).alias("sigma"), (F.round("z", 4) + 0.0).alias("z"), (F.round("ewma", 4) + 0.0).alias("ewma"))
