@@ -44,6 +44,11 @@ def patterns(d: DataFrame) -> DataFrame:
     return stored(d.groupBy("x", "y", "o", "cluster").agg(F.sum("w").alias("w")))
 
 
+def counted(df: DataFrame, name: str = "w") -> DataFrame:
+    """df's distinct rows, stored, with their number: models of reports need no more of those that agree."""
+    return stored(df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(name)))
+
+
 def exchangeable(d: DataFrame, p: int, steps: int = 60) -> tuple[np.ndarray, np.ndarray, float, int]:
     """(coefficients, robust covariance, working correlation, clusters) of logistic estimating equations whose outcomes are equally correlated within a cluster. d: patterns().
 
@@ -138,7 +143,7 @@ def benjamini_hochberg(p: np.ndarray) -> np.ndarray:
     return out
 
 
-def model_family(df: DataFrame, outcomes: dict[str, Column], exposures: list[str], covariates: list[str], cluster: str, correlation: str = "exchangeable", negative_controls: tuple[str, ...] = (), adjust_set: tuple[str, ...] | None = None, crude: bool = False, least_events: int = 10) -> DataFrame:
+def model_family(df: DataFrame, outcomes: dict[str, Column], exposures: list[str], covariates: list[str], cluster: str, correlation: str = "exchangeable", negative_controls: tuple[str, ...] = (), adjust_set: tuple[str, ...] | None = None, crude: bool = False, least_events: int = 10, weight: str | None = None) -> DataFrame:
     """A row for each outcome, model and exposure: a model with one exposure at a time, crude ones if asked, and one of all primary exposures together.
 
     outcomes maps a name to its column; rows where that is null weren't recorded and
@@ -146,6 +151,7 @@ def model_family(df: DataFrame, outcomes: dict[str, Column], exposures: list[str
     than least_events events, or others, are skipped, and estimates that aren't
     finite are noted instead of shown. p_bh adjusts the models with a single exposure
     that is no negative control; crude and joint models stay outside that family.
+    weight: a column that says how many reports a row stands for.
     """
     spark, rows = df.sparkSession, []
     stay, _ = prune_collinear(df, covariates, exposures)
@@ -153,9 +159,10 @@ def model_family(df: DataFrame, outcomes: dict[str, Column], exposures: list[str
     adjusted = [c for t in stay for c in columns[t]]
     primary = [e for e in exposures if e not in negative_controls and (adjust_set is None or e in adjust_set)]
     for name, y in outcomes.items():
-        d = stored(wide.withColumn("_y", y.cast("double")).where("_y is not null").select("_y", cluster, *adjusted, *exposures))
-        n, events, lots = d.agg(F.count(F.lit(1)), F.sum("_y"), F.countDistinct(cluster)).first()
-        events = int(events or 0)
+        d = wide.withColumn("_y", y.cast("double")).where("_y is not null").groupBy("_y", cluster, *adjusted, *exposures)
+        d = stored(d.agg(F.sum(weight if weight else F.lit(1)).alias("_w")))  # every model needs only how many reports agree
+        n, events, lots = d.agg(F.sum("_w"), F.sum(F.col("_y") * F.col("_w")), F.countDistinct(cluster)).first()
+        n, events = int(n or 0), int(events or 0)
         if events < least_events or n - events < least_events:
             rows.append((name, None, "skipped", None, n, events, lots, *[None] * 5, "too few events or non-events", None))
             continue
@@ -164,7 +171,7 @@ def model_family(df: DataFrame, outcomes: dict[str, Column], exposures: list[str
         models += [("mutually_adjusted", primary, [*primary, *adjusted])] if len(primary) > 1 else []
         for kind, shown, features in models:
             p = len(features) + 1
-            design = patterns(R.design(d, features, "_y", cluster=cluster))
+            design = patterns(R.design(d, features, "_y", weight="_w", cluster=cluster))
             if correlation == "exchangeable":
                 b, cov, alpha, _ = exchangeable(design, p)
             else:
@@ -251,9 +258,9 @@ def random_intercepts(d: DataFrame, p: int, steps: int = 100, prior_sd: float =
     return m, s, math.sqrt(tau2), bounds
 
 
-def balanced_folds(df: DataFrame, cluster: str, folds: int, packed: int = 10_000) -> DataFrame:
+def balanced_folds(df: DataFrame, cluster: str, folds: int, packed: int = 10_000, weight: str | None = None) -> DataFrame:
     """cluster, fold: whole clusters, largest first into the fold that has fewest rows. Beyond the `packed` largest, each too small to matter, a hash decides."""
-    sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
+    sizes = df.groupBy(cluster).agg(F.sum(weight if weight else F.lit(1)).alias("n"))
     heap, put = [(0, k) for k in range(folds)], []
     for r in sizes.orderBy(F.desc("n"), cluster).limit(packed).collect():
         n, k = heapq.heappop(heap)
@@ -264,7 +271,7 @@ def balanced_folds(df: DataFrame, cluster: str, folds: int, packed: int = 10_000
     return sizes.join(chosen, cluster, "left").select(cluster, F.coalesce("_fold", rest).alias("fold"))
 
 
-def incremental_value(df: DataFrame, y: str, base: list[str], profiles: DataFrame, attributes: list[str], cluster: str, folds: int = 5, permutations: int = 200, seed: int = 0, ridge: float = 1.0, newton: int = 8, bins: int = 4096, most_cells: int = 10_000_000) -> DataFrame:
+def incremental_value(df: DataFrame, y: str, base: list[str], profiles: DataFrame, attributes: list[str], cluster: str, folds: int = 5, permutations: int = 200, seed: int = 0, ridge: float = 1.0, newton: int = 8, bins: int = 4096, most_cells: int = 10_000_000, weight: str | None = None) -> DataFrame:
     """auc_base, auc_with, delta, null_q95, p, n, n_lots: whether the lots' attributes tell more about an outcome than base does.
 
     The area under the curve is that of predictions for lots that a fold's model
@@ -274,10 +281,11 @@ def incremental_value(df: DataFrame, y: str, base: list[str], profiles: DataFram
     pass over the reports takes a Newton step of all permutations and folds at
     once, and one more bins the predictions (areas are exact to a bin's width).
     Reports that agree in everything are one weighted row; profiles, lots x
-    attributes, go to tasks and may have at most most_cells numbers.
+    attributes, go to tasks and may have at most most_cells numbers. weight: a column
+    that says how many reports a row stands for.
     """
     spark = df.sparkSession
-    lots = stored(profiles.join(balanced_folds(df, cluster, folds), cluster).select(cluster, "fold", *[F.col(a).cast("double").alias(a) for a in attributes]).dropna())
+    lots = stored(profiles.join(balanced_folds(df, cluster, folds, weight=weight), cluster).select(cluster, "fold", *[F.col(a).cast("double").alias(a) for a in attributes]).dropna())
     size = lots.count()
     if size * len(attributes) > most_cells:
         raise ValueError(f"{size} lots x {len(attributes)} attributes are more than {most_cells} numbers")
@@ -286,11 +294,15 @@ def incremental_value(df: DataFrame, y: str, base: list[str], profiles: DataFram
     values = table[attributes].to_numpy(float)
     sd = values.std(0)
     values = (values - values.mean(0)) / np.where(sd > 0, sd, 1.0)
-    moments = df.agg(*[f(F.col(c).cast("double")) for c in base for f in (F.avg, F.stddev_pop)]).first()
+    k = (F.col(weight) if weight else F.lit(1)).cast("double")
+    means = df.agg(*[F.sum(F.when(F.col(c).isNotNull(), k) * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), k)) for c in base]).first()
+    spread = df.agg(*[F.sqrt(F.sum(F.when(F.col(c).isNotNull(), k) * F.pow(F.col(c) - F.lit(m), F.lit(2))) / F.sum(F.when(F.col(c).isNotNull(), k))) for c, m in zip(base, means, strict=True)]).first()
+    moments = [v for pair in zip(means, spread, strict=True) for v in pair]
     scaled = [((F.col(c).cast("double") - moments[2 * i]) / (moments[2 * i + 1] or 1.0)) for i, c in enumerate(base)]
     x = F.array(F.lit(1.0), *scaled)
-    d = stored(df.select(x.alias("x"), F.col(y).cast("double").alias("y"), F.col(cluster).alias("lot")).where("y is not null and not exists(x, v -> v is null)").groupBy("x", "y", "lot").agg(F.count(F.lit(1)).cast("double").alias("w")))
-    d = d.join(lots.select(F.col(cluster).alias("lot")), "lot", "left_semi")
+    d = stored(df.select(x.alias("x"), F.col(y).cast("double").alias("y"), F.col(cluster).alias("lot"), k.alias("k")).where("y is not null and not exists(x, v -> v is null)").groupBy("x", "y", "lot").agg(F.sum("k").alias("w")))
+    # few bytes, but much work a row: dealt evenly over several tasks a core
+    d = stored(d.join(lots.select(F.col(cluster).alias("lot")), "lot", "left_semi")).repartition(4 * spark.sparkContext.defaultParallelism)
     sent = spark.sparkContext.broadcast((keys, fold_of, values))
     p0, p = len(base) + 1, len(base) + 1 + len(attributes)
     runs = permutations + 2  # without attributes, with each lot's own, and the permutations
@@ -360,18 +372,20 @@ def incremental_value(df: DataFrame, y: str, base: list[str], profiles: DataFram
     return spark.createDataFrame([(float(areas[0]), float(areas[1]), delta, float(np.quantile(null, 0.95)) if permutations else None, p_value, n, size, permutations)], "auc_base double, auc_with double, delta double, null_q95 double, p double, n bigint, n_lots bigint, permutations int")
 
 
-def linked_frame(reports: DataFrame, links: DataFrame, lots: DataFrame, attributes: list[str], levels: tuple[str, ...] = ("exact", "core", "fuzzy"), drop_implausible: bool = True, exclude: Column | None = None) -> tuple[DataFrame, list[str], list[str]]:
+def linked_frame(reports: DataFrame, links: DataFrame | None, lots: DataFrame, attributes: list[str], levels: tuple[str, ...] = ("exact", "core", "fuzzy"), drop_implausible: bool = True, exclude: Column | None = None) -> tuple[DataFrame, list[str], list[str]]:
     """(reports with their lot and z_<attribute> columns, those columns, notes).
 
     Reports come with the lot that they link to at one of the levels; links whose
     dates rule the lot out go (unknown ones stay), and reports that `exclude` holds
     for. Attributes are standardised over the lots that are used, each once; one
-    without variation between lots is left out, with a note.
+    without variation between lots is left out, with a note. Without links, reports
+    have a link's columns (lot_key, match_level, temporal_ok) themselves.
     """
-    good = links.where(F.col("lot_key").isNotNull() & F.col("match_level").isin(*levels))
+    good = (reports if links is None else links).where(F.col("lot_key").isNotNull() & F.col("match_level").isin(*levels))
     good = good.where(F.coalesce("temporal_ok", F.lit(True))) if drop_implausible else good
-    d = reports.where(~F.coalesce(exclude, F.lit(False))) if exclude is not None else reports
-    d = d.join(good.select("record_id", "lot_key", "match_level"), "record_id")
+    d = good if links is None else reports
+    d = d.where(~F.coalesce(exclude, F.lit(False))) if exclude is not None else d
+    d = d if links is None else d.join(good.select("record_id", "lot_key", "match_level"), "record_id")
     used = lots.join(d.select("lot_key"), "lot_key", "left_semi")
     s = used.agg(*[f(F.col(a).cast("double")) for a in attributes for f in (F.avg, F.stddev_samp)]).first()
     stats = {a: (s[2 * i], s[2 * i + 1]) for i, a in enumerate(attributes)}

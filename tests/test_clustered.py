@@ -141,3 +141,18 @@ def test_incremental_value(spark):
     assert told.delta > 0.05 and told.p == pytest.approx(1 / 40) and told.n_lots == 60
     null = C.incremental_value(d, "y", ["x"], lots.select("lot", "junk"), ["junk"], "lot", permutations=39).first()
     assert null.p > 0.05 and (round(null.p * 40)) == pytest.approx(null.p * 40)
+
+
+def test_counted_reports_are_reports(spark):
+    """A family, a frame and the folds over distinct rows with their number are those over the rows themselves."""
+    rng = np.random.default_rng(8)
+    rows = [(int(i % 30), "exact" if i % 5 else "none", None if i % 7 else i % 2 == 0, int(rng.random() < 0.4), int(rng.integers(0, 3))) for i in range(3000)]
+    d = spark.createDataFrame(rows, "lot_key int, match_level string, temporal_ok boolean, y int, c int").withColumn("record_id", F.monotonically_increasing_id())
+    lots = spark.createDataFrame([(k, float(rng.normal())) for k in range(30)], "lot_key int, a double")
+    plain, z, _ = C.linked_frame(d.select("record_id", "y", "c"), d.select("record_id", "lot_key", "match_level", "temporal_ok"), lots, ["a"])
+    counted, same, _ = C.linked_frame(C.counted(d.drop("record_id")), None, lots, ["a"])
+    assert z == same and counted.agg(F.sum("w")).first()[0] == plain.count()
+    fit = lambda d, **how: [tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in C.model_family(d, {"y": F.col("y")}, z, ["c"], "lot_key", correlation="independence", **how).collect()]
+    assert fit(plain) == fit(counted, weight="w")
+    folds = lambda d, **how: sorted(tuple(r) for r in C.balanced_folds(d, "lot_key", 3, **how).collect())
+    assert folds(plain) == folds(counted, weight="w")
