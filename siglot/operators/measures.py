@@ -394,19 +394,20 @@ def dealt(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def energy_tests(df: DataFrame, vector: str, label: str, permutations: int = 199, seed: int = 1, block: int = 1_000) -> DataFrame:
+def energy_tests(df: DataFrame, vector: str, label: str, permutations: int = 199, seed: int = 1, block: int = 1_000, wide: int = 16_000) -> DataFrame:
     """label, n, m, energy, p: for each label, the energy distance between its vectors and all others, and its permutation test.
 
     Every pair of vectors is needed, so work grows with the square of the rows: rows
-    fall into blocks of bounded size, a pair of blocks meets under one key, and a task adds
-    up the distances inside and around each label for all permutations at once. Rows
+    fall into blocks of at most `wide`, a pair of blocks meets under one key, so a row is
+    sent as often as there are blocks, and a task adds up the distances inside and around
+    each label, `block` by `block` rows and many permutations at once. Rows
     are numbered in the order of their labels, so a permutation of the numbers
     gives its labels by arithmetic, and no task holds more than two blocks. p is
     (1 + permutations at least as far apart) / (1 + permutations). Rows without a
     vector or label are left out.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(label).alias("g"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("g is not null and v is not null")
+    rows = df.select(F.col(label).alias("g"), F.col(vector).alias("v")).where("g is not null and v is not null")
     placed = stored(rows.repartitionByRange("g", F.xxhash64("v")).sortWithinPartitions("g").select("g", "v", F.monotonically_increasing_id().alias("at")))  # part number and place in it
     kept = placed.select("g", "v", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
     parts = {r.part: r.n for r in kept.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -417,7 +418,7 @@ def energy_tests(df: DataFrame, vector: str, label: str, permutations: int = 199
     out = f"label {rows.schema['g'].dataType.simpleString()}, n bigint, m bigint, energy double, p double"
     if len(labels) < 2:
         return spark.createDataFrame([], out)
-    ends, blocks = np.cumsum([c for _, c in labels]), -(-n // block)
+    ends, blocks = np.cumsum([c for _, c in labels]), max(min(-(-n // block), 16), -(-n // wide))
     index = F.try_element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("part")) + F.col("place")
     d = kept.select(index.cast("bigint").alias("i"), "v").withColumn("b", F.pmod("i", F.lit(blocks)))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("i", "v", "b", F.least("b", "other").cast("int").alias("r"), F.greatest("b", "other").cast("int").alias("c"))
@@ -426,22 +427,28 @@ def energy_tests(df: DataFrame, vector: str, label: str, permutations: int = 199
         r, c = table.column("r")[0].as_py(), table.column("c")[0].as_py()
         i, b = table.column("i").to_numpy(), table.column("b").to_numpy()
         x = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(i), -1)
-        one, two = (b == r), (b == c)
-        left, right = x[one], x[two]
-        square = (left * left).sum(1)[:, None] + (right * right).sum(1)[None, :] - 2 * left @ right.T
-        dist = np.sqrt(np.maximum(square, 0))
-        if r == c:
-            dist = np.triu(dist, 1)
-        inside, around = np.zeros((permutations + 1, len(ends))), np.zeros((permutations + 1, len(ends)))
-        by_row, by_column = dist.sum(1), dist.sum(0)
-        for k in range(permutations + 1):
-            g = np.searchsorted(ends, dealt(i, n, seed * 1_000_003 + k) if k else i, side="right")
-            hot = lambda g: (g[:, None] == np.arange(len(ends))).astype(float)
-            a, z = hot(g[one]), hot(g[two])
-            inside[k] = ((dist @ z) * a).sum(0)
-            around[k] = by_row @ a + by_column @ z
-        size = inside.size
-        return pa.table({"k": pa.array(np.repeat(np.arange(permutations + 1), len(ends)), pa.int32()), "g": pa.array(np.tile(np.arange(len(ends)), permutations + 1), pa.int32()), "inside": inside.ravel(), "around": around.ravel(), "every": np.full(size, dist.sum())})
+        runs, kinds = permutations + 1, len(ends)
+        g = np.stack([np.searchsorted(ends, dealt(i, n, seed * 1_000_003 + k) if k else i, side="right") for k in range(runs)], 1).astype(np.int32)
+        some = max(1, 2_000 // kinds)  # permutations at once
+        hot = lambda at, k: (g[at, k : k + some, None] == np.arange(kinds)).reshape(len(at), -1).astype(float)
+        inside, around, every = np.zeros(runs * kinds), np.zeros(runs * kinds), 0.0
+        one, two = np.flatnonzero(b == r), np.flatnonzero(b == c)
+        for u in range(0, len(one), block):
+            for w in range(u if r == c else 0, len(two), block):
+                rows, columns = one[u : u + block], two[w : w + block]
+                left, right = x[rows].astype(float), x[columns].astype(float)
+                square = (left * left).sum(1)[:, None] + (right * right).sum(1)[None, :] - 2 * left @ right.T
+                dist = np.sqrt(np.maximum(square, 0))
+                if r == c and u == w:
+                    dist = np.triu(dist, 1)
+                every += dist.sum()
+                by_row, by_column = dist.sum(1), dist.sum(0)
+                for k in range(0, runs, some):
+                    a, z = hot(rows, k), hot(columns, k)
+                    at = slice(k * kinds, k * kinds + a.shape[1])
+                    inside[at] += ((dist @ z) * a).sum(0)
+                    around[at] += by_row @ a + by_column @ z
+        return pa.table({"k": pa.array(np.repeat(np.arange(runs), kinds), pa.int32()), "g": pa.array(np.tile(np.arange(kinds), runs), pa.int32()), "inside": inside, "around": around, "every": np.full(len(inside), every)})
 
     sums = d.groupBy("r", "c").applyInArrow(run, "k int, g int, inside double, around double, every double").groupBy("k", "g").agg(*[F.sum(c).alias(c) for c in ("inside", "around", "every")])
     size = F.try_element_at(F.create_map(*[F.lit(x) for g, (_, c) in enumerate(labels) for x in (g, float(c))]), F.col("g"))
