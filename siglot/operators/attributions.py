@@ -106,20 +106,22 @@ def attributed(df: DataFrame, trees: list[Tree], features: list[str]) -> DataFra
 
 
 def importance(df: DataFrame, features: list[str]) -> DataFrame:
-    """feature, mean_abs: from attributed(), in one pass."""
-    means = df.agg(*[F.avg(F.abs(F.get("attributions", F.lit(i)))).alias(f) for i, f in enumerate(features)])
+    """feature, mean_abs: from attributed(), in one pass; a column w says how many rows one stands for."""
+    w = F.col("w") if "w" in df.columns else F.lit(1)
+    means = df.agg(*[(F.sum(w * F.abs(F.get("attributions", F.lit(i)))) / F.sum(w)).alias(f) for i, f in enumerate(features)])
     return means.unpivot([], features, "feature", "mean_abs")
 
 
-def dependence(df: DataFrame, features: list[str], top: int = 8, bins: int = 10) -> DataFrame:
-    """feature, bin, low, high, n, mean: the mean attribution by value, for the features that matter most: by level where there are at most two, else by ranges of about equal numbers of rows (from approximate quantiles)."""
+def dependence(df: DataFrame, features: list[str], top: int = 8, bins: int = 10, rows: DataFrame | None = None) -> DataFrame:
+    """feature, bin, low, high, n, mean: the mean attribution by value, for the features that matter most: by level where there are at most two, else by ranges of about equal numbers of rows (from approximate quantiles). If df has one row for equal ones, w is their number and `rows` has them all, for the quantiles."""
+    w = F.col("w") if "w" in df.columns else F.lit(1)
     order = [r.feature for r in importance(df, features).orderBy(F.desc("mean_abs"), "feature").limit(top).collect()]
-    cuts = df.agg(*[F.percentile_approx(F.col(f).cast("double"), F.array(*[F.lit(i / bins) for i in range(1, bins)]), F.lit(10_000)).alias(f) for f in order], *[F.approx_count_distinct(f).alias(f"_{i}") for i, f in enumerate(order)]).first()
+    cuts = (df if rows is None else rows).agg(*[F.percentile_approx(F.col(f).cast("double"), F.array(*[F.lit(i / bins) for i in range(1, bins)]), F.lit(10_000)).alias(f) for f in order], *[F.approx_count_distinct(f).alias(f"_{i}") for i, f in enumerate(order)]).first()
     long = []
     for i, f in enumerate(order):
         v = F.col(f).cast("double")
         edges = sorted(set(cuts[f] or []))
         bin_of = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: v > e)).cast("double") if cuts[f"_{i}"] > 2 and edges else v
-        long.append(F.struct(F.lit(f).alias("feature"), bin_of.alias("bin"), v.alias("v"), F.get("attributions", F.lit(features.index(f))).alias("a")))
+        long.append(F.struct(F.lit(f).alias("feature"), bin_of.alias("bin"), v.alias("v"), F.get("attributions", F.lit(features.index(f))).alias("a"), w.alias("w")))
     d = df.select(F.explode(F.array(*long)).alias("r")).select("r.*")
-    return d.groupBy("feature", "bin").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean"))
+    return d.groupBy("feature", "bin").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("a")) / F.sum("w")).alias("mean"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siglot.operators import attributions as A
+from siglot.operators import parsing as P
 from siglot.operators import measures as M
 from siglot.operators import signals as G
 from siglot.sources.files import scratch
@@ -167,3 +168,28 @@ def test_added_rows_replace_by_key(spark):
         delivery(spark, rows).coalesce(1).write.parquet(f"{at}/delivery={k}")
     out = ingest_versions(spark, at, delivery(spark, []).schema, ["id"], "period", "delivered", cumulative=False)
     assert {(r.id, r.v) for r in out.collect()} == {(1, "a"), (2, "B"), (3, "c")}
+
+
+def test_counted_rows_are_rows(spark):
+    """Importance and dependence of distinct rows with their number are those of the rows."""
+    rows = [(float(i % 5), float(i % 3), [i % 5 - 2.0, 0.5 * (i % 3)]) for i in range(600)]
+    d = spark.createDataFrame(rows, "a double, b double, attributions array<double>")
+    few = d.groupBy(*d.columns).agg(F.count(F.lit(1)).alias("w"))
+    key = lambda d: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect())
+    assert few.count() < 20 and key(A.importance(few, ["a", "b"])) == key(A.importance(d, ["a", "b"]))
+    assert key(A.dependence(few, ["a", "b"], rows=d)) == key(A.dependence(d, ["a", "b"]))
+
+
+def test_energy_by_tiles(spark):
+    """Blocks and tiles of any size give the same sums, also for single-precision vectors."""
+    rng = np.random.default_rng(4)
+    d = spark.createDataFrame([(int(i % 3), [float(v) for v in rng.normal(size=4) + (i % 3 == 0)]) for i in range(230)], "g int, v array<float>")
+    key = lambda **how: [(r.label, r.n, round(r.energy, 8), r.p) for r in M.energy_tests(d, "v", "g", permutations=9, **how).orderBy("label").collect()]
+    assert key() == key(block=20, wide=60) == key(block=7, wide=400)
+
+
+def test_limits_are_parsed_once_for_each_text(spark):
+    texts = ["no mayor de 20", "entre 70 y 130", "clear", None]
+    d = spark.createDataFrame([(i, texts[i % 4]) for i in range(40)], "k int, t string")
+    got = sorted((r.k, r.s) for r in P.specs(d, "t", "s").collect())
+    assert len(got) == 40 and got == sorted((r.k, r.s) for r in d.select("k", P.spec(F.col("t")).alias("s")).collect())
