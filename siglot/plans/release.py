@@ -128,7 +128,8 @@ def _w1b(spark, sf):
     at = files.scratch(spark)
     first = e.withColumn("delivered", F.lit(1))
     second = e.where("period % 2 = 0 and event_id % 3 <> 0").withColumns({"delivered": F.lit(2), "value": F.col("value") * 2})
+    parts = -(-max(1, e.count()) // deliveries.MOST_ROWS)  # files of a delivery, which make a batch
     for k, part in enumerate((first, second, first.where("period % 2 = 0"))):
-        part.coalesce(1).write.parquet(f"{at}/delivery={k}")
-    out = deliveries.ingest_versions(spark, at, first.schema, ["event_id"], "period", "delivered")
+        part.repartition(parts).write.parquet(f"{at}/delivery={k}")
+    out = deliveries.ingest_versions(spark, at, first.schema, ["event_id"], "period", "delivered", files=parts)
     return out.select("event_id", "period", "delivered", F.round("value", 6).alias("value"))

@@ -34,6 +34,10 @@ def ingest(spark: SparkSession, path: str, schema: StructType, key: list[str]) -
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{at}/rows")
 
 
+#: About so many rows of a period go to one task and file.
+MOST_ROWS = 500_000
+
+
 class VersionedTable:
     """Deliveries by period, where a later one takes the place of an earlier one, in a folder that all executors share.
 
@@ -76,13 +80,20 @@ class VersionedTable:
         earlier ones held, and an earlier one that comes late changes nothing. If not,
         rows are added, and of rows with one key those of the latest delivery stay.
         """
-        touched = [r[0] for r in batch.select(self.period).where(F.col(self.period).isNotNull()).distinct().collect()]
+        sizes = batch.where(F.col(self.period).isNotNull()).groupBy(self.period).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a period
+        touched = [r[0] for r in sizes]
+        spread = max([1, *(-(-r["n"] // MOST_ROWS) for r in sizes)])
         held = self._rows(self._log(number), touched)
         every = batch if held is None else held.unionByName(batch.select(self.schema.names))
-        newest = F.max(self.delivered).over(Window.partitionBy(self.period)) if cumulative else F.max(self.delivered).over(Window.partitionBy(self.period, *self.key))
-        now = every.where(F.col(self.period).isNotNull()).withColumn("_newest", newest).where(F.col(self.delivered) == F.col("_newest")).drop("_newest").dropDuplicates([self.period, *self.key])
+        every = every.where(F.col(self.period).isNotNull())
+        if cumulative:  # a period may hold most rows, so its latest delivery is aggregated, and no window gathers it
+            newest = every.groupBy(F.col(self.period).alias("_of")).agg(F.max(self.delivered).alias("_newest"))
+            now = every.join(F.broadcast(newest), F.col(self.period) == F.col("_of")).drop("_of")
+        else:
+            now = every.withColumn("_newest", F.max(self.delivered).over(Window.partitionBy(self.period, *self.key)))
+        now = now.where(F.col(self.delivered) == F.col("_newest")).drop("_newest").dropDuplicates([self.period, *self.key])
         name = F.substring(F.sha2(F.col(self.period).cast("string"), 256), 1, 16)
-        now.withColumn("part_of", name).repartition("part_of").write.mode("overwrite").partitionBy("part_of").parquet(f"{self.at}/rows/batch={number}")
+        now.withColumn("part_of", name).repartition("part_of", F.pmod(F.xxhash64(*self.key), F.lit(spread))).write.mode("overwrite").partitionBy("part_of").parquet(f"{self.at}/rows/batch={number}")
         log = self.spark.createDataFrame([(p, number, "") for p in touched], f"period {self.kind}, batch int, delivered string")
         log.write.mode("overwrite").parquet(f"{self.at}/log/batch={number}")
         self.batches = number + 1

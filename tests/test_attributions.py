@@ -12,6 +12,7 @@ from siglot.operators import parsing as P
 from siglot.operators import measures as M
 from siglot.operators import signals as G
 from siglot.sources.files import scratch
+from siglot.streaming import deliveries
 from siglot.streaming.deliveries import VersionedTable, ingest_versions
 
 #: Feature 0 twice on one path, three features in all, depth 3.
@@ -193,3 +194,17 @@ def test_limits_are_parsed_once_for_each_text(spark):
     d = spark.createDataFrame([(i, texts[i % 4]) for i in range(40)], "k int, t string")
     got = sorted((r.k, r.s) for r in P.specs(d, "t", "s").collect())
     assert len(got) == 40 and got == sorted((r.k, r.s) for r in d.select("k", P.spec(F.col("t")).alias("s")).collect())
+
+
+def test_a_large_period_spreads_over_files(spark, monkeypatch, tmp_path):
+    """A period of more rows than a task takes is written by several, and a later delivery still replaces it."""
+    monkeypatch.setattr(deliveries, "MOST_ROWS", 100)
+    d = spark.range(1000).select(F.col("id").alias("k"), F.lit(1).alias("period"), F.lit(1).alias("delivered"), F.col("id").cast("double").alias("v"))
+    table = VersionedTable(spark, f"file://{tmp_path}/t", d.schema, ["k"], "period", "delivered")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would be joined again
+    table.merge(d.union(d), 0)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert table.read().count() == 1000 and len(list((tmp_path / "t" / "rows" / "batch=0").rglob("part-*.parquet"))) > 1
+    table.merge(d.where("k < 600").withColumn("delivered", F.lit(2)), 1)
+    table.merge(d, 2)
+    assert [tuple(r) for r in table.read().groupBy("delivered").count().collect()] == [(2, 600)]
