@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -274,31 +274,50 @@ def boosted(train: DataFrame, test: DataFrame, features: list[str], y: str, roun
     return out.withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).drop("_x", "rawPrediction", "probability", "prediction")
 
 
-def bootstrap_capability(df: DataFrame, group: str, value: str, low: float, high: float, draws: int = 2000) -> DataFrame:
-    """group, ppk_low, ppk_high: each replicate weighs a row by a Poisson draw from a hash of the row and the replicate, so that it repeats exactly. Tasks add up weighted moments; one row for each group and replicate is shuffled."""
-    kind = df.schema[group].dataType.simpleString()
-    d = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.xxhash64(*df.columns).alias("h"))
+def bootstrap_sums(draws: int) -> Callable:
+    """A function of Arrow batches g, v, h that gives, for each group and replicate, the sums of weights, weighted values and weighted squares. A weight is a Poisson draw from the row's hash h and the replicate's number: the upper 16 bits of their mixture say it by a table, but where a cut of the distribution lies between, all bits do."""
     cuts = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
     seeds = np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bins = np.arange(1 << 16) * 2.0**-16
+    weight = np.searchsorted(cuts, bins, side="right").astype(np.int8)  # by the upper 16 bits of a hash
+    weight[weight != np.searchsorted(cuts, bins + (2.0**-16 - 2.0**-53), side="right")] = -1  # a cut lies between: all bits decide
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
+        x, y = (np.empty((16, draws), np.uint64) for _ in range(2))  # few rows at once, so that they stay in the cache
         for b in batches:
-            names, v, h = b.column("g").to_pylist(), b.column("v").to_numpy(), b.column("h").to_numpy().view(np.uint64)
-            for i in range(0, len(v), 500):
-                x = h[i : i + 500, None] ^ seeds
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                w = np.searchsorted(cuts, (x >> np.uint64(11)).ravel() * 2.0**-53, side="right").reshape(x.shape).astype(float)
-                part, some = np.array(names[i : i + 500], object), v[i : i + 500]
-                for g in set(part.tolist()):
-                    at = part == g
-                    total = sums.setdefault(g, np.zeros((3, draws)))
-                    total += np.stack([np.ones(at.sum()), some[at], some[at] ** 2]) @ w[at]
+            names = b.column("g").dictionary_encode()
+            kinds = [*names.dictionary.to_pylist(), None]
+            of = names.indices.fill_null(len(kinds) - 1).to_numpy(zero_copy_only=False)
+            order = np.argsort(of, kind="stable")
+            of, v, h = of[order], b.column("v").to_numpy()[order], b.column("h").to_numpy().view(np.uint64)[order]
+            starts = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+            for start, end in zip(starts, [*starts[1:], len(of)], strict=True):
+                total = sums.setdefault(kinds[of[start]], np.zeros((3, draws)))
+                for i in range(start, end, 16):
+                    some = v[i : min(i + 16, end)]
+                    u, t = x[: len(some)], y[: len(some)]
+                    np.bitwise_xor(h[i : i + len(some), None], seeds, out=u)
+                    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                        np.right_shift(u, np.uint64(shift), out=t)
+                        np.bitwise_xor(u, t, out=u)
+                        np.multiply(u, np.uint64(factor), out=u)
+                    np.right_shift(u, np.uint64(48), out=t)
+                    w = np.take(weight, t.view(np.int64), mode="wrap").ravel()
+                    if len(close := np.flatnonzero(w < 0)):
+                        w[close] = np.searchsorted(cuts, (u.ravel()[close] >> np.uint64(11)) * 2.0**-53, side="right")
+                    total += np.stack([np.ones(len(some)), some, some * some]) @ w.reshape(u.shape).astype(float)
         for g, t in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([g] * draws), pa.array(range(draws), pa.int32()), *map(pa.array, t)], ["g", "b", "n", "s", "q"])
 
-    s = d.mapInArrow(run, f"g {kind}, b int, n double, s double, q double").groupBy("g", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).where("n > 1")
+    return run
+
+
+def bootstrap_capability(df: DataFrame, group: str, value: str, low: float, high: float, draws: int = 2000) -> DataFrame:
+    """group, ppk_low, ppk_high: each replicate weighs a row by a Poisson draw from a hash of the row and the replicate, so that it repeats exactly. Tasks add up weighted moments; one row for each group and replicate is shuffled."""
+    kind = df.schema[group].dataType.simpleString()
+    d = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.xxhash64(*df.columns).alias("h"))
+    s = d.mapInArrow(bootstrap_sums(draws), f"g {kind}, b int, n double, s double, q double").groupBy("g", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).where("n > 1")
     mean = F.col("s") / F.col("n")
     sd = F.sqrt(F.greatest(F.lit(0.0), F.col("q") - F.col("n") * mean * mean) / (F.col("n") - 1))
     ppk = s.select("g", F.when(sd > 0, F.least((mean - low) / (3 * sd), (high - mean) / (3 * sd))).alias("ppk"))
