@@ -17,9 +17,20 @@ from siglot.sources.files import stored
 Z = 1.959963984540054
 
 
+def with_events(reports: DataFrame, flags: list[str]) -> DataFrame:
+    """reports, a row for each of their flag columns: event (the flag's name) and present. Where flags stand in the reports' own rows, this takes no join."""
+    rest = [c for c in reports.columns if c not in flags]
+    each = F.explode(F.array(*[F.struct(F.lit(e).alias("event"), F.col(e).alias("present")) for e in flags]))
+    return reports.select(*rest, each.alias("_e")).select(*rest, "_e.event", "_e.present")
+
+
 def two_by_two(members: DataFrame, events: DataFrame) -> DataFrame:
     """design, event, a, b, c, d, expected from members(record_id, design, target) and events(record_id, event, present). Unknown counts as absent. A record may be in several designs."""
-    m = members.join(events, "record_id")
+    return two_by_two_of(members.join(events, "record_id"))
+
+
+def two_by_two_of(m: DataFrame) -> DataFrame:
+    """As two_by_two, from rows that hold design, target, event and present already."""
     hit, t = F.coalesce("present", F.lit(False)), F.col("target")
     out = m.groupBy("design", "event").agg(F.count_if(t & hit).alias("a"), F.count_if(t & ~hit).alias("b"), F.count_if(~t & hit).alias("c"), F.count_if(~t & ~hit).alias("d"))
     n = F.col("a") + F.col("b") + F.col("c") + F.col("d")
@@ -79,15 +90,33 @@ def product_event_counts(administrations: DataFrame, events: DataFrame) -> DataF
     """vaccine, event, n, expected over the full grid: distinct (record, vaccine) with the event; expected from the margins."""
     adm = administrations.select("record_id", "vaccine").distinct()
     hit = adm.join(events.where("present"), "record_id").groupBy("vaccine", "event").agg(F.count(F.lit(1)).alias("n"))
-    vaccines, kinds = adm.select("vaccine").distinct(), events.select("event").distinct()
+    return _grid(hit, administrations.select("vaccine").distinct(), events.select("event").distinct())
+
+
+def product_event_counts_of(reports: DataFrame, vaccines: str, flags: list[str]) -> DataFrame:
+    """As product_event_counts, from reports of one row each: their array of vaccines (a repeated one counts once) and their flags of events. Tasks count their own rows; nothing but counts is shuffled, and no report meets another."""
+    each = reports.select(F.explode(F.array_distinct(vaccines)).alias("vaccine"), *flags)
+    found = each.groupBy("vaccine").agg(*[F.count_if(e).alias(e) for e in flags])
+    return _expected(found.unpivot(["vaccine"], flags, "event", "n"))
+
+
+def _grid(hit: DataFrame, vaccines: DataFrame, kinds: DataFrame) -> DataFrame:
     grid = vaccines.crossJoin(F.broadcast(kinds)).join(hit, ["vaccine", "event"], "left").withColumn("n", F.coalesce("n", F.lit(0)))  # products x events: two short lists
+    return _expected(grid)
+
+
+def _expected(grid: DataFrame) -> DataFrame:
     w = lambda *k: F.sum("n").over(Window.partitionBy(*k))
     return grid.withColumn("expected", w("vaccine") * w("event") / w(F.lit(1)))
 
 
 def cumulative_ic(members: DataFrame, events: DataFrame) -> DataFrame:
     """event, year, a, b, c, d and ic on all data up to each year: yearly counts, then running sums. members(record_id, target, year)."""
-    m = members.join(events, "record_id")
+    return cumulative_ic_of(members.join(events, "record_id"))
+
+
+def cumulative_ic_of(m: DataFrame) -> DataFrame:
+    """As cumulative_ic, from rows that hold target, year, event and present already."""
     hit, t = F.coalesce("present", F.lit(False)), F.col("target")
     yearly = m.groupBy("event", "year").agg(F.count_if(t & hit).alias("a"), F.count_if(t & ~hit).alias("b"), F.count_if(~t & hit).alias("c"), F.count_if(~t & ~hit).alias("d"))
     w = Window.partitionBy("event").orderBy("year").rowsBetween(Window.unboundedPreceding, 0)

@@ -26,15 +26,21 @@ m as (select *, exp(lr) as ror, exp(lr - 1.959963984540054 * sr) as ror_low, exp
 
 
 def members(spark, sf):
+    """A row for each report, design and event, taken from the report's own row."""
     r = V.reports(spark, sf)
     target = F.array_contains("vaccines", V.TARGET)
     comparator = F.arrays_overlap("vaccines", F.array(*[F.lit(x) for x in V.COMPARATORS]))
     both = F.array(F.struct(F.lit("others").alias("design"), F.lit(True).alias("on")), F.struct(F.lit("comparators").alias("design"), (target | comparator).alias("on")))
-    return r.select("record_id", target.alias("target"), F.col("analytic_year").alias("year"), F.explode(F.filter(both, lambda x: x["on"])).alias("x")).select("record_id", "target", "year", F.col("x.design").alias("design"))
+    per_design = r.select("record_id", target.alias("target"), F.col("analytic_year").alias("year"), *V.EVENTS, F.explode(F.filter(both, lambda x: x["on"])).alias("x"))
+    return G.with_events(per_design.select("record_id", "target", "year", F.col("x.design").alias("design"), *V.EVENTS), V.EVENTS)
 
 
 def cells(spark, sf):
-    return G.two_by_two(members(spark, sf), V.event_long(spark, sf))
+    return G.two_by_two_of(members(spark, sf))
+
+
+def products(spark, sf):
+    return G.product_event_counts_of(V.reports(spark, sf), "vaccines", V.EVENTS)
 
 
 def r(c, digits=4):
@@ -85,24 +91,24 @@ g as (select v.vaccine, e.event, coalesce(n, 0) as n from (select distinct vacci
 select vaccine, event, n, round(cast(sum(n) over (partition by vaccine) as double) * cast(sum(n) over (partition by event) as double) / cast(sum(n) over () as double), 4) as expected from g
 """)
 def _p7(spark, sf):
-    return G.product_event_counts(V.administrations(spark, sf), V.event_long(spark, sf)).withColumn("expected", r("expected"))
+    return products(spark, sf).withColumn("expected", r("expected"))
 
 
 @query("p8_p9_shrinkage")
 def _p9(spark, sf):
-    c = G.product_event_counts(V.administrations(spark, sf), V.event_long(spark, sf))
+    c = products(spark, sf)
     return G.shrunk(c, G.fit_prior(c))
 
 
 @query("p8_prior")
 def _p8(spark, sf):
-    prior = G.fit_prior(G.product_event_counts(V.administrations(spark, sf), V.event_long(spark, sf)))
+    prior = G.fit_prior(products(spark, sf))
     return spark.createDataFrame([tuple(prior)], "a1 double, b1 double, a2 double, b2 double, weight double, converged boolean, log_likelihood double")
 
 
 @query("p10_signal_criteria")
 def _p10(spark, sf):
-    prior = G.fit_prior(G.product_event_counts(V.administrations(spark, sf), V.event_long(spark, sf)))
+    prior = G.fit_prior(products(spark, sf))
     d = G.shrunk(cells(spark, sf).withColumnRenamed("a", "n"), prior).withColumnRenamed("n", "a").withColumns({**G.ror(), **G.prr(), **G.information(limits=True)})
     return d.select("design", "event", "a", *[c.alias(k) for k, c in G.criteria(shrunk=True).items()])
 
@@ -125,7 +131,7 @@ z as (select event, year, cast(sum(a) over w as bigint) as a, cast(sum(b) over w
 select event, year, a, b, c, d, round(log2((a + 0.5) / (cast(a + b as double) * (a + c) / (a + b + c + d) + 0.5)), 4) as ic from z
 """)
 def _p13(spark, sf):
-    return G.cumulative_ic(members(spark, sf).where("design = 'others'"), V.event_long(spark, sf)).withColumn("ic", r("ic"))
+    return G.cumulative_ic_of(members(spark, sf).where("design = 'others'")).withColumn("ic", r("ic"))
 
 
 @query("p14_cooccurrence", ctes("reports", "event_long") + """, k as (select record_id, event from event_long where present), s as (select event, count(*) as n1 from k group by 1 having count(*) >= 0.01 * (select count(*) from reports)),

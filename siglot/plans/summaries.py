@@ -130,8 +130,8 @@ select event, count(distinct design) filter (sig and design <> 'influence') as n
 """)
 def _p12(spark, sf):
     r = V.reports(spark, sf).where(F.array_contains("vaccines", V.TARGET))
-    influence = r.select("record_id", (F.size("vaccines") > 1).alias("target"), F.col("analytic_year").alias("year"), F.lit("influence").alias("design"))
-    d = G.two_by_two(signals.members(spark, sf).unionByName(influence), V.event_long(spark, sf)).withColumns(G.information())
+    influence = r.select("record_id", (F.size("vaccines") > 1).alias("target"), F.col("analytic_year").alias("year"), F.lit("influence").alias("design"), *V.EVENTS)
+    d = G.two_by_two_of(signals.members(spark, sf).unionByName(G.with_events(influence, V.EVENTS))).withColumns(G.information())
     expected = spark.createDataFrame([("ev_returned",), ("ev_bulk",)], "event string")  # a declared list
     return S.signal_groups(d.withColumn("on", F.expr("a >= 3 and ic > 0")), "on", "others", "influence", expected)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+import re
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siglot.functions import special as S
 from siglot.operators import curation, disclosure, linkage, measures, parsing, signals
+from siglot.plans import registry
 from siglot.sources import files
 
 
@@ -202,3 +204,20 @@ def test_cascade_levels(spark):
     d = spark.createDataFrame(tokens, "record_id int, exact string").withColumn("core", parsing.core_key(F.col("exact"))).withColumn("report_year", F.lit(2002))
     got = {r.record_id: (r.lot_key, r.level) for r in linkage.cascade(d, lots).collect()}
     assert got == {1: ("1", "exact"), 2: ("1", "core"), 3: ("2", "fuzzy"), 4: (None, "ambiguous"), 5: (None, "no_match"), 6: (None, "no_match"), 7: (None, "multiple_lots"), 8: ("1", "exact")}
+
+
+def test_flags_of_reports_are_counted_as_long_events_are(spark):
+    rows = [(1, ["A", "B", "A"], True, None), (2, ["A"], True, False), (3, ["B"], None, False), (4, [], True, True), (5, None, True, True)]
+    r = spark.createDataFrame(rows, "record_id int, vaccines array<string>, e1 boolean, e2 boolean")
+    got = {(x.vaccine, x.event): (x.n, x.expected) for x in signals.product_event_counts_of(r, "vaccines", ["e1", "e2"]).collect()}
+    adm, events = r.select("record_id", F.explode("vaccines").alias("vaccine")), r.unpivot(["record_id"], ["e1", "e2"], "event", "present")
+    assert got == {(x.vaccine, x.event): (x.n, x.expected) for x in signals.product_event_counts(adm, events).collect()}
+    assert got["A", "e1"] == (2, 2.0) and got["B", "e2"][0] == 0
+    long = signals.with_events(r.drop("vaccines"), ["e1", "e2"])
+    assert sorted(map(str, long.collect())) == sorted(map(str, events.collect()))
+
+
+@pytest.mark.parametrize("name", ["p1_two_by_two", "p7_product_event_counts", "p13_cumulative_ic"])
+def test_no_report_is_joined_with_its_own_events(spark, name):
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Join (Inner|LeftOuter)", plan)) == 2  # lines with parts, orders with lines
