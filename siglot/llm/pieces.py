@@ -5,9 +5,9 @@ begins with a space goes on with letters, digits or signs, and of a run of white
 space the last character is left to what follows. So a text may be cut before any
 space but one with white space (or nothing) on its right and white space on its
 left. Texts with white space whose class differs between pattern libraries are
-left whole. A piece of Latin letters and ASCII signs falls further into words and
-what is between them, and a word is one match of the pattern, which the library's
-model encodes directly.
+left whole. A text, or else a piece, of Latin letters and ASCII signs falls further
+into words and what is between them, and a word is one match of the pattern, which
+the library's model encodes directly.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from siglot.llm.common import kept
 
 ODD = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
-KEEP = 400_000  # pieces, and words, remembered in a process
+KEEP = 400_000  # pieces, and words, remembered in a process, at most
 LONG = 2_000  # characters of a text part that isn't remembered
 
 
@@ -30,15 +30,18 @@ def unsafe() -> Callable[[str], bool]:
 
 
 class _Known(dict):
-    """A bounded memory of what `make` gives."""
+    """A bounded memory of what `make` gives: a full half becomes the older one, from which what is asked for again comes back, so that frequent keys stay."""
 
-    def __init__(self, make: Callable):
-        self.make = make
+    def __init__(self, make: Callable, most: int = KEEP):
+        self.make, self.half, self.older = make, most // 2, {}
 
     def __missing__(self, key: str):
-        value = self.make(key)
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.make(key)
         if len(key) <= LONG:
-            if len(self) >= KEEP:
+            if len(self) >= self.half:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -56,11 +59,11 @@ class PieceEncoder:
         self.made, self.joined = made, joined
         self.whole = unsafe()
         self.plain = re.compile(rf"[\n -&(-~{LETTERS}]*").fullmatch  # no apostrophe, which may belong to the letters after it
-        self.parts = re.compile(rf" ?[{LETTERS}]+|(?:(?! ?[{LETTERS}])[\s\S])+").findall
+        self.parts = re.compile(rf" ?[{LETTERS}]+|(?:[^{LETTERS} ]+| (?![{LETTERS}]))+").findall
         self.word = re.compile(rf" ?[{LETTERS}]+").fullmatch
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves, in byte-level BPE
         self.byte = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in shown)}
-        self.words, self.later, self.first = _Known(self._word), _Known(self._later), _Known(self._piece)
+        self.words, self.later, self.first = _Known(self._word, 2 * KEEP), _Known(self._later), _Known(self._piece)
 
     @classmethod
     def of_process(cls, path: str, made: Callable, joined: Callable) -> PieceEncoder:
@@ -72,7 +75,8 @@ class PieceEncoder:
 
     def _word(self, w: str):
         if self.word(w):
-            return self.made([t.id for t in self.tok.model.tokenize("".join(map(self.byte.__getitem__, w.encode("utf-8"))))])
+            shown = w.replace(" ", self.byte[32]) if w.isascii() else "".join(map(self.byte.__getitem__, w.encode("utf-8")))
+            return self.made([t.id for t in self.tok.model.tokenize(shown)])
         return self._whole(w)
 
     def _later(self, p: str):
@@ -80,8 +84,12 @@ class PieceEncoder:
             return self.made([t.id for t in self.tok.model.tokenize(self.byte[32] + p)])
         return self._piece(" " + p)
 
+    def _falls(self, p: str) -> bool:
+        """Whether p has no special strings, runs of white space, or scripts whose classes the library knows best."""
+        return not ("<|" in p or "\n\n" in p or " \n" in p) and bool(self.plain(p))
+
     def _piece(self, p: str):
-        if "<|" in p or "\n\n" in p or " \n" in p or not self.plain(p):  # special strings, runs of white space, and scripts whose classes the library knows best
+        if not self._falls(p):
             return self._whole(p)
         return self.joined([self.later[w[1:]] if w[0] == " " and w.isascii() and w[1:].isalpha() else self.words[w] for w in self.parts(p)])
 
@@ -89,6 +97,8 @@ class PieceEncoder:
         """What stands for the pieces of t, in order."""
         if self.whole(t):
             return [self._whole(t)]
+        if self._falls(t):
+            return list(map(self.words.__getitem__, self.parts(t)))
         head, *rest = t.split(" ")
         out = list(map(self.later.__getitem__, rest))
         if head:

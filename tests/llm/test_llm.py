@@ -592,3 +592,18 @@ def test_stages_keep_the_callers_columns(spark, sf):
         none = stage(spark, empty(d), sf)
         assert none.columns == d.columns and none.count() == 0
     assert p.STAGES[-1][1](spark, d, sf).count() == 5
+
+
+def test_words_that_come_again_stay_known_and_plain_texts_fall_into_words():
+    from siglot.llm.pieces import PieceEncoder, _Known, two_bytes
+
+    made = []
+    known = _Known(lambda k: made.append(k) or k, 4)
+    for i in range(50):
+        assert known["often"] == "often" and known[str(i)] == str(i)
+    assert made.count("often") == 1 and len(known) + len(known.older) <= 4
+    enc = PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), two_bytes, b"".join)
+    for t in ("Été, the end.\nNext (12 + 3) é", " a  b", "x \n y", "it's a\n\ntest", "tail ", "1,234 <|endoftext|> é%%% q", "", "\n", "a,  b;\nc ###\n### d", "日本 text ñandú"):
+        want = two_bytes(enc.tok.encode(t, add_special_tokens=False).ids)
+        assert b"".join(enc.text(t)) == want
+    assert len(enc.text("one two, three")) == 4  # words and signs, not pieces
