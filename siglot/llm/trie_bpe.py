@@ -8,6 +8,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,8 +32,7 @@ class TrieBpe:
     the one before it stay on the stack.
     """
 
-    def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
+    def __init__(self, spec: dict):
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model.get("end_of_word_suffix") or ""
@@ -129,10 +129,10 @@ class TextEncoder:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
 
-        self.bpe, spec = TrieBpe(path), json.load(open(path, encoding="utf-8"))
-        self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.path, self.bpe = path, TrieBpe(spec)
         self.find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.special = re.compile("(" + "|".join(map(re.escape, self.bpe.special)) + ")")
         self.control = re.compile("[\x1c-\x1f]").search  # str.split() cuts there, the tokenizer's pattern doesn't
@@ -140,6 +140,13 @@ class TextEncoder:
         self.words: dict[str, list[int]] = {}
         self.pieces: dict[str, tuple[bytes, int, str]] = {}
 
+    @cached_property
+    def tok(self):
+        """The library's own tokenizer, which takes as much memory as the tries do: loaded where a rare script first asks for it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @classmethod
     def of_process(cls, path: str) -> TextEncoder:
         """One encoder for all tasks that a Python worker runs."""

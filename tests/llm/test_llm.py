@@ -607,3 +607,11 @@ def test_words_that_come_again_stay_known_and_plain_texts_fall_into_words():
         want = two_bytes(enc.tok.encode(t, add_special_tokens=False).ids)
         assert b"".join(enc.text(t)) == want
     assert len(enc.text("one two, three")) == 4  # words and signs, not pieces
+
+
+def test_the_librarys_tokenizer_is_loaded_for_rare_scripts_only():
+    enc, lib = TextEncoder(WORD), Tokenizer.from_file(WORD)
+    for t, loaded in (("The end, été 12 <|endoftext|> it's", False), ("日本 ñandú ﬁ", True)):
+        ids = b"".join(p[0] for p in enc.batch([t])[0])
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == lib.encode(t, add_special_tokens=False).ids
+        assert ("tok" in vars(enc)) == loaded
