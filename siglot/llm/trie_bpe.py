@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import re
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from siglot.llm.common import by_bytes, kept, tidy
 
-KEEP = 250_000  # words, and pieces, remembered in a process
+KEEP = 150_000  # pieces, and pairs of tokens, remembered in a process
 
 
 class TrieBpe:
@@ -37,7 +38,6 @@ class TrieBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         #: token -> (rank of the merge that makes it, left part, right part); base symbols aren't here
         self.parts: dict[str, tuple[int, str, str]] = {}
         self.rank: dict[tuple[str, str], int] = {}
@@ -49,7 +49,8 @@ class TrieBpe:
         self.tokens = {t for t in self.vocab if t in self.parts or len(t.removesuffix(self.end) or t) == 1}
         self.stays: dict[tuple[str, str], bool] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves, in byte-level BPE
-        self.byte = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in shown)}
+        byte = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in shown)}
+        self.byte = "".join(byte[b] for b in range(256))
 
     def unmerged(self, a: str, b: str) -> bool:
         """Whether tokens a and b, next to each other, are what BPE makes of a + b.
@@ -79,15 +80,17 @@ class TrieBpe:
         return out
 
     def symbols(self, word: str) -> str:
-        return "".join(map(self.byte.__getitem__, word.encode("utf-8")))
+        return codecs.charmap_decode(word.encode("utf-8"), "strict", self.byte)[0]
 
-    def encode(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of distinct words of byte-level symbols (the last one of a word also carries the end mark)."""
-        out: dict[str, list[int]] = {}
-        vocab, end = self.vocab, self.end
+    def encode(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
+        """Distinct words of byte-level symbols (the last one of a word also carries the end mark) with their tokens."""
+        tokens, end = self.tokens, self.end
         before: str = ""
         last: list[str | None] = [""]  # last[i]: last token of the first i symbols of the word before, once it was asked for
         for w in sorted(words):
+            if w + end in tokens:
+                yield w, [w + end]
+                continue
             n, most = 0, min(len(w), len(before))
             while n < most and w[n] == before[n]:
                 n += 1
@@ -100,13 +103,13 @@ class TrieBpe:
                         last[i] = self._last(w, i, "", last)
             t, i, back, cut = self._last(w, len(w), end, last), len(w), [], len(end)
             while True:
-                back.append(vocab[t])
+                back.append(t)
                 i -= len(t) - cut
                 if i <= 0:
                     break
                 t, cut = last[i], 0
-            out[w] = back[::-1]
-        return out
+            back.reverse()
+            yield w, back
 
     def _last(self, w: str, i: int, end: str, last: list[str | None]) -> str:
         tokens, stays = self.tokens, self.stays
@@ -137,8 +140,14 @@ class TextEncoder:
         self.special = re.compile("(" + "|".join(map(re.escape, self.bpe.special)) + ")")
         self.control = re.compile("[\x1c-\x1f]").search  # str.split() cuts there, the tokenizer's pattern doesn't
         self.plain = re.compile("[\t-\r -\u017f\u2010-\u2026\u20ac]*").fullmatch
-        self.words: dict[str, list[int]] = {}
-        self.pieces: dict[str, tuple[bytes, int, str]] = {}
+        every = self.bpe.vocab | self.bpe.special
+        #: each token's id as u32 and, as the library joins tokens for a file without a decoder, its string with a space behind
+        self.packed = {t: struct.pack("<I", i) for t, i in every.items()}
+        self.shown = {t: t.encode("utf-8") + b" " for t in every}
+        #: the same of whole pieces; and of words that aren't ASCII letters in lower case, as those are pieces of their own
+        self.ids: dict[str, bytes] = {}
+        self.text: dict[str, bytes] = {}
+        self.words: dict[str, tuple[bytes, bytes]] = {}
 
     @cached_property
     def tok(self):
@@ -152,12 +161,12 @@ class TextEncoder:
         """One encoder for all tasks that a Python worker runs."""
         return kept((path, "trie"), lambda: cls(path))
 
-    def _words(self, piece: str) -> list[str | int]:
-        """What a piece without white space is made of: words as byte-level symbols, and ids of special strings."""
-        out: list[str | int] = []
+    def _words(self, piece: str) -> list[str | tuple[bytes, bytes]]:
+        """What a piece without white space is made of: words as byte-level symbols, and ids and text of special strings."""
+        out: list[str | tuple[bytes, bytes]] = []
         for k, part in enumerate(self.special.split(piece) if "<|" in piece else [piece]):
             if k % 2:
-                out.append(self.bpe.special[part])
+                out.append((self.packed[part], self.shown[part]))
             elif part.isascii():  # printable ASCII stands for itself among the byte-level symbols
                 out += self.find(part.lower()) if part.isprintable() else map(self.bpe.symbols, self.find(part.lower()))
             elif self.plain(part):
@@ -166,25 +175,42 @@ class TextEncoder:
                 out += [s for s, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(part))]
         return out
 
+    def pieces(self, texts: list[str]) -> list[list[str]]:
+        """Each text's pieces, all of which stand in self.ids and self.text until the next call."""
+        cut = [re.split("[ \t\n\r\x0b\x0c]+", t) if self.control(t) else t.split() for t in texts]
+        met = set().union(*cut)
+        ids, text, words = self.ids, self.text, self.words
+        if len(ids) > KEEP:  # those that come again now stay
+            old_ids, old_text = ids, text
+            again = met.intersection(ids)
+            ids = self.ids = {p: old_ids[p] for p in again}
+            text = self.text = {p: old_text[p] for p in again}
+        if len(words) > KEEP // 2:
+            words.clear()
+        new = met.difference(ids)
+        letters = {p: p.lower() for p in new if p.isascii() and p.isalpha()}  # one word, which stands for itself
+        mixed = {p: self._words(p) for p in new.difference(letters)}
+        unknown = set(letters.values()).union(*[[w for w in ws if isinstance(w, str)] for ws in mixed.values()])
+        packed, shown = self.packed, self.shown
+        for w, tokens in self.bpe.encode(unknown.difference(ids, words)):
+            if len(tokens) == 1:
+                i, t = packed[tokens[0]], shown[tokens[0]]
+            else:
+                i, t = b"".join([packed[x] for x in tokens]), b"".join([shown[x] for x in tokens])
+            if w.isascii() and w.isalpha():
+                ids[w], text[w] = i, t
+            else:
+                words[w] = i, t
+        for p, w in letters.items():
+            ids[p], text[p] = ids[w], text[w]
+        for p, ws in mixed.items():
+            parts = [w if isinstance(w, tuple) else words.get(w) or (ids[w], text[w]) for w in ws]
+            ids[p], text[p] = parts[0] if len(parts) == 1 else (b"".join([i for i, _ in parts]), b"".join([t for _, t in parts]))
+        return cut
+
     def batch(self, texts: list[str]) -> list[list[tuple[bytes, int, str]]]:
         """For each text its pieces' (ids as u32, their count, decoded text)."""
-        cut = [re.split("[ \t\n\r\x0b\x0c]+", t) if self.control(t) else t.split() for t in texts]
-        if len(self.pieces) > KEEP:
-            self.pieces.clear()
-        if len(self.words) > KEEP:
-            self.words.clear()
-        new = {p: self._words(p) for p in set().union(*cut).difference(self.pieces)}
-        unknown = {w for ws in new.values() for w in ws if isinstance(w, str)}.difference(self.words)
-        self.words |= self.bpe.encode(list(unknown))
-        for p, ws in new.items():
-            ids = [i for w in ws for i in ([w] if isinstance(w, int) else self.words[w])]
-            self.pieces[p] = (struct.pack(f"<{len(ids)}I", *ids), len(ids), self.decode(ids))
-        get = self.pieces.__getitem__
-        return [list(map(get, ps)) for ps in cut]
-
-    def decode(self, ids: list[int]) -> str:
-        """As the library does for a file without a decoder: the tokens' strings, joined by spaces."""
-        return " ".join(map(self.bpe.strings.__getitem__, ids))
+        return [[(self.ids[p], len(self.ids[p]) // 4, self.text[p][:-1].decode("utf-8")) for p in ps] for ps in self.pieces(texts)]
 
 
 def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -198,18 +224,18 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = None
-        for b in by_bytes(batches, "_text"):
+        for b in by_bytes(batches, "_text", 1_000_000):
             enc = enc or TextEncoder.of_process(tokenizer)
             n, sha, dec, ids, text = [], [], [], [], []
-            for parts in enc.batch(pc.fill_null(b.column("_text"), "").to_pylist()):
-                raw = b"".join([p[0] for p in parts])
-                back = " ".join([p[2] for p in parts if p[1]])
+            for ps in enc.pieces(pc.fill_null(b.column("_text"), "").to_pylist()):
+                raw = b"".join(map(enc.ids.__getitem__, ps))
+                back = b"".join(map(enc.text.__getitem__, ps))[:-1]
                 n.append(len(raw) // 4)
                 sha.append(hashlib.sha256(raw).hexdigest())
-                dec.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
+                dec.append(hashlib.sha256(back).hexdigest())
                 if with_ids:
                     ids.append(struct.unpack(f"<{len(raw) // 4}I", raw))
-                    text.append(back)
+                    text.append(back.decode("utf-8"))
             cols = [b.column("_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(dec, pa.string())]
             names = ["_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

@@ -106,6 +106,20 @@ def test_trie_on_random_words():
         assert [i for p in parts for i in struct.unpack(f"<{p[1]}I", p[0])] == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_the_encoder_remembers_a_bounded_number_of_pieces(monkeypatch):
+    from siglot.llm import trie_bpe as m
+
+    monkeypatch.setattr(m, "KEEP", 100)
+    enc, lib = TextEncoder(WORD), Tokenizer.from_file(WORD)
+    for k in range(40):  # each batch has some 20 new pieces, and words that come in every one
+        texts = [f"often Été, w{k}{c} Word{k}{c}x, é{k}{c} <|endoftext|>often" for c in "abcdefgh"]
+        for t, ps in zip(texts, enc.pieces(texts), strict=True):
+            ids = lib.encode(t, add_special_tokens=False).ids
+            assert b"".join([enc.ids[p] for p in ps]) == struct.pack(f"<{len(ids)}I", *ids)
+            assert b"".join([enc.text[p] for p in ps])[:-1].decode() == lib.decode(ids, skip_special_tokens=False)
+        assert len(enc.ids) <= 200 and len(enc.text) == len(enc.ids) and len(enc.words) <= 200
+
+
 def test_records_round_trip(spark, docs, texts, tmp_path):
     tok, path = Tokenizer.from_file(BYTE), f"file://{tmp_path}/r"
     index = write_records(docs, BYTE, path, end_id=2, parts=5, most=20_000)
