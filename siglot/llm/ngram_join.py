@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,32 +36,28 @@ class Shingler:
     """Sorted 64-bit hashes of the distinct shingles of each text of a batch."""
 
     def __init__(self, words: int):
-        self.k, self.ids, self.hashes = words, defaultdict(count().__next__), np.zeros(0, np.uint64)
+        self.k = words
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         import xxhash
 
-        if len(self.ids) > 100_000:
-            self.ids, self.hashes = defaultdict(count().__next__), np.zeros(0, np.uint64)
         cut = [t.encode("utf-8").lower().split() if t else [] for t in texts]  # bytes: only A-Z, and only ASCII white space
-        known = len(self.hashes)
-        at = [np.fromiter(map(self.ids.__getitem__, ws), np.int64, len(ws)) for ws in cut]
-        if len(self.ids) > known:
-            new = list(self.ids)[known:]
-            self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))])
-        out = []
-        for a in at:
-            h = self.hashes[a]
-            k = min(self.k, len(h))
-            if not k:
-                out.append(h)
-                continue
-            x = np.full(len(h) - k + 1, k, np.uint64)
-            for j in range(k):
-                x = mix(x * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j])
-            out.append(np.unique(x))
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(cut)), np.uint64, int(n.sum()))
+        x, out = self._runs(h, self.k), []  # of all texts at once; runs across two texts are left out
+        for start, size in zip((np.cumsum(n) - n).tolist(), n.tolist(), strict=True):
+            u = np.sort(x[start : start + size - self.k + 1] if size >= self.k else self._runs(h[start : start + size], size))
+            out.append(u[np.concatenate([[True], u[1:] != u[:-1]])] if len(u) else u)
         return out
 
+    @staticmethod
+    def _runs(h: np.ndarray, k: int) -> np.ndarray:
+        """A hash of every run of k words."""
+        x = np.full(max(0, len(h) - k + 1) if k else 0, k, np.uint64)
+        for j in range(k):
+            x = mix(x * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(x)])
+        return x
+
 
 def set_hash(u: np.ndarray, clashes: dict[tuple[int, int], int] | None = None) -> tuple[int, int]:
     """The two halves of a set's 128-bit hash. The first names the set, but for the few sets in clashes, which share it with another one and get a name of their own."""
@@ -118,7 +113,10 @@ def sketch_keys(u: np.ndarray, heat: np.ndarray, num: int, den: int) -> np.ndarr
         word = np.bitwise_xor.reduceat(w, starts)
         key = mix(word ^ mix(part[starts] + np.uint64(band << 56)))
         rare = np.minimum.reduceat(heat[_slot(u[order])], starts)
-        out.append(key[np.lexsort((key, rare))[: d + 1]])
+        if len(key) > d + 1:
+            place = rare.astype(np.uint64) << np.uint64(56) | key >> np.uint64(8)
+            key = key[np.argpartition(place, d)[: d + 1]]
+        out.append(key)
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
@@ -379,10 +377,19 @@ class _Join:
 
         return rest.where("take > 0").select("lead", "node", "take", "r").mapInArrow(tidy(run), "key bigint, node bigint").unionByName(more)
 
-    def mixed(self, spots: DataFrame, found: DataFrame) -> DataFrame:
-        """key, node, root, k (nodes of the key) of the groups with nodes of different components."""
+    def apart(self, repeated: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """key, node of the keys whose nodes lie in different components after the first comparison. A key's nodes hang together by its rows (node, lead), so it has a pair of these that isn't in one component; all other keys' rows, the most by far, are neither moved nor written again."""
+        root = lambda x: found.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+        two = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)")
+        rows = repeated.where("node <> lead").select("key", *_ordered("node", "lead"))
+        keys = written(_held(rows, ["a", "b"], written(two.select("a", "b"), "apart")).select("key").distinct(), "mixed")
+        some = _held(repeated, ["key"], keys)
+        return some.select("key", "node").union(some.select("key", "lead")).distinct()
+
+    def mixed(self, spots: DataFrame, found: DataFrame, least: int) -> DataFrame:
+        """key, node, root, k (nodes of the key, at least `least`) of the groups with nodes of different components."""
         spots = written(spots.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "spots")
-        mixed = spots.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("key", "k")
+        mixed = spots.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k")).where(f"lo <> hi and k >= {least}").select("key", "k")
         return written(spots.join(written(mixed, "mixed"), "key"), "rest")
 
     def across(self, rest: DataFrame) -> DataFrame:
@@ -392,6 +399,13 @@ class _Join:
         return sized.alias("x").join(sized.alias("y"), F.expr(alike)).select(*_ordered("x.node", "y.node")).distinct()
 
 
+def _held(rows: DataFrame, names: list[str], table: DataFrame) -> DataFrame:
+    """The rows whose names are in a stored table. A Bloom filter of these lets only rows that it holds go to the join."""
+    n_words = bloom_size(table.count())
+    bits = bloom_filter(table.select(F.xxhash64(*names).alias("h")), "h", n_words)
+    return rows.where(bloom_holds(bits, F.xxhash64(*names), n_words)).join(table, names, "left_semi")
+
+
 def _ordered(a: str, b: str) -> tuple:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
@@ -431,15 +445,15 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_c
         people, classes = renamed(people), written(renamed(each), "classes")
 
     repeated = written(_repeated(_keys(docs, heat, clashes, words, num, den)), "keys", 4_000)
-    spots = written(repeated.select("key", "node").union(repeated.select("key", "lead")).distinct(), "spots")
     join = _Join(docs.select("_tid", "_text"), classes, heat, clashes, words, num, den)
 
     pairs = written(repeated.where("node <> lead").select(*_ordered("node", "lead")).distinct(), "pairs")
     links = join.links(pairs)
     found = written(components(links, "a", "b"), "components")
     n_classes = classes.count()
+    spots, least = join.apart(repeated, pairs, found), 3  # the pair of a key with two nodes has been compared
     while True:
-        rest = join.mixed(spots, found)
+        rest = join.mixed(spots, found, least)
         large = rest.where(f"k > {PAIRWISE}")
         in_large = large.groupBy("key").agg(F.first("k").alias("k")).agg(F.sum("k").alias("n"), F.sum(F.expr("k * (k - 1) / 2")).alias("pairs")).first()
         go_on = in_large.n and in_large.pairs > LEFT * n_classes
@@ -456,7 +470,7 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_c
         if not go_on:
             break
         pairs = pairs.union(new)
-        spots = written(join.narrowed(over, found).distinct(), "spots")
+        spots, least = written(join.narrowed(over, found).distinct(), "spots"), 2
 
     rooted = classes.join(found, "node", "left").select("node", "min_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("min_id").alias("component_id"))

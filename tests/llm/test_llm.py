@@ -355,6 +355,22 @@ def test_large_loose_groups_are_not_compared_pair_by_pair(spark, monkeypatch):
     assert got == by_brute_force(rows) and seen
 
 
+def test_only_keys_of_mixed_groups_are_looked_at_again(spark, monkeypatch):
+    from siglot.llm import ngram_join as m
+
+    seen, mixed = [], m._Join.mixed
+    monkeypatch.setattr(m._Join, "mixed", lambda self, spots, *a: seen.append(spots.count()) or mixed(self, spots, *a))
+    r = random.Random(5)
+    texts = [[f"t{k} w{r.randrange(10**6)}" for _ in range(60)] for k in range(3)]
+    rows = [(10 * k + i, " ".join(t + [f"end{i}"])) for k, t in enumerate(texts) for i in range(8)]  # three groups of near copies, all linked
+    half = " ".join(texts[0][:25] + [f"x{r.randrange(10**6)}" for _ in range(70)])  # shares keys with the first group, but isn't linked with it
+    for more, least in (([], 0), ([(900, half)], 1)):
+        seen.clear()
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join(spark.createDataFrame(rows + more, "doc_id bigint, text string"))[0].collect()}
+        assert got == by_brute_force(rows + more)
+        assert seen[0] == 0 if not least else seen[0] < 1000
+
+
 def test_sets_whose_hashes_clash_stay_apart(spark, monkeypatch):
     from siglot.llm import ngram_join as m
 
