@@ -192,7 +192,7 @@ def _turn(key: np.ndarray, node: np.ndarray) -> np.ndarray:
 
 
 def _keys(docs: DataFrame, heat, clashes: dict, words: int, num: int, den: int) -> DataFrame:
-    """key, node, lead: per part of a task each key's first node (lead null) and, with that node as lead, the key's other nodes in the part."""
+    """key, node, lead: per part of a task each key's first node (lead null, or itself where others follow) and, with that node as lead, the key's other nodes in the part."""
 
     def gathered(ks: list[np.ndarray], ns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         k, n = np.concatenate(ks), np.concatenate(ns)
@@ -200,11 +200,12 @@ def _keys(docs: DataFrame, heat, clashes: dict, words: int, num: int, den: int)
         k, n = k[order], n[order]
         first = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
         lead = n[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))] if len(k) else n
+        only = first & np.concatenate([first[1:], [True]])[: len(k)]
         back = np.argsort(order)  # in the order of the documents again: rows of one node compress well
-        k, n, first, lead = k[back], n[back], first[back], lead[back]
+        k, n, only, lead = k[back], n[back], only[back], lead[back]
         for i in range(0, len(k), 100_000):
             s = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(k[s].view(np.int64)), pa.array(n[s].view(np.int64)), pa.array(lead[s].view(np.int64), mask=first[s])], ["key", "node", "lead"])
+            yield pa.RecordBatch.from_arrays([pa.array(k[s].view(np.int64)), pa.array(n[s].view(np.int64)), pa.array(lead[s].view(np.int64), mask=only[s])], ["key", "node", "lead"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh, done, ks, ns, size = Shingler(words), set(), [], [], 0
@@ -212,7 +213,7 @@ def _keys(docs: DataFrame, heat, clashes: dict, words: int, num: int, den: int)
             for u in sh.batch(b.column("_text").to_pylist()):
                 if len(u) and (node := set_hash(u, clashes)[0]) not in done:
                     done.add(node)
-                    k = sketch_keys(u, heat.value, num, den)
+                    k = np.unique(sketch_keys(u, heat.value, num, den) >> np.uint64(16))  # shorter keys: a clash of two adds pairs and loses none
                     ks.append(k)
                     ns.append(np.full(len(k), node, np.uint64))
                     size += len(k)
@@ -233,43 +234,66 @@ def _repeated(keys: DataFrame) -> DataFrame:
     Spark sorts each partition by key, and a key's rows are taken off the stream one
     run after the other, so a task holds one batch and what is left of one key: tasks
     have gathered a key's nodes before, so that it brings at most one row of each
-    part of a task.
+    part of a task. Near copies share many keys. Where all nodes of a key are here,
+    their hash takes its place, so that keys of the same nodes are one group; two
+    nodes are no more than a pair, and have no key. (Groups whose hashes clash become
+    one, which adds pairs and loses none.)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, n = np.zeros(0, np.int64), np.zeros(0, np.int64)  # rows whose key may go on
-
-        def done(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            first = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
-            many = ~first | ~np.concatenate([first[1:], [True]])[: len(k)]
-            k, n = k[many], n[many]
-            if len(k):
-                order = np.lexsort((_turn(k.view(np.uint64), n.view(np.uint64)), k))
-                k, n = k[order], n[order]
-                first = np.concatenate([[True], k[1:] != k[:-1]])
-                lead = n[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.array(lead)], ["key", "node", "lead"])
+        k, n, more = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)  # rows whose key may go on
+
+        def done(k: np.ndarray, n: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
+            order = np.lexsort((n, k))
+            k, n, more = k[order], n[order], more[order]
+            at = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])])[: len(k)])  # equal sets of several tasks are one node
+            if not len(at):
+                return
+            k, n, more = k[at], n[at], np.logical_or.reduceat(more, at)
+            at, size, group = _groups(k)
+            whole = ~np.logical_or.reduceat(more, at)
+            k = np.where(whole[group], mix(np.add.reduceat(mix(n), at) + size.astype(np.uint64))[group], k)
+            k, n, whole = (x[size[group] > 1] for x in (k, n, whole[group]))
+            if not len(k):
+                return
+            turn = _turn(k, n)
+            order = np.lexsort((turn, k))
+            k, n, whole, turn = k[order], n[order], whole[order], turn[order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (turn[1:] != turn[:-1])])
+            k, n, whole = k[new], n[new], whole[new]
+            at, size, group = _groups(k)
+            lead, pair = n[at][group], whole & (size[group] == 2)
+            k, n, lead, pair = (x[~pair | (n != lead)] for x in (k, n, lead, pair))
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64), mask=pair), pa.array(n.view(np.int64)), pa.array(lead.view(np.int64))], ["key", "node", "lead"])
 
         for b in batches:
-            known = pc.is_valid(b.column("lead"))
-            member = b.filter(known)
+            first = pc.or_kleene(pc.is_null(b.column("lead")), pc.equal(b.column("lead"), b.column("node")))
+            member = b.filter(pc.invert(first))
             if member.num_rows:
                 yield member
-            alone = b.filter(pc.invert(known))
+            alone = b.filter(first)
             if not alone.num_rows:
                 continue
-            k = np.concatenate([k, alone.column("key").to_numpy(zero_copy_only=False)])
-            n = np.concatenate([n, alone.column("node").to_numpy(zero_copy_only=False)])
-            cut = int(np.searchsorted(k, k[-1]))
-            yield from done(k[:cut], n[:cut])
-            k, n = k[cut:], n[cut:]
-        yield from done(k, n)
+            word = lambda c: alone.column(c).to_numpy(zero_copy_only=False).view(np.uint64)
+            k, n = np.concatenate([k, word("key")]), np.concatenate([n, word("node")])
+            more = np.concatenate([more, pc.is_valid(alone.column("lead")).to_numpy(zero_copy_only=False)])
+            last = int(np.searchsorted(k.view(np.int64), k.view(np.int64)[-1]))
+            yield from done(k[:last], n[:last], more[:last])
+            k, n, more = k[last:], n[last:], more[last:]
+        yield from done(k, n, more)
 
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keys.repartition(parts, F.when(F.col("lead").isNull(), F.col("key")).otherwise(F.col("node")))
+    dealt = keys.repartition(parts, F.when(F.col("lead").isNull() | (F.col("lead") == F.col("node")), F.col("key")).otherwise(F.col("node")))
     return dealt.sortWithinPartitions("key").mapInArrow(tidy(run), "key bigint, node bigint, lead bigint")
 
 
+def _groups(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the runs of equal keys their first places and sizes, and each row's run."""
+    first = np.concatenate([[True], k[1:] != k[:-1]])
+    at = np.flatnonzero(first)
+    return at, np.diff(np.append(at, len(k))), np.cumsum(first) - 1
+
+
 class _Join:
     """What the rounds of one join share: the documents (_tid, _text), their classes (node, tid, n, sketch), the shingles' heat and the threshold."""
 
@@ -304,11 +328,16 @@ class _Join:
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs that may reach the similarity by their sizes and by the Hamming distance of their bit sketches, which never exceeds the symmetric difference."""
-        side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        n = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"))
+        pairs = written(pairs.join(n("a"), "a").join(n("b"), "b").where(self.sizes_fit("na", "nb")), "fits")
+        need = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "need")
+        n_words = bloom_size(need.count())
+        some = self.classes.where(bloom_holds(bloom_filter(need.select(F.xxhash64("node").alias("h")), "h", n_words), F.xxhash64("node"), n_words))  # sketches of other classes stay where they are
+        side = lambda x: some.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         half = lambda s: F.zip_with(F.slice(s, 1, F.expr(f"size({s}) div 2")), F.slice(s, F.expr(f"size({s}) div 2 + 1"), F.expr(f"size({s}) div 2")), lambda x, y: x.bitwiseXOR(y))
         fit = lambda s, t: F.when(F.size(s) > F.size(t), half(s)).otherwise(F.col(s))
-        both = both.where(self.sizes_fit("na", "nb")).withColumns({"sa": fit("sa", "sb"), "sb": fit("sb", "sa")})
+        both = both.withColumns({"sa": fit("sa", "sb"), "sb": fit("sb", "sa")})
         apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         return written(both.where(apart <= F.expr(f"na + nb - 2 * {self.least_both('na', 'nb')}")).select("a", "b"), "near")
 
@@ -381,10 +410,11 @@ class _Join:
         """key, node of the keys whose nodes lie in different components after the first comparison. A key's nodes hang together by its rows (node, lead), so it has a pair of these that isn't in one component; all other keys' rows, the most by far, are neither moved nor written again."""
         root = lambda x: found.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
         two = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)")
+        repeated = repeated.where("key is not null")  # a pair without a key has been compared
         rows = repeated.where("node <> lead").select("key", *_ordered("node", "lead"))
         keys = written(_held(rows, ["a", "b"], written(two.select("a", "b"), "apart")).select("key").distinct(), "mixed")
-        some = _held(repeated, ["key"], keys)
-        return some.select("key", "node").union(some.select("key", "lead")).distinct()
+        some = written(_held(repeated, ["key"], keys), "held")
+        return some.select("key", F.explode(F.array("node", "lead")).alias("node")).distinct()
 
     def mixed(self, spots: DataFrame, found: DataFrame, least: int) -> DataFrame:
         """key, node, root, k (nodes of the key, at least `least`) of the groups with nodes of different components."""
@@ -470,7 +500,9 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 3, den: int = 4, id_c
         if not go_on:
             break
         pairs = pairs.union(new)
-        spots, least = written(join.narrowed(over, found).distinct(), "spots"), 2
+        spots = written(join.narrowed(over, found), "spots")
+        twice = spots.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+        spots, least = _held(spots, ["key"], written(twice, "twice")).distinct(), 2  # most keys have one node
 
     rooted = classes.join(found, "node", "left").select("node", "min_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("min_id").alias("component_id"))

@@ -330,6 +330,20 @@ def test_ngram_join_edges(spark, docs):
     assert left.columns == d.columns and left.where("text = 'same text'").count() == 1
 
 
+def test_keys_of_the_same_nodes_are_one_group(spark):
+    from siglot.llm.ngram_join import _repeated
+
+    rows = [(k, n, None) for k in range(100, 160) for n in (1, 2, 3)] + [(k, n, None) for k in range(200, 260) for n in (4, 5)]
+    rows += [(k, 6, None) for k in range(300, 360) for _ in "ab"]  # one set, in two tasks
+    rows += [(400, 7, 7), (400, 8, 7), (400, 9, None), (401, 10, 10), (401, 11, 10)]  # 8 and 11 were gathered by a task
+    got = _repeated(spark.createDataFrame(rows, "key bigint, node bigint, lead bigint")).collect()
+    groups = collections.defaultdict(set)
+    for r in got:
+        groups[r.key] |= {r.node, r.lead}
+    assert groups.pop(None) == {4, 5}
+    assert sorted(groups.values(), key=min) == [{1, 2, 3}, {7, 8, 9}, {10, 11}]
+
+
 def loose_group(n, seed):
     """Copies of one text with more and more words changed: some links, many pairs that just miss the threshold, other sizes."""
     r = random.Random(seed)
