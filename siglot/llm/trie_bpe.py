@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from siglot.llm.common import by_bytes, kept, tidy
 
-KEEP = 150_000  # pieces, and pairs of tokens, remembered in a process
+KEEP = 60_000  # pieces, and pairs of tokens, remembered in a process
 
 
 class TrieBpe:
@@ -40,11 +40,14 @@ class TrieBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         #: token -> (rank of the merge that makes it, left part, right part); base symbols aren't here
         self.parts: dict[str, tuple[int, str, str]] = {}
-        self.rank: dict[tuple[str, str], int] = {}
-        for r, m in enumerate(model["merges"]):
+        #: ranks of further merges that make a token which another one makes first
+        self.more: dict[tuple[str, str], int] = {}
+        one = {t: t for t in self.vocab}  # a string that comes again is kept once
+        for r, m in enumerate(model.pop("merges")):
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.rank[a, b] = r
-            self.parts.setdefault(a + b, (r, a, b))
+            a, b, t = one.get(a, a), one.get(b, b), one.get(a + b, a + b)
+            if self.parts.setdefault(t, (r, a, b))[1] != a:
+                self.more[a, b] = r
         self.longest = max(map(len, self.vocab))
         self.tokens = {t for t in self.vocab if t in self.parts or len(t.removesuffix(self.end) or t) == 1}
         self.stays: dict[tuple[str, str], bool] = {}
@@ -52,6 +55,11 @@ class TrieBpe:
         byte = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in shown)}
         self.byte = "".join(byte[b] for b in range(256))
 
+    def rank(self, a: str, b: str, none: int) -> int:
+        """The rank of the merge of a and b."""
+        made = self.parts.get(a + b)
+        return none if made is None else made[0] if made[1] == a else self.more.get((a, b), none)
+
     def unmerged(self, a: str, b: str) -> bool:
         """Whether tokens a and b, next to each other, are what BPE makes of a + b.
 
@@ -64,7 +72,7 @@ class TrieBpe:
             return known
         x, y, least, out = a, b, 1 << 60, True
         while True:
-            if self.rank.get((x, y), least) < least:
+            if self.rank(x, y, least) < least:
                 out = False
                 break
             px, py = self.parts.get(x), self.parts.get(y)
@@ -140,11 +148,7 @@ class TextEncoder:
         self.special = re.compile("(" + "|".join(map(re.escape, self.bpe.special)) + ")")
         self.control = re.compile("[\x1c-\x1f]").search  # str.split() cuts there, the tokenizer's pattern doesn't
         self.plain = re.compile("[\t-\r -\u017f\u2010-\u2026\u20ac]*").fullmatch
-        every = self.bpe.vocab | self.bpe.special
-        #: each token's id as u32 and, as the library joins tokens for a file without a decoder, its string with a space behind
-        self.packed = {t: struct.pack("<I", i) for t, i in every.items()}
-        self.shown = {t: t.encode("utf-8") + b" " for t in every}
-        #: the same of whole pieces; and of words that aren't ASCII letters in lower case, as those are pieces of their own
+        #: the ids as u32 of whole pieces and, as the library joins tokens for a file without a decoder, their tokens with a space behind each; and both of words that aren't ASCII letters in lower case, as those are pieces of their own
         self.ids: dict[str, bytes] = {}
         self.text: dict[str, bytes] = {}
         self.words: dict[str, tuple[bytes, bytes]] = {}
@@ -166,7 +170,7 @@ class TextEncoder:
         out: list[str | tuple[bytes, bytes]] = []
         for k, part in enumerate(self.special.split(piece) if "<|" in piece else [piece]):
             if k % 2:
-                out.append((self.packed[part], self.shown[part]))
+                out.append((struct.pack("<I", self.bpe.special[part]), part.encode("utf-8") + b" "))
             elif part.isascii():  # printable ASCII stands for itself among the byte-level symbols
                 out += self.find(part.lower()) if part.isprintable() else map(self.bpe.symbols, self.find(part.lower()))
             elif self.plain(part):
@@ -191,12 +195,9 @@ class TextEncoder:
         letters = {p: p.lower() for p in new if p.isascii() and p.isalpha()}  # one word, which stands for itself
         mixed = {p: self._words(p) for p in new.difference(letters)}
         unknown = set(letters.values()).union(*[[w for w in ws if isinstance(w, str)] for ws in mixed.values()])
-        packed, shown = self.packed, self.shown
+        known = self.bpe.vocab.__getitem__
         for w, tokens in self.bpe.encode(unknown.difference(ids, words)):
-            if len(tokens) == 1:
-                i, t = packed[tokens[0]], shown[tokens[0]]
-            else:
-                i, t = b"".join([packed[x] for x in tokens]), b"".join([shown[x] for x in tokens])
+            i, t = struct.pack(f"<{len(tokens)}I", *map(known, tokens)), " ".join(tokens).encode("utf-8") + b" "
             if w.isascii() and w.isalpha():
                 ids[w], text[w] = i, t
             else:

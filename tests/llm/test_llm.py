@@ -99,6 +99,21 @@ def test_trie_encoding_and_decoding(spark, docs, texts):
     assert bpe_round_trip(empty(docs), WORD).count() == 0
 
 
+def test_trie_encoder_is_small():
+    import gc
+    import tracemalloc
+
+    gc.collect()
+    tracemalloc.start()
+    try:
+        enc = TextEncoder(public_tokenizers.path("word_bpe_49k.json"))
+        now, most = (x / 1e6 for x in tracemalloc.get_traced_memory())
+    finally:
+        tracemalloc.stop()
+    print(f"{now:.1f} MB, {most:.1f} while it was read")
+    assert enc.bpe.vocab and now < 30
+
+
 def test_trie_on_random_words():
     r, tok, enc = random.Random(4), Tokenizer.from_file(WORD), TextEncoder(WORD)
     texts = ["".join(r.choice("abcdeéinorst' .,-19ß") for _ in range(r.randrange(80))) for _ in range(3000)]
