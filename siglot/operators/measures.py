@@ -379,19 +379,23 @@ def auroc(df: DataFrame, y: str, score: str) -> DataFrame:
     return s.select((F.col("pos") + F.col("neg")).alias("n"), F.col("pos").alias("positives"), F.when(some, F.col("u") / (F.col("pos") * F.col("neg"))).alias("auroc"), F.when(some, F.col("ap") / F.col("pos")).alias("average_precision"))
 
 
-def dealt(i: np.ndarray, n: int, key: int) -> np.ndarray:
-    """A permutation of 0 to n - 1 by a keyed network of four rounds, applied to the numbers i: any part of it can be computed anywhere."""
+def dealt(i: np.ndarray, n: int, key: int | np.ndarray) -> np.ndarray:
+    """A permutation of 0 to n - 1 by a keyed network of four rounds, applied to the numbers i: any part of it can be computed anywhere; of several keys, arrays that broadcast."""
     half = max(1, math.ceil(math.log2(max(2, n)) / 2))
-    mask, out, todo = np.uint64((1 << half) - 1), i.astype(np.uint64), np.ones(len(i), bool)
-    while todo.any():  # numbers beyond n walk on until they come back
-        left, right = out[todo] >> np.uint64(half), out[todo] & mask
+    both = np.broadcast_arrays(i.astype(np.uint64), np.asarray(key).astype(np.uint64))
+    now, keys = (a.ravel() for a in both)
+    mask, out, todo = np.uint64((1 << half) - 1), np.empty(len(now), np.int64), np.arange(len(now))
+    while len(todo):  # numbers beyond n walk on until they come back
+        left, right = now >> np.uint64(half), now & mask
         for r in range(4):
-            x = (right + np.uint64((key * 4 + r + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (right + (keys * np.uint64(4) + np.uint64(r + 1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
             left, right = right, left ^ ((x >> np.uint64(29)) & mask)
-        out[todo] = (left << np.uint64(half)) | right
-        todo[todo] = out[todo] >= np.uint64(n)
-    return out.astype(np.int64)
+        now = (left << np.uint64(half)) | right
+        out[todo] = now
+        beyond = now >= np.uint64(n)
+        todo, now, keys = todo[beyond], now[beyond], keys[beyond]
+    return out.reshape(both[0].shape)
 
 
 def energy_tests(df: DataFrame, vector: str, label: str, permutations: int = 199, seed: int = 1, block: int = 1_000, wide: int = 16_000) -> DataFrame:
@@ -400,11 +404,13 @@ def energy_tests(df: DataFrame, vector: str, label: str, permutations: int = 199
     Every pair of vectors is needed, so work grows with the square of the rows: rows
     fall into blocks of at most `wide`, a pair of blocks meets under one key, so a row is
     sent as often as there are blocks, and a task adds up the distances inside and around
-    each label, `block` by `block` rows and many permutations at once. Rows
-    are numbered in the order of their labels, so a permutation of the numbers
-    gives its labels by arithmetic, and no task holds more than two blocks. p is
-    (1 + permutations at least as far apart) / (1 + permutations). Rows without a
-    vector or label are left out.
+    each label and each permutation's rows, `block` by `block` rows. Rows
+    are numbered in the order of their labels, and each number is permuted once. A
+    label's test takes the first rows of each permutation, as many as the smaller side
+    has, so that labels of about one size share a product: only the few rows that one
+    has more than the other are added one by one. No task holds more than two
+    blocks. p is (1 + permutations at least as far apart) / (1 + permutations). Rows
+    without a vector or label are left out.
     """
     spark = df.sparkSession
     rows = df.select(F.col(label).alias("g"), F.col(vector).alias("v")).where("g is not null and v is not null")
@@ -415,48 +421,95 @@ def energy_tests(df: DataFrame, vector: str, label: str, permutations: int = 199
     for k in sorted(parts):
         start[k], n = n, n + parts[k]
     labels = [(r.g, r.n) for r in kept.groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy("g").collect()]  # of a declared list
-    out = f"label {rows.schema['g'].dataType.simpleString()}, n bigint, m bigint, energy double, p double"
+    kind = rows.schema["g"].dataType.simpleString()
     if len(labels) < 2:
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], f"label {kind}, n bigint, m bigint, energy double, p double")
     ends, blocks = np.cumsum([c for _, c in labels]), max(min(-(-n // block), 16), -(-n // wide))
+    sizes = np.unique([min(c, n - c) for _, c in labels])
+    narrow, kinds, keys = np.min_scalar_type(len(sizes)), len(sizes) + 1, seed * 1_000_003 + np.arange(1, permutations + 1)
+    spans = []  # first and last of the sizes that share a product: the pairs to add one by one are a hundredth of all at most
+    for t, s in enumerate(sizes.tolist() if permutations else []):
+        if spans and s * (s - int(sizes[spans[-1][0]])) <= n * n / 100:
+            spans[-1][1] = t
+        else:
+            spans.append([t, t])
+
+    def deal(batches):
+        """With level: for each permutation, the first size under which the row is among its first rows."""
+        for q in batches:
+            i = q.column("i").to_numpy()
+            level = np.concatenate([np.searchsorted(sizes, dealt(i[u : u + 400, None], n, keys), side="right").astype(narrow) for u in range(0, max(1, len(i)), 400)])
+            held = [None, pa.py_buffer(np.arange(len(i) + 1, dtype=np.int32) * (level.itemsize * permutations)), pa.py_buffer(level.tobytes())]
+            yield pa.RecordBatch.from_arrays([*q.columns, pa.Array.from_buffers(pa.binary(), len(i), held)], [*q.schema.names, "level"])
+
     index = F.try_element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("part")) + F.col("place")
-    d = kept.select(index.cast("bigint").alias("i"), "v").withColumn("b", F.pmod("i", F.lit(blocks)))
-    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("i", "v", "b", F.least("b", "other").cast("int").alias("r"), F.greatest("b", "other").cast("int").alias("c"))
+    d = kept.select(index.cast("bigint").alias("i"), "v")
+    if permutations:
+        d = d.repartition(4 * blocks).mapInArrow(deal, f"i bigint, v {rows.schema['v'].dataType.simpleString()}, level binary")
+    d = d.withColumn("b", F.pmod("i", F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    d = d.withColumns({"r": F.least("b", "other").cast("int"), "c": F.greatest("b", "other").cast("int")}).drop("other")
+    d = d.withColumn("pair", (F.expr("c * (c + 1) div 2") + F.col("r")).cast("int"))
+
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The distances of all rows of a to all of b, by one product that adds their squares too."""
+        a, b = a.astype(float), b.astype(float)
+        square = np.column_stack([-2 * a, (a * a).sum(1), np.ones(len(a))]) @ np.column_stack([b, np.ones(len(b)), (b * b).sum(1)]).T
+        return np.sqrt(np.maximum(square, 0, out=square), out=square)
 
     def run(table: pa.Table) -> pa.Table:
         r, c = table.column("r")[0].as_py(), table.column("c")[0].as_py()
         i, b = table.column("i").to_numpy(), table.column("b").to_numpy()
+        one, two = (at[np.argsort(i[at])] for at in (np.flatnonzero(b == r), np.flatnonzero(b == c)))  # labels lie side by side
         x = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(i), -1)
-        runs, kinds = permutations + 1, len(ends)
-        g = np.stack([np.searchsorted(ends, dealt(i, n, seed * 1_000_003 + k) if k else i, side="right") for k in range(runs)], 1).astype(np.int32)
-        some = max(1, 2_000 // kinds)  # permutations at once
-        hot = lambda at, k: (g[at, k : k + some, None] == np.arange(kinds)).reshape(len(at), -1).astype(float)
-        inside, around, every = np.zeros(runs * kinds), np.zeros(runs * kinds), 0.0
-        one, two = np.flatnonzero(b == r), np.flatnonzero(b == c)
+        x, y, g = x[one], x[two], np.searchsorted(ends, i, side="right")
+        if permutations:
+            level = np.frombuffer(b"".join(table.column("level").to_pylist()), narrow).reshape(len(i), -1).T
+            low, high = np.ascontiguousarray(level[:, one]), np.ascontiguousarray(level[:, two])
+        own, sums, every = np.zeros(len(ends)), np.zeros(len(i)), 0.0
+        inside, across = np.zeros((permutations, kinds)), np.arange(permutations)[:, None] * kinds
         for u in range(0, len(one), block):
+            rows, at = one[u : u + block], slice(u, u + block)
+            near = [np.zeros((permutations, len(rows))) for _ in spans]  # each row's distances to the first rows of each permutation
             for w in range(u if r == c else 0, len(two), block):
-                rows, columns = one[u : u + block], two[w : w + block]
-                left, right = x[rows].astype(float), x[columns].astype(float)
-                square = (left * left).sum(1)[:, None] + (right * right).sum(1)[None, :] - 2 * left @ right.T
-                dist = np.sqrt(np.maximum(square, 0))
+                columns, beside = two[w : w + block], slice(w, w + block)
+                dist = apart(x[at], y[beside])
                 if r == c and u == w:
                     dist = np.triu(dist, 1)
-                every += dist.sum()
-                by_row, by_column = dist.sum(1), dist.sum(0)
-                for k in range(0, runs, some):
-                    a, z = hot(rows, k), hot(columns, k)
-                    at = slice(k * kinds, k * kinds + a.shape[1])
-                    inside[at] += ((dist @ z) * a).sum(0)
-                    around[at] += by_row @ a + by_column @ z
-        return pa.table({"k": pa.array(np.repeat(np.arange(runs), kinds), pa.int32()), "g": pa.array(np.tile(np.arange(kinds), runs), pa.int32()), "inside": inside, "around": around, "every": np.full(len(inside), every)})
-
-    sums = d.groupBy("r", "c").applyInArrow(run, "k int, g int, inside double, around double, every double").groupBy("k", "g").agg(*[F.sum(c).alias(c) for c in ("inside", "around", "every")])
-    size = F.try_element_at(F.create_map(*[F.lit(x) for g, (_, c) in enumerate(labels) for x in (g, float(c))]), F.col("g"))
-    a, z = size, F.lit(float(n)) - size
-    between = F.col("around") - 2 * F.col("inside")
-    energy = a * z / (a + z) * (2 * between / (a * z) - 2 * F.col("inside") / (a * a) - 2 * (F.col("every") - F.col("inside") - between) / (z * z))
-    e = sums.select("k", "g", a.cast("bigint").alias("n"), z.cast("bigint").alias("m"), energy.alias("energy"))
-    own = F.max(F.when(F.col("k") == 0, F.col("energy"))).over(Window.partitionBy("g"))
-    per = e.withColumn("own", own).groupBy("g").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("own").alias("energy"), F.count_if((F.col("k") > 0) & (F.col("energy") >= F.col("own") * (1 - 1e-12))).alias("hits"))
-    names = spark.createDataFrame([(g, v) for g, (v, _) in enumerate(labels)], f"g int, label {rows.schema['g'].dataType.simpleString()}")
-    return per.join(F.broadcast(names), "g").select("label", "n", "m", "energy", ((1 + F.col("hits")) / (1.0 + permutations)).alias("p"))
+                by_row = dist.sum(1)
+                every += by_row.sum()
+                sums[rows] += by_row
+                sums[columns] += dist.sum(0)
+                for k in np.intersect1d(g[rows], g[columns]):
+                    own[k] += dist[slice(*np.searchsorted(g[rows], [k, k + 1])), slice(*np.searchsorted(g[columns], [k, k + 1]))].sum()
+                for q, (first, _) in zip(near, spans):
+                    q += (high[:, beside] <= first).astype(float) @ dist.T
+            for q, (first, last) in zip(near, spans):
+                got = np.bincount((np.maximum(low[:, at], first) + across).ravel(), q.ravel(), permutations * kinds).reshape(permutations, kinds)
+                inside[:, first : last + 1] += got[:, first : last + 1]
+        for first, last in spans:
+            for k in range(permutations if last > first else 0):
+                at, more = np.flatnonzero(low[k] <= last), np.flatnonzero((high[k] > first) & (high[k] <= last))
+                dist = apart(x[at], y[more])
+                if r == c:
+                    dist *= at[:, None] < more
+                inside[k] += np.bincount(np.maximum.outer(low[k, at], high[k, more]).ravel(), dist.ravel(), kinds)
+            inside[:, first : last + 1] = inside[:, first : last + 1].cumsum(1)
+        around = [np.bincount(level[k], sums, kinds)[:-1].cumsum() for k in range(permutations)]
+        numbers = np.concatenate([np.zeros(len(ends), np.int32), np.repeat(np.arange(1, permutations + 1, dtype=np.int32), len(sizes))])
+        names = np.concatenate([np.arange(len(ends)), np.tile(sizes, permutations)])
+        return pa.table({"k": numbers, "t": names, "inside": np.concatenate([own, inside[:, :-1].ravel()]), "around": np.concatenate([np.bincount(g, sums, len(ends)), *around]), "every": np.full(len(names), every)})
+
+    met = d.repartitionById(min(blocks * (blocks + 1) // 2, 4_000), F.col("pair")).groupBy("pair")  # a task for each, as a pair of blocks is much work on few bytes
+    met = met.applyInArrow(run, "k int, t bigint, inside double, around double, every double")
+    sums = stored(met.groupBy("k", "t").agg(*[F.sum(c).alias(c) for c in ("inside", "around", "every")]))  # t: of k = 0 the label, else the size
+
+    def energy(a: Column) -> Column:
+        z, between = n - a, F.col("around") - 2 * F.col("inside")
+        return a * z / (a + z) * (2 * between / (a * z) - 2 * F.col("inside") / (a * a) - 2 * (F.col("every") - F.col("inside") - between) / (z * z))
+
+    names = spark.createDataFrame([(g, v, float(c), min(c, n - c)) for g, (v, c) in enumerate(labels)], f"t bigint, label {kind}, a double, size bigint")
+    scale = 2 * (F.col("around") - 2 * F.col("inside")) / n  # what the statistic takes its terms from, so that equal splits stay equal
+    e = sums.where("k = 0").join(F.broadcast(names), "t").select("label", "a", "size", energy(F.col("a")).alias("energy"), scale.alias("scale"))
+    free = sums.where("k > 0").select(F.col("t").alias("size"), energy(F.col("t").cast("double")).alias("other"))
+    per = e.join(free, "size", "left").groupBy("label", "a", "energy").agg(F.count_if(F.col("other") >= F.col("energy") - F.col("scale") * 1e-12).alias("hits"))
+    return per.select("label", F.col("a").cast("bigint").alias("n"), (n - F.col("a")).cast("bigint").alias("m"), "energy", ((1 + F.col("hits")) / (1.0 + permutations)).alias("p"))

@@ -189,6 +189,41 @@ def test_energy_by_tiles(spark):
     assert key() == key(block=20, wide=60) == key(block=7, wide=400)
 
 
+def test_energy_permutations_of_uneven_labels(spark, monkeypatch):
+    """Labels that share a product, that have one of their own and that hold most rows: every p is that of its own permutations, whatever the blocks."""
+    rng, tables, real = np.random.default_rng(6), [], M.stored
+    monkeypatch.setattr(M, "stored", lambda df: tables.append(real(df)) or tables[-1])
+    for counts in ([5, 6, 6, 30, 31, 60, 79], [9, 140], [1, 1], [2, 2]):
+        d = spark.createDataFrame([(f"l{k}", [float(v) for v in rng.normal(size=3) + 0.3 * (k == 1)]) for k, c in enumerate(counts) for _ in range(c)], "g string, v array<double>").repartition(3)
+        for how in ({}, {"block": 20, "wide": 60}):
+            tables.clear()
+            got = {r.label: tuple(r)[1:] for r in M.energy_tests(d, "v", "g", permutations=39, **how).collect()}
+            rows = tables[0].orderBy("at").collect()  # as they are numbered
+            v, n, want = np.array([r.v for r in rows]), len(rows), {}
+            for k, c in enumerate(counts):
+                own = energy(v, np.array([r.g == f"l{k}" for r in rows]))
+                free = [energy(v, M.dealt(np.arange(n), n, 1_000_003 + p) < min(c, n - c)) for p in range(1, 40)]
+                want[f"l{k}"] = (c, n - c, pytest.approx(own, rel=1e-9), pytest.approx((1 + sum(f >= own - 1e-9 for f in free)) / 40))
+            assert got == want
+
+
+def test_energy_permutes_each_row_once(spark, monkeypatch, tmp_path):
+    """A row's numbers are permuted once, not again for each block that it meets."""
+    path, real = str(tmp_path / "dealt"), M.dealt
+
+    def counted(i, n, key):
+        with open(path, "a") as f:
+            f.write(f"{np.broadcast(i, key).size}\n")
+        return real(i, n, key)
+
+    monkeypatch.setattr(M, "dealt", counted)
+    rng = np.random.default_rng(7)
+    d = spark.createDataFrame([(i % 4, [float(v) for v in rng.normal(size=2)]) for i in range(90)], "g int, v array<double>")
+    assert M.energy_tests(d, "v", "g", permutations=9).count() == 4
+    with open(path) as f:
+        assert sum(int(x) for x in f) == 90 * 9
+
+
 def test_limits_are_parsed_once_for_each_text(spark):
     texts = ["no mayor de 20", "entre 70 y 130", "clear", None]
     d = spark.createDataFrame([(i, texts[i % 4]) for i in range(40)], "k int, t string")
