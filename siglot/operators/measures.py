@@ -401,10 +401,11 @@ def dealt(i: np.ndarray, n: int, key: int | np.ndarray) -> np.ndarray:
 def energy_tests(df: DataFrame, vector: str, label: str, permutations: int = 199, seed: int = 1, block: int = 1_000, wide: int = 16_000) -> DataFrame:
     """label, n, m, energy, p: for each label, the energy distance between its vectors and all others, and its permutation test.
 
-    Every pair of vectors is needed, so work grows with the square of the rows: rows
-    fall into blocks of at most `wide`, a pair of blocks meets under one key, so a row is
+    Every pair of different vectors is needed, so work grows with the square of these:
+    up to 16 equal ones of a label are one, with all its rows, they fall into blocks of
+    about `wide`, a pair of blocks meets under one key, so a vector is
     sent as often as there are blocks, and a task adds up the distances inside and around
-    each label and each permutation's rows, `block` by `block` rows. Rows
+    each label and each permutation's rows, `block` by `block` vectors. Rows
     are numbered in the order of their labels, and each number is permuted once. A
     label's test takes the first rows of each permutation, as many as the smaller side
     has, so that labels of about one size share a product: only the few rows that one
@@ -424,29 +425,37 @@ def energy_tests(df: DataFrame, vector: str, label: str, permutations: int = 199
     kind = rows.schema["g"].dataType.simpleString()
     if len(labels) < 2:
         return spark.createDataFrame([], f"label {kind}, n bigint, m bigint, energy double, p double")
-    ends, blocks = np.cumsum([c for _, c in labels]), max(min(-(-n // block), 16), -(-n // wide))
+    ends = np.cumsum([c for _, c in labels])
     sizes = np.unique([min(c, n - c) for _, c in labels])
     narrow, kinds, keys = np.min_scalar_type(len(sizes)), len(sizes) + 1, seed * 1_000_003 + np.arange(1, permutations + 1)
-    spans = []  # first and last of the sizes that share a product: the pairs to add one by one are a hundredth of all at most
-    for t, s in enumerate(sizes.tolist() if permutations else []):
-        if spans and s * (s - int(sizes[spans[-1][0]])) <= n * n / 100:
-            spans[-1][1] = t
-        else:
-            spans.append([t, t])
 
     def deal(batches):
-        """With level: for each permutation, the first size under which the row is among its first rows."""
+        """Up to 16 equal vectors of one label as one row; level: for each of them and each permutation, the first size under which it is among the first rows."""
         for q in batches:
             i = q.column("i").to_numpy()
-            level = np.concatenate([np.searchsorted(sizes, dealt(i[u : u + 400, None], n, keys), side="right").astype(narrow) for u in range(0, max(1, len(i)), 400)])
-            held = [None, pa.py_buffer(np.arange(len(i) + 1, dtype=np.int32) * (level.itemsize * permutations)), pa.py_buffer(level.tobytes())]
-            yield pa.RecordBatch.from_arrays([*q.columns, pa.Array.from_buffers(pa.binary(), len(i), held)], [*q.schema.names, "level"])
+            if not len(i):
+                continue
+            g, x, at = np.searchsorted(ends, i, side="right"), q.column("v").flatten().to_numpy().reshape(len(i), -1), np.arange(len(i))
+            new = np.append(True, (g[1:] != g[:-1]) | (x[1:] != x[:-1]).any(1))
+            first = np.flatnonzero((at - np.maximum.accumulate(np.where(new, at, 0))) % 16 == 0)
+            level = np.concatenate([np.searchsorted(sizes, dealt(i[u : u + 400, None], n, keys), side="right").astype(narrow) for u in range(0, len(i), 400)])
+            cuts = np.append(first, len(i)).astype(np.int32)
+            held = [None, pa.py_buffer(cuts * (level.itemsize * permutations)), pa.py_buffer(level.tobytes())]
+            yield pa.RecordBatch.from_arrays([q.column("v").take(pa.array(first)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(i)), pa.Array.from_buffers(pa.binary(), len(first), held)], ["v", "i", "level"])
 
     index = F.try_element_at(F.create_map(*[F.lit(x) for kv in start.items() for x in kv]), F.col("part")) + F.col("place")
-    d = kept.select(index.cast("bigint").alias("i"), "v")
-    if permutations:
-        d = d.repartition(4 * blocks).mapInArrow(deal, f"i bigint, v {rows.schema['v'].dataType.simpleString()}, level binary")
-    d = d.withColumn("b", F.pmod("i", F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    d = kept.select("g", index.cast("bigint").alias("i"), "v", F.xxhash64("v").alias("h"))
+    d = d.repartitionByRange(4 * max(16, -(-n // wide)), "g", "h", "i").sortWithinPartitions("g", "h").select("i", "v")
+    d = stored(d.mapInArrow(deal, f"v {rows.schema['v'].dataType.simpleString()}, i array<bigint>, level binary"))
+    different = d.count()
+    blocks = max(min(-(-different // block), 16), -(-different // wide))
+    spans = []  # first and last of the sizes that share a product: the pairs of rows to add one by one are a hundredth of the vectors' at most
+    for t, s in enumerate(sizes.tolist() if permutations else []):
+        if spans and s * (s - int(sizes[spans[-1][0]])) <= different * different / 100:
+            spans[-1][1] = t
+        else:
+            spans.append([t, t])
+    d = d.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     d = d.withColumns({"r": F.least("b", "other").cast("int"), "c": F.greatest("b", "other").cast("int")}).drop("other")
     d = d.withColumn("pair", (F.expr("c * (c + 1) div 2") + F.col("r")).cast("int"))
 
@@ -457,47 +466,58 @@ def energy_tests(df: DataFrame, vector: str, label: str, permutations: int = 199
         return np.sqrt(np.maximum(square, 0, out=square), out=square)
 
     def run(table: pa.Table) -> pa.Table:
-        r, c = table.column("r")[0].as_py(), table.column("c")[0].as_py()
-        i, b = table.column("i").to_numpy(), table.column("b").to_numpy()
-        one, two = (at[np.argsort(i[at])] for at in (np.flatnonzero(b == r), np.flatnonzero(b == c)))  # labels lie side by side
-        x = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(i), -1)
-        x, y, g = x[one], x[two], np.searchsorted(ends, i, side="right")
-        if permutations:
-            level = np.frombuffer(b"".join(table.column("level").to_pylist()), narrow).reshape(len(i), -1).T
-            low, high = np.ascontiguousarray(level[:, one]), np.ascontiguousarray(level[:, two])
-        own, sums, every = np.zeros(len(ends)), np.zeros(len(i)), 0.0
+        r, c, b = table.column("r")[0].as_py(), table.column("c")[0].as_py(), table.column("b").to_numpy()
+        lists = table.column("i").combine_chunks()
+        i, count = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.intp)
+        begin = np.cumsum(count) - count
+        g, item = np.searchsorted(ends, i[begin], side="right"), np.repeat(np.arange(len(b)), count)
+        one, two = (at[np.argsort(g[at], kind="stable")] for at in (np.flatnonzero(b == r), np.flatnonzero(b == c)))  # labels lie side by side
+        x = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(b), -1)
+        level = np.frombuffer(b"".join(table.column("level").to_pylist()), narrow).reshape(len(i), -1).T if permutations else np.zeros((0, len(i)), narrow)
+
+        def side(at):
+            """Vectors, their number of rows, where these begin, whose each is, and their levels."""
+            many = count[at]
+            cuts, whose = np.append(0, np.cumsum(many)), np.repeat(np.arange(len(at)), many)
+            return x[at], many.astype(float), cuts, whose, np.ascontiguousarray(level[:, begin[at][whose] + np.arange(cuts[-1]) - cuts[whose]])
+
+        (left, much, cuts, whose, low), (right, many, starts, theirs, high) = side(one), side(two)
+        hot = [np.add.reduceat((high <= first).astype(np.uint8), starts[:-1], axis=1) for first, _ in spans if len(two)]  # rows of a vector among the first
+        own, sums, every = np.zeros(len(ends)), np.zeros(len(b)), 0.0
         inside, across = np.zeros((permutations, kinds)), np.arange(permutations)[:, None] * kinds
-        for u in range(0, len(one), block):
+        for u in range(0, len(one) if len(two) else 0, block):
             rows, at = one[u : u + block], slice(u, u + block)
-            near = [np.zeros((permutations, len(rows))) for _ in spans]  # each row's distances to the first rows of each permutation
+            near = [np.zeros((permutations, len(rows))) for _ in spans]  # each vector's distances to the first rows of each permutation
             for w in range(u if r == c else 0, len(two), block):
                 columns, beside = two[w : w + block], slice(w, w + block)
-                dist = apart(x[at], y[beside])
+                dist = apart(left[at], right[beside])
                 if r == c and u == w:
                     dist = np.triu(dist, 1)
-                by_row = dist.sum(1)
-                every += by_row.sum()
+                by_row = dist @ many[beside]
+                every += much[at] @ by_row
                 sums[rows] += by_row
-                sums[columns] += dist.sum(0)
+                sums[columns] += much[at] @ dist
                 for k in np.intersect1d(g[rows], g[columns]):
-                    own[k] += dist[slice(*np.searchsorted(g[rows], [k, k + 1])), slice(*np.searchsorted(g[columns], [k, k + 1]))].sum()
-                for q, (first, _) in zip(near, spans):
-                    q += (high[:, beside] <= first).astype(float) @ dist.T
+                    these, those = slice(*np.searchsorted(g[rows], [k, k + 1])), slice(*np.searchsorted(g[columns], [k, k + 1]))
+                    own[k] += much[at][these] @ (dist[these, those] @ many[beside][those])
+                for q, z in zip(near, hot):
+                    q += z[:, beside].astype(float) @ dist.T
+            some = slice(cuts[u], cuts[u + len(rows)])
             for q, (first, last) in zip(near, spans):
-                got = np.bincount((np.maximum(low[:, at], first) + across).ravel(), q.ravel(), permutations * kinds).reshape(permutations, kinds)
+                got = np.bincount((np.maximum(low[:, some], first) + across).ravel(), q[:, whose[some] - u].ravel(), permutations * kinds).reshape(permutations, kinds)
                 inside[:, first : last + 1] += got[:, first : last + 1]
         for first, last in spans:
             for k in range(permutations if last > first else 0):
                 at, more = np.flatnonzero(low[k] <= last), np.flatnonzero((high[k] > first) & (high[k] <= last))
-                dist = apart(x[at], y[more])
+                dist = apart(left[whose[at]], right[theirs[more]])
                 if r == c:
-                    dist *= at[:, None] < more
+                    dist *= whose[at][:, None] < theirs[more]
                 inside[k] += np.bincount(np.maximum.outer(low[k, at], high[k, more]).ravel(), dist.ravel(), kinds)
             inside[:, first : last + 1] = inside[:, first : last + 1].cumsum(1)
-        around = [np.bincount(level[k], sums, kinds)[:-1].cumsum() for k in range(permutations)]
+        around = [np.bincount(level[k], sums[item], kinds)[:-1].cumsum() for k in range(permutations)]
         numbers = np.concatenate([np.zeros(len(ends), np.int32), np.repeat(np.arange(1, permutations + 1, dtype=np.int32), len(sizes))])
         names = np.concatenate([np.arange(len(ends)), np.tile(sizes, permutations)])
-        return pa.table({"k": numbers, "t": names, "inside": np.concatenate([own, inside[:, :-1].ravel()]), "around": np.concatenate([np.bincount(g, sums, len(ends)), *around]), "every": np.full(len(names), every)})
+        return pa.table({"k": numbers, "t": names, "inside": np.concatenate([own, inside[:, :-1].ravel()]), "around": np.concatenate([np.bincount(g, sums * count, len(ends)), *around]), "every": np.full(len(names), every)})
 
     met = d.repartitionById(min(blocks * (blocks + 1) // 2, 4_000), F.col("pair")).groupBy("pair")  # a task for each, as a pair of blocks is much work on few bytes
     met = met.applyInArrow(run, "k int, t bigint, inside double, around double, every double")
