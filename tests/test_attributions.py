@@ -220,7 +220,7 @@ def test_energy_permutes_each_row_once(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(M, "dealt", counted)
     rng = np.random.default_rng(7)
     d = spark.createDataFrame([(i % 4, [float(v) for v in rng.normal(size=2)]) for i in range(90)], "g int, v array<double>")
-    assert M.energy_tests(d, "v", "g", permutations=9).count() == 4
+    assert M.energy_tests(d, "v", "g", permutations=9, block=20).count() == 4
     with open(path) as f:
         assert sum(int(x) for x in f) == 90 * 9
 
